@@ -68,7 +68,7 @@ class Toxicity:
         return {"weights": self.weights, "bias": self.bias, "known": {}}
 
 
-def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int = 6, rate: float = 0.03, l2: float = 2e-4, swap: float = 1.0, batch: int = 64, seed: int = 5) -> Toxicity:
+def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int = 25, rate: float = 0.06, l2: float = 3e-4, swap: float = 1.0, batch: int = 64, seed: int = 5) -> Toxicity:
     """rows: (slots of a text, with repeats; label; its identity terms as (list, place))."""
     w, b = np.zeros(SLOTS), 0.0
     if not rows:
@@ -77,8 +77,8 @@ def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int =
     term = [[np.array(slots(t)) for t in group] for group in IDENTITY]
     y = np.array([r[1] for r in rows], float)
     r = np.random.default_rng(seed)
-    share = y.mean()
-    b = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
+    share = min(max(y.mean(), 0.02), 0.98)
+    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both labels count alike
     for _ in range(epochs):
         order = r.permutation(len(rows))
         for s in range(0, len(order), batch):
@@ -87,7 +87,7 @@ def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int =
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(len(take)), [len(i) for i in ids])
             z = b + np.bincount(owner, w[flat], len(take))
-            d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) * cost[take]
             at, grad = [flat], [d[owner]]
             for i in take:
                 for k, j in rows[i][2]:
@@ -98,7 +98,7 @@ def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int =
             at, where = np.unique(np.concatenate(at), return_inverse=True)
             g = np.bincount(where, np.concatenate(grad), len(at)) / len(take) + l2 * w[at]
             g2[at] += g * g
-            w[at] -= rate * g / np.sqrt(g2[at])
+            w[at] = np.maximum(w[at] - rate * g / np.sqrt(g2[at]), 0)
             bg2 += d.mean() ** 2
             b -= rate * d.mean() / np.sqrt(bg2)
     return Toxicity(w.astype(np.float32), b)
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Toxicity, also: list[str] = []) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
-    Null and empty texts get the score of a text without words (the prior of the labels); so does
+    Null and empty texts get the score of a text without words (the bias alone); so does
     every text if there are no labels. Repeated rows are scored each.
     """
     model = train(docs, labels)
