@@ -19,6 +19,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.token_files import digest
+
+    return digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.langid import languages
 
@@ -44,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_langid, op7_url_filter, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op3_lm_score, op4_token_files, op5_langid, op7_url_filter, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
