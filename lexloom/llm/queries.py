@@ -19,6 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.lm import score
 
@@ -56,8 +62,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_lm_score, op4_token_files, op5_langid, op7_url_filter, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_lm_score, op4_token_files, op5_langid, op7_url_filter, op9_packing, op10_toxicity)}
+
+
+#: Links are found by joining on shingles; components by walking links from each document.
+OP2_SQL = r"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+shingle AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM cut)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sized p ON p.doc_id = a.doc_id JOIN sized q ON q.doc_id = b.doc_id
+    WHERE 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n)
+    GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT c.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+    CAST(least(c.doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = c.doc_id), c.doc_id)) AS BIGINT) AS component_id
+FROM cut c LEFT JOIN sized s USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard": OP2_SQL}
