@@ -43,12 +43,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.url_filter import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.packing import pack
 
@@ -61,8 +73,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_lm_score, op4_token_files, op5_langid, op7_url_filter, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_bpe, op2_ngram_jaccard, op3_lm_score, op4_token_files, op5_langid, op6_ann, op7_url_filter, op8_embedding_dedup, op9_packing, op10_toxicity)}
 
 
 #: Links are found by joining on shingles; components by walking links from each document.
