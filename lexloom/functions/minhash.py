@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import fnv1a
+from lexloom.functions.text import fnv1a, fnv_slices
 
 PRIME = 2**31 - 1
 # Multiplier and increment of the 32-bit generator, seeds of both coefficient lists.
@@ -59,3 +59,36 @@ def band_buckets(sig: Column, bands: int = 16, n: int = 64) -> Column:
     rows = n // bands
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(
         k.alias("band"), fnv1a(F.array_join(F.transform(F.slice(sig, k * rows + 1, rows), lambda v: v.cast("string")), ":")).alias("bucket")))
+
+
+def document_buckets(hashes: Column, size: int = 20, step: int = 10, n: int = 64, bands: int = 16) -> Column:
+    """The distinct (band, bucket) of all windows of a document's hashes, in numpy.
+
+    Same values as `band_buckets` of each window's `signature`.
+    """
+    a = np.array(coefficients(n, SEED_A), np.uint64)[:, None]
+    b = np.array(coefficients(n, SEED_B), np.uint64)[:, None]
+    rows = n // bands
+
+    @F.pandas_udf("array<struct<band:bigint,bucket:bigint>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(h) -> list:
+            if h is None or len(h) == 0:
+                return []
+            v = (a * np.asarray(h, np.uint64)[None] + b) % np.uint64(PRIME)
+            count = 1 if len(h) <= size else -(-(len(h) - size) // step) + 1
+            names, bands_of = [], []
+            for k in range(count):
+                sig = v[:, k * step : k * step + size].min(1).tolist()
+                for band in range(bands):
+                    names.append(":".join(map(str, sig[band * rows : band * rows + rows])))
+                    bands_of.append(band)
+            lengths = np.array([len(x) for x in names])
+            ends = np.cumsum(lengths)
+            bucket = fnv_slices(np.frombuffer("".join(names).encode(), np.uint8), ends - lengths, ends)
+            return [{"band": x, "bucket": y} for x, y in sorted(set(zip(bands_of, bucket.tolist(), strict=True)))]
+
+        for p in parts:
+            yield p.map(one)
+
+    return run(hashes)

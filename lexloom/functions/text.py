@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +68,58 @@ def utf16_units(text: Column) -> Column:
     return F.when(plain, F.flatten(F.transform(codes, pair))).otherwise(codes)
 
 
+def utf16_length(text: Column) -> Column:
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def fnv1a(text: Column) -> Column:
-    """FNV-1a, 32 bit, over UTF-16 code units, as a long; the empty text gives the seed."""
-    step = lambda h, c: h.bitwiseXOR(c) * FNV_PRIME % (MASK + 1)
-    units = F.when(F.length(text) > 0, utf16_units(text)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(units, F.lit(FNV_SEED).cast("long"), step)
+    """FNV-1a, 32 bit, over UTF-16 code units, as a long; the empty text gives the seed.
+
+    The definition in SQL; `shingle_hashes` gives the same values for many shingles at once.
+    """
+    def step(h: Column, unit: Column) -> Column:
+        return h.bitwiseXOR(unit) * FNV_PRIME % (MASK + 1)
+
+    def char(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        far = code - 65536
+        return F.when(code < 65536, step(h, code)).otherwise(step(step(h, F.lit(55296) + F.shiftright(far, 10)), F.lit(56320) + far % 1024))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(FNV_SEED).cast("long"), char)
+
+
+def fnv_slices(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """FNV-1a of units[start:end] for each pair, all slices in step, longest first."""
+    length = end - start
+    order = np.argsort(-length, kind="stable")
+    at, length = start[order], length[order]
+    h = np.full(len(at), FNV_SEED, np.uint64)
+    units = units.astype(np.uint64)
+    for k in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -k, "left"))
+        h[:n] = (h[:n] ^ units[at[:n] + k]) * np.uint64(FNV_PRIME) & np.uint64(MASK)
+    out = np.empty(len(h), np.int64)
+    out[order] = h.astype(np.int64)
+    return out
+
+
+def shingle_hashes(found: Column, size: int = 5) -> Column:
+    """FNV-1a of each phrase of `size` words, from the words, in numpy."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(words) -> np.ndarray:
+            if words is None or len(words) < size:
+                return np.zeros(0, np.int64)
+            units = np.frombuffer(" ".join(words).encode("utf-16-le"), "<u2")
+            ends = np.flatnonzero(np.append(units, 32) == 32)
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            return fnv_slices(units, starts[: len(words) - size + 1], ends[size - 1 :])
+
+        for p in parts:
+            yield p.map(one)
+
+    return run(found)
 
 
 def hex8(h: Column) -> Column:
@@ -77,8 +128,11 @@ def hex8(h: Column) -> Column:
 
 def shingles(found: Column, size: int = 5) -> Column:
     """Phrases of `size` words, one for each position; none from fewer words."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(found) - size + 1), lambda i: F.array_join(F.slice(found, i, size), " "))
-    return F.when(F.size(found) >= size, windows).otherwise(F.array().cast("array<string>"))
+    def of(w: Column) -> Column:  # bound once, or the words would be cut anew for each position
+        windows = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) >= size, windows).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(found), of))
 
 
 def chunk_count(n: Column, size: int = 20, step: int = 10) -> Column:

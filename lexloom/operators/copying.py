@@ -16,16 +16,16 @@ from lexloom.functions import text as T
 
 
 def hashed(docs: DataFrame, config: EngineConfig = EngineConfig(), *also: str) -> DataFrame:
-    """doc_id, phrases and their hashes, as arrays by position."""
-    text = F.coalesce("text", F.lit(""))
-    cut = docs.select("doc_id", *also, T.shingles(T.words(text), config.shingle_size).alias("phrases"))
-    return cut.withColumn("hashes", F.transform("phrases", T.fnv1a))
+    """doc_id, hashes: those of all shingles, as an array by position."""
+    return docs.select("doc_id", *also, T.shingle_hashes(T.words(F.coalesce("text", F.lit(""))), config.shingle_size).alias("hashes"))
 
 
 def shingle_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, pos, phrase, hash: a row for each position."""
-    both = hashed(docs, config).select("doc_id", F.posexplode(F.arrays_zip("phrases", "hashes")).alias("pos", "s"))
-    return both.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("s.phrases").alias("phrase"), F.col("s.hashes").alias("hash"))
+    words = T.words(F.coalesce("text", F.lit("")))
+    cut = docs.select("doc_id", T.shingles(words, config.shingle_size).alias("phrase"), T.shingle_hashes(words, config.shingle_size).alias("hash"))
+    both = cut.select("doc_id", F.posexplode(F.arrays_zip("phrase", "hash")).alias("pos", "s"))
+    return both.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("s.phrase").alias("phrase"), F.col("s.hash").alias("hash"))
 
 
 def distinct_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), *also: str) -> DataFrame:
@@ -54,8 +54,9 @@ def signatures(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFr
 
 def buckets(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, band, bucket: the distinct buckets of each document's windows."""
-    each = signatures(docs, config).select("doc_id", F.explode(minhash.band_buckets(F.col("signature"), config.bands, config.signature_size)).alias("b"))
-    return each.select("doc_id", F.col("b.band").cast("long").alias("band"), F.col("b.bucket").alias("bucket")).distinct()
+    all_of = minhash.document_buckets(F.col("hashes"), config.chunk_shingles, config.chunk_step, config.signature_size, config.bands)
+    each = hashed(docs, config).select("doc_id", F.explode(all_of).alias("b"))
+    return each.select("doc_id", "b.band", "b.bucket")
 
 
 def candidates(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -25,7 +25,10 @@ MARKERS = {
 
 def detect(words: Column) -> Column:
     """The language with most marker words, the first of MARKERS on ties; `und` without any."""
-    scores = [F.size(F.filter(words, lambda w, m=m: F.array_contains(strings(m), w))) for m in MARKERS.values()]
+    def count(markers: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: F.array_contains(strings(markers), w)))
+
+    scores = [count(m) for m in MARKERS.values()]
     best = F.greatest(*scores)
     out = F.lit(UNKNOWN)
     for lang, s in reversed(list(zip(MARKERS, scores, strict=True))):
@@ -37,7 +40,7 @@ def breakdown(docs: DataFrame, config: EngineConfig = EngineConfig(), detector=d
     """doc_id, lang, words, pct, first_pos; paragraphs without words are left out."""
     each = docs.select("doc_id", F.posexplode(T.paragraphs(F.coalesce("text", F.lit("")))).alias("pos", "part"))
     found = each.select("doc_id", "pos", "part", T.words(F.col("part")).alias("w")).filter(F.size("w") > 0)
-    long_enough = F.size(T.utf16_units(F.col("part"))) >= config.language_least_chars
+    long_enough = T.utf16_length(F.col("part")) >= config.language_least_chars
     found = found.select("doc_id", "pos", F.size("w").alias("n"), F.when(long_enough, detector(F.col("w"))).otherwise(UNKNOWN).alias("lang"))
     sums = found.groupBy("doc_id", "lang").agg(F.sum("n").alias("words"), F.min("pos").cast("long").alias("first_pos"))
     whole = sums.groupBy("doc_id").agg(F.sum("words").alias("all_words"))

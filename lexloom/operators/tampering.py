@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import utf16_units
+from lexloom.functions.text import utf16_length, utf16_units
 from lexloom.lexicon import CYRILLIC_TO_LATIN, LATIN_TO_CYRILLIC, ZERO_WIDTH
 
 TINY_HALF_POINTS = 12
@@ -28,9 +29,7 @@ def homoglyphs(docs: DataFrame) -> DataFrame:
     gaps = F.split("text", r"\p{L}+")
     each = base.select("doc_id", "cyrillic", gaps.alias("gaps"), words.alias("words")).select(
         "doc_id", "cyrillic", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("no", "w"))
-    units = lambda s: F.when(F.length(s) > 0, F.size(utf16_units(s))).otherwise(0).cast("long")
-    from pyspark.sql import Window as W
-
+    units = lambda s: utf16_length(s).cast("long")
     before = W.partitionBy("doc_id").orderBy("no")
     placed = each.withColumns({"word": F.col("w.word"), "own": units(F.col("w.gap")) + units(F.col("w.word"))})
     placed = placed.withColumn("start", F.sum("own").over(before) - units(F.col("word")))

@@ -219,9 +219,9 @@ def self_copy_sources(spark, sf_dir):
     return copying.self_copy_sources(documents(spark, sf_dir), CONFIG)
 
 
-@query(f"""WITH {S_DOC_SHINGLES}, {S_CORPUS_SHINGLES}, r AS (SELECT doc_id, pos, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS at, count(*) OVER (PARTITION BY doc_id) AS n
+@query(f"""WITH {S_DOC_SHINGLES}, {S_CORPUS_SHINGLES}, r AS (SELECT doc_id, pos, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS nth, count(*) OVER (PARTITION BY doc_id) AS n
 FROM a WHERE hash NOT IN (SELECT hash FROM c)), k AS (SELECT unnest(range(0, 5)) AS i)
-SELECT doc_id, CASE WHEN n <= 5 THEN at ELSE i END::BIGINT AS sample_no, pos::BIGINT AS position, phrase FROM r JOIN k ON (n > 5 AND at = i * n // 5) OR (n <= 5 AND i = at)""")
+SELECT doc_id, CASE WHEN n <= 5 THEN nth ELSE i END::BIGINT AS sample_no, pos::BIGINT AS position, phrase FROM r JOIN k ON (n > 5 AND nth = i * n // 5) OR (n <= 5 AND i = nth)""")
 def rare_shingles_sample(spark, sf_dir):
     return copying.rare_shingles(documents(spark, sf_dir), corpus(spark, sf_dir), CONFIG)
 
@@ -429,7 +429,7 @@ def docx_hidden_text(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_id, ts AS created, ts + to_days((event_id % 90)::INT - 10) AS modified FROM events),
 p AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN modified + INTERVAL 1 MINUTE ELSE modified + INTERVAL 1 HOUR END AS as_of FROM e)
-SELECT event_id, modified < created AS modified_before_created, (epoch_ms(modified) - epoch_ms(created) > 30 * 86400000) AND abs(epoch_ms(as_of) - epoch_ms(modified)) < 120000 AS touched_now FROM p""")
+SELECT event_id, modified < created AS modified_before_created, (epoch_ms(modified) - epoch_ms(created) > 30 * 86400000::BIGINT) AND abs(epoch_ms(as_of) - epoch_ms(modified)) < 120000 AS touched_now FROM p""")
 def metadata_suspicion(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created"))
     e = e.withColumn("modified", F.col("created") + F.make_dt_interval(F.col("event_id").cast("int") % 90 - 10))
@@ -466,7 +466,7 @@ def language_breakdown(spark, sf_dir):
     return language.breakdown(_lines(spark, sf_dir), CONFIG)
 
 
-@query(f"WITH {S_LANGS} SELECT d.doc_id, nullif(lang, 'und') AS language FROM documents d LEFT JOIN (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pct DESC, first_pos) = 1) USING (doc_id)")
+@query(f"WITH {S_LANGS} SELECT d.doc_id, nullif(b.lang, 'und') AS language FROM documents d LEFT JOIN (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pct DESC, first_pos) = 1) b ON d.doc_id = b.doc_id")
 def dominant_language(spark, sf_dir):
     return language.dominant(_lines(spark, sf_dir), CONFIG).select("doc_id", "language")
 
@@ -515,11 +515,11 @@ def _events(spark, sf_dir):
 
 _S_STAGES = _LIST(jobs.STAGES)
 S_JOBS = f"""e AS (SELECT user_id AS job_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
-done AS (SELECT job_id, min(o) AS at FROM e WHERE event_type = 'purchase' GROUP BY job_id),
+done AS (SELECT job_id, min(o) AS ended FROM e WHERE event_type = 'purchase' GROUP BY job_id),
 er AS (SELECT job_id, event_id, o, row_number() OVER (PARTITION BY job_id ORDER BY o) AS n FROM e WHERE event_type = 'error'),
-k AS (SELECT er.* FROM er LEFT JOIN done USING (job_id) WHERE n <= 3 AND (at IS NULL OR o < at)),
-st AS (SELECT j.job_id, count(k.o) AS retry_count, any_value(at) AS at, arg_max(k.event_id, k.o) AS last FROM (SELECT DISTINCT job_id FROM e) j LEFT JOIN k USING (job_id) LEFT JOIN done USING (job_id) GROUP BY j.job_id),
-states AS (SELECT job_id::BIGINT AS job_id, CASE WHEN retry_count >= 3 THEN 'FAILED' WHEN at IS NOT NULL THEN 'DONE' ELSE 'PROCESSING' END AS status, retry_count::BIGINT AS retry_count, last FROM st)"""
+k AS (SELECT er.* FROM er LEFT JOIN done USING (job_id) WHERE n <= 3 AND (ended IS NULL OR o < ended)),
+st AS (SELECT j.job_id, count(k.o) AS retry_count, any_value(ended) AS ended, arg_max(k.event_id, k.o) AS last FROM (SELECT DISTINCT job_id FROM e) j LEFT JOIN k USING (job_id) LEFT JOIN done USING (job_id) GROUP BY j.job_id),
+states AS (SELECT job_id::BIGINT AS job_id, CASE WHEN retry_count >= 3 THEN 'FAILED' WHEN ended IS NOT NULL THEN 'DONE' ELSE 'PROCESSING' END AS status, retry_count::BIGINT AS retry_count, last FROM st)"""
 
 
 @query(f"WITH {S_JOBS} SELECT job_id, status, retry_count, CASE WHEN status <> 'DONE' THEN {_S_STAGES}[last % 7 + 1] END AS failed_stage FROM states")

@@ -85,7 +85,7 @@ def extract(files: DataFrame, config: EngineConfig = EngineConfig(), pdf=None, o
     found = files.select("path", "content", F.sha2("content", 256).alias("content_hash"), mime(F.col("path"), F.col("content")).alias("mime"))
     is_docx = F.col("mime") == DOCX
     found = found.withColumn("docx", docx_parts(F.when(is_docx, F.col("content"))))
-    text = F.when(F.col("mime") == TXT, F.make_valid_utf8(F.decode("content", F.lit("UTF-8")))).when(is_docx, F.col("docx.text"))
+    text = F.when(F.col("mime") == TXT, F.make_valid_utf8(F.col("content").cast("string"))).when(is_docx, F.col("docx.text"))
     if pdf is not None:
         found = found.withColumn("pdf", pdf(F.when(F.col("mime") == PDF, F.col("content"))))
         text = F.coalesce(text, F.col("pdf.text"))

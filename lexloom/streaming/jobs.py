@@ -34,12 +34,12 @@ def job_states(events: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     few = errors.withColumn("n", F.row_number().over(W.partitionBy("job_id", "salt").orderBy("at"))).filter(F.col("n") <= most)
     first = few.withColumn("n", F.row_number().over(W.partitionBy("job_id").orderBy("at"))).filter(F.col("n") <= most)
     ended = events.groupBy("job_id").agg(F.min(F.when(F.col("kind") == "done", at)).alias("done"))
-    counted = ended.join(first, "job_id", "left").filter("at is null or done is null or at < done or n >= 1").groupBy("job_id").agg(
-        F.first("done").alias("done"), F.sum(F.when(F.col("done").isNull() | (F.col("at") < F.col("done")), F.when(F.col("at").isNotNull(), 1)).otherwise(0)).alias("retry_count"),
-        F.max(F.when(F.col("done").isNull() | (F.col("at") < F.col("done")), F.col("at"))).alias("last"))
-    retries = F.coalesce("retry_count", F.lit(0)).cast("long")
-    status = F.when(retries >= most, FAILED).when(F.col("done").isNotNull(), DONE).otherwise(PROCESSING)
-    return counted.select("job_id", status.alias("status"), retries.alias("retry_count"), F.when(status != DONE, stage_of(F.col("last.event_id"))).alias("failed_stage"))
+    before = F.col("at").isNotNull() & (F.col("done").isNull() | (F.col("at") < F.col("done")))
+    counted = ended.join(first, "job_id", "left").groupBy("job_id").agg(
+        F.first("done").alias("done"), F.count(F.when(before, 1)).alias("retry_count"), F.max(F.when(before, F.col("at"))).alias("last"))
+    status = F.when(F.col("retry_count") >= most, FAILED).when(F.col("done").isNotNull(), DONE).otherwise(PROCESSING)
+    failed = F.when((status != DONE) & (F.col("retry_count") > 0), stage_of(F.col("last.event_id")))
+    return counted.select("job_id", status.alias("status"), "retry_count", failed.alias("failed_stage"))
 
 
 def dead_letters(states: DataFrame) -> DataFrame:
