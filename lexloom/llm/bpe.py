@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import new_path, stored
+from lexloom.llm.chunk_encoder import ByteLetters, batches, encoder
+from lexloom.llm.common import new_path, stored, with_fields
 
 #: Words of the broadcast table at most.
 HEAD = 1 << 16
@@ -33,15 +33,16 @@ LONGEST = 64
 
 
 def words(text: Column) -> Column:
-    """Chunks as the encoder cuts them, without the newlines: " word", or "word" at a line's start."""
+    """Words between blanks and newlines, as the encoder's keys name them: the first word of a
+    later line after its newline, that of a text after a carriage return."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    cut = F.transform(lines, lambda line: F.split(line, "(?= )"))
-    return F.flatten(cut)
+    marked = F.transform(lines, lambda line, i: F.concat(F.when(i > 0, F.lit("\n")).otherwise(F.lit("\r")), line))
+    return F.flatten(F.transform(marked, lambda line: F.split(line, " ")))
 
 
 def word_table(docs: DataFrame) -> DataFrame:
     """(word, n): every distinct word of the corpus with its occurrences."""
-    return docs.select(F.explode(words(F.col("text"))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def head_threshold(table: DataFrame, most: int) -> int:
@@ -62,7 +63,7 @@ def head_ids(table: DataFrame, path: str, kind: str = "byte", most: int = HEAD)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, kind)
         for f in frames:
-            yield pd.DataFrame({"word": f["word"], "ids": enc.encode_plain(f["word"].tolist())})
+            yield pd.DataFrame({"word": f["word"], "ids": enc.encode_chunks([enc.spelled(w) for w in f["word"]])})
 
     head = table.filter((F.col("n") >= at) & (F.length("word") <= LONGEST)).select("word").coalesce(8)
     return {r.word: bytes(r.ids) for r in head.mapInPandas(run, "word string, ids binary").collect()}
@@ -73,10 +74,8 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letter = {b: chr(b) for b in visible}
-    letter |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in letter)}
-    byte = {c: b for b, c in letter.items()}
+    letters = ByteLetters()
+    byte = {(chr(b) if b in letters.visible else chr(256 + letters.other.index(b))): b for b in range(256)}
     out = []
     for i in range(tokenizer.get_vocab_size(with_added_tokens=True)):
         piece = tokenizer.id_to_token(i) or ""
@@ -121,7 +120,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         for f in frames:
             yield f.assign(text=[decode(np.frombuffer(x, "<u4").astype(np.int64), table).decode() for x in f["ids"]])
 
-    return encoded.mapInPandas(run, encoded.schema.add("text", "string"))
+    return encoded.mapInPandas(run, with_fields(encoded.schema, text="string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ document's ids are one join of its chunks' values.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -16,9 +18,23 @@ from lexloom.llm.common import one_thread
 
 #: Runs of white space, or any white space other than a blank or a newline: no certain cut.
 _UNSURE = re.compile(r"[^\S \n]|\s\s")
+#: Chunks that are encoded as one text, a special token between them.
+_TOGETHER = 1000
 #: Separators that Python's split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _loaded: dict[tuple, ChunkEncoder] = {}
+assert sys.byteorder == "little" and array("I").itemsize == 4  # values are arrays' bytes
+
+
+class ByteLetters(dict):
+    """For str.translate: what byte-level vocabularies write for a character's UTF-8 bytes."""
+
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = sorted({*range(256)}.difference(visible))
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(chr(b) if b in self.visible else chr(256 + self.other.index(b)) for b in chr(code).encode())
+        return self[code]
 
 
 class ChunkEncoder:
@@ -37,53 +53,106 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind, self.fixed, self.keep = kind, fixed or {}, keep
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark_id, self.mark = max(special.items(), default=(None, None))
+        self.direct, self.letters = self.tokenizer.model.tokenize, ByteLetters()
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str] | None:
-        """The chunks, or None where the text has to be encoded whole."""
+        """The chunks' keys, or None where the text has to be encoded whole.
+
+        A key is a word; for kind "byte" it stands for the word after a blank, and a key that
+        starts with a newline stands for itself or, if longer, for a newline and a line's first word.
+        """
         if self.kind == "word":
             return None if _ODD.search(text) else text.split()
         if _UNSURE.search(text):
             return None
-        head, *lines = text.split("\n")
-        out = self._line(head)
-        for line in lines:
-            out.append("\n")
-            out += self._line(line)
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            words[0] = "\n" + words[0] if i else "\r" + words[0]
+            out += words
         return out
 
-    @staticmethod
-    def _line(line: str) -> list[str]:
-        first, *rest = line.split(" ")
-        out = [first] if first else []
-        out += [" " + w for w in rest]
-        return out
+    def spelled(self, key: str) -> str:
+        """What a key stands for; a text's first word is marked by a carriage return."""
+        if self.kind == "word" or key.startswith("\n"):
+            return key
+        return key[1:] if key.startswith("\r") else " " + key
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """As encode_plain, at less cost a chunk.
+
+        A run of letters is one pre-token for certain, with its leading blank; it goes straight to
+        the library's BPE model, and so does a run that a full stop or comma ends. The rest go
+        through the whole library.
+        """
+        out: list[bytes | None] = []
+        direct, letters = self.direct, self.letters
+        for c in chunks:
+            w, end = (c[:-1], c[-1]) if c[-1:] in (".", ",") else (c, "")
+            bare = w[1:] if self.kind == "byte" and w[:1] == " " else w
+            if bare.isalpha() and (self.kind == "byte" or bare.isascii() or max(bare) < "\u0130"):
+                ids = [t.id for t in direct(w.translate(letters) if self.kind == "byte" else w.lower().translate(letters))]
+                if end:
+                    ids += [t.id for t in direct(end)]
+                out.append(array("I", ids).tobytes())
+            else:
+                out.append(None)
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self.encode_together([chunks[i] for i in rest]), strict=True):
+            out[i] = v
+        return out
+
+    def encode_together(self, chunks: list[str]) -> list[bytes]:
+        """As encode_plain: many chunks in one text, cut at the special token between."""
+        if self.mark is None:
+            return self.encode_plain(chunks)
+        out: list[bytes] = []
+        for s in range(0, len(chunks), _TOGETHER):
+            part = chunks[s : s + _TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(part) - 1:  # one of them holds the mark itself
+                out += self.encode_plain(part)
+                continue
+            data = ids.tobytes()
+            ends = [*(4 * at).tolist(), len(data)]
+            starts = [0, *(4 * at + 4).tolist()]
+            out += [data[a:b] for a, b in zip(starts, ends, strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        need = set().union(*(c for c in cut if c is not None))
-        table = {w: v for w in need if (v := self.fixed.get(w)) is not None}
+        now, before, fixed = self.now, self.before, self.fixed
+        get = now.get
+        lacking: set[str] = set()
+        for c in cut:
+            if c is not None:
+                found = list(map(get, c))
+                if None in found:
+                    lacking.update([w for w, v in zip(c, found) if v is None])
         missing = []
-        for w in need - table.keys():
-            v = self.now.get(w)
-            if v is None and (v := self.before.get(w)) is None:
+        for w in lacking:
+            v = fixed.get(w) or before.get(w)
+            if v is None:
                 missing.append(w)
             else:
-                table[w] = self.now[w] = v
-        for w, v in zip(missing, self.encode_plain(missing), strict=True):
-            table[w] = self.now[w] = v
-        if len(self.now) > self.keep:
-            self.before, self.now = self.now, {}
-        get = table.__getitem__
-        whole = [i for i, c in enumerate(cut) if c is None]
+                now[w] = v
+        now.update(zip(missing, self.encode_chunks([self.spelled(w) for w in missing]), strict=True))
+        get = now.__getitem__
         out = [b"" if c is None else b"".join(map(get, c)) for c in cut]
-        for i in whole:  # one at a time: such a text may be very long
-            out[i] = self.encode_plain([texts[i]])[0]
+        for i, c in enumerate(cut):
+            if c is None:  # one at a time: such a text may be very long
+                out[i] = self.encode_plain([texts[i]])[0]
+        if len(now) > self.keep:
+            self.before, self.now = now, {}
         return out
 
 

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What `[^\x20\x09-\x0D]+` splits on, as a Java pattern.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -72,3 +73,11 @@ def one_thread() -> None:
     """Keep native libraries in a Python worker to the one core Spark gave it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def with_fields(schema: StructType, **fields: str) -> StructType:
+    """A copy of `schema` with more fields (name: type); StructType.add changes its own object."""
+    out = StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out.add(name, kind)
+    return out

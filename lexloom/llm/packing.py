@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import stored
+from lexloom.llm.common import stored, with_fields
 
 #: Tokens of a sequence at most.
 WINDOW = 2048
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> Da
             yield f.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     columns = pieces.columns
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(pieces.schema, sequence_id="long", offset="long")
     placed = ranked(rest).select(*columns, "rank").mapInPandas(place, schema)
     full = pieces.filter(F.col("length") == window)
     # numbered by partition: their places within the table are dense after the partitions' sizes are summed
