@@ -252,7 +252,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, width: int = SEARC
                     top = np.lexsort((got, -what))[:k]
                     out.append((own[s + n], got[top], what[top]))
         query, vec, score = zip(*out, strict=True) if out else ((), (), ())
-        return pd.DataFrame({"query_id": pd.Series(query, dtype="int64"), "vec": list(vec), "score": list(score)})
+        return pd.DataFrame({"query_id": pd.Series(query, dtype="int64"), "vec": pd.Series(list(vec), dtype=object), "score": pd.Series(list(score), dtype=object)})
 
     keys = ["shard", "dim", "part"]
     answers = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, "query_id long, vec array<long>, score array<double>")

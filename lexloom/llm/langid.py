@@ -27,6 +27,8 @@ PER_LANG = 400
 PER_DOC = 6
 #: Windows predicted at once.
 BLOCK = 1024
+#: Steps of training at least, so that few labelled documents are gone through more often.
+STEPS = 200
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 12
 UNKNOWN = "und"
 
@@ -75,11 +77,11 @@ class ByteCNN:
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 3e-3, seed: int = 7) -> ByteCNN:
         """Adam on the cross entropy; only the window place that won a filter's maximum learns."""
         r = np.random.default_rng(seed)
-        m, v, t = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2)), None, 0
-        m, v = m
+        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        t = 0
         weight = np.bincount(y, minlength=len(self.langs)).astype(float)
         weight = np.where(weight > 0, len(y) / np.maximum(weight, 1) / len(self.langs), 0)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * batch // max(1, len(x))))):
             order = r.permutation(len(x))
             for s in range(0, len(x), batch):
                 take = order[s : s + batch]
