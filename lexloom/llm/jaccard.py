@@ -26,7 +26,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexloom.llm.bpe import head_threshold
 from lexloom.llm.common import stored
@@ -171,18 +170,21 @@ def list_pairs(measure: Measure):
         return pd.DataFrame({"a": both[0], "b": both[1], "token": None, "id": None, "n": None, "pos": None}).astype("Int64")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, hot = None, None
+        rest, hot = None, set()  # the unfinished last list; lists known to be long
         for f in frames:
-            f = f if rest is None else pd.concat((rest, f), ignore_index=True)
+            if rest is not None and len(rest):
+                f = pd.concat((rest, f), ignore_index=True)
             tok = f["token"].to_numpy()
-            last = int(np.searchsorted(tok != tok[-1], False)) if False else int(np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])[-1])
-            if len(f) - last > LIST:
-                hot = tok[-1]  # its entries go out as they come
+            if not len(tok):
+                continue
+            last = int(np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])[-1])
+            if tok[-1] in hot or len(f) - last > LIST:
+                hot.add(tok[-1])  # its entries go out as they come
                 last = len(f)
             rest = f.iloc[last:]
-            f = f.iloc[:last]
-            if len(f):
-                yield from split(f, hot)
+            if last:
+                yield from split(f.iloc[:last], hot)
+            hot &= {tok[-1]}
         if rest is not None and len(rest):
             yield from split(rest, hot)
 
@@ -190,11 +192,11 @@ def list_pairs(measure: Measure):
         tok = f["token"].to_numpy()
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         length = np.diff(np.r_[start, len(tok)])
-        many = np.repeat((length > LIST) | (tok[start] == hot if hot is not None else False), length)
+        many = np.repeat((length > LIST) | np.isin(tok[start], list(hot)), length)
         if many.any():
             g = f[many]
             yield pd.DataFrame({"a": None, "b": None, "token": g["token"], "id": g["id"], "n": g["n"], "pos": g["pos"]}).astype("Int64")
-        few = np.repeat((length > 1), length) & ~many
+        few = np.repeat(length > 1, length) & ~many
         if few.any():
             g = f[few]
             yield pairs(*(g[c].to_numpy() for c in ("token", "id", "n", "pos")))
@@ -272,8 +274,8 @@ def long_list_pairs(entries: DataFrame, facts: DataFrame, state: DataFrame, meas
 
     state: (id, component, leader, distance). Each entry goes once to every block of its list.
     """
-    ranked = entries.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy("token")) / BLOCK))))
-    ranked = ranked.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy("token")) / BLOCK)))
+    sizes = entries.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
+    ranked = entries.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     full = ranked.join(facts.select("id", "bits"), "id").join(state, "id", "left")
     sent = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sent = sent.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})

@@ -91,6 +91,24 @@ def test_op2(spark, monkeypatch, limits):
     assert [r.n_shingles for r in got] == sizes and [r.component_id for r in got] == low
 
 
+@pytest.mark.parametrize("cut", [3, 7, 50])
+def test_index_lists_over_batches(monkeypatch, cut):
+    """Lists that go over from batch to batch stay whole, long ones come out entry by entry."""
+    import pandas as pd
+
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    r = np.random.default_rng(cut)
+    lengths = [1, 2, 9, 12, 3, 4, 5, 1, 20, 2, 8]
+    rows = [(t, int(i), 100, 0) for t, n in enumerate(lengths) for i in np.sort(r.choice(1000, n, replace=False))]
+    f = pd.DataFrame(rows, columns=["token", "id", "n", "pos"])
+    out = pd.concat(list(jaccard.list_pairs(jaccard.Measure(90))(f.iloc[s : s + cut] for s in range(0, len(f), cut))))
+    short = {(int(a), int(b)) for a, b in out[out["a"].notna()][["a", "b"]].itertuples(index=False)}
+    by = f.groupby("token")["id"].apply(list)
+    assert short == {(x, y) for ids in by if len(ids) <= 4 for k, x in enumerate(ids) for y in ids[k + 1 :]}
+    long = out[out["token"].notna()]
+    assert long.groupby("token")["id"].apply(lambda v: sorted(map(int, v))).to_dict() == {t: ids for t, ids in by.items() if len(ids) > 4}
+
+
 def test_op2_edges(spark):
     assert jaccard.join(empty(spark)).count() == 0
     d = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (3, None)], "doc_id long, text string")
