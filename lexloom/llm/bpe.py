@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.chunk_encoder import ByteLetters, batches, encoder
-from lexloom.llm.common import new_path, stored, with_fields
+from lexloom.llm.common import new_path, small_batches, stored, with_fields
 
 #: Words of the broadcast table at most.
 HEAD = 1 << 16
@@ -129,6 +129,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Null texts count as empty: no tokens, the digests of nothing. Repeated rows come out each;
     other columns are not looked at; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     head = head_ids(stored(word_table(docs), "words"), path)
     shared = docs.sparkSession.sparkContext.broadcast(head)

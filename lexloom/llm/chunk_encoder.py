@@ -8,6 +8,7 @@ document's ids are one join of its chunks' values.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
@@ -46,9 +47,9 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, kind: str, fixed: dict[str, bytes] | None = None, keep: int = 250_000):
-        one_thread()
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -160,7 +161,7 @@ def encoder(path: str, kind: str, fixed: dict[str, bytes] | None = None, tag: st
     """One encoder per Python worker and table, kept between tasks."""
     key = (path, kind, tag)
     if key not in _loaded:
-        _loaded.clear()  # a worker serves one job after another; old tables may go
+        one_thread()  # a worker serves one job after another: old tables go
         _loaded[key] = ChunkEncoder(path, kind, fixed)
     return _loaded[key]
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 
@@ -70,9 +73,24 @@ def tokenizer_path(name: str) -> str:
 
 
 def one_thread() -> None:
-    """Keep native libraries in a Python worker to the one core Spark gave it."""
+    """Called where a task's Python code begins: native libraries keep to the one core Spark gave
+    the worker, and what an earlier job left in a reused worker is given back."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+    encoders = sys.modules.get("lexloom.llm.chunk_encoder")
+    if encoders is not None:
+        encoders._loaded.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        gc.collect()
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of `rows` rows at most, since a row may be a long text; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def with_fields(schema: StructType, **fields: str) -> StructType:

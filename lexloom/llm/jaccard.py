@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.bpe import head_threshold
-from lexloom.llm.common import stored
+from lexloom.llm.common import one_thread, small_batches, stored
 from lexloom.llm.components import components
 
 #: Frequent shingles in the broadcast order table, at most.
@@ -100,6 +100,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of at most HEAVY frequent shingles, and their counts as far as seen."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         held, n = [], 0
 
         def out():
@@ -128,6 +129,7 @@ def describe(docs: DataFrame, size: int, measure: Measure) -> DataFrame:
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         h, c = heavy.value
         for f in frames:
             for s in range(0, len(f), 1000):
@@ -315,6 +317,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     than `size` words are one shingle, which differs from every longer text's.
     """
     measure = Measure(percent)
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = stored(describe(docs, size, measure), "jaccard-docs")
     some = table.filter("n > 0 and doc_id is not null")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import fold, one_thread
+from lexloom.llm.common import fold, one_thread, small_batches
 
 #: Bytes in a window.
 WINDOW = 128
@@ -168,6 +168,7 @@ def train(docs: DataFrame, usable, per_lang: int = PER_LANG) -> ByteCNN:
 
 def identify(docs: DataFrame, model: ByteCNN, also: list[str] = []) -> DataFrame:
     """`also` columns of docs with lang_pred and score."""
+    small_batches(docs.sparkSession)
     kept = ["doc_id", *also]
     schema = docs.select(kept).schema.add("lang_pred", "string").add("score", "double")
 

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import new_path, stored
+from lexloom.llm.common import new_path, small_batches, stored
 
 #: Id appended to each document.
 END = 2
@@ -105,8 +105,9 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, kind: str = "
             texts = [t if isinstance(t, str) else "" for t in f["text"]]
             for s, e in batches(texts):
                 ids = [np.frombuffer(x + tail, "<u4") for x in enc.encode(texts[s:e])]
-                yield pd.DataFrame({"doc_id": f["doc_id"].array[s:e], "small": [bool((x < 1 << 16).all()) for x in ids],
-                                    "ids": [(x.astype("<u2") if (x < 1 << 16).all() else x).tobytes() for x in ids]})
+                small = [bool(x.max() < 1 << 16) for x in ids]
+                yield pd.DataFrame({"doc_id": f["doc_id"].array[s:e], "small": small,
+                                    "ids": [(x.astype("<u2") if k else x).tobytes() for x, k in zip(ids, small, strict=True)]})
 
     schema = docs.select("doc_id").schema.add("small", "boolean").add("ids", "binary")
     encoded = stored(docs.select("doc_id", "text").mapInPandas(tokens, schema), "token-ids")
@@ -114,10 +115,10 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, kind: str = "
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(0, np.int64)
         for f in frames:
-            for small, x in zip(f["small"], f["ids"], strict=True):
-                c = np.bincount(np.frombuffer(x, "<u2" if small else "<u4"))
+            for small, width in ((True, "<u2"), (False, "<u4")):  # all documents of a batch at once
+                c = np.bincount(np.frombuffer(b"".join(f["ids"][f["small"] == small]), width))
                 if len(c) > len(n):
-                    c, n = n, c
+                    c, n = n, c.copy()
                 n[: len(c)] += c
         at = np.flatnonzero(n)
         yield pd.DataFrame({"id": at, "n": n[at]})
@@ -202,6 +203,7 @@ def digest(docs: DataFrame, path: str, end: int = END, folder: str | None = None
     doc_ids stand in the order of their tokens. An empty table writes no file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_path(spark, "token-files")
     shards = write(docs, path, folder, end)
     if shards.isEmpty():

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import fold, one_thread
+from lexloom.llm.common import fold, one_thread, small_batches
 
 SLOTS = 1 << 19
 #: Labelled documents of each label that the fit uses, at most.
@@ -52,7 +52,7 @@ class Toxicity:
 
     def logit(self, found: set[str]) -> float:
         known, total = self.known, self.bias
-        if len(known) > 300_000:
+        if len(known) > 200_000:
             known.clear()
         for w in sorted(found):  # a fixed order of summing
             s = known.get(w)
@@ -124,7 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
         part = known.filter(F.col("toxic") == says).orderBy(draw, "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
 
+    small_batches(docs.sparkSession)
+
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         for f in frames:
             for i, y, text in zip(f["doc_id"], f["toxic"], f["text"], strict=True):
                 ids, terms = example(text)
@@ -140,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
 def score(docs: DataFrame, model: Toxicity, also: list[str] = []) -> DataFrame:
     """`also` columns of docs with score and predicted."""
+    small_batches(docs.sparkSession)
     kept = ["doc_id", *also]
     schema = docs.select(kept).schema.add("score", "double").add("predicted", "integer")
 
