@@ -11,6 +11,8 @@ from lexloom.llm.common import fold, new_path, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is this uncertain goes; four languages by chance would have 0.25.
 LEAST_CERTAIN = 0.3
+#: Near-duplicates share this percentage of their distinct word n-grams of this size, at least.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group of near-duplicates."""
     docs = docs.select(*COLUMNS)
-    gone = jaccard.join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = jaccard.join(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version on its own input."""
 
+import random
+
 import pytest
 
 import corpus_pipeline as C
@@ -33,3 +35,32 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     got = C.run(spark, folder)
     assert {r.doc_id for r in got.collect()} == {i for i in range(100) if i % 10 != 3} and "sequence_id" in got.columns
+
+
+def least_of_near(texts, size=5, percent=80):
+    """The least id of each group that links of at least `percent` by word `size`-grams connect, all pairs compared."""
+    grams = {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for i, w in texts.items()}
+    low = {i: i for i in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and 100 * len(grams[a] & grams[b]) >= percent * len(grams[a] | grams[b])]
+    for _ in texts:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return set(low.values()), [(a, b, len(grams[a] & grams[b]) / len(grams[a] | grams[b])) for a, b in links]
+
+
+def test_distinct_near_copies(spark):
+    """Added paragraphs and single changed words around the least similarity, one copy of a copy."""
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    texts = {i: [word() for _ in range(200 + i)] for i in range(20)}
+    for i, more in enumerate((8, 16, 24, 30, 36, 42, 48, 49, 50, 51, 60, 90)):
+        texts[100 + i] = texts[i] + [word() for _ in range(more)]
+    for i in range(12, 18):
+        texts[100 + i] = list(texts[i])
+        for k in range(i - 11):
+            texts[100 + i][15 + 30 * k] = word()
+    texts[200] = texts[103] + [word() for _ in range(40)]
+    kept, links = least_of_near(texts)
+    assert sum(0.8 <= s < 0.9 for _, _, s in links) >= 8 and 200 not in kept and 111 in kept
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in C.distinct(spark, docs, "").collect()} == kept
