@@ -5,9 +5,11 @@ rejected URLs (those that a rule decides), give each character of a URL a log-li
 difference; a URL's verdict is its mean difference against a threshold calibrated on the URLs
 that rules decide.
 
-Scale: all counting is over distinct character windows after a map-side combine. What scoring
-broadcasts is a table of at most SLOTS rows, whatever the input. The pages are shuffled once, and
-only page_id and url.
+Scale: all counting is over distinct character windows after a map-side combine. Scoring
+broadcasts the differences of at most SLOTS frequent windows, whatever the input; the other
+windows of a URL, counted by URL, are joined with the stored table of all windows. Every window
+has its own difference. Of the pages only page_id and url are shuffled, once before scoring and
+once to add up.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.llm.bpe import head_threshold
 from lexloom.llm.common import LOWER, UPPER, stored
 
 #: (rule, verdict); a rule is a host, then a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Characters of context at most.
 ORDER = 4
-#: Rows of the broadcast table of log-likelihood differences.
+#: Rows of the broadcast table of log-likelihood differences, at most.
 SLOTS = 1 << 18
 #: Steps of the score in which the threshold is looked for, per unit.
 GRAIN = 50
@@ -79,10 +82,6 @@ def window_differences(counts: DataFrame) -> DataFrame:
     return orders.select("gram", "weight", F.log(probability("a", "na", "ta") / probability("b", "nb", "tb")).alias("diff"))
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
 def threshold(scored: DataFrame) -> float:
     """The cut of least balanced error over the URLs that rules decide; 0 if one side is empty."""
     bins = scored.filter("ruled is not null").groupBy(F.floor(F.col("score") * GRAIN).alias("bin")).agg(
@@ -119,13 +118,22 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
             F.sum("copies").alias("n"),
             F.sum(F.when(F.col("ruled") == "allow", F.col("copies")).otherwise(0)).alias("n_allow"),
             F.sum(F.when(F.col("ruled") == "block", F.col("copies")).otherwise(0)).alias("n_block")), "url-grams")
-    slots = window_differences(counts).groupBy(_slot(F.col("gram")).alias("slot")).agg(
-        (F.sum(F.col("diff") * F.col("weight")) / F.sum("weight")).alias("diff"))
-    slots = stored(slots.coalesce(4), "url-slots")  # at most SLOTS rows
-    keys = ["page_id", "url", "copies", "host", "path", "rule", "ruled"]
+    every = stored(window_differences(counts).select("gram", F.col("weight").alias("n"), "diff"), "url-differences")
+    at = head_threshold(every, SLOTS)
+    head = every.filter(F.col("n") >= at).select("gram", "diff")  # at most SLOTS rows
+    tail = every.filter(F.col("n") < at).select("gram", "diff")
+    part = stored(
+        base.select("page_id", "url", "copies", F.explode(_windows(url)).alias("gram")).join(F.broadcast(head), "gram", "left")
+        .groupBy("page_id", "url", "copies").agg(
+            F.count("*").alias("windows"), F.coalesce(F.sum("diff"), F.lit(0.0)).alias("total"),
+            F.collect_list(F.when(F.col("diff").isNull(), F.col("gram"))).alias("rest")), "url-parts")
+    zero = F.lit(0).cast("long")
+    pairs = part.select("page_id", "url", F.explode("rest").alias("gram")).groupBy("page_id", "url", "gram").agg(F.count("*").alias("times"))
+    found = pairs.join(tail, "gram").select("page_id", "url", zero.alias("copies"), zero.alias("windows"), (F.col("times") * F.col("diff")).alias("total"))
+    summed = part.drop("rest").unionByName(found).groupBy("page_id", "url").agg(*(F.sum(c).alias(c) for c in ("copies", "windows", "total")))
     scored = stored(
-        base.select(*keys, F.explode(_windows(url)).alias("gram")).withColumn("slot", _slot(F.col("gram")))
-        .join(F.broadcast(slots), "slot", "left").groupBy(*keys).agg(F.avg(F.coalesce("diff", F.lit(0.0))).alias("score")), "url-scores")
+        summed.select("page_id", "url", "copies", host.alias("host"), path.alias("path"), (F.col("total") / F.col("windows")).alias("score"))
+        .withColumns({"rule": rule, "ruled": ruled}), "url-scores")
     cut = threshold(scored)
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(

@@ -225,6 +225,38 @@ def test_op7(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_op7_each_window_counts(spark, monkeypatch):
+    """Scores against a plain version, with few windows in the broadcast table: none may share a difference."""
+    monkeypatch.setattr(url_filter, "SLOTS", 8)
+    hosts, draw = ("x.net", "a.example.net", "example.com", "c.org", "b.example.com", "else.where"), np.random.default_rng(7)
+    urls = [None, "", *(f"https://{hosts[i % 6]}/{('en', 'de', 'fr')[i % 3]}/" + "".join(draw.choice(list("abcdefgh"), 6)) for i in range(120))]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(5, urls[5])] * 2
+    got = sorted(url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert len(got) == len(rows)
+    verdict_of_rule = dict(url_filter.RULES)
+    says = {r.page_id: verdict_of_rule.get(r.rule) for r in got}
+    windows = lambda u: [("\2" * 4 + (u or "") + "\3")[i : i + 5] for i in range(len(u or "") + 1)]
+    seen = {"allow": {}, "block": {}}
+    for i, u in rows:
+        for g in windows(u) if says[i] else ():
+            for k in range(5):
+                follow = seen[says[i]].setdefault(g[4 - k : 4], {})
+                follow[g[4]] = follow.get(g[4], 0) + 1
+
+    def chance(kind, g):
+        p = 1 / 256
+        for k in range(5):
+            follow = seen[kind].get(g[4 - k : 4])
+            if follow:
+                p = (follow.get(g[4], 0) + len(follow) * p) / (sum(follow.values()) + len(follow))
+        return p
+
+    for r in got:
+        want = np.mean([np.log(chance("allow", g) / chance("block", g)) for g in windows(urls[r.page_id])])
+        assert abs(r.score - want) < 1e-9
+    assert len({g for u in urls for g in windows(u)}) > 300
+
+
 def test_op8(spark):
     x = vectors(4)
     rows = vector_rows(x)
