@@ -36,6 +36,9 @@ IDENTITY = (
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Bias of a model that saw no toxic text.
+UNLABELLED = -4.0
+
 
 def slots(word: str) -> tuple[int, ...]:
     """The weights a word takes part in: its own, and its first 3, 4 and 5 letters if it has more."""
@@ -71,8 +74,8 @@ class Toxicity:
 def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int = 25, rate: float = 0.06, l2: float = 3e-4, swap: float = 1.0, batch: int = 64, seed: int = 5) -> Toxicity:
     """rows: (slots of a text, with repeats; label; its identity terms as (list, place))."""
     w, b = np.zeros(SLOTS), 0.0
-    if not rows:
-        return Toxicity(w.astype(np.float32), b)
+    if not any(label for _, label, _ in rows):  # no toxic text seen: nothing is rejected
+        return Toxicity(w.astype(np.float32), UNLABELLED)
     g2, bg2 = np.full(SLOTS, 1e-2), 1e-2  # sums of squares (AdaGrad)
     term = [[np.array(slots(t)) for t in group] for group in IDENTITY]
     y = np.array([r[1] for r in rows], float)
@@ -160,7 +163,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Null and empty texts get the score of a text without words (the bias alone); so does
-    every text if there are no labels. Repeated rows are scored each.
+    every text, not predicted toxic, if no toxic label was learned from. Repeated rows are scored each.
     """
     model = train(docs, labels)
     return score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")

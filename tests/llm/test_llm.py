@@ -329,3 +329,11 @@ def test_identity_terms_count_alike():
 
 def test_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+
+
+def test_op10_without_toxic_labels(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "doc_id long, text string")
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for rows in ([], [(1, None)], [(i, 1) for i in held], [(1, 0), (3, 0)]):
+        got = toxicity.toxicity(docs, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()
+        assert len(got) == 3 and all(r.predicted == 0 and r.score < 0.5 for r in got)
