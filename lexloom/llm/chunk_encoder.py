@@ -1,30 +1,30 @@
 """Encoding through a table of distinct chunks.
 
-Text is cut where the tokenizer's own pre-tokenisation always cuts, each distinct chunk is encoded
-once with the tokenizers library, and the ids are put back by position. Texts with white space for
-which the cut is not certain are encoded whole. Values are bytes of little-endian uint32 ids, so a
-document's ids are one join of its chunks' values.
+Text is cut where the tokenizer's own pre-tokenisation always cuts. Arrow numbers the distinct
+chunks of a batch, each new one is encoded once with the tokenizers library, and a gather puts the
+ids back by position: one look-up for each distinct chunk of a batch, none for each occurrence.
+Texts with white space for which the cut is not certain are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import sys
-from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexloom.llm.common import one_thread
 
-#: Runs of white space, or any white space other than a blank or a newline: no certain cut.
-_UNSURE = re.compile(r"[^\S \n]|\s\s")
+#: White space that makes a byte-level cut uncertain (RE2): any but a blank or a newline, or a run.
+_UNSURE = "[\\t\\x0B\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]"
 #: Chunks that are encoded as one text, a special token between them.
 _TOGETHER = 1000
-#: Separators that Python's split() takes for white space and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Bytes of text of a batch, about; a longer text is a batch of its own. Chunks whose ids are put back at once.
+CHARS, SPREAD = 16_000_000, 500_000
 _loaded: dict[tuple, ChunkEncoder] = {}
-assert sys.byteorder == "little" and array("I").itemsize == 4  # values are arrays' bytes
 
 
 class ByteLetters(dict):
@@ -38,72 +38,98 @@ class ByteLetters(dict):
         return self[code]
 
 
+class Table:
+    """Distinct chunks as an Arrow array, and all their ids in one array; a chunk's place is its number."""
+
+    def __init__(self, words: pa.Array | None = None, ids: np.ndarray | None = None, length: np.ndarray | None = None):
+        self.words = pa.array([], pa.string()) if words is None else words
+        self.ids = np.zeros(0, np.uint32) if ids is None else ids
+        self.length = np.zeros(0, np.int32) if length is None else length
+        self.start = np.cumsum(self.length, dtype=np.int64) - self.length
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def add(self, words: pa.Array, ids: list[list[int]]) -> None:
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        self.__init__(pa.concat_arrays([self.words, words]), np.concatenate((self.ids, flat)), np.concatenate((self.length, length)))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The words' numbers; -1: not there."""
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().copy()
+
+    def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks one after the other, their ends)."""
+        length = self.length[numbers]
+        ends = np.cumsum(length, dtype=np.int64)
+        at = np.repeat(self.start[numbers] - (ends - length), length)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
 class ChunkEncoder:
     """kind "byte": byte-level BPE, where a blank starts a chunk and a newline is one;
     kind "word": white space separates chunks and is dropped.
 
-    `fixed` is a prepared table of chunks; what it lacks is encoded once and kept in two
-    generations of at most `keep` entries each, so memory stays bounded.
+    The table grows by every new chunk and starts anew where it has passed `keep` chunks, so memory
+    stays bounded; what was dropped is encoded again when it is met again.
     """
 
-    def __init__(self, path: str, kind: str, fixed: dict[str, bytes] | None = None, keep: int = 250_000):
+    def __init__(self, path: str, kind: str, keep: int = 1_500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pa.set_cpu_count(1)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kind, self.fixed, self.keep = kind, fixed or {}, keep
+        self.kind, self.keep = kind, keep
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = max(special.items(), default=(None, None))
         self.direct, self.letters = self.tokenizer.model.tokenize, ByteLetters()
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.table = Table()
 
-    def chunks(self, text: str) -> list[str] | None:
-        """The chunks' keys, or None where the text has to be encoded whole.
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """(whether each text has to be encoded whole, the chunks' keys of the others).
 
         A key is a word; for kind "byte" it stands for the word after a blank, and a key that
-        starts with a newline stands for itself or, if longer, for a newline and a line's first word.
+        starts with a newline stands for itself with what follows; a text's first is marked by a
+        carriage return.
         """
-        if self.kind == "word":
-            return None if _ODD.search(text) else text.split()
-        if _UNSURE.search(text):
-            return None
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            words[0] = "\n" + words[0] if i else "\r" + words[0]
-            out += words
-        return out
+        if self.kind == "word":  # odd separators stay inside a chunk, which the library cuts itself
+            return np.zeros(len(texts), bool), pc.ascii_split_whitespace(texts)
+        unsure = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False)
+        sure = texts.filter(pa.array(~unsure)) if unsure.any() else texts
+        keys = pc.binary_join_element_wise("\r", pc.replace_substring(sure, "\n", " \n"), "")
+        return unsure, pc.split_pattern(keys, " ")
 
     def spelled(self, key: str) -> str:
-        """What a key stands for; a text's first word is marked by a carriage return."""
+        """What a key stands for."""
         if self.kind == "word" or key.startswith("\n"):
             return key
         return key[1:] if key.startswith("\r") else " " + key
 
-    def encode_plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def encode_plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """As encode_plain, at less cost a chunk.
 
         A run of letters is one pre-token for certain, with its leading blank; it goes straight to
         the library's BPE model, and so does a run that a full stop or comma ends. The rest go
         through the whole library.
         """
-        out: list[bytes | None] = []
-        direct, letters = self.direct, self.letters
+        out: list[list[int] | None] = []
+        direct, letters, byte = self.direct, self.letters, self.kind == "byte"
+        ends = {e: [t.id for t in direct(e)] for e in (".", ",")}
         for c in chunks:
-            w, end = (c[:-1], c[-1]) if c[-1:] in (".", ",") else (c, "")
-            bare = w[1:] if self.kind == "byte" and w[:1] == " " else w
-            if bare.isalpha() and (self.kind == "byte" or bare.isascii() or max(bare) < "\u0130"):
-                ids = [t.id for t in direct(w.translate(letters) if self.kind == "byte" else w.lower().translate(letters))]
-                if end:
-                    ids += [t.id for t in direct(end)]
-                out.append(array("I", ids).tobytes())
+            end = ends.get(c[-1:])
+            w = c if end is None else c[:-1]
+            bare = w[1:] if byte and w[:1] == " " else w
+            if bare.isalpha() and (byte or bare.isascii() or max(bare) < "İ"):
+                ids = [t.id for t in direct(w.translate(letters) if byte else w.lower().translate(letters))]
+                out.append(ids if end is None else ids + end)
             else:
                 out.append(None)
         rest = [i for i, v in enumerate(out) if v is None]
@@ -111,68 +137,69 @@ class ChunkEncoder:
             out[i] = v
         return out
 
-    def encode_together(self, chunks: list[str]) -> list[bytes]:
+    def encode_together(self, chunks: list[str]) -> list[list[int]]:
         """As encode_plain: many chunks in one text, cut at the special token between."""
         if self.mark is None:
             return self.encode_plain(chunks)
-        out: list[bytes] = []
+        out: list[list[int]] = []
         for s in range(0, len(chunks), _TOGETHER):
             part = chunks[s : s + _TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids
+            at = [i for i, x in enumerate(ids) if x == self.mark_id]
             if len(at) != len(part) - 1:  # one of them holds the mark itself
                 out += self.encode_plain(part)
-                continue
-            data = ids.tobytes()
-            ends = [*(4 * at).tolist(), len(data)]
-            starts = [0, *(4 * at + 4).tolist()]
-            out += [data[a:b] for a, b in zip(starts, ends, strict=True)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        now, before, fixed = self.now, self.before, self.fixed
-        get = now.get
-        lacking: set[str] = set()
-        for c in cut:
-            if c is not None:
-                found = list(map(get, c))
-                if None in found:
-                    lacking.update([w for w, v in zip(c, found) if v is None])
-        missing = []
-        for w in lacking:
-            v = fixed.get(w) or before.get(w)
-            if v is None:
-                missing.append(w)
             else:
-                now[w] = v
-        now.update(zip(missing, self.encode_chunks([self.spelled(w) for w in missing]), strict=True))
-        get = now.__getitem__
-        out = [b"" if c is None else b"".join(map(get, c)) for c in cut]
-        for i, c in enumerate(cut):
-            if c is None:  # one at a time: such a text may be very long
-                out[i] = self.encode_plain([texts[i]])[0]
-        if len(now) > self.keep:
-            self.before, self.now = now, {}
+                out += [ids[a:b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True)]
         return out
 
-
-def encoder(path: str, kind: str, fixed: dict[str, bytes] | None = None, tag: str = "") -> ChunkEncoder:
-    """One encoder per Python worker and table, kept between tasks."""
-    key = (path, kind, tag)
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The chunks' numbers in the table, after what it lacks is added."""
+        if len(self.table) > self.keep:
+            self.table = Table()
+        found = self.table.find(distinct)
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            missing = distinct.take(pa.array(lacking))
+            found[lacking] = len(self.table) + np.arange(len(lacking))
+            self.table.add(missing, self.encode_chunks([self.spelled(w) for w in missing.to_pylist()]))
+        return found
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """uint32 ids of each text; null: none."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts, "")
+        unsure, lists = self.cut(texts)
+        coded = lists.flatten().dictionary_encode()
+        numbers = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found, at = [], 0
+        while at < len(lists):  # ids of some texts at a time, so that index arrays stay small
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + SPREAD, "right")) - 1)
+            ids, ends = self.table.spread(numbers[cuts[at] : cuts[to]])
+            ends = np.concatenate(([0], ends))[cuts[at : to + 1] - cuts[at]].tolist()
+            found += [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            at = to
+        if not unsure.any():
+            return found
+        sure = iter(found)  # one at a time: such a text may be very long
+        return [np.array(self.encode_plain([texts[i].as_py()])[0], np.uint32) if odd else next(sure) for i, odd in enumerate(unsure.tolist())]
+
+
+def encoder(path: str, kind: str) -> ChunkEncoder:
+    """One encoder per Python worker and vocabulary, kept between tasks."""
+    key = (path, kind)
     if key not in _loaded:
         one_thread()  # a worker serves one job after another: old tables go
-        _loaded[key] = ChunkEncoder(path, kind, fixed)
+        _loaded[key] = ChunkEncoder(path, kind)
     return _loaded[key]
 
 
-def batches(texts: list[str], most_chars: int = 4_000_000, most_rows: int = 1000):
-    """Index ranges of bounded size, so that a batch of long texts doesn't hold much at once."""
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and (chars + len(t) > most_chars or i - start >= most_rows):
-            yield start, i
-            start, chars = i, 0
-        chars += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def batches(frames: Iterable[pa.RecordBatch], column: str = "text", most: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts hold about `most` bytes, a row at least."""
+    for f in frames:
+        size = np.cumsum(pc.fill_null(pc.binary_length(f.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < f.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield f.slice(at, to - at)
+            at = to

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -22,17 +23,26 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a single machine) a folder of this process is made.
+    Only where that is unset on a single machine (tests) a folder of this process is made.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lexloom-")
     return _own_dirs[app]
 
 
+def files_at(uri: str) -> tuple:
+    """(file system, path) of a shared folder, for tasks that read or write files of their own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
@@ -86,11 +96,15 @@ def one_thread() -> None:
         trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of `rows` rows at most, since a row may be a long text; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def head_threshold(table: DataFrame, most: int) -> int:
+    """The least power of two that at most `most` rows reach in `n`, from a histogram of `n`."""
+    bins = table.groupBy(F.floor(F.log2("n")).cast("int").alias("bin")).agg(F.count("*").alias("rows")).collect()  # 64 rows at most
+    kept, at = 0, 64
+    for b in sorted(bins, key=lambda r: -r.bin):
+        if kept + b.rows > most:
+            break
+        kept, at = kept + b.rows, b.bin
+    return 1 << min(at, 62)
 
 
 def with_fields(schema: StructType, **fields: str) -> StructType:

@@ -15,38 +15,42 @@ the rank table (the vocabulary's size) and one row per file reach the driver or
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import new_path, small_batches, stored
+from lexloom.llm.common import files_at, new_path, stored
+from lexloom.llm.partition_words import binaries
 
 #: Id appended to each document.
 END = 2
 #: Tokens of a file, about.
 PER_FILE = 4_000_000
+#: Files whose starts are summed together.
+GROUP = 4096
 #: Tokens of a block, about; a document is never cut.
 PER_BLOCK = 500_000
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
 
-def encode_ids(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of uint32 values."""
-    n = len(values)
+def encode_ids(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of documents that have `counts` uint32 values each, one after the
+    other, and the bytes of both that each document takes."""
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    code = np.zeros(-(-n // 4) * 4, np.uint8)
-    code[:n] = size - 1
+    controls = -(-counts // 4)
+    code = np.zeros(4 * int(controls.sum()), np.uint8)
+    code[np.arange(len(values)) + np.repeat(4 * (np.cumsum(controls) - controls) - (np.cumsum(counts) - counts), counts)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), data[np.arange(4) < size[:, None]].tobytes()
+    data = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[np.cumsum(counts)]
+    return control, data, controls, np.diff(ends, prepend=0)
 
 
 def decode_ids(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -70,7 +74,7 @@ def write_block(out, ids: list[int | None], counts: list[int], control: list[byt
     out.write(data)
 
 
-def read_blocks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def read_blocks(content) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc_ids, token counts, ranks) of each block."""
     at = 0
 
@@ -87,80 +91,85 @@ def read_blocks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray,
         yield [None if z else int(i) for i, z in zip(ids, null, strict=True)], counts, ranks
 
 
-def _files(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
+def _values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a column of binaries, how many of them are in each)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    width = np.dtype(dtype).itemsize
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if raw is not None else np.zeros(0, dtype)), np.diff(offsets) // width
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int = END, kind: str = "word", per_file: int = PER_FILE) -> DataFrame:
     """Write all documents to `folder`, a new folder that driver and executors share; rows
     (shard, n_docs, n_tokens) of the files. A task that runs again replaces its file whole."""
     spark = docs.sparkSession
-    tail = np.array([end], "<u4").tobytes()
 
-    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's ids, in two bytes each where they fit, and a last row with the task's counts."""
         enc = encoder(path, kind)
+        n = np.zeros(max(end + 1, enc.tokenizer.get_vocab_size(with_added_tokens=True)), np.int64)
+        width = "<u2" if len(n) <= 1 << 16 else "<u4"
+        key = None
+        for f in batches(frames):
+            key = f.column("doc_id").type
+            found = enc.encode(f.column("text"))
+            ids = np.concatenate([x for a in found for x in (a, [end])]).astype(width)
+            n += np.bincount(ids, minlength=len(n))
+            blobs = binaries(ids, np.array([len(a) + 1 for a in found]))
+            yield pa.record_batch({"doc_id": f.column("doc_id"), "ids": blobs, "width": pa.array(np.full(len(found), ids.itemsize), pa.int32()), "counts": pa.nulls(len(found), pa.binary())})
+        if key is not None:
+            at = np.flatnonzero(n)
+            yield pa.record_batch({"doc_id": pa.nulls(1, key), "ids": pa.nulls(1, pa.binary()), "width": pa.array([0], pa.int32()), "counts": pa.array([np.stack((at, n[at])).astype("<i8").tobytes()], pa.binary())})
+
+    schema = docs.select("doc_id").schema.add("ids", "binary").add("width", "integer").add("counts", "binary")
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(tokens, schema), "token-ids")
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            texts = [t if isinstance(t, str) else "" for t in f["text"]]
-            for s, e in batches(texts):
-                ids = [np.frombuffer(x + tail, "<u4") for x in enc.encode(texts[s:e])]
-                small = [bool(x.max() < 1 << 16) for x in ids]
-                yield pd.DataFrame({"doc_id": f["doc_id"].array[s:e], "small": small,
-                                    "ids": [(x.astype("<u2") if k else x).tobytes() for x, k in zip(ids, small, strict=True)]})
-
-    schema = docs.select("doc_id").schema.add("small", "boolean").add("ids", "binary")
-    encoded = stored(docs.select("doc_id", "text").mapInPandas(tokens, schema), "token-ids")
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(0, np.int64)
-        for f in frames:
-            for small, width in ((True, "<u2"), (False, "<u4")):  # all documents of a batch at once
-                c = np.bincount(np.frombuffer(b"".join(f["ids"][f["small"] == small]), width))
-                if len(c) > len(n):
-                    c, n = n, c.copy()
-                n[: len(c)] += c
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"id": at, "n": n[at]})
-
-    counted = encoded.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+            for x in f.column("counts"):
+                ids, n = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+                yield pa.record_batch({"id": pa.array(ids), "n": pa.array(n)})
+
+    counts = encoded.select("counts").filter("counts is not null").mapInArrow(count, "id long, n long")  # the vocabulary at most, of each task
+    counted = counts.groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
     counted.sort(key=lambda r: (-r.n, r.id))
     id_of = np.array([r.id for r in counted], "<u4")
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 0, np.uint32)
     rank_of[id_of] = np.arange(len(id_of))
-    files, base = _files(folder)
+    files, base = files_at(folder)
     files.create_dir(base, recursive=True)
     with files.open_output_stream(f"{base}/ids.bin") as out:
         out.write(id_of.tobytes())
     ranks = spark.sparkContext.broadcast(rank_of)
     total = sum(r.n for r in counted)
 
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ids = [ranks.value[np.frombuffer(x, "<u2" if small else "<u4")] for small, x in zip(f["small"], f["ids"], strict=True)]
-            parts = [encode_ids(x) for x in ids]
-            yield pd.DataFrame({"doc_id": f["doc_id"].array, "n": [len(x) for x in ids], "control": [c for c, _ in parts], "data": [d for _, d in parts]})
+    def code(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in frames:
+            for f in batches([whole], "ids"):
+                ids, n = _values(f.column("ids"), f"<u{f.column('width')[0].as_py()}")
+                control, data, controls, sizes = encode_ids(ranks.value[ids], n)
+                yield pa.record_batch({"doc_id": f.column("doc_id"), "n": pa.array(n, pa.int32()), "control": binaries(control, controls), "data": binaries(data, sizes)})
 
-    coded = encoded.mapInPandas(code, docs.select("doc_id").schema.add("n", "integer").add("control", "binary").add("data", "binary"))
+    coded = encoded.filter("counts is null").select("doc_id", "ids", "width").mapInArrow(code, docs.select("doc_id").schema.add("n", "integer").add("control", "binary").add("data", "binary"))
     shards = max(1, -(-total // per_file))
-    ordered = coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "data")
+    ordered = coded.repartitionByRange(shards, "doc_id", "n", F.crc32("data")).sortWithinPartitions("doc_id", "n", F.crc32("data"), "data")
 
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        files, base = _files(folder)
-        name = f"{base}/shard-{task.partitionId():07d}.bin"
-        draft = f"{base}/_draft-{task.partitionId():07d}-{task.taskAttemptId()}"
+        files, base = files_at(folder)
+        name = f"{base}/shard-{task.partitionId():09d}.bin"
+        draft = f"{base}/_draft-{task.partitionId():09d}-{task.taskAttemptId()}"
         n_docs = n_tokens = 0
         out, held, size = None, ([], [], [], []), 0
         for f in frames:
-            for row in zip([None if pd.isna(i) else int(i) for i in f["doc_id"]], f["n"], f["control"], f["data"], strict=True):
+            for row in zip(*(f.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
                 out = out or files.open_output_stream(draft)
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
                 size += row[1]
-                n_docs, n_tokens = n_docs + 1, n_tokens + int(row[1])
+                n_docs, n_tokens = n_docs + 1, n_tokens + row[1]
                 if size >= PER_BLOCK:
                     write_block(out, *held)
                     held, size = ([], [], [], []), 0
@@ -169,9 +178,9 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, kind: str = "
                 write_block(out, *held)
             out.close()
             files.move(draft, name)
-            yield pd.DataFrame({"shard": [task.partitionId()], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pa.record_batch({"shard": pa.array([task.partitionId()], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
-    return stored(ordered.mapInPandas(save, "shard long, n_docs long, n_tokens long"), "token-shards")
+    return stored(ordered.mapInArrow(save, "shard long, n_docs long, n_tokens long"), "token-shards")
 
 
 def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
@@ -179,31 +188,42 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     id_of = np.frombuffer(bytes(spark.read.format("binaryFile").load(f"{folder}/ids.bin").select("content").first()[0]), "<u4")
     table = spark.sparkContext.broadcast(id_of)
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            for shard, content in zip(f["shard"], f["content"], strict=True):
+            for shard, content in zip(f.column("shard").to_pylist(), f.column("content"), strict=True):
                 before = 0
-                for ids, counts, ranks in read_blocks(content):
-                    cuts = np.cumsum(counts)
-                    tokens = np.split(table.value[ranks], cuts[:-1])
-                    yield pd.DataFrame({"shard": shard, "doc_id": pd.array(ids, "Int64"), "local": before + cuts - counts, "ids": [x.tobytes() for x in tokens]})
-                    before += int(cuts[-1])
+                for ids, counts, ranks in read_blocks(content.as_buffer()):
+                    ends = np.cumsum(counts)
+                    yield pa.record_batch({
+                        "shard": pa.array(np.full(len(ids), shard), pa.int64()), "doc_id": pa.array(ids, pa.int64()), "local": pa.array(before + ends - counts, pa.int64()),
+                        "ids": binaries(table.value[ranks].astype("<u4"), counts)})
+                    before += int(ends[-1])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
     found = found.select(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long").alias("shard"), "content")
-    decoded = found.mapInPandas(rows, "shard long, doc_id long, local long, ids binary")
-    first = shards.select("shard", (F.sum("n_tokens").over(W.orderBy("shard")) - F.col("n_tokens")).alias("first"))  # a row for each file
-    return decoded.join(first, "shard").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "ids")
+    decoded = found.mapInArrow(rows, "shard long, doc_id long, local long, ids binary")
+    return decoded.join(starts(shards), "shard").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "ids")
+
+
+def starts(shards: DataFrame) -> DataFrame:
+    """(shard, first): the ids of all files before. Files are summed in groups, then within each,
+    so that no task has to order all of them."""
+    grouped = shards.withColumn("of", F.floor(F.col("shard") / GROUP))
+    groups = grouped.groupBy("of").agg(F.sum("n_tokens").alias("n"))  # a row for each GROUP files
+    before = groups.select("of", (F.sum("n").over(W.orderBy("of")) - F.col("n")).alias("before"))
+    own = F.sum("n_tokens").over(W.partitionBy("of").orderBy("shard")) - F.col("n_tokens")
+    return grouped.select("shard", "of", own.alias("own")).join(before, "of").select("shard", (F.col("own") + F.col("before")).alias("first"))
 
 
 def digest(docs: DataFrame, path: str, end: int = END, folder: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, as read back from the files.
 
-    Null texts count as empty: they hold the end id alone. Null doc_ids come first; repeated
-    doc_ids stand in the order of their tokens. An empty table writes no file.
+    Null texts count as empty: they hold the end id alone. A very long text is one document of one
+    block, never cut. Null doc_ids come first; documents that repeat a doc_id stand in the order of
+    their length and coded ids, and may go over from one file to the next. Other columns are not
+    looked at, whatever their names. An empty table writes no file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "token-files")
     shards = write(docs, path, folder, end)
     if shards.isEmpty():

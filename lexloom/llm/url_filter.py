@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm.bpe import head_threshold
-from lexloom.llm.common import LOWER, UPPER, stored
+from lexloom.llm.common import LOWER, UPPER, head_threshold, stored
 
 #: (rule, verdict); a rule is a host, then a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
