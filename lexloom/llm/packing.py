@@ -17,13 +17,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import small_batches, stored, with_fields
+from lexloom.llm.common import stored, with_fields
 
 #: Tokens of a sequence at most.
 WINDOW = 2048
@@ -36,25 +36,20 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 def cut(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the remainder of each document."""
-    tail = np.array([end], "<u4").tobytes()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
-        for f in frames:
-            texts, ids_of = [t if isinstance(t, str) else "" for t in f["text"]], f["doc_id"].array
-            for s, e in batches(texts):
-                rows: list[tuple[int, int, int, int, int]] = []
-                for k, data in enumerate(enc.encode(texts[s:e]), s):
-                    data += tail
-                    n = len(data) // 4
-                    rows += [(k, at, min(window, n - at), zlib.crc32(data[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
-                k, start, length, crc, n = zip(*rows, strict=True)
-                yield pd.DataFrame({"doc_id": ids_of[list(k)], "start": start, "length": length, "ids_crc32": crc, "doc_tokens": n})
+        for f in batches(frames):
+            rows: list[tuple[int, int, int, int, int]] = []
+            for k, ids in enumerate(enc.encode(f.column("text"))):
+                data = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
+                rows += [(k, at, min(window, len(data) - at), zlib.crc32(data[at : at + window]), len(data)) for at in range(0, len(data), window)]
+            k, *columns = zip(*rows, strict=True)
+            yield pa.record_batch([f.column("doc_id").take(pa.array(k)), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = docs.select("doc_id").schema
     for x in ("start", "length", "ids_crc32", "doc_tokens"):
         schema = schema.add(x, "long")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def best_multiset(counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -122,10 +117,13 @@ def ranked(rest: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
-    Null and empty texts are one piece of the end id. Repeated rows are packed each. Sequences of
-    the remainders come first, then the full windows. An empty table gives no pieces.
+    Null and empty texts are one piece of the end id; null doc_ids stay null. A very long text is
+    as many full windows as it fills, and a remainder. Repeated rows are packed each; which of equal
+    pieces takes which place is left open. Other columns are not looked at, whatever their names.
+    Sequences of the remainders come first, then the full windows. Windows stay `window` long: one
+    that ends at a smaller power of two needs no padding, but the fullest multiset wastes less.
+    An empty table gives no pieces.
     """
-    small_batches(docs.sparkSession)
     pieces = stored(cut(docs, path, end, window), "pieces")
     rest = pieces.filter(F.col("length") < window)
     sizes = {r.length: r.n for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # under WINDOW rows
@@ -137,10 +135,10 @@ def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> Da
     table = {length: np.array(v, np.int64) for length, v in lookup.items()}
     shared = spark.sparkContext.broadcast(table)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            sequence, offset = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
-            length, rank = f["length"].to_numpy(), f["rank"].to_numpy()
+            sequence, offset = np.zeros(f.num_rows, np.int64), np.zeros(f.num_rows, np.int64)
+            length, rank = f.column("length").to_numpy(), f.column("rank").to_numpy()
             for value in np.unique(length):
                 at = np.flatnonzero(length == value)
                 p = shared.value[int(value)]
@@ -148,11 +146,11 @@ def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> Da
                 k = rank[at] - row[:, 0]
                 sequence[at] = row[:, 2] + k // row[:, 3]
                 offset[at] = row[:, 4] + k % row[:, 3] * value
-            yield f.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield pa.record_batch([*(f.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     columns = pieces.columns
     schema = with_fields(pieces.schema, sequence_id="long", offset="long")
-    placed = ranked(rest).select(*columns, "rank").mapInPandas(place, schema)
+    placed = ranked(rest).select(*columns, "rank").mapInArrow(place, schema)
     full = pieces.filter(F.col("length") == window)
     # numbered by partition: their places within the table are dense after the partitions' sizes are summed
     part = full.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(WINDOW)))
