@@ -1,16 +1,15 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-1. Spark splits the texts into words with their leading blank, and counts them.
-2. The head of that table, at most HEAD words, is encoded once with the tokenizers library and
-   broadcast: its size is bounded and checked. The threshold comes from a histogram of counts, so
-   nothing is sorted or limited.
-3. Each document's ids are joined by position: head words by look-up, tail words (those of few
-   occurrences) from a table of the task's own distinct words, encoded there once.
-4. Decoding is a join of ids with the id-to-piece table of the vocabulary.
-
-A join of all word positions with the whole table would move each word of the corpus (over 10
-bytes a word and 144 million words for 0.5 GB of Parquet), beyond the disk the check allows, hence
-the local table for the tail. Texts are never shuffled.
+1. Each partition cuts its texts into words with their leading blank and keeps the distinct ones.
+2. These are dealt by word, so that one task has every occurrence of a word: it encodes the word
+   once for the whole corpus, with the tokenizers library.
+3. The ids go back by partition, as a table in the shared folder that only the partition's own task
+   reads: it joins them with its word positions. Texts are never shuffled, nothing is broadcast.
+4. Decoding joins ids with the id-to-piece table of the vocabulary.
+
+What moves are pairs of partition and distinct word, not word positions: 17 million instead of 144
+million for 0.5 GB of Parquet. A word that a partition's table lacks (partitions dealt otherwise on the second
+reading) is encoded where it is met, so results don't depend on how the texts are dealt.
 """
 
 from __future__ import annotations
@@ -19,54 +18,67 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-from lexloom.llm.chunk_encoder import ByteLetters, batches, encoder
-from lexloom.llm.common import new_path, small_batches, stored, with_fields
+from lexloom.llm import partition_words as parts
+from lexloom.llm.chunk_encoder import ByteLetters, ChunkEncoder, Table, batches, encoder
+from lexloom.llm.common import one_thread, with_fields
 
-#: Words of the broadcast table at most.
-HEAD = 1 << 16
-#: Letters of a word of that table at most; longer ones are left to the tasks.
-LONGEST = 64
 
+def _dtype(encoder: ChunkEncoder) -> str:
+    return "<u2" if encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
-def words(text: Column) -> Column:
-    """Words between blanks and newlines, as the encoder's keys name them: the first word of a
-    later line after its newline, that of a text after a carriage return."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    marked = F.transform(lines, lambda line, i: F.concat(F.when(i > 0, F.lit("\n")).otherwise(F.lit("\r")), line))
-    return F.flatten(F.transform(marked, lambda line: F.split(line, " ")))
 
+def partition_words(docs: DataFrame, path: str, kind: str, buckets: int) -> DataFrame:
+    """(part, bucket, words): the distinct words of each partition of `docs`, by bucket."""
 
-def word_table(docs: DataFrame) -> DataFrame:
-    """(word, n): every distinct word of the corpus with its occurrences."""
-    return docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, held = encoder(path, kind), pa.array([], pa.string())
+        for f in batches(frames):
+            words = cutter.cut(pc.fill_null(f.column("text"), ""))[1].flatten()
+            held = pa.concat_arrays([held, words.dictionary_encode().dictionary]).unique()
+            if len(held) >= parts.HELD:
+                yield parts.dealt(held, buckets)
+                held = held.slice(0, 0)
+        if len(held):
+            yield parts.dealt(held, buckets)
 
+    return docs.select("text").mapInArrow(run, "part long, bucket long, words string")
 
-def head_threshold(table: DataFrame, most: int) -> int:
-    """The least power of two that at most `most` words reach in `n`."""
-    bins = table.groupBy(F.floor(F.log2("n")).cast("int").alias("bin")).agg(F.count("*").alias("words")).collect()  # 64 rows at most
-    kept, at = 0, 64
-    for b in sorted(bins, key=lambda r: -r.bin):
-        if kept + b.words > most:
-            break
-        kept, at = kept + b.words, b.bin
-    return 1 << min(at, 62)
 
+def word_ids(docs: DataFrame, path: str, kind: str = "byte") -> str:
+    """A folder of the shared folder with (words, ids, lengths) of each partition.
 
-def head_ids(table: DataFrame, path: str, kind: str = "byte", most: int = HEAD) -> dict[str, bytes]:
-    """ids of the head of the word table; at most `most` words of at most LONGEST letters."""
-    at = head_threshold(table, most)
+    Every distinct word of the corpus is encoded once, in the task that its bucket falls to.
+    """
+    buckets = parts.buckets_of(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path, kind)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        enc = ChunkEncoder(path, kind)
         for f in frames:
-            yield pd.DataFrame({"word": f["word"], "ids": enc.encode_chunks([enc.spelled(w) for w in f["word"]])})
+            words = parts.cut(f.column("words"))
+            sizes = pc.add(pc.count_substring(f.column("words"), " "), 1).to_numpy().astype(np.int64)
+            numbers = enc.numbers(words)
+            ids, ends = enc.table.spread(numbers)
+            yield pa.record_batch({"part": f.column("part"), "words": f.column("words"), "ids": parts.binaries(ids.astype(_dtype(enc)), np.diff(ends[np.cumsum(sizes) - 1], prepend=0)),
+                                   "lengths": parts.binaries(enc.table.length[numbers].astype("<u4"), sizes)})
+
+    dealt = partition_words(docs, path, kind, buckets).repartition(buckets, "bucket")
+    return parts.saved(dealt.mapInArrow(run, "part long, words string, ids binary, lengths binary"), "word-ids")
+
 
-    head = table.filter((F.col("n") >= at) & (F.length("word") <= LONGEST)).select("word").coalesce(8)
-    return {r.word: bytes(r.ids) for r in head.mapInPandas(run, "word string, ids binary").collect()}
+def with_table(enc: ChunkEncoder, folder: str) -> ChunkEncoder:
+    """`enc` with the table of this task's partition, if there is one."""
+    found = parts.own_blocks(folder, ["words", "ids", "lengths"])
+    if found is not None:
+        words = parts.cut(found["words"])
+        ids, lengths = (np.frombuffer(b"".join(found[c].to_pylist()), kind) for c, kind in (("ids", _dtype(enc)), ("lengths", "<u4")))
+        enc.table = Table(words, ids.astype(np.uint32), lengths)
+        enc.keep += len(words)
+    return enc
 
 
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +100,8 @@ def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
     data, offset = table
     start, length = offset[ids], offset[ids + 1] - offset[ids]
     ends = np.cumsum(length)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+    at = np.repeat(start - (ends - length), length)
+    at += np.arange(len(at))
     raw = data[at].tobytes()
     try:
         raw.decode()
@@ -97,55 +110,50 @@ def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
         return raw.decode("utf-8", "replace").encode()
 
 
-def encode_documents(docs: DataFrame, path: str, head: dict[str, bytes], kind: str = "byte") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, kind: str = "byte") -> DataFrame:
     """(doc_id, ids): ids as bytes of little-endian uint32; null text: no ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-    tag = new_path(docs.sparkSession, "tag").rpartition("-")[2]
+    folder = word_ids(docs, path, kind)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path, kind, shared.value, tag)
-        for f in frames:
-            texts = [t if isinstance(t, str) else "" for t in f["text"]]
-            for s, e in batches(texts):
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[s:e], "ids": enc.encode(texts[s:e])})
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        enc = with_table(ChunkEncoder(path, kind), folder)
+        for f in batches(frames):
+            yield pa.record_batch({"doc_id": f.column("doc_id"), "ids": pa.array([x.tobytes() for x in enc.encode(f.column("text"))], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInPandas(run, docs.select("doc_id").schema.add("ids", "binary"))
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("ids", "binary"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text): the texts of byte-level ids."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
         for f in frames:
-            yield f.assign(text=[decode(np.frombuffer(x, "<u4").astype(np.int64), table).decode() for x in f["ids"]])
+            texts = [decode(np.frombuffer(x.as_py(), "<u4").astype(np.int64), table).decode() for x in f.column("ids")]
+            yield pa.record_batch([*f.columns, pa.array(texts, pa.string())], names=[*f.schema.names, "text"])
 
-    return encoded.mapInPandas(run, with_fields(encoded.schema, text="string"))
+    return encoded.mapInArrow(run, with_fields(encoded.schema, text="string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
 
-    Null texts count as empty: no tokens, the digests of nothing. Repeated rows come out each;
-    other columns are not looked at; an empty table gives an empty result.
+    Null texts count as empty: no tokens, the digests of nothing. Null doc_ids stay null. A very
+    long text is worked on alone, whole. Repeated rows come out each; other columns are not looked
+    at, whatever their names; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    head = head_ids(stored(word_table(docs), "words"), path)
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-    tag = new_path(docs.sparkSession, "tag").rpartition("-")[2]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, table = encoder(path, "byte", shared.value, tag), pieces(path)
-        for f in frames:
-            texts = [t if isinstance(t, str) else "" for t in f["text"]]
-            for s, e in batches(texts):
-                ids = enc.encode(texts[s:e])
-                yield pd.DataFrame({
-                    "doc_id": f["doc_id"].iloc[s:e].array,
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(decode(np.frombuffer(x, "<u4").astype(np.int64), table)).hexdigest() for x in ids]})
+    folder = word_ids(docs, path)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        enc, table = with_table(ChunkEncoder(path, "byte"), folder), pieces(path)
+        for f in batches(frames):
+            ids = enc.encode(f.column("text"))
+            yield pa.record_batch({
+                "doc_id": f.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": [hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(decode(x.astype(np.int64), table)).hexdigest() for x in ids]})
 
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
