@@ -1,14 +1,17 @@
 """Language-model scoring with a hidden Markov model.
 
-The most frequent training words are classes of their own, all other words are one class, and the
-end of a text is one. Baum-Welch trains STATES latent states: every partition gathers expected
-counts for its documents, blocks of these are summed across partitions, and the driver updates the
-parameters (their size depends on STATES and CLASSES alone). The scaled forward recursion gives the
-exact likelihood of a text's classes; a word of the common class adds its own smoothed share of
-that class, which doesn't depend on the state.
-
-Counts are exact for every word: those of HEAD frequent words are broadcast (a bounded table), all
-others meet the count table in a join of (document, word) rows.
+Words are gathered in classes: each of the most frequent training words is one, all others share
+SHAPES classes by their last letters, so that the latent states tell these apart too; the end of a
+text is one. Baum-Welch trains STATES latent states: every partition gathers expected counts for
+its documents, they are summed by class across partitions, and the driver updates the parameters
+(their size depends on STATES and the number of classes alone). Passes go over all training
+documents until the likelihood settles. The scaled forward recursion gives the exact likelihood of
+a text's classes; a word of a shared class adds its smoothed share of that class, which doesn't
+depend on the state.
+
+Counts are exact for every word: they come back to each partition as a table of its own words, so
+texts are read twice and never shuffled. Class numbers of all words are stored, two bytes each, and
+the passes read those.
 """
 
 from __future__ import annotations
@@ -16,27 +19,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.bpe import head_threshold
-from lexloom.llm.common import fold, one_thread, stored, words_of
+from lexloom.llm import partition_words as parts
+from lexloom.llm.chunk_encoder import batches
+from lexloom.llm.common import fold, head_threshold, one_thread, stored
 
 STATES = 8
-#: Words that are classes of their own, at most.
-CLASSES = 1 << 13
-#: Words whose counts are broadcast, at most.
-HEAD = 1 << 17
-#: Passes of Baum-Welch over all training documents; and over the sample that these start from.
-PASSES, START_PASSES = 2, 15
-#: Documents of that sample, as expected, and words of one at most.
-SAMPLE, SAMPLE_WORDS = 600, 1000
+#: Words that are classes of their own, at most; classes that all other words share.
+CLASSES, SHAPES = 1 << 13, 1 << 11
+#: Last bytes of a word that its shared class depends on.
+ENDING = 3
+#: Passes of Baum-Welch over all training documents at most; they end where a token's mean log10
+#: probability gains less than SETTLED. Passes over the sample that these start from.
+PASSES, SETTLED, START_PASSES = 4, 0.002, 15
+#: Tokens of that sample, as expected; texts in it are whole.
+SAMPLE = 300_000
 #: Weight of the word frequencies in a state's emissions.
 PRIOR = 20.0
 #: Tokens worked on at once.
-TOKENS = 600_000
-BLOCKS = 16
+TOKENS = 1_000_000
 
 
 class HMM:
@@ -83,8 +88,8 @@ class HMM:
         out[order] = np.bincount(owner, logs, len(docs))
         return out
 
-    def expect(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions over the sequences."""
+    def expect(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions over the sequences; their log10 probability."""
         _, active, first, flat = self.by_time(docs)
         k = len(self.start)
         move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)
@@ -108,7 +113,7 @@ class HMM:
             beta = now
             alpha[s : s + n] *= now
         emits = np.stack([np.bincount(flat, alpha[:, i], len(self.emit)) for i in range(k)], 1)
-        return alpha[: active[0]].sum(0, dtype=float), moves * self.move, emits
+        return alpha[: active[0]].sum(0, dtype=float), moves * self.move, emits, float(np.log10(scale, dtype=float).sum())
 
     @staticmethod
     def update(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray) -> HMM:
@@ -117,146 +122,247 @@ class HMM:
         return HMM((start + 1) / (start + 1).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-class Reader:
-    """Texts to class numbers: frequent words by rank, then the common class, the end last."""
+def shape(words: pa.Array) -> np.ndarray:
+    """The shared class of each word, from its last ENDING bytes: 0 to SHAPES - 1."""
+    data, start, length = parts.byte_view(words)
+    h = np.minimum(length, ENDING).astype(np.uint32)
+    for k in range(1, ENDING + 1):
+        at = start + length - k
+        h = h * np.uint32(0x9E3779B1) + np.where(length >= k, data[np.maximum(at, 0)] if len(data) else 0, 0).astype(np.uint32)
+    return ((h ^ h >> np.uint32(15)) % np.uint32(SHAPES)).astype(np.int64)
 
-    def __init__(self, head: dict[bytes, tuple[int, int]], classes: int):
-        self.head, self.classes = head, classes
-        self.rank = {w: r for w, (r, _) in head.items() if r < classes}
 
-    def __call__(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        found = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
-        get, other = self.rank.get, self.classes
-        return found, np.array([get(w, other) for w in found] + [other + 1], np.int64)
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` of all texts, and the words before each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    words, n = lists.flatten(), np.diff(offsets)
+    if words.null_count or pc.any(pc.equal(pc.binary_length(words), 0)).as_py():  # white space at either end
+        full = pc.fill_null(pc.greater(pc.binary_length(words), 0), False)
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)], minlength=len(n))
+        words = words.filter(full)
+    return words.dictionary_encode(), np.concatenate(([0], np.cumsum(n)))
 
 
-def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows whose texts hold about TOKENS words."""
-    for f in frames:
-        size = f["text"].map(lambda t: len(t) // 5 + 1 if isinstance(t, str) else 1).cumsum() // TOKENS
-        for _, g in f.groupby(size.to_numpy(), sort=False):
-            yield g
+def word_counts(docs: DataFrame) -> str:
+    """A folder with (words, n) of each partition of `docs` (text, train): its distinct words, and how
+    often each occurs in all training texts. Part -1 has every training word once."""
+    buckets = parts.buckets_of(docs.sparkSession)
 
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        held, n = pa.array([], pa.string()), np.zeros(0, np.int64)
+        for f in batches(frames):
+            words, before = words_of(f.column("text"))
+            train = np.repeat(f.column("train").to_numpy(zero_copy_only=False), np.diff(before))
+            found = np.bincount(words.indices.to_numpy()[train], minlength=len(words.dictionary))
+            at = pc.fill_null(pc.index_in(words.dictionary, held), -1).to_numpy()
+            new = at < 0
+            n[at[~new]] += found[~new]
+            held, n = pa.concat_arrays([held, words.dictionary.filter(pa.array(new))]), np.concatenate((n, found[new]))
+            if len(held) >= parts.HELD:
+                yield parts.dealt(held, buckets, n)
+                held, n = held.slice(0, 0), n[:0]
+        if len(held):
+            yield parts.dealt(held, buckets, n)
+
+    def total(blocks: pa.Table) -> pa.Table:
+        words = parts.cut(blocks["words"]).dictionary_encode()
+        each = np.frombuffer(b"".join(blocks["n"].to_pylist()), np.int64)
+        at = words.indices.to_numpy()
+        n = np.bincount(at, each, len(words.dictionary)).astype(np.int64)
+        sizes = pc.add(pc.count_substring(blocks["words"].combine_chunks(), " "), 1).to_numpy().astype(np.int64)
+        seen = np.flatnonzero(n)
+        out = [pa.table({"part": blocks["part"], "words": blocks["words"], "n": parts.binaries(n[at], sizes)})]
+        if len(seen):
+            one = np.array([len(seen)])
+            out.append(pa.table({"part": pa.array([-1], pa.int64()), "words": parts.joined(words.dictionary.take(pa.array(seen)), one), "n": parts.binaries(n[seen], one)}))
+        return pa.concat_tables(out)
+
+    blocks = docs.select("text", "train").mapInArrow(run, "part long, bucket long, words string, n binary")
+    return parts.saved(blocks.groupBy("bucket").applyInArrow(total, "part long, words string, n binary"), "word-counts")
+
+
+def count_table(docs: DataFrame, folder: str) -> DataFrame:
+    """(word, n, shape) of every training word, from the folder of word_counts."""
+    spark = docs.sparkSession
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for words, n in zip(f.column("words"), f.column("n"), strict=True):
+                w = parts.cut(pa.array([words.as_py()]))
+                yield pa.record_batch({"word": w, "n": pa.array(np.frombuffer(n.as_py(), np.int64)), "shape": pa.array(shape(w).astype(np.int32))})
+
+    if not parts.stored_for(folder, -1):
+        return spark.createDataFrame([], "word string, n long, shape int")
+    return spark.read.schema("words string, n binary").parquet(f"{folder}/part=-1").mapInArrow(run, "word string, n long, shape int")
+
+
+def counts_from_all(folder: str, words: pa.Array) -> np.ndarray:
+    """Counts of words from the table of all training words, block by block."""
+    n = np.zeros(len(words), np.int64)
+    for block in parts.stored_batches(folder, -1, ["words", "n"]):
+        at = pc.index_in(words, parts.cut(block.column("words")))
+        hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        n[hit] = np.frombuffer(b"".join(block.column("n").to_pylist()), np.int64)[at.drop_null().to_numpy()]
+    return n
+
+
+class Classes:
+    """What gives a word its class and its share of it. own: the frequent words, by rank."""
+
+    def __init__(self, own: list[str], own_n: list[int], shape_n: np.ndarray, shape_kinds: np.ndarray, ends: int, tokens: int, kinds: int):
+        self.own, self.ends, self.tokens = own, ends, tokens
+        self.whole = tokens + 0.1 * (kinds + 1)
+        self.shape_whole = shape_n + 0.1 * (shape_kinds + 1)  # one more kind for words never seen
+        share = np.concatenate((np.array(own_n, float) + 0.1, shape_n + 0.1 * (shape_kinds + 1), [ends + 0.1]))
+        self.share = share / share.sum()
+
+    @property
+    def end(self) -> int:
+        return len(self.share) - 1
+
+    def of(self, words: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, log10 of the share of it) of words with the training counts n."""
+        at = pc.fill_null(pc.index_in(words, pa.array(self.own, pa.string())), -1).to_numpy().astype(np.int64)
+        kind = shape(words)
+        plus = np.where(at >= 0, 0.0, np.log10((n + 0.1) / self.shape_whole[kind]))
+        return np.where(at >= 0, at, len(self.own) + kind), plus
 
-def _sum_blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(frame["data"].iloc[0]) // 8)
-    for x in frame["data"]:
-        total += np.frombuffer(x)
-    return pd.DataFrame({"block": [key[0]], "data": [total.tobytes()]})
 
+def classified(docs: DataFrame, folder: str, classes: Classes) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, base, plus, ids) of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-def baum_welch(train: DataFrame, model: HMM, share: np.ndarray, reader) -> HMM:
-    """One pass over all training documents. reader: a broadcast Reader."""
-    k, width = len(model.start), -(-len(share) // BLOCKS)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        c = shared.value
+        found = parts.own_blocks(folder, ["words", "n"])
+        known = parts.cut(found["words"]) if found is not None else pa.array([], pa.string())
+        counts = np.frombuffer(b"".join(found["n"].to_pylist()), np.int64) if found is not None else np.zeros(0, np.int64)
+        for f in batches(frames):
+            words, before = words_of(f.column("text"))
+            at = pc.fill_null(pc.index_in(words.dictionary, known), -1).to_numpy()
+            lost = np.flatnonzero(at < 0)  # none, unless the texts are dealt otherwise on this reading
+            n = counts[at] if len(counts) else np.zeros(len(at), np.int64)
+            if len(lost):
+                n[lost] = counts_from_all(folder, words.dictionary.take(pa.array(lost)))
+            kind, plus = c.of(words.dictionary, n)
+            base = np.log10((n + 0.1) / c.whole)
+            each = words.indices.to_numpy()
+            size = np.diff(before)
+
+            def summed(x: np.ndarray) -> np.ndarray:
+                return np.bincount(np.repeat(np.arange(len(size)), size), x[each], len(size))
+
+            ids = np.full(len(each) + len(size), c.end, "<u2")
+            ids[np.arange(len(each)) + np.repeat(np.arange(len(size)), size)] = kind[each]
+            yield pa.record_batch({
+                "doc_id": f.column("doc_id"), "train": f.column("train"), "n_tokens": pa.array(size + 1), "n_known": pa.array(summed(n > 0).astype(np.int64) + int(c.ends > 0)),
+                "base": pa.array(summed(base) + np.log10((c.ends + 0.1) / c.whole)), "plus": pa.array(summed(plus)), "ids": parts.binaries(ids, size + 1)})
+
+    schema = docs.select("doc_id", "train").schema
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("plus", "double"), ("ids", "binary")):
+        schema = schema.add(name, kind)
+    return stored(docs.select("doc_id", "text", "train").mapInArrow(run, schema), "lm-classes")
+
+
+def sequences(f: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in f.column("ids")]
+
+
+def baum_welch(train: DataFrame, model: HMM, share: np.ndarray) -> tuple[HMM, float]:
+    """(updated model, log10 probability under `model`) from one pass over all training documents.
+
+    Each partition emits a row for each class that it met, and one each for starts and moves (as
+    negative classes); they are summed where they are shuffled, so no task holds many partitions'.
+    """
+    k = len(model.start)
     shared = train.sparkSession.sparkContext.broadcast(model)
+    names = [f"s{i}" for i in range(k)]
 
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        head, emits = np.zeros(k + k * k), np.zeros((len(share), k))
-        for g in batches(frames):
-            start, move, emit = shared.value.expect([reader.value(t)[1] for t in g["text"]])
-            head += np.concatenate((start, move.ravel()))
-            emits += emit
-        if head.any():
-            blocks = [emits[i * width : (i + 1) * width].astype(np.float32).astype(float) for i in range(BLOCKS)]
-            yield pd.DataFrame({"block": range(-1, BLOCKS), "data": [head.tobytes(), *(b.tobytes() for b in blocks)]})
-
-    rows = train.select("text").mapInPandas(gather, "block int, data binary").groupBy("block").applyInPandas(_sum_blocks, "block int, data binary").collect()
+        total, head, log = np.zeros((len(share), k)), np.zeros((k + 1, k)), 0.0
+        for f in batches(frames, "ids", 2 * TOKENS):
+            start, move, emit, log10 = shared.value.expect(sequences(f))
+            head += np.concatenate((start[None], move))
+            total += emit
+            log += log10
+        met = np.flatnonzero(total.any(1))
+        rows = np.concatenate((total[met], head, np.full((1, k), log)))
+        yield pa.record_batch([pa.array(np.concatenate((met, -1 - np.arange(k + 2)))), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(k))], names=["class", *names])
+
+    rows = train.select("ids").mapInArrow(gather, "class long, " + ", ".join(f"{c} double" for c in names))
+    rows = rows.groupBy("class").agg(*(F.sum(c).alias(c) for c in names)).collect()  # a row for each class at most
     shared.unpersist()
-    found = {r.block: np.frombuffer(bytes(r.data)) for r in rows}
-    if not found:
-        return model
-    emits = np.concatenate([found[i] for i in range(BLOCKS)]).reshape(-1, k)
-    return HMM.update(found[-1][:k], found[-1][k:].reshape(k, k), emits, share)
+    found = {r[0]: np.array(r[1:], float) for r in rows}
+    emits = np.stack([found.get(c, np.zeros(k)) for c in range(len(share))])
+    head = np.stack([found[-1 - i] for i in range(k + 1)])
+    return HMM.update(head[0], head[1:], emits, share), float(found[-2 - k][0])
+
+
+def train_model(docs: DataFrame, classes: Classes, passes: int = PASSES) -> tuple[HMM, list[float]]:
+    """(model, mean log10 probability of a token before each pass). docs: what classified() returns.
+
+    A sample of whole texts, chosen by a hash of the id, gives the start; the passes that follow go
+    over all training documents.
+    """
+    train = docs.filter("train")
+    share = classes.share
+    model = HMM.first(share)
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.crc32("ids"), F.lit(29)), F.lit(1_000_000))
+    some = train.filter(draw < min(1_000_000, 1 + int(1_000_000 * SAMPLE / classes.tokens)))
+    few = some.groupBy(F.crc32("ids").alias("k"), "ids").agg(F.count("*").alias("n")).select("ids").collect()  # repeated texts count once; about SAMPLE tokens
+    sample = [np.frombuffer(x, "<u2").astype(np.int64) for x in sorted(bytes(r.ids) for r in few)]
+    for _ in range(START_PASSES if sample else 0):
+        start, move, emit, _ = model.expect(sample)
+        model = HMM.update(start, move, emit, share)
+    curve: list[float] = []
+    for _ in range(passes):
+        model, log = baum_welch(train, model, share)
+        curve.append(log / classes.tokens)
+        if len(curve) > 1 and curve[-1] - curve[-2] < SETTLED:
+            break
+    return model, curve
 
 
 def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Learns from documents whose crc32(doc_id) mod `folds` is not 0. Null and empty texts are the
-    end alone. Repeated rows come out each, with equal scores. Without training documents
-    every token is equally unknown and scores 0 in both models.
+    end alone. Very long texts are scored whole, next to shorter ones. Null doc_ids stay null (their
+    fold is that of an empty id). Repeated rows come out each, with equal scores. Other columns are
+    not looked at, whatever their names. An empty table gives no rows. Without training documents
+    every token is equally unknown.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    train = docs.filter(fold(F.col("doc_id"), folds) != 0)
-    counts = stored(train.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "lm-counts")
-    ends = train.count()
-    at = head_threshold(counts, HEAD)
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"),
-                      F.coalesce(F.sum(F.when(F.col("n") >= at, 1)), F.lit(0)).alias("head")).first()
-    tokens, kinds = sums.n + ends, sums.v + (ends > 0)
-    frequent = counts.filter(F.col("n") >= at).collect()  # HEAD rows at most
+    docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) != 0).alias("train"))
+    folder = word_counts(docs)
+    counts = count_table(docs, folder)
+    ends = docs.filter("train").count()
+    at = head_threshold(counts, 4 * CLASSES)
+    frequent = counts.filter(F.col("n") >= at).collect()  # 4 * CLASSES rows at most
     frequent.sort(key=lambda r: (-r.n, r.word))
-    head = {r.word.encode(): (i, r.n) for i, r in enumerate(frequent)}
-    classes = min(CLASSES, len(frequent))
-    own = sum(r.n for r in frequent[:classes])
-    # the common class: every other training word, and one more kind for words never seen
-    common, common_kinds = sums.n - own, sums.v - classes + 1
-    share = np.array([r.n + 0.1 for r in frequent[:classes]] + [common + 0.1 * common_kinds, ends + 0.1], float)
-    share /= share.sum()
-    whole, common_whole = tokens + 0.1 * (kinds + 1), common + 0.1 * common_kinds
-    del frequent
-    reader = spark.sparkContext.broadcast(Reader(head, classes))
-    model = HMM.first(share)
-    if ends:
-        draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(29)), F.lit(1_000_000))
-
-        def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield pd.DataFrame({"ids": [reader.value(t)[1].astype("<i4").tobytes() for t in f["text"]]})
-
-        sample = train.filter(draw < min(1_000_000, 1 + int(1_000_000 * SAMPLE / ends))).mapInPandas(some, "ids binary")
-        sample = sample.filter(F.length("ids") <= 4 * SAMPLE_WORDS).collect()  # SAMPLE rows, about
-        sample = [np.frombuffer(x, "<i4").astype(np.int64) for x in sorted(bytes(r.ids) for r in sample)]
-        for _ in range(START_PASSES if sample else 0):
-            model = HMM.update(*model.expect(sample), share)
-        for _ in range(PASSES):
-            model = baum_welch(train, model, share, reader)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = frequent[:CLASSES]
+    shapes = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # SHAPES rows at most
+    shape_n, shape_kinds = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in shapes:
+        shape_n[r["shape"]], shape_kinds[r["shape"]] = r.n, r.kinds
+    tokens, kinds = int(shape_n.sum()) + ends, int(shape_kinds.sum()) + (ends > 0)
+    for r in own:
+        shape_n[r["shape"]] -= r.n
+        shape_kinds[r["shape"]] -= 1
+    classes = Classes([r.word for r in own], [r.n for r in own], shape_n, shape_kinds, ends, tokens, kinds)
+    known = classified(docs, folder, classes)
+    model = train_model(known, classes)[0] if ends else HMM.first(classes.share)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        read = reader.value
-        log_end, unseen = np.log10((ends + 0.1) / whole), np.log10(0.1 / common_whole)
-        for g in batches(frames):
-            rows, sequences = [], []
-            for text in g["text"]:
-                found, ids = read(text)
-                sequences.append(ids)
-                base, plus, known, rest = log_end, 0.0, int(ends > 0), {}
-                n = []
-                for w in found:
-                    hit = read.head.get(w)
-                    if hit is None:
-                        rest[w] = rest.get(w, 0) + 1
-                    else:
-                        n.append(hit)
-                if n:
-                    a = np.array(n, float)
-                    known += len(n)
-                    base += float(np.log10((a[:, 1] + 0.1) / whole).sum())
-                    far = a[a[:, 0] >= read.classes, 1]
-                    plus = float(np.log10((far + 0.1) / common_whole).sum())
-                rows.append((len(found) + 1, known, base, plus, [w.decode("utf-8", "replace") for w in rest], list(rest.values())))
-            n_tokens, known, base, plus, rest, times = zip(*rows, strict=True)
-            yield pd.DataFrame({"doc_id": g["doc_id"].array, "text_hash": g["text_hash"].array, "n_tokens": n_tokens, "n_known": known, "base": base,
-                                "score": shared.value.log10(sequences) + np.array(plus), "rest": rest, "times": times})
-
-    schema = "doc_id long, text_hash long, n_tokens long, n_known long, base double, score double, rest array<string>, times array<long>"
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    part = stored(hashed.mapInPandas(run, schema), "lm-parts")
-    rare = counts.filter(F.col("n") < at)
-    pairs = part.select("doc_id", "text_hash", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("doc_id", "text_hash", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    zero = F.lit(0).cast("long")
-    found = pairs.join(rare, "word", "left").select(
-        "doc_id", "text_hash", zero.alias("rows"), zero.alias("n_tokens"), F.when(n > 0, F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * F.log10((n + 0.1) / F.lit(whole))).alias("base"), (F.col("times") * F.log10((n + 0.1) / F.lit(common_whole))).alias("score"))
-    both = part.select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows"), "n_tokens", "n_known", "base", "score").unionByName(found)
-    # equal rows (same id and text) share a key; their sums are equal shares
-    total = both.groupBy("doc_id", "text_hash").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
-    return total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
-        "doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+        for f in batches(frames, "ids", 2 * TOKENS):
+            total = shared.value.log10(sequences(f)) + f.column("plus").to_numpy()
+            yield pa.record_batch([*(f.column(c) for c in ("doc_id", "train", "n_tokens", "n_known", "base")), pa.array(total)], names=["doc_id", "train", "n_tokens", "n_known", "base", "score"])
+
+    schema = known.select("doc_id", "train", "n_tokens", "n_known", "base").schema.add("score", "double")
+    return known.select("doc_id", "train", "n_tokens", "n_known", "base", "plus", "ids").mapInArrow(run, schema).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
