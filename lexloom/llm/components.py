@@ -42,11 +42,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        # minima are stored before they are joined: Spark splits a plain join where a node has many edges
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "edges-low")
         # large star: each larger neighbour of a node gets the least of its neighbourhood
-        large = both.join(low, "a").filter("b > a").select(F.col("low").alias("a"), "b").filter("a <> b").distinct()
+        large = stored(both.filter("b > a").join(low, "a").select(F.col("low").alias("a"), "b").filter("a <> b").distinct(), "edges-large")
         # small star: each node and its smaller neighbours get the least of them
-        low = large.groupBy("b").agg(F.min("a").alias("low"))
+        low = stored(large.groupBy("b").agg(F.min("a").alias("low")), "edges-low")
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), "b"))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = stored(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")).first()

@@ -4,9 +4,10 @@ Sets are ordered by one global order, corpus-frequent shingles last, then by has
 share a shingle among their first |s| - ceil(t|s|) + 1. These prefixes make index lists, each walked
 in order of set size:
 
-* block skipping: a list is left at the first set too large for the one at hand, and entries whose
-  positions leave too few shingles for the needed overlap are skipped;
-* a list longer than LIST is not paired up: its sets meet the list's leader alone first;
+* block skipping: from a set on, a list is left at the first set too large for it, or for which its
+  position leaves it too few shingles; entries whose own position leaves too few are passed over;
+* a list longer than LIST is not paired up: its sets meet the list's leader alone first, and the list
+  is done with if that connects them all;
 * derived answers: every set is first compared with one highly similar set, its leader. That
   answers, without comparing, all pairs that leaders already connect, and all pairs of sets of a
   leader whose distances to it differ by more than 1 - t (Jaccard distance is a metric). The
@@ -14,7 +15,8 @@ in order of set size:
 
 Equal sets are one class from the start. Only order and cost depend on the frequency table, never
 the result. What is broadcast has fixed size: HEAVY frequent shingles, a bitmap of ids.
-Texts are read three times and never shuffled; sets move only for candidate pairs.
+Texts are read three times; sets move only for candidate pairs. Texts are shuffled only where so
+many documents are candidates that the bitmap would let most texts through.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.bpe import head_threshold
-from lexloom.llm.common import one_thread, small_batches, stored
+from lexloom.llm.common import head_threshold, one_thread, stored
 from lexloom.llm.components import components
 
 #: Frequent shingles in the broadcast order table, at most.
@@ -39,7 +41,7 @@ LIST = 256
 BLOCK = 1500
 #: Shingles counted together when looking for frequent ones.
 COUNTED = 1_500_000
-#: Bits of the bitmap of candidate ids.
+#: Bits of the bitmap of candidate ids; it serves for an eighth as many ids at most.
 BITS = 1 << 24
 _U = np.uint64
 
@@ -128,15 +130,15 @@ def describe(docs: DataFrame, size: int, measure: Measure) -> DataFrame:
     """(doc_id, n, h1, h2, prefix, bits) of every row; null ids have no prefix."""
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         h, c = heavy.value
-        for f in frames:
-            for s in range(0, len(f), 1000):
-                g = f.iloc[s : s + 1000]
+        for whole in frames:
+            for s in range(0, whole.num_rows, 1000):
+                f = whole.slice(s, 1000)
                 rows = []
-                for t in g["text"]:
-                    x = shingles(t, size)
+                for t in f.column("text"):
+                    x = shingles(t.as_py(), size)
                     raw = x.tobytes()
                     k = int(measure.prefix(len(x))) if len(x) else 0
                     first = x
@@ -145,9 +147,12 @@ def describe(docs: DataFrame, size: int, measure: Measure) -> DataFrame:
                         first = x[np.argsort(np.where(h[at] == x, c[at], 0), kind="stable")]
                     rows.append((len(x), xxhash.xxh3_64_intdigest(raw, 1), xxhash.xxh3_64_intdigest(raw, 2), first[:k].view(np.int64), parity(x)))
                 n, h1, h2, prefix, bits = zip(*rows, strict=True)
-                yield pd.DataFrame({"doc_id": g["doc_id"].array, "n": n, "h1": np.array(h1, _U).view(np.int64), "h2": np.array(h2, _U).view(np.int64), "prefix": list(prefix), "bits": bits})
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix)))
+                yield pa.record_batch([f.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array(x, _U).view(np.int64)) for x in (h1, h2)), lists, pa.array(bits, pa.binary())],
+                                      names=["doc_id", "n", "h1", "h2", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ids.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary")
 
 
 def list_pairs(measure: Measure):
@@ -162,7 +167,7 @@ def list_pairs(measure: Measure):
             at = at[at + lag < len(tok)]
             at = at[tok[at] == tok[at + lag]]
             x, y = at, at + lag
-            at = at[measure.sizes(n[x], n[y])]  # sorted by size: the rest of the list is skipped
+            at = at[measure.sizes(n[x], n[y]) & (n[x] - pos[x] >= measure.need(n[x], n[y]))]  # sorted by size: the rest of the list is skipped
             x, y = at, at + lag
             ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= measure.need(n[x], n[y])
             out.append((own[x[ok]], own[y[ok]]))
@@ -223,34 +228,31 @@ def near_by_bits(pairs: DataFrame, facts: DataFrame, measure: Measure) -> DataFr
 
 def bitmap(ids: DataFrame) -> np.ndarray:
     """A bitmap of BITS bits that holds the hash of every id: fixed size, false hits at most."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(BITS, bool)
-        for f in frames:
-            bits[f["h"].to_numpy()] = True
-        if bits.any():
-            yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
-
-    rows = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("h")).coalesce(6).mapInPandas(run, "bits binary").collect()
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in rows:
-        out |= np.frombuffer(bytes(r.bits), np.uint8)
-    return out
+    h = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("h"))
+    words = h.groupBy(F.expr("cast(h div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits"))
+    out = np.zeros(BITS // 64, np.int64)
+    for at, bits in words.collect():  # BITS / 64 rows at most
+        out[at] = bits
+    return out.view(np.uint8)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, data): the whole sets of the documents whose id is in `ids`, and of few others."""
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    if ids.count() > BITS // 8:  # a bitmap would let too many through
+        return docs.join(ids, "id", "left_semi").mapInArrow(lambda frames: (_sets(f, size) for f in frames), "id long, data binary")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            h = f["h"].to_numpy()
-            f = f[(bits.value[h >> 3] >> (7 - (h & 7)) & 1).astype(bool)]
-            if len(f):
-                yield pd.DataFrame({"id": f["doc_id"].array, "data": [shingles(t, size).tobytes() for t in f["text"]]})
+            h = f.column("h").to_numpy()
+            yield _sets(f.filter(pa.array((bits.value[h >> 3] >> (h & 7) & 1).astype(bool))), size)
+
+    return docs.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("int")).mapInArrow(run, "id long, data binary")
+
 
-    hashed = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int").alias("h"))
-    return hashed.mapInPandas(run, "id long, data binary")
+def _sets(f: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    return pa.record_batch([f.column("id"), pa.array([shingles(t.as_py(), size).tobytes() for t in f.column("text")], pa.binary())], names=["id", "data"])
 
 
 def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -274,11 +276,16 @@ def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
 def long_list_pairs(entries: DataFrame, facts: DataFrame, state: DataFrame, measure: Measure) -> DataFrame:
     """Pairs of long lists that are still open, found block against block.
 
-    state: (id, component, leader, distance). Each entry goes once to every block of its list.
+    state: (id, component, leader, distance). Lists whose sets are all connected are left out; of
+    the others, each entry goes once to every block of its list.
     """
+    known = entries.join(state, "id", "left").select(
+        "token", "id", "n", "pos", F.coalesce("component", "id").alias("component"), F.coalesce("leader", "id").alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    known = stored(known, "jaccard-entries")
+    entries = known.join(known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "token", "left_semi")
     sizes = entries.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
     ranked = entries.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    full = ranked.join(facts.select("id", "bits"), "id").join(state, "id", "left")
+    full = ranked.join(facts.select("id", "bits"), "id")
     sent = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sent = sent.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     slack = 1 - measure.percent / 100 + 1e-9
@@ -286,8 +293,7 @@ def long_list_pairs(entries: DataFrame, facts: DataFrame, state: DataFrame, meas
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["n", "id"]).reset_index(drop=True)
         n, pos, block, own = (f[c].to_numpy() for c in ("n", "pos", "block", "id"))
-        group = f["component"].fillna(f["id"]).to_numpy()
-        leader, distance = f["leader"].fillna(-1).to_numpy(), f["distance"].fillna(0).to_numpy()
+        group, leader, distance = (f[c].to_numpy() for c in ("component", "leader", "distance"))  # no nulls: these are exact
         within = f["lo"].iloc[0] == f["hi"].iloc[0]
         width = min(len(x) for x in f["bits"])
         bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, _U).reshape(-1, width // 8), 0) for x in f["bits"]])
@@ -297,7 +303,7 @@ def long_list_pairs(entries: DataFrame, facts: DataFrame, state: DataFrame, meas
             j = j[: np.searchsorted(-measure.sizes(n[i], n[j]).astype(int), 0)]
             j = j[(group[j] != group[i]) & (within | (block[j] != block[i]))]
             need = measure.need(n[i], n[j])
-            j = j[(np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & ~((leader[j] == leader[i]) & (leader[i] >= 0) & (np.abs(distance[j] - distance[i]) > slack))]
+            j = j[(np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & ~((leader[j] == leader[i]) & (np.abs(distance[j] - distance[i]) > slack))]
             if len(j):
                 far = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
                 j = j[far <= n[i] + n[j] - 2 * measure.need(n[i], n[j])]
@@ -314,14 +320,16 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     component_id is the least doc_id reachable by links, itself included. Null and wordless texts
     have an empty set and link with nothing; rows with a null doc_id take no part and have a null
     component. Rows that repeat a doc_id are one document: they share a component. Texts of fewer
-    than `size` words are one shingle, which differs from every longer text's.
+    than `size` words are one shingle, which differs from every longer text's. Very long texts are
+    sets like others, whole. Other columns are not looked at, whatever their names. An empty table
+    gives no rows.
     """
     measure = Measure(percent)
-    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = stored(describe(docs, size, measure), "jaccard-docs")
     some = table.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    classes = stored(classes, "jaccard-copied")  # a plain join follows, which Spark splits where a class is large
     member = stored(some.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "jaccard-classes")
     copies = member.filter("doc_id <> rep").select("doc_id").distinct()
     # a doc_id with several texts stays in as itself: only its copies of other sets are left out
