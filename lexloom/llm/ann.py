@@ -4,10 +4,13 @@ Vectors are dealt to shards by a hash of their id. A shard's graph is built in n
 insertions in step, and kept as flat arrays (one neighbour array for each layer; points are
 numbered by falling level, so each layer is a prefix). All queries go to all shards, whose best are
 merged. Largest inner product becomes nearest distance by one more component, which gives all
-vectors of a shard the same length. Equal vectors are one point of the graph.
+vectors of a shard the same length. Equal vectors are one point of the graph. Points that the lowest
+layer doesn't reach from the first one get a link from their nearest point that it does reach, and
+every search starts from the first one too, so no point is lost to a cut-off part.
 
 Scale: shards hold about SHARD vectors; the queries of a shard are searched in groups of at most
-QUERIES, each with the shard's arrays at hand. A shard answers a query in one row.
+QUERIES, each with the shard's arrays at hand. The best of all shards are picked by a window that
+keeps `k` rows of a query before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import one_thread, stored
@@ -51,9 +55,9 @@ class Graph:
         ids = np.full((n, width), -1, np.int64)
         sim = np.full((n, width), -np.inf, np.float32)
         ids[:, : start.shape[1]] = start
-        sim[:, : start.shape[1]] = self.similar(q, start)
+        sim[:, : start.shape[1]] = np.where(start >= 0, self.similar(q, start), -np.inf)
         done = np.ones((n, width), bool)
-        done[:, : start.shape[1]] = False
+        done[:, : start.shape[1]] = start < 0
         seen[rows, start] = True
         live = np.arange(n)
         while len(live):
@@ -90,7 +94,30 @@ class Graph:
         return start
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.beam(q, self.descend(q, 0), 0, width)
+        start = self.descend(q, 0)  # a start that is point 0 stands for itself once
+        return self.beam(q, np.concatenate((start, np.where(start == 0, -1, 0)), 1), 0, width)
+
+    def reached(self) -> np.ndarray:
+        """Whether the lowest layer leads from point 0 to each point."""
+        links = self.layers[0]
+        seen = np.zeros(len(links), bool)
+        new = np.zeros(min(1, len(links)), np.int64)
+        while len(new):
+            seen[new] = True
+            near = np.unique(links[new])
+            new = near[(near >= 0) & ~seen[near]]
+        return seen
+
+    def mend(self) -> Graph:
+        """Links to points that nothing leads to: one more column of neighbours a round."""
+        while not (seen := self.reached()).all():
+            lost = np.flatnonzero(~seen)[: 4 * STEP]
+            near = np.concatenate([self.beam(self.x[lost[s : s + STEP]], np.zeros((len(lost[s : s + STEP]), 1), np.int64), 0, 8)[0][:, 0] for s in range(0, len(lost), STEP)])
+            _, first = np.unique(near, return_index=True)  # one link a point and round
+            column = np.full(len(self.x), -1, np.int64)
+            column[near[first]] = lost[first]
+            self.layers[0] = np.concatenate((self.layers[0], column[:, None]), 1)
+        return self
 
 
 def diverse(x: np.ndarray, own: np.ndarray, ids: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
@@ -148,7 +175,7 @@ def build(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, Graph]:
                 diverse(x, here, ids, sim, LINKS0 // 2), ((0, 0), (0, LINKS0 - LINKS0 // 2)), constant_values=-1)
             back(x, links, here)
         done = int(new[-1]) + 1
-    return order, graph
+    return order, graph.mend() if n else graph
 
 
 def back(x: np.ndarray, links: np.ndarray, new: np.ndarray) -> None:
@@ -190,7 +217,7 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
         return pd.DataFrame({
             "shard": [frame["shard"].iloc[0]], "dim": [frame["dim"].iloc[0]], "ids": [own[rank].astype("<i8").tobytes()], "points": [point[rank].astype("<i4").tobytes()],
             "original": [distinct[order].astype("<f8").tobytes()], "x": [graph.x.astype("<f4").tobytes()],
-            "sizes": [[len(a) for a in graph.layers]], "layers": [b"".join(a.astype("<i4").tobytes() for a in graph.layers)]})
+            "sizes": [[x for a in graph.layers for x in a.shape]], "layers": [b"".join(a.astype("<i4").tobytes() for a in graph.layers)]})
 
     dealt = vectors.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "dim": F.size("embedding")})
     return dealt.groupBy("shard", "dim").applyInPandas(make, "shard int, dim int, ids binary, points binary, original binary, x binary, sizes array<int>, layers binary")
@@ -199,8 +226,7 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
 def load(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     d = row["dim"]
     layers, at, flat = [], 0, np.frombuffer(row["layers"], "<i4").astype(np.int64)
-    for layer, s in enumerate(row["sizes"]):
-        width = LINKS if layer else LINKS0
+    for s, width in np.reshape(row["sizes"], (-1, 2)):
         layers.append(flat[at : at + s * width].reshape(s, width))
         at += s * width
     graph = Graph(np.frombuffer(row["x"], "<f4").reshape(-1, d + 1), layers)
@@ -213,7 +239,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, width: int = SEARC
     Queries are the rows whose vec_id is divisible by `every`; a row isn't its own candidate.
     Vectors null, empty, zero or with null or non-finite components, and null ids, take no part.
     Vectors meet those of their own length. Ties go to the smaller vec_id. Repeated vec_ids:
-    equal rows count once; of different rows of one id all are candidates and queries.
+    equal rows count once; of different rows of one id all are candidates for others and queries,
+    whose best are merged. Other columns are not looked at, whatever their names. An empty table,
+    or one without queries, gives no rows.
     """
     spark = vectors.sparkSession
     good = stored(vectors.select("vec_id", "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).distinct(), "ann-vectors")
@@ -252,10 +280,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, width: int = SEARC
                     top = np.lexsort((got, -what))[:k]
                     out.append((own[s + n], got[top], what[top]))
         query, vec, score = zip(*out, strict=True) if out else ((), (), ())
-        return pd.DataFrame({"query_id": pd.Series(query, dtype="int64"), "vec": pd.Series(list(vec), dtype=object), "score": pd.Series(list(score), dtype=object)})
+        answers = pd.DataFrame({"query_id": np.repeat(np.array(query, np.int64), [len(v) for v in vec]), "vec_id": np.concatenate(vec) if vec else np.zeros(0, np.int64), "score": np.concatenate(score) if score else np.zeros(0)})
+        return answers.drop_duplicates()
 
     keys = ["shard", "dim", "part"]
-    answers = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, "query_id long, vec array<long>, score array<double>")
-    best = answers.select("query_id", F.arrays_zip("vec", "score").alias("x")).groupBy("query_id").agg(F.flatten(F.collect_list("x")).alias("x"))  # shards * k entries
-    ranked = F.slice(F.array_distinct(F.array_sort("x", lambda p, q: F.when(p.score > q.score, -1).when(p.score < q.score, 1).when(p.vec < q.vec, -1).when(p.vec > q.vec, 1).otherwise(0))), 1, k)
-    return best.select("query_id", F.posexplode(ranked).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec").alias("vec_id"), F.col("x.score").alias("score"))
+    answers = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
