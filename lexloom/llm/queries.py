@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.llm.common import tokenizer_path
 
@@ -52,7 +53,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.url_filter import filter_urls
 
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +106,49 @@ FROM cut c LEFT JOIN sized s USING (doc_id)
 """
 
 
+#: Both models as tables of (k, text, followers), orders joined one after the other.
+OP7_SQL = r"""
+WITH cut AS (
+    SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (
+    SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substring(rest, length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path FROM cut),
+ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parted),
+said AS (
+    SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled, substring(md5(url), 1, 1) IN ('0', '1', '2') AS held FROM ruled),
+urls AS (SELECT url, ruled, held, count(*) AS copies FROM said GROUP BY url, ruled, held),
+windows AS (
+    SELECT url, ruled, held, copies, substring(concat(repeat(chr(2), 4), url, chr(3)), i, 5) AS gram
+    FROM (SELECT *, unnest(range(1, length(url) + 2)) AS i FROM urls)),
+grams AS (
+    SELECT gram, sum(CASE WHEN ruled = 'allow' AND NOT held THEN copies ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' AND NOT held THEN copies ELSE 0 END) AS b FROM windows GROUP BY gram),
+follow AS (
+    SELECT k, right(gram, k + 1) AS g, sum(a) AS a, sum(b) AS b FROM (SELECT *, unnest(range(0, 5)) AS k FROM grams) GROUP BY ALL),
+seen AS (
+    SELECT k, g, a, b, sum(a) OVER same AS na, sum(b) OVER same AS nb, sum(CAST(a > 0 AS INT)) OVER same AS ta, sum(CAST(b > 0 AS INT)) OVER same AS tb
+    FROM follow WINDOW same AS (PARTITION BY k, left(g, k))),
+p0 AS (SELECT gram, CASE WHEN na > 0 THEN (s.a + ta * (1 / 256)) / (na + ta) ELSE 1 / 256 END AS pa, CASE WHEN nb > 0 THEN (s.b + tb * (1 / 256)) / (nb + tb) ELSE 1 / 256 END AS pb FROM grams JOIN seen s ON k = 0 AND g = right(gram, 1)),
+p1 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb FROM p0 JOIN seen ON k = 1 AND g = right(gram, 2)),
+p2 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb FROM p1 JOIN seen ON k = 2 AND g = right(gram, 3)),
+p3 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb FROM p2 JOIN seen ON k = 3 AND g = right(gram, 4)),
+p4 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb FROM p3 JOIN seen ON k = 4 AND g = right(gram, 5)),
+scored AS (SELECT url, any_value(ruled) AS ruled, any_value(held) AS held, any_value(copies) AS copies, avg(ln(pa / pb)) AS score FROM windows JOIN p4 USING (gram) GROUP BY url),
+bins AS (
+    SELECT held, CAST(floor(score * 50) AS BIGINT) AS bin, sum(CASE WHEN ruled = 'allow' THEN copies ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' THEN copies ELSE 0 END) AS b
+    FROM (SELECT ruled, copies, score, held FROM scored WHERE ruled IS NOT NULL AND held UNION ALL SELECT ruled, copies, score, false FROM scored WHERE ruled IS NOT NULL) GROUP BY ALL),
+errors AS (
+    SELECT held, bin, coalesce(sum(a) OVER below, 0) / sum(a) OVER every + (sum(b) OVER every - coalesce(sum(b) OVER below, 0)) / sum(b) OVER every AS error, sum(a) OVER every AS all_a, sum(b) OVER every AS all_b
+    FROM bins WINDOW below AS (PARTITION BY held ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), every AS (PARTITION BY held)),
+cuts AS (SELECT bin / 50 AS cut FROM errors WHERE all_a > 0 AND all_b > 0 ORDER BY held DESC, error, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(s.ruled, CASE WHEN score >= coalesce((SELECT cut FROM cuts), 0) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM said s JOIN scored USING (url)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op7_url_filter": OP7_SQL}

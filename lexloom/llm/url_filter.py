@@ -2,8 +2,8 @@
 
 Only DataFrame functions. Two smoothed variable-order Markov models, one of accepted and one of
 rejected URLs (those that a rule decides), give each character of a URL a log-likelihood
-difference; a URL's verdict is its mean difference against a threshold calibrated on the URLs
-that rules decide.
+difference; a URL's verdict is its mean difference against a threshold. The threshold is calibrated
+on URLs that rules decide and the models have not seen: those whose md5 begins with HELD_OUT.
 
 Scale: all counting is over distinct character windows after a map-side combine. Scoring
 broadcasts the differences of at most SLOTS frequent windows, whatever the input; the other
@@ -28,6 +28,8 @@ ORDER = 4
 SLOTS = 1 << 18
 #: Steps of the score in which the threshold is looked for, per unit.
 GRAIN = 50
+#: First hexadecimal digits of the md5 of the ruled URLs that only calibrate: 3 in 16.
+HELD_OUT = ("0", "1", "2")
 _PAD, _END = "\u0002", "\u0003"
 
 
@@ -70,6 +72,8 @@ def window_differences(counts: DataFrame) -> DataFrame:
     at_k = at_k.withColumns({
         "na": F.sum("a").over(same), "nb": F.sum("b").over(same),
         "ta": F.sum((F.col("a") > 0).cast("long")).over(same), "tb": F.sum((F.col("b") > 0).cast("long")).over(same)})
+    # at k = 0 many windows share a character: stored, so that a plain join follows, which Spark splits where keys are common
+    at_k = stored(at_k, "url-orders")
     orders = spread.select("gram", "n", "k", "g").join(at_k, ["k", "g"]).groupBy("gram").agg(
         F.max("n").alias("weight"), F.sort_array(F.collect_list(F.struct("k", "a", "b", "na", "nb", "ta", "tb"))).alias("orders"))  # ORDER + 1 entries
 
@@ -81,15 +85,28 @@ def window_differences(counts: DataFrame) -> DataFrame:
     return orders.select("gram", "weight", F.log(probability("a", "na", "ta") / probability("b", "nb", "tb")).alias("diff"))
 
 
+def held_out(url: Column) -> Column:
+    """URLs that calibrate, if a rule decides them; the others train."""
+    return F.substring(F.md5(url), 1, 1).isin(*HELD_OUT)
+
+
 def threshold(scored: DataFrame) -> float:
-    """The cut of least balanced error over the URLs that rules decide; 0 if one side is empty."""
-    bins = scored.filter("ruled is not null").groupBy(F.floor(F.col("score") * GRAIN).alias("bin")).agg(
+    """The cut of least balanced error over the held-out URLs that rules decide, the lowest of equal
+    ones; over all of them if either side has none held out; 0 if one side is empty altogether."""
+    ruled = scored.filter("ruled is not null")
+    first = _cut(ruled.filter(held_out(F.coalesce("url", F.lit("")))))
+    second = first if first is not None else _cut(ruled)
+    return 0.0 if second is None else second
+
+
+def _cut(ruled: DataFrame) -> float | None:
+    bins = ruled.groupBy(F.floor(F.col("score") * GRAIN).alias("bin")).agg(
         F.sum(F.when(F.col("ruled") == "allow", F.col("copies")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("ruled") == "block", F.col("copies")).otherwise(0)).alias("b"))
     rows = sorted(bins.filter("bin is not null").collect())  # at most GRAIN * range of log(p/q) rows
     all_a, all_b = sum(r.a for r in rows), sum(r.b for r in rows)
     if not all_a or not all_b:
-        return 0.0
+        return None
     best, cut, below_a, below_b = None, 0.0, 0, 0
     for r in rows:  # cut below this bin
         error = below_a / all_a + (all_b - below_b) / all_b
@@ -103,8 +120,11 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of `pages`.
 
     Null urls, and urls without `://`, have an empty host and path, hence no rule, and are judged
-    by the models as they stand (null: as an empty url). Equal rows come out as often as they went
-    in. Without any ruled url both models are uniform, every score is 0 and every verdict "allow".
+    by the models as they stand (null: as an empty url). A score equal to the threshold is "allow".
+    Very long urls are read whole. Null page_ids stay null; equal rows come out as often as they went
+    in, and other urls of an equal page_id are rows of their own. Other columns are not looked at,
+    whatever their names. Without any ruled url both models are uniform, every score is 0 and every
+    verdict "allow". An empty table gives no rows.
     """
     base = pages.select("page_id", "url").groupBy("page_id", "url").agg(F.count("*").alias("copies"))
     host, path = split_url(F.col("url"))
@@ -113,10 +133,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     base = base.withColumns({"rule": rule, "ruled": ruled})
     url = F.coalesce(F.col("url"), F.lit(""))
     counts = stored(
-        base.select("copies", "ruled", F.explode(_windows(url)).alias("gram")).groupBy("gram").agg(
+        base.select("copies", F.when(~held_out(url), F.col("ruled")).alias("teaches"), F.explode(_windows(url)).alias("gram")).groupBy("gram").agg(
             F.sum("copies").alias("n"),
-            F.sum(F.when(F.col("ruled") == "allow", F.col("copies")).otherwise(0)).alias("n_allow"),
-            F.sum(F.when(F.col("ruled") == "block", F.col("copies")).otherwise(0)).alias("n_block")), "url-grams")
+            F.sum(F.when(F.col("teaches") == "allow", F.col("copies")).otherwise(0)).alias("n_allow"),
+            F.sum(F.when(F.col("teaches") == "block", F.col("copies")).otherwise(0)).alias("n_block")), "url-grams")
     every = stored(window_differences(counts).select("gram", F.col("weight").alias("n"), "diff"), "url-differences")
     at = head_threshold(every, SLOTS)
     head = every.filter(F.col("n") >= at).select("gram", "diff")  # at most SLOTS rows
