@@ -6,6 +6,8 @@ of its windows' probabilities; all windows of the whole text are read.
 
 Scale: one scan of the documents for training rows (a bounded sample per language), one for
 prediction; no shuffle of texts. The network is about 20 KB and travels with the closure.
+Training draws from all windows of the sampled documents anew for each epoch, each document with the
+same weight.
 """
 
 from __future__ import annotations
@@ -13,18 +15,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import fold, one_thread
 
 #: Bytes in a window.
 WINDOW = 128
-#: Labelled documents a language is fitted on, as expected; a sample by hash beyond that.
-PER_LANG = 400
-#: Windows of a document that training looks at, at most, spread over the text.
-PER_DOC = 6
+#: Labelled documents a language is fitted on, and their bytes, at most (the last may go over): the
+#: first by a hash of id and text, each whole.
+PER_LANG, BYTES = 400, 20_000_000
+#: Windows of a sampled document that an epoch draws, from all of them.
+DRAWN = 6
 #: Windows predicted at once.
 BLOCK = 1024
 #: Steps of training at least, so that few labelled documents are gone through more often.
@@ -74,14 +78,26 @@ class ByteCNN:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 3e-3, seed: int = 7) -> ByteCNN:
-        """Adam on the cross entropy; only the window place that won a filter's maximum learns."""
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 3e-3, seed: int = 7) -> ByteCNN:
+        """Adam on the cross entropy; only the window place that won a filter's maximum learns.
+
+        docs: all windows of each document. An epoch takes DRAWN of each, or all where it has fewer.
+        """
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         t = 0
-        weight = np.bincount(y, minlength=len(self.langs)).astype(float)
-        weight = np.where(weight > 0, len(y) / np.maximum(weight, 1) / len(self.langs), 0)
-        for _ in range(max(epochs, -(-STEPS * batch // max(1, len(x))))):
+        all_x, size = np.concatenate(docs), np.array([len(d) for d in docs])
+        first = np.cumsum(size) - size
+        each = np.minimum(size, DRAWN)
+        label = np.repeat(y, each)
+        weight = np.bincount(label, minlength=len(self.langs)).astype(float)
+        weight = np.where(weight > 0, len(label) / np.maximum(weight, 1) / len(self.langs), 0)
+        for _ in range(max(epochs, -(-STEPS * batch // max(1, len(label))))):
+            # one window from each of `each` equal stretches of a document
+            k = np.arange(len(label)) - np.repeat(np.cumsum(each) - each, each)
+            n, of = np.repeat(size, each), np.repeat(each, each)
+            at = np.repeat(first, each) + np.minimum(((k + r.random(len(k))) * n / of).astype(np.int64), n - 1)
+            x, y = all_x[at], label
             order = r.permutation(len(x))
             for s in range(0, len(x), batch):
                 take = order[s : s + batch]
@@ -140,46 +156,40 @@ class ByteCNN:
 def train(docs: DataFrame, usable, per_lang: int = PER_LANG) -> ByteCNN:
     """A network for the languages of the rows for which `usable` holds.
 
-    The sample: about `per_lang` documents of each language, chosen by a hash of the id.
+    The sample: at most `per_lang` documents of each language, the first by a hash of id and text,
+    so that many rows of one id don't come together. Texts of the sample are learned from whole.
     """
-    labelled = docs.filter(usable & F.col("lang").isNotNull() & (F.trim("text") != ""))
+    labelled = docs.filter(usable & F.col("lang").isNotNull() & (F.trim("text") != "")).select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return ByteCNN([])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(17)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(17), "text"), F.lit(1_000_000))
     keep = F.lit(False)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (draw < min(1_000_000, int(1_000_000 * per_lang / counts[lang]) + 1)))
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for lang, text in zip(f["lang"], f["text"], strict=True):
-                x = windows(text.encode("utf-8", "replace"))
-                x = x[np.unique(np.linspace(0, len(x) - 1, PER_DOC).astype(int))]
-                yield pd.DataFrame({"lang": [lang], "bytes": [x.tobytes()]})
-
-    rows = labelled.filter(keep).select("lang", "text").mapInPandas(cut, "lang string, bytes binary").collect()
+    for lang in langs:  # some more than wanted, then the first of these
+        keep = keep | ((F.col("lang") == lang) & (draw < min(1_000_000, int(1_500_000 * per_lang / counts[lang]) + 10)))
+    some = labelled.filter(keep).select("lang", draw.alias("draw"), F.col("text").cast("binary").alias("bytes")).distinct()
+    order = W.partitionBy("lang").orderBy("draw", F.crc32("bytes"))  # about 1.5 * per_lang rows a language
+    some = some.withColumns({"rank": F.row_number().over(order), "before": F.sum(F.length("bytes")).over(order) - F.length("bytes")})
+    rows = some.filter((F.col("rank") <= per_lang) & (F.col("before") < BYTES)).select("lang", "bytes").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.bytes)))  # the same network whatever order rows came in
-    x = [np.frombuffer(r.bytes, np.uint8).reshape(-1, WINDOW) for r in rows]
-    y = np.repeat([langs.index(r.lang) for r in rows], [len(a) for a in x])
-    return ByteCNN(langs).fit(np.concatenate(x), y) if rows else ByteCNN([])
+    return ByteCNN(langs).fit([windows(bytes(r.bytes)) for r in rows], np.array([langs.index(r.lang) for r in rows])) if rows else ByteCNN([])
 
 
 def identify(docs: DataFrame, model: ByteCNN, also: list[str] = []) -> DataFrame:
-    """`also` columns of docs with lang_pred and score."""
+    """doc_id and the `also` columns of docs, with lang_pred and score."""
     kept = ["doc_id", *also]
     schema = docs.select(kept).schema.add("lang_pred", "string").add("score", "double")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         for f in frames:
-            for s in range(0, len(f), 1000):
-                g = f.iloc[s : s + 1000]
-                langs, scores = model.predict([t if isinstance(t, str) else None for t in g["text"]])
-                yield g[kept].assign(lang_pred=langs, score=scores)
+            for s in range(0, f.num_rows, 1000):
+                g = f.slice(s, 1000)
+                langs, scores = model.predict(g.column("text").to_pylist())
+                yield pa.record_batch([*(g.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", *(c for c in also if c != "text")).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", *(c for c in also if c != "text")).mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -187,7 +197,9 @@ def languages(docs: DataFrame) -> DataFrame:
 
     Learns from text and non-null lang where crc32(doc_id) mod 4 is not 2. Null, empty and
     letterless texts are `und` with score 0; so is every text if there is nothing to learn from.
-    Repeated rows are predicted each; other columns are not looked at.
+    Of equally likely languages the first by name wins. Very long texts are read whole, window by
+    window. Null doc_ids stay null. Repeated rows are predicted each, and learned from once; other
+    columns are not looked at, whatever their names. An empty table gives no rows.
     """
     held = fold(F.col("doc_id"), 4) == 2
     model = train(docs.select("doc_id", "text", "lang"), ~held)
