@@ -3,11 +3,12 @@
 A document's logit is a bias plus, for each distinct word, the weights of the word and of its
 first letters. Besides the log loss, training swaps the identity terms of labelled texts for the
 other terms of their list and penalises the squared change of the logit, so that naming a group
-alone neither raises nor lowers a score.
+alone neither raises nor lowers a score. A text that has the other term already changes by the loss
+of a term alone, as its set of words does.
 
-Scale: training rows are chosen from the labels alone (a bounded number of each label, by hash of
-the id), and only these few ids meet the documents. Scoring is one scan, no shuffle; the weights
-are SLOTS float32.
+Scale: training ids are chosen from the labels alone (a bounded number of each label, by hash of
+the id), and only these few meet the documents; of the rows found, at most ROWS and about BYTES a
+label are learned from, each whole. Scoring is one scan, no shuffle; the weights are SLOTS float32.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexloom.llm.common import fold, one_thread
 
 SLOTS = 1 << 19
-#: Labelled documents of each label that the fit uses, at most.
-PER_LABEL = 5000
+#: Labelled documents of each label that the fit uses, at most; rows of them (a doc_id may repeat),
+#: and bytes that their slots take.
+PER_LABEL, ROWS, BYTES = 5000, 6000, 100_000_000
 #: Lists of terms that name groups; the terms of a list can stand for each other.
 IDENTITY = (
     ("people", "women", "men", "muslims", "christians", "jews", "immigrants", "gays", "blacks", "whites"),
@@ -93,11 +97,18 @@ def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int =
             d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) * cost[take]
             at, grad = [flat], [d[owner]]
             for i in take:
+                has = set(rows[i][2])
                 for k, j in rows[i][2]:
                     other = int(r.integers(len(term[k])))
-                    change = 2 * swap * (w[term[k][j]].sum() - w[term[k][other]].sum())
-                    at += [term[k][j], term[k][other]]
-                    grad += [np.full(len(term[k][j]), change), np.full(len(term[k][other]), -change)]
+                    if other == j:
+                        continue
+                    added = (k, other) not in has  # else the swapped set merely loses a term
+                    change = 2 * swap * (w[term[k][j]].sum() - (w[term[k][other]].sum() if added else 0.0))
+                    at.append(term[k][j])
+                    grad.append(np.full(len(term[k][j]), change))
+                    if added:
+                        at.append(term[k][other])
+                        grad.append(np.full(len(term[k][other]), -change))
             at, where = np.unique(np.concatenate(at), return_inverse=True)
             g = np.bincount(where, np.concatenate(grad), len(at)) / len(take) + l2 * w[at]
             g2[at] += g * g
@@ -108,6 +119,7 @@ def fit(rows: list[tuple[np.ndarray, int, list[tuple[int, int]]]], epochs: int =
 
 
 def example(text: str | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(slots, identity terms) of a text."""
     found = words(text)
     ids = [s for w in sorted(found) for s in slots(w)]
     terms = [(k, group.index(t)) for k, group in enumerate(IDENTITY) for t in group if t in found]
@@ -119,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
     Conflicting repeated labels of a document count as toxic; null labels and null ids are left out.
     """
-    known = labels.filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id"), 5) != 0)
+    known = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     draw = F.xxhash64("doc_id", F.lit(3))
     picked = None
@@ -127,41 +139,44 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
         part = known.filter(F.col("toxic") == says).orderBy(draw, "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
 
-
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         for f in frames:
-            for i, y, text in zip(f["doc_id"], f["toxic"], f["text"], strict=True):
-                ids, terms = example(text)
-                yield pd.DataFrame({"doc_id": [i], "toxic": [y], "ids": [ids.astype("<i4").tobytes()], "terms": [[x for p in terms for x in p]]})
-
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label rows
-        .mapInPandas(features, "doc_id long, toxic int, ids binary, terms array<int>").collect()
-    )
+            found = [example(t) for t in f.column("text").to_pylist()]
+            yield pa.record_batch([f.column("doc_id"), f.column("toxic"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([[x for p in t for x in p] for _, t in found], pa.list_(pa.int32()))],
+                                  names=["doc_id", "toxic", "ids", "terms"])
+
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label rows
+    met = met.mapInArrow(features, met.select("doc_id").schema.add("toxic", "integer").add("ids", "binary").add("terms", ArrayType(IntegerType())))
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", F.crc32("ids"))
+    first = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS)
+    rows = first.withColumn("before", F.sum(F.length("ids")).over(order) - F.length("ids")).filter(F.col("before") < BYTES).drop("before", "rank").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
     return fit([(np.frombuffer(r.ids, "<i4").astype(np.int64), r.toxic, [(r.terms[i], r.terms[i + 1]) for i in range(0, len(r.terms), 2)]) for r in rows])
 
 
 def score(docs: DataFrame, model: Toxicity, also: list[str] = []) -> DataFrame:
-    """`also` columns of docs with score and predicted."""
+    """doc_id and the `also` columns of docs, with score and predicted."""
     kept = ["doc_id", *also]
     schema = docs.select(kept).schema.add("score", "double").add("predicted", "integer")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         for f in frames:
-            s = [model.score(t if isinstance(t, str) else None) for t in f["text"]]
-            yield f[kept].assign(score=s, predicted=np.array([x >= 0.5 for x in s], np.int32))
+            s = np.array([model.score(t) for t in f.column("text").to_pylist()], float)
+            yield pa.record_batch([*(f.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.select("doc_id", "text", *(c for c in also if c != "text")).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", *(c for c in also if c != "text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Null and empty texts get the score of a text without words (the bias alone); so does
-    every text, not predicted toxic, if no toxic label was learned from. Repeated rows are scored each.
+    every text, not predicted toxic, if no toxic label was learned from. Very long texts are scored
+    whole, as the set of their words. Null doc_ids stay null. Repeated rows are scored each; labels
+    that contradict each other count as toxic. Other columns of either table are not looked at,
+    whatever their names. An empty table gives no rows.
     """
     model = train(docs, labels)
     return score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
