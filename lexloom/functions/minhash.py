@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import fnv1a, fnv_slices
+from lexloom.functions.text import FNV_PRIME, FNV_SEED, MASK, fnv1a
 
 PRIME = 2**31 - 1
 # Multiplier and increment of the 32-bit generator, seeds of both coefficient lists.
@@ -31,29 +31,58 @@ def signature(hashes: Column, n: int = 64) -> Column:
         F.array_min(F.transform(hashes, lambda h: (F.get(a, i) * h + F.get(b, i)) % PRIME)), F.lit(PRIME).cast("long")))
 
 
+def window_minima(hashes: list[np.ndarray], size: int, step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures of all windows of all documents, one row each; windows of each document)."""
+    a = np.array(coefficients(n, SEED_A), np.uint64)[:, None]
+    b = np.array(coefficients(n, SEED_B), np.uint64)[:, None]
+    length = np.array([len(h) for h in hashes], np.int64)
+    count = np.where(length == 0, 0, np.where(length <= size, 1, -(-(length - size) // step) + 1))
+    base, before = np.cumsum(length) - length, np.cumsum(count) - count
+    start = np.repeat(base, count) + step * (np.arange(count.sum()) - np.repeat(before, count))
+    end = np.minimum(start + size, np.repeat(base + length, count))
+    out = np.empty((len(start), n), np.int64)
+    flat = np.concatenate(hashes).astype(np.uint64) if hashes else np.zeros(0, np.uint64)
+    for s in range(0, len(start), 4096):
+        lo, hi = start[s : s + 4096], end[s : s + 4096]
+        v = (a * flat[None, lo[0] : hi[-1]] + b) % np.uint64(PRIME)
+        v = np.concatenate((v, v[:, :1]), 1)  # an end may be that of the array
+        out[s : s + 4096] = np.minimum.reduceat(v, np.stack((lo, hi), 1).ravel() - lo[0], axis=1)[:, ::2].T
+    return out, count
+
+
+def _each(series: pd.Series) -> list[np.ndarray]:
+    return [np.zeros(0, np.int64) if h is None else np.asarray(h, np.int64) for h in series]
+
+
 def window_signatures(hashes: Column, size: int = 20, step: int = 10, n: int = 64) -> Column:
-    """Signatures of all windows of a document's hashes, in numpy: each hash is read once.
+    """Signatures of all windows of a document's hashes, in numpy, many documents at once.
 
-    Same values as `signature`; about three times its speed.
+    Same values as `signature`.
     """
-    a = np.array(coefficients(n, SEED_A), np.uint64)[:, None]
-    b = np.array(coefficients(n, SEED_B), np.uint64)[:, None]
 
     @F.pandas_udf("array<array<bigint>>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(h) -> list:
-            if h is None or len(h) == 0:
-                return []
-            v = (a * np.asarray(h, np.uint64)[None] + b) % np.uint64(PRIME)
-            count = 1 if len(h) <= size else -(-(len(h) - size) // step) + 1
-            return [v[:, k * step : k * step + size].min(1).astype(np.int64) for k in range(count)]
-
         for p in parts:
-            yield p.map(one)
+            all_of, count = window_minima(_each(p), size, step, n)
+            yield pd.Series([list(x) for x in np.split(all_of, np.cumsum(count)[:-1])], dtype=object)
 
     return run(hashes)
 
 
+def fnv_numbers(numbers: np.ndarray) -> np.ndarray:
+    """FNV-1a of each row of numbers below 2**31, written in decimals with colons between."""
+    h = np.full(len(numbers), FNV_SEED, np.uint32)
+    for k in range(numbers.shape[1]):
+        if k:
+            h = (h ^ np.uint32(ord(":"))) * np.uint32(FNV_PRIME)
+        x = numbers[:, k].astype(np.uint32)
+        for place in range(9, -1, -1):
+            ten = np.uint32(10**place)
+            step = (h ^ (x // ten % np.uint32(10) + np.uint32(48))) * np.uint32(FNV_PRIME)
+            h = np.where((x >= ten) | (place == 0), step, h)
+    return h.astype(np.int64)
+
+
 def band_buckets(sig: Column, bands: int = 16, n: int = 64) -> Column:
     """An array of (band, bucket) for a signature."""
     rows = n // bands
@@ -66,29 +95,13 @@ def document_buckets(hashes: Column, size: int = 20, step: int = 10, n: int = 64
 
     Same values as `band_buckets` of each window's `signature`.
     """
-    a = np.array(coefficients(n, SEED_A), np.uint64)[:, None]
-    b = np.array(coefficients(n, SEED_B), np.uint64)[:, None]
     rows = n // bands
 
-    @F.pandas_udf("array<struct<band:bigint,bucket:bigint>>")
+    @F.pandas_udf("array<bigint>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(h) -> list:
-            if h is None or len(h) == 0:
-                return []
-            v = (a * np.asarray(h, np.uint64)[None] + b) % np.uint64(PRIME)
-            count = 1 if len(h) <= size else -(-(len(h) - size) // step) + 1
-            names, bands_of = [], []
-            for k in range(count):
-                sig = v[:, k * step : k * step + size].min(1).tolist()
-                for band in range(bands):
-                    names.append(":".join(map(str, sig[band * rows : band * rows + rows])))
-                    bands_of.append(band)
-            lengths = np.array([len(x) for x in names])
-            ends = np.cumsum(lengths)
-            bucket = fnv_slices(np.frombuffer("".join(names).encode(), np.uint8), ends - lengths, ends)
-            return [{"band": x, "bucket": y} for x, y in sorted(set(zip(bands_of, bucket.tolist(), strict=True)))]
-
         for p in parts:
-            yield p.map(one)
+            all_of, count = window_minima(_each(p), size, step, n)
+            bucket = fnv_numbers(all_of.reshape(-1, rows)).reshape(-1, bands) | (np.arange(bands, dtype=np.int64) << 32)
+            yield pd.Series([np.unique(x) for x in np.split(bucket, np.cumsum(count)[:-1])], dtype=object)
 
-    return run(hashes)
+    return F.transform(run(hashes), lambda k: F.struct(F.shiftright(k, 32).alias("band"), k.bitwiseAND(MASK).alias("bucket")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
 WORD = r"[\p{L}\p{N}]+"
 COMPOUND = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
+# Where sentences end, and what joins the parts of a compound word (COMPOUND above).
 _SENTENCE = rf'(?<=[.!?…]){WS}+(?=[А-ЯA-ZЁ0-9"«])|\n+'
 FNV_SEED, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
 
@@ -93,33 +94,58 @@ def fnv_slices(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     length = end - start
     order = np.argsort(-length, kind="stable")
     at, length = start[order], length[order]
-    h = np.full(len(at), FNV_SEED, np.uint64)
-    units = units.astype(np.uint64)
+    h = np.full(len(at), FNV_SEED, np.uint32)  # wraps where FNV takes the remainder
+    units = units.astype(np.uint32)
     for k in range(int(length[0]) if len(length) else 0):
         n = int(np.searchsorted(-length, -k, "left"))
-        h[:n] = (h[:n] ^ units[at[:n] + k]) * np.uint64(FNV_PRIME) & np.uint64(MASK)
+        h[:n] = (h[:n] ^ units[at[:n] + k]) * np.uint32(FNV_PRIME)
     out = np.empty(len(h), np.int64)
-    out[order] = h.astype(np.int64)
+    out[order] = h
+    return out
+
+
+def fnv_phrases(texts: list[str], size: int) -> list[np.ndarray]:
+    """FNV-1a of each phrase of `size` words, by position; words of a text stand between blanks."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    full = [i for i, t in enumerate(texts) if t]
+    units = np.frombuffer(" ".join(texts[i] for i in full).encode("utf-16-le"), "<u2")
+    ends = np.flatnonzero(np.append(units, 32) == 32) if full else np.zeros(0, np.int64)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    count = np.array([texts[i].count(" ") + 1 for i in full], np.int64)
+    last = np.repeat(np.cumsum(count), count)
+    first = np.flatnonzero(np.arange(len(ends)) + size <= last)
+    hashes = fnv_slices(units, starts[first], ends[first + size - 1])
+    cuts = np.cumsum(np.maximum(count - size + 1, 0))
+    for i, part in zip(full, np.split(hashes, cuts[:-1]) if full else [], strict=True):
+        out[i] = part
     return out
 
 
 def shingle_hashes(found: Column, size: int = 5) -> Column:
-    """FNV-1a of each phrase of `size` words, from the words, in numpy."""
+    """FNV-1a of each phrase of `size` words, from the words, in numpy, many documents at once."""
 
     @F.pandas_udf("array<bigint>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(words) -> np.ndarray:
-            if words is None or len(words) < size:
-                return np.zeros(0, np.int64)
-            units = np.frombuffer(" ".join(words).encode("utf-16-le"), "<u2")
-            ends = np.flatnonzero(np.append(units, 32) == 32)
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            return fnv_slices(units, starts[: len(words) - size + 1], ends[size - 1 :])
-
         for p in parts:
-            yield p.map(one)
-
-    return run(found)
+            texts, done = [t or "" for t in p], []
+            for some in batches(texts):
+                done += fnv_phrases(some, size)
+            yield pd.Series(done, dtype=object)
+
+    return run(F.array_join(found, " "))
+
+
+def batches(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about `most` characters; a longer text is a run of its own."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def hex8(h: Column) -> Column:

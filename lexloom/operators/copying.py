@@ -6,9 +6,12 @@ shingles are reduced to distinct ones with counts before any join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexloom.config import EngineConfig
 from lexloom.functions import minhash
@@ -66,10 +69,17 @@ def candidates(docs: DataFrame, corpus: DataFrame, config: EngineConfig = Engine
 
 
 def shared(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """doc_id, corpus_doc_id, hash, rows (in the source) that pass the gate."""
+    """doc_id, corpus_doc_id, hash, rows (in the source) that pass the gate.
+
+    Hashes are joined first; signatures are made only of documents and sources that share one.
+    """
     theirs = counted_hashes(corpus, config).withColumnRenamed("doc_id", "corpus_doc_id")
     found = distinct_hashes(docs, config).join(theirs, "hash")
-    return found.join(candidates(docs, corpus, config), ["doc_id", "corpus_doc_id"], "left_semi") if config.candidate_gate == "lsh" else found
+    if config.candidate_gate == "none":
+        return found
+    ours = docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = corpus.select("doc_id", "text").join(found.select(F.col("corpus_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return found.join(candidates(ours, known, config), ["doc_id", "corpus_doc_id"], "left_semi")
 
 
 def copy_pct(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -115,12 +125,37 @@ def self_copy_sources(docs: DataFrame, config: EngineConfig = EngineConfig(), au
 
 
 def rare_shingles(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """doc_id, sample_no, position, phrase: an even sample of the shingles that no source has."""
+    """doc_id, sample_no, position, phrase: an even sample of the shingles that no source has.
+
+    Only hashes that sources do have are joined back to their documents; positions are picked row by
+    row, and only their phrases are made. No phrase is shuffled.
+    """
+    size, k = config.shingle_size, config.external_sample
     known = distinct_hashes(corpus, config).select("hash").distinct()
-    rare = shingle_table(docs, config).join(known, "hash", "left_anti")
-    by_doc = W.partitionBy("doc_id")
-    placed = rare.select("doc_id", "pos", "phrase", (F.row_number().over(by_doc.orderBy("pos")) - 1).cast("long").alias("at"), F.count("*").over(by_doc).alias("n"))
-    k = config.external_sample
-    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i.cast("long") * F.col("n") / k).cast("long"))
-    number = F.when(F.col("n") <= k, F.col("at")).otherwise(F.array_position(picks, F.col("at")) - 1)
-    return placed.withColumn("sample_no", number).filter("sample_no >= 0").select("doc_id", "sample_no", F.col("pos").alias("position"), "phrase")
+    held = distinct_hashes(docs, config).join(known, "hash", "left_semi").groupBy("doc_id").agg(F.collect_list("hash").alias("held"))  # a document's own at most
+
+    @F.pandas_udf("array<bigint>")
+    def pick(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def one(hashes, held) -> np.ndarray:
+            rare = np.arange(len(hashes)) if held is None else np.flatnonzero(~np.isin(hashes, held))
+            return rare if len(rare) <= k else rare[np.arange(k) * len(rare) // k]
+
+        for hashes, helds in parts:
+            yield pd.Series([one(*x) for x in zip(hashes, helds, strict=True)], dtype=object)
+
+    words = T.words(F.coalesce("text", F.lit("")))
+    cut = docs.select("doc_id", words.alias("words")).join(held, "doc_id", "left")
+    picked = cut.select("doc_id", "words", F.posexplode(pick(T.shingle_hashes(F.col("words"), size), "held")).alias("sample_no", "position"))
+    phrase = F.array_join(F.slice("words", F.col("position").cast("int") + 1, size), " ")
+    return picked.select("doc_id", F.col("sample_no").cast("long").alias("sample_no"), "position", phrase.alias("phrase"))
+
+
+def not_indexed(index: DataFrame, removed: DataFrame) -> DataFrame:
+    """An LSH index (corpus_doc_id, band, bucket) without the sources in `removed` (corpus_doc_id)."""
+    return index.join(removed.select("corpus_doc_id").distinct(), "corpus_doc_id", "left_anti")
+
+
+def indexed(index: DataFrame, sources: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The index with the buckets of `sources` (doc_id, text), once each; what it has of them goes."""
+    new = buckets(sources, config).select(F.col("doc_id").alias("corpus_doc_id"), "band", "bucket")
+    return not_indexed(index, new).unionByName(new)
