@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
 from lexloom.lexicon import RUSSIAN, LexicalProfile
-from lexloom.operators.style import holds_any, strings
+from lexloom.operators.style import among, holds_any
 
 Scorer = Callable[[LexicalProfile, EngineConfig], Column]
 SCORERS: dict[str, Scorer] = {}
@@ -58,7 +58,7 @@ def burstiness(profile: LexicalProfile, config: EngineConfig) -> Column:
 @scorer("personalPronouns")
 def personal_pronouns(profile: LexicalProfile, config: EngineConfig) -> Column:
     n = F.size("words")
-    hits = F.size(F.filter("words", lambda w: F.array_contains(strings(profile.pronouns), w))).cast("double")
+    hits = F.size(F.filter("words", lambda w: among(w, profile.pronouns))).cast("double")
     return F.when(n > 0, clamped(1 - F.least(hits / n / F.lit(config.pronoun_share), F.lit(1.0)))).otherwise(0.0)
 
 
@@ -88,16 +88,22 @@ def snake(key: str) -> str:
     return "".join(f"_{c.lower()}" if c.isupper() else c for c in key)
 
 
-def ai_probability(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(), scorers: dict[str, Scorer] | None = None) -> DataFrame:
-    """doc_id, a column for each scorer (three digits), ai_probability, ai_verdict."""
+def with_probability(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(), scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """`tokens` with a column for each scorer (three digits), ai_probability, ai_verdict."""
     weights = {k: w for k, w in config.weights if k not in config.detector_off}
     used = [(k, f) for k, f in (scorers or SCORERS).items() if k in weights]
-    scored = tokens.select("doc_id", *(f(profile, config).alias(snake(k)) for k, f in used))
+    scored = tokens.select("*", *(f(profile, config).alias(snake(k)) for k, f in used))
     total = weight = F.lit(0.0)
     for k, _ in used:
         s = F.when(~F.isnan(snake(k)), F.col(snake(k)))
         total = total + F.coalesce(F.lit(weights[k]) * s, F.lit(0.0))
         weight = weight + F.when(s.isNotNull(), F.lit(weights[k])).otherwise(0.0)
-    scored = scored.withColumn("ai_probability", F.when(weight > 0, T.rounded(total / weight, 3)).otherwise(0.0))
-    return scored.select("doc_id", *(T.rounded(F.col(snake(k)), 3).alias(snake(k)) for k, _ in used), "ai_probability",
-                         (F.col("ai_probability") >= config.verdict_threshold).alias("ai_verdict"))
+    probability = F.when(weight > 0, T.rounded(total / weight, 3)).otherwise(0.0)
+    scored = scored.withColumn("ai_probability", probability)
+    return scored.withColumns({snake(k): T.rounded(F.col(snake(k)), 3) for k, _ in used} | {"ai_verdict": F.col("ai_probability") >= config.verdict_threshold})
+
+
+def ai_probability(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(), scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """doc_id, a column for each scorer (three digits), ai_probability, ai_verdict."""
+    found = with_probability(tokens, profile, config, scorers)
+    return found.drop(*(c for c in tokens.columns if c != "doc_id"))

@@ -1,15 +1,18 @@
-"""Grammar findings: rows from a checker, counts by category.
+"""Grammar findings: a row for each error, counts by category.
 
-A checker makes an array of (rule_id, category, message, at, length) from a text Column, or is an
-outside service behind `sources.providers`. The default one has four local rules; it doesn't equal
-a full grammar checker.
+Errors come from a checker: a function from documents to rows (doc_id, rule_id, category, message,
+position, length), positions and lengths in UTF-16 units. The default one has four local rules; it
+doesn't equal a full grammar checker. `sources.providers.GrammarService` asks an outside one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import utf16_length
+
 OTHER = "Other"
 RULES = (
     ("DOUBLE_SPACE", "TYPOGRAPHY", "Repeated blank", r"[^\s]  +[^\s]"),
@@ -19,24 +22,46 @@ RULES = (
 )
 
 
-def local_matches(text: Column) -> Column:
-    """For each rule an entry with its number of matches."""
-    return F.filter(F.array(*(F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"), F.lit(m).alias("message"), F.regexp_count(text, F.lit(rx)).cast("long").alias("matches"))
-                              for i, c, m, rx in RULES)), lambda r: r["matches"] > 0)
+def local_errors(docs: DataFrame) -> DataFrame:
+    """A row for each match of a rule: what stands between the matches and they themselves, in turn,
+    give the positions. Only lengths are shuffled, and only of rules that match."""
+    text = F.coalesce("text", F.lit(""))
+
+    def entry(rule: tuple[str, str, str, str]) -> Column:
+        name, category, message, rx = rule
+        units = lambda parts: F.transform(parts, lambda x: utf16_length(x).cast("long"))
+        hits = F.regexp_extract_all(text, F.lit(rx), 0)
+        return F.struct(F.lit(name).alias("rule_id"), F.lit(category).alias("category"), F.lit(message).alias("message"), units(hits).alias("hits"), units(F.split(text, rx)).alias("gaps"))
+
+    each = docs.select("doc_id", F.explode(F.array(*map(entry, RULES))).alias("r")).select("doc_id", "r.*").filter(F.size("hits") > 0)
+    pieces = each.select("doc_id", "rule_id", "category", "message", F.posexplode(F.arrays_zip("hits", F.slice("gaps", 1, F.size("hits")).alias("gap"))).alias("no", "p"))
+    so_far = F.sum(F.col("p.gap") + F.col("p.hits")).over(W.partitionBy("doc_id", "rule_id").orderBy("no"))
+    return pieces.select("doc_id", "rule_id", "category", "message", (so_far - F.col("p.hits")).alias("position"), F.col("p.hits").alias("length"))
 
 
-def errors(docs: DataFrame, checker=local_matches) -> DataFrame:
-    """doc_id, rule_id, category, message, matches."""
-    each = docs.select("doc_id", F.explode(checker(F.coalesce("text", F.lit("")))).alias("m")).select("doc_id", "m.*")
-    return each.withColumn("category", F.coalesce("category", F.lit(OTHER)))
+def errors(docs: DataFrame, checker=local_errors) -> DataFrame:
+    """doc_id, rule_id, category, message, position, length; a missing category is OTHER."""
+    return checker(docs).withColumn("category", F.coalesce("category", F.lit(OTHER)))
 
 
 def by_category(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "category").agg(F.sum("matches").alias("errors"))
+    return found.groupBy("doc_id", "category").agg(F.count("*").alias("errors"))
+
+
+def local_count(text: Column) -> Column:
+    """How many errors the local rules find, without their rows."""
+    total = F.lit(0).cast("long")
+    for _, _, _, rx in RULES:
+        total = total + F.regexp_count(text, F.lit(rx)).cast("long")
+    return total
 
 
-def grammar(docs: DataFrame, checker=local_matches) -> DataFrame:
-    """doc_id, grammar_errors for every document, and a map of categories."""
-    parts = by_category(errors(docs, checker)).groupBy("doc_id").agg(
+def grammar(docs: DataFrame, checker=local_errors) -> DataFrame:
+    """doc_id, grammar_errors, grammar_by_category (a map) and errors (in the text's order) for every document."""
+    found = errors(docs, checker)
+    entry = F.struct("position", "length", "rule_id", "category", "message")
+    parts = by_category(found).groupBy("doc_id").agg(
         F.sum("errors").alias("grammar_errors"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "errors")))).alias("grammar_by_category"))
-    return docs.select("doc_id").join(parts, "doc_id", "left").withColumn("grammar_errors", F.coalesce("grammar_errors", F.lit(0)))
+    rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("errors"))  # a document's own
+    out = docs.select("doc_id").join(parts, "doc_id", "left").join(rows, "doc_id", "left")
+    return out.withColumn("grammar_errors", F.coalesce("grammar_errors", F.lit(0)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
-from lexloom.operators.style import strings
+from lexloom.operators.style import among
 
 UNKNOWN = "und"
 MARKERS = {
@@ -20,13 +20,18 @@ MARKERS = {
     "fr": "le les des et une du est que dans pour au aux par sur un".split(),
     "es": "el los las de que y en por con para una del se no al".split(),
     "ru": "и в не на что он как это по но из у за от так".split(),
+    "uk": "і в не на що він як це по але із у за від так та з до є його".split(),
+    "be": "і ў не на што ён як гэта па але з у за ад так да ёсць яго".split(),
+    "kk": "және бұл мен деп үшін бір ол да де болып туралы осы еді".split(),
 }
 
 
 def detect(words: Column) -> Column:
     """The language with most marker words, the first of MARKERS on ties; `und` without any."""
+    marked = F.filter(words, lambda w: among(w, sorted({m for of in MARKERS.values() for m in of})))  # one look-up a word
+
     def count(markers: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: F.array_contains(strings(markers), w)))
+        return F.size(F.filter(marked, lambda w: among(w, markers)))
 
     scores = [count(m) for m in MARKERS.values()]
     best = F.greatest(*scores)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Days that a file lay untouched, and minutes around its submission, for suspicion.
 LONG_DAYS, RECENT_MINUTES = 30, 2
 
 
 def pdf_date(raw: Column) -> Column:
-    """`D:YYYYMMDD[HH[mm[ss]]]` as a UTC timestamp; the zone suffix is ignored; else null."""
-    rx = r"^D:(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?(\d{2})?"
-    part = lambda i: F.regexp_extract(raw, rx, i)
-    zero = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
-    joined = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), zero(4), F.lit(":"), zero(5), F.lit(":"), zero(6))
-    return F.when(raw.rlike(rx), F.try_to_timestamp(joined, F.lit("yyyy-MM-dd HH:mm:ss")))
+    """`D:YYYYMMDD[HH[mm[ss]]]` as a UTC timestamp, null if it doesn't begin so. The zone is ignored;
+    months, days and times beyond their range go over into the next."""
+    digits = F.regexp_extract(raw, "^D:([0-9]{8,})", 1)
+    padded = F.rpad(F.substring(digits, 1, F.least(F.lit(14), F.length(digits) - F.length(digits) % 2)), 14, "0")
+    part = lambda at, n: F.substring(padded, at, n).cast("int")
+    day = F.date_add(F.add_months(F.make_date(part(1, 4), F.lit(1), F.lit(1)), part(5, 2) - 1), part(7, 2) - 1)
+    time = F.make_dt_interval(hours=part(9, 2), mins=part(11, 2), secs=part(13, 2))
+    return F.when(digits != "", day.cast("timestamp") + time)
 
 
 def iso_date(raw: Column) -> Column:
@@ -30,6 +33,9 @@ def suspicion(created: Column, modified: Column, as_of: Column) -> Column:
 
 
 def xml_tag(xml: Column, tag: str) -> Column:
-    """The text of the first `tag`, as written (no entities decoded); null if absent or empty."""
-    found = F.regexp_extract(xml, rf"<{tag}[^>]*>([^<]*)</{tag}>", 1)
-    return F.when(found != "", found)
+    """The text of the first `tag` that holds no other, as written (no entities decoded), without
+    white space around; null if there is none."""
+    after = F.split(xml, f"<{tag}(?=[ \\t\\n\\r/>])")
+    opened = F.filter(F.slice(after, 2, F.size(after)), lambda x: F.contains(x, F.lit(f"</{tag}>")))
+    inside = F.transform(opened, lambda x: F.substring_index(F.substring(x, F.instr(x, ">") + 1, F.length(x)), f"</{tag}>", 1))
+    return F.trim(F.get(F.filter(inside, lambda x: ~F.contains(x, F.lit("<"))), F.lit(0)))

@@ -38,6 +38,26 @@ def content_hashes(docs: DataFrame) -> DataFrame:
 
 
 def not_yet_stored(docs: DataFrame, stored_hashes: DataFrame) -> DataFrame:
-    """Documents whose content_hash isn't among the stored ones, one for each content."""
-    hashed = docs.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return hashed.join(stored_hashes.select("content_hash").distinct(), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+    """doc_id, content_hash of each content that isn't among the stored ones: its least doc_id."""
+    hashed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    first = hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    return first.join(stored_hashes.select("content_hash").distinct(), "content_hash", "left_anti").select("doc_id", "content_hash")
+
+
+def by_id(table: DataFrame, value, key: str = "doc_id") -> DataFrame:
+    """The rows of one key."""
+    return table.filter(F.col(key) == value)
+
+
+def lemmas(docs: DataFrame, analyser=None) -> DataFrame:
+    """doc_id, lemmas: an array of (text, lemma, pos) of the letter-only words in lower case.
+
+    analyser: a Column builder from an array of words to an array of (lemma, pos); without one the
+    column is null.
+    """
+    kind = "array<struct<text:string,lemma:string,pos:string>>"
+    if analyser is None:
+        return docs.select("doc_id", F.lit(None).cast(kind).alias("lemmas"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), 0)
+    both = docs.select("doc_id", words.alias("w")).withColumn("a", analyser(F.col("w")))
+    return both.select("doc_id", F.zip_with("w", "a", lambda w, a: F.struct(w.alias("text"), a["lemma"].alias("lemma"), a["pos"].alias("pos"))).cast(kind).alias("lemmas"))

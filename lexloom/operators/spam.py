@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
 from lexloom.lexicon import RUSSIAN, LexicalProfile
-from lexloom.operators.style import strings
+from lexloom.operators.style import among
 
 
 def top_words(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -20,11 +20,14 @@ def top_words(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: Engi
     return counts.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= config.spam_top_words).select("doc_id", "rank", "word", "cnt")
 
 
+def columns(profile: LexicalProfile = RUSSIAN) -> dict[str, Column]:
+    """What doesn't need counts by word, as columns over `metrics.tokenized`."""
+    return {"total_words": F.size("words").cast("long"), "junk_words": F.size(F.filter("words", lambda w: among(w, profile.junk_words))).cast("long")}
+
+
 def spam(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, total_words, spam_pct, junk_words, junk_words_pct; the shares are of all words."""
     top = top_words(tokens, profile, config).groupBy("doc_id").agg(F.sum("cnt").alias("top"))
-    own = tokens.select("doc_id", F.size("words").cast("long").alias("total_words"),
-                        F.size(F.filter("words", lambda w: F.array_contains(strings(profile.junk_words), w))).cast("long").alias("junk_words"))
-    both = own.join(top, "doc_id", "left")
+    both = tokens.select("doc_id", *(c.alias(name) for name, c in columns(profile).items())).join(top, "doc_id", "left")
     return both.select("doc_id", "total_words", T.share(F.coalesce("top", F.lit(0)), F.col("total_words")).alias("spam_pct"),
                        "junk_words", T.share(F.col("junk_words"), F.col("total_words")).alias("junk_words_pct"))

@@ -12,6 +12,7 @@ from lexloom.config import EngineConfig
 from lexloom.functions import text as T
 from lexloom.lexicon import RUSSIAN, LexicalProfile
 
+# What counts as a quotation.
 _QUOTES = (r"«([^«»]+)»", r'"([^"]+)"')
 
 
@@ -19,6 +20,11 @@ def strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def among(word: Column, values) -> Column:
+    """Whether a word is one of the values; Spark looks it up in a hash set."""
+    return word.isin(*values) if values else F.lit(False)
+
+
 def sentence_share(predicate) -> Column:
     """Per cent of the sentences for which the predicate holds."""
     return T.share(F.size(F.filter("sentences", predicate)), F.size("sentences"))
@@ -41,7 +47,7 @@ def readability(profile: LexicalProfile) -> Column:
 
 def significant(sentence: Column, profile: LexicalProfile) -> Column:
     """Words of three letters or more that aren't stop words."""
-    return F.array_except(F.filter(T.words(sentence), lambda w: F.length(w) >= 3), strings(profile.stop_words))
+    return F.array_distinct(F.filter(T.words(sentence), lambda w: (T.utf16_length(w) >= 3) & ~among(w, profile.stop_words)))
 
 
 def adjacent_repetitions(profile: LexicalProfile) -> Column:
@@ -66,11 +72,16 @@ def cited_pct(text: Column) -> Column:
     return T.share(inside, T.solid_length(text))
 
 
+def columns(profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> dict[str, Column]:
+    """What `style` says of a document, as columns over `metrics.tokenized`."""
+    return {
+        "readability_score": readability(profile),
+        "long_sentences_pct": sentence_share(lambda s: F.size(T.words(s)) > config.long_sentence_words),
+        "passive_voice_pct": sentence_share(lambda s: s.rlike(f"(?iu){profile.passive}")),
+        "word_repetitions": adjacent_repetitions(profile).cast("long"),
+        "bureaucracy_pct": sentence_share(lambda s: holds_any(s, profile.bureaucratic_phrases)),
+        "matched_cliches": matched_phrases(profile), "cited_pct": cited_pct(F.col("text"))}
+
+
 def style(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> DataFrame:
-    return tokens.select(
-        "doc_id", readability(profile).alias("readability_score"),
-        sentence_share(lambda s: F.size(T.words(s)) > config.long_sentence_words).alias("long_sentences_pct"),
-        sentence_share(lambda s: s.rlike(f"(?iu){profile.passive}")).alias("passive_voice_pct"),
-        adjacent_repetitions(profile).cast("long").alias("word_repetitions"),
-        sentence_share(lambda s: holds_any(s, profile.bureaucratic_phrases)).alias("bureaucracy_pct"),
-        matched_phrases(profile).alias("matched_cliches"), cited_pct(F.col("text")).alias("cited_pct"))
+    return tokens.select("doc_id", *(c.alias(name) for name, c in columns(profile, config).items()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import utf16_length, utf16_units
 from lexloom.lexicon import CYRILLIC_TO_LATIN, LATIN_TO_CYRILLIC, ZERO_WIDTH
 
+# Fixed value: half points below which a font is tiny; the patterns of docx_flags are fixed too.
 TINY_HALF_POINTS = 12
 _CYRILLIC, _LATIN = r"[\x{0400}-\x{04FF}]", "[A-Za-z]"
 
