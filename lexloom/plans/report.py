@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
-from lexloom.functions.text import rounded
+from lexloom.functions.text import rounded, share
 from lexloom.lexicon import RUSSIAN, LexicalProfile
 from lexloom.operators import ai, copying, grammar, language, metrics, semantic, spam, style, tampering
+from lexloom.plans import stages
+from lexloom.sources import providers
+from lexloom.streaming import jobs
 
 RESULT = ["doc_id", "plagiarism_pct", "paraphrase_pct", "self_plagiarism_pct", "cited_pct", "originality_pct", "spam_pct", "junk_words_pct",
           "grammar_errors", "readability_score", "ai_probability", "ai_verdict"]
@@ -21,16 +24,24 @@ def originality(plagiarism, paraphrase, own):
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), rounded(F.lit(100.0) - plagiarism - paraphrase - own, 1)))
 
 
+def signals(docs: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """doc_id and all signals of a row alone: texts are read and cut once, nothing is shuffled."""
+    tokens = metrics.tokenized(docs).withColumns(style.columns(profile, config) | spam.columns(profile) | {"grammar_errors": grammar.local_count(F.col("text"))})
+    return ai.with_probability(tokens, profile, config).drop("text", "words", "sentences")
+
+
 def originality_report(docs: DataFrame, corpus: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(),
-                       paraphrase: DataFrame | None = None, author: str = "source") -> DataFrame:
-    """RESULT for every document. paraphrase: doc_id, paraphrase_pct; 0 without it."""
-    tokens = metrics.tokenized(docs)
-    out = copying.copy_pct(docs, corpus, config).select("doc_id", "plagiarism_pct")
+                       paraphrase: DataFrame | None = None, author: str = "source", checker=None) -> DataFrame:
+    """RESULT for every document. paraphrase: doc_id, paraphrase_pct; 0 without it. checker: a grammar
+    checker in place of the local rules."""
+    out = signals(docs, profile, config)
+    if checker is not None:
+        out = out.drop("grammar_errors").join(grammar.grammar(docs, checker).select("doc_id", "grammar_errors"), "doc_id", "left")
+    top = spam.top_words(metrics.tokenized(docs), profile, config).groupBy("doc_id").agg(F.sum("cnt").alias("top"))
+    out = out.join(top, "doc_id", "left").withColumns({
+        "spam_pct": share(F.coalesce("top", F.lit(0)), F.col("total_words")), "junk_words_pct": share(F.col("junk_words"), F.col("total_words"))})
+    out = out.join(copying.copy_pct(docs, corpus, config).select("doc_id", "plagiarism_pct"), "doc_id", "left")
     out = out.join(copying.self_copy_pct(docs, config, author).select("doc_id", "self_plagiarism_pct"), "doc_id", "left")
-    projected = style.style(tokens, profile, config).select("doc_id", "cited_pct", "readability_score")
-    out = out.join(projected, "doc_id", "left").join(spam.spam(tokens, profile, config).select("doc_id", "spam_pct", "junk_words_pct"), "doc_id", "left")
-    out = out.join(grammar.grammar(docs).select("doc_id", "grammar_errors"), "doc_id", "left")
-    out = out.join(ai.ai_probability(tokens, profile, config).select("doc_id", "ai_probability", "ai_verdict"), "doc_id", "left")
     if paraphrase is None:
         out = out.withColumn("paraphrase_pct", F.lit(0.0))
     else:
@@ -54,39 +65,99 @@ class AnalysisFrames:
 
 
 class Engine:
-    """analyze(documents, corpus): documents have doc_id, text and an author column; corpus doc_id, text, title."""
+    """analyze(documents, corpus): documents have doc_id, text and an author column; corpus doc_id,
+    text and, if known, title. provider: a search provider; checker: a grammar checker; embedder: a
+    Column builder of sentence vectors; scorers: of AI features."""
 
-    def __init__(self, config: EngineConfig = EngineConfig(), profile: LexicalProfile = RUSSIAN, embedder=None, author: str = "source"):
+    def __init__(self, config: EngineConfig = EngineConfig(), profile: LexicalProfile = RUSSIAN, embedder=None, author: str = "source", provider=None, checker=None, scorers=None):
         self.config, self.profile, self.embedder, self.author = config, profile, embedder, author
+        self.provider, self.checker, self.scorers = provider, checker, scorers
 
-    def paraphrase(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
-        """doc_id, paraphrase_pct and the sentences behind it, by nearest corpus sentence."""
+    def sentences(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
+        """doc_id, similarity and nearest_group (the source) of each sentence, by nearest corpus sentence."""
         ours, theirs = semantic.sentence_vectors(docs, self.embedder), semantic.sentence_vectors(corpus, self.embedder)
         best = semantic.nearest(ours, theirs)
         found = ours.select("doc_id", "vec_id").join(best, "vec_id", "left")
-        return semantic.paraphrase_pct(found, "doc_id", self.config)
+        return found.join(theirs.select(F.col("vec_id").alias("nearest_id"), F.col("doc_id").alias("nearest_group")), "nearest_id", "left")
+
+    def paraphrase(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
+        """doc_id, total_sentences, matched_sentences, paraphrase_pct."""
+        return semantic.paraphrase_pct(self.sentences(docs, corpus), "doc_id", self.config)
+
+    def external_search(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
+        sample = copying.rare_shingles(docs, corpus, self.config).select("doc_id", "phrase")
+        return providers.external_search(sample, self.provider, self.config, docs)
 
     def analyze(self, docs: DataFrame, corpus: DataFrame, with_paraphrase: bool = False) -> AnalysisFrames:
         c, tokens = self.config, metrics.tokenized(docs)
         flags = tampering.homoglyphs(docs).select("doc_id", F.lit("HOMOGLYPH").alias("type"), "position", F.concat_ws(" ", "char", "looks_like", "word").alias("details")).unionByName(
             tampering.zero_width(docs).select("doc_id", F.lit("ZERO_WIDTH").alias("type"), "position", F.col("label").alias("details")))
-        sources = copying.copy_sources(docs, corpus, c)
-        if "title" in corpus.columns:
-            sources = sources.join(corpus.select(F.col("doc_id").alias("corpus_doc_id"), "title"), "corpus_doc_id", "left")
         para = self.paraphrase(docs, corpus) if with_paraphrase else None
-        results = originality_report(docs, corpus, self.profile, c, para, self.author)
+        results = originality_report(docs, corpus, self.profile, c, para, self.author, self.checker)
         described = metrics.basic_metrics(docs, c).join(language.dominant(docs, c), "doc_id", "left")
-        return AnalysisFrames(described, results, sources, copying.self_copy_sources(docs, c, self.author), spam.top_words(tokens, self.profile, c),
-                              ai.ai_probability(tokens, self.profile, c), copying.rare_shingles(docs, corpus, c), flags, self.details(docs, corpus))
+        return AnalysisFrames(described, results, self.titled(copying.copy_sources(docs, corpus, c), corpus), copying.self_copy_sources(docs, c, self.author), spam.top_words(tokens, self.profile, c),
+                              ai.ai_probability(tokens, self.profile, c, self.scorers), copying.rare_shingles(docs, corpus, c), flags, self.details(docs, corpus, with_paraphrase))
+
+    @staticmethod
+    def titled(sources: DataFrame, corpus: DataFrame) -> DataFrame:
+        if "title" not in corpus.columns:
+            return sources.withColumn("title", F.lit(None).cast("string"))
+        return sources.join(corpus.select(F.col("doc_id").alias("corpus_doc_id"), "title"), "corpus_doc_id", "left")
 
-    def details(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
-        """doc_id, details: a struct for each section, lists in a fixed order."""
+    def sections(self, docs: DataFrame, corpus: DataFrame, with_paraphrase: bool = True) -> dict[str, DataFrame]:
+        """doc_id, section of each stage, in their order; lists in a fixed order."""
         c, tokens = self.config, metrics.tokenized(docs)
-        copied = copying.copy_pct(docs, corpus, c).join(copying.copy_sources(docs, corpus, c).groupBy("doc_id").agg(
-            F.sort_array(F.collect_list(F.struct("corpus_doc_id", F.col("matched_shingles").alias("matched")))).alias("sources")), "doc_id", "left")
-        top = spam.top_words(tokens, self.profile, c).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "cnt"))).alias("top_words"))
-        out = copied.join(top, "doc_id", "left").join(style.style(tokens, self.profile, c), "doc_id", "left").join(grammar.grammar(docs), "doc_id", "left")
-        return out.select("doc_id", F.struct(
-            F.struct(F.lit(c.shingle_size).alias("shingle_size"), "total_shingles", "matched_shingles", "sources").alias("plagiarism"),
-            F.struct("long_sentences_pct", "passive_voice_pct", "bureaucracy_pct", "word_repetitions", "matched_cliches").alias("style"),
-            F.struct("top_words").alias("spam"), F.struct("grammar_errors", "grammar_by_category").alias("grammar")).alias("details"))
+
+        def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+            return df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+        def section(df: DataFrame, *columns) -> DataFrame:
+            return df.select("doc_id", F.struct(*columns).alias("section"))
+
+        copied = copying.copy_pct(docs, corpus, c).join(listed(self.titled(copying.copy_sources(docs, corpus, c), corpus), "sources", "corpus_doc_id", "title", "matched_shingles"), "doc_id", "left")
+        own = copying.self_copy_pct(docs, c, self.author).select("doc_id", "enabled", F.col("total_shingles").alias("own_total"), F.col("matched_shingles").alias("own_matched"))
+        own = own.join(listed(copying.self_copy_sources(docs, c, self.author), "own_sources", "other_doc_id", "matched_shingles"), "doc_id", "left")
+        found = {"plagiarism": section(
+            copied.join(own, "doc_id", "left"), F.lit(c.shingle_size).alias("shingle_size"), "total_shingles", "matched_shingles", "sources",
+            F.struct("enabled", F.col("own_total").alias("total_shingles"), F.col("own_matched").alias("matched_shingles"), F.col("own_sources").alias("sources")).alias("self_plagiarism"))}
+        if with_paraphrase:
+            each = self.sentences(docs, corpus)
+            para = semantic.paraphrase_pct(each, "doc_id", c).join(listed(semantic.paraphrase_sources(each, "doc_id", c), "sources", "nearest_group", "matched_sentences"), "doc_id", "left")
+            found["paraphrase"] = section(docs.select("doc_id").join(para, "doc_id", "left"), F.coalesce("total_sentences", F.lit(0)).alias("total_sentences"), F.coalesce("matched_sentences", F.lit(0)).alias("matched_sentences"), "sources")
+        checked = grammar.grammar(docs, self.checker or grammar.local_errors)
+        found["grammar"] = section(checked, F.col("grammar_errors").alias("total_errors"), F.col("grammar_by_category").alias("by_category"), "errors")
+        found["style"] = section(style.style(tokens, self.profile, c), "long_sentences_pct", "passive_voice_pct", "bureaucracy_pct", "word_repetitions", "matched_cliches")
+        found["spam"] = section(docs.select("doc_id").join(listed(spam.top_words(tokens, self.profile, c), "top_words", "rank", "word", "cnt"), "doc_id", "left"), "top_words")
+        scored = ai.ai_probability(tokens, self.profile, c, self.scorers)
+        found["aiDetector"] = section(scored, F.struct(*(n for n in scored.columns if n not in ("doc_id", "ai_probability", "ai_verdict"))).alias("features"), F.col("ai_probability").alias("probability"), F.col("ai_verdict").alias("verdict"))
+        found["externalSearch"] = section(self.external_search(docs, corpus), "enabled", "provider", "queried_phrases", "results")
+        return found
+
+    def details(self, docs: DataFrame, corpus: DataFrame, with_paraphrase: bool = True) -> DataFrame:
+        """doc_id, details: a struct with a section for each stage."""
+        found = self.sections(docs, corpus, with_paraphrase)
+        return stages.merged(docs, found).select("doc_id", F.struct(*found).alias("details"))
+
+    def run(self, docs: DataFrame, corpus: DataFrame, folder: str, retries: int = 0) -> DataFrame:
+        """Every stage as a job of its own over `docs`, its sections stored in `folder`; see stages.run."""
+        each = {name: (lambda _, name=name: self.sections(docs, corpus)[name]) for name in jobs.STAGES}
+        return stages.run(docs, each, folder, retries, self.config)
+
+
+def response(described: DataFrame, results: DataFrame) -> DataFrame:
+    """doc_id, response: a document's counts and, if it has one, its result, as JSON."""
+    scalars = [c for c in RESULT if c != "doc_id"]
+    result = F.when(F.col("plagiarism_pct").isNotNull(), F.struct(*scalars))
+    own = [c for c in described.columns if c != "doc_id"]
+    return described.join(results.select(*RESULT), "doc_id", "left").select("doc_id", F.to_json(F.struct("doc_id", *own, result.alias("result")), {"ignoreNullFields": "false"}).alias("response"))
+
+
+def details_response(details: DataFrame, flags: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """doc_id, response: a document's details, tampering flags and file metadata, as JSON."""
+    listed = flags.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "type", "details"))).alias("tampering_flags"))
+    out = details.join(listed, "doc_id", "left")
+    if metadata is None:
+        out = out.withColumn("metadata", F.lit(None).cast("string"))
+    else:
+        out = out.join(metadata.select("doc_id", F.struct(*(c for c in metadata.columns if c != "doc_id")).alias("metadata")), "doc_id", "left")
+    return out.select("doc_id", F.to_json(F.struct("doc_id", "details", F.coalesce("tampering_flags", F.array().cast(listed.schema["tampering_flags"].dataType)).alias("tampering_flags"), "metadata"), {"ignoreNullFields": "false"}).alias("response"))

@@ -18,7 +18,7 @@ from lexloom.functions import minhash
 from lexloom.functions import text as T
 from lexloom.lexicon import CYRILLIC_TO_LATIN, LATIN, ZERO_WIDTH
 from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, semantic, spam, style, tampering
-from lexloom.plans import report
+from lexloom.plans import report, stages
 from lexloom.streaming import jobs
 
 CONFIG = EngineConfig()
@@ -144,11 +144,16 @@ def content_hash_dedup(spark, sf_dir):
     return metrics.content_hashes(documents(spark, sf_dir))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 2 = 0 AND s.text = d.text) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents WHERE text NOT IN (SELECT text FROM benchmark) GROUP BY text")
 def new_content(spark, sf_dir):
-    docs = metrics.content_hashes(documents(spark, sf_dir))
-    old = docs.filter("doc_id % 2 = 0").select("content_hash").distinct()
-    return docs.filter("doc_id % 2 = 1").join(old, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    return metrics.not_yet_stored(documents(spark, sf_dir), metrics.content_hashes(corpus(spark, sf_dir)))
+
+
+@query("SELECT doc_id, text, source FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text = (SELECT max(text) FROM documents))")
+def point_lookup(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    wanted = docs.agg(F.min_by("doc_id", F.struct(F.lit(0), "doc_id")).alias("least"), F.max("text").alias("text")).first().text
+    return metrics.by_id(docs, docs.filter(F.col("text") == wanted).agg(F.min("doc_id")).first()[0])
 
 
 # --- shingles, signatures, copies ---------------------------------------------------------------
@@ -185,6 +190,14 @@ def lsh_candidates(spark, sf_dir):
     return copying.candidates(documents(spark, sf_dir), corpus(spark, sf_dir), CONFIG)
 
 
+@query(f"WITH {S_CORPUS_SHINGLES}, {s_signatures('c')}, {s_buckets('c')} SELECT doc_id AS corpus_doc_id, band::BIGINT AS band, bucket FROM c_b WHERE doc_id NOT IN (SELECT item_id FROM benchmark WHERE length(text) > 400)")
+def lsh_index_update(spark, sf_dir):
+    """All sources indexed twice, which changes nothing; then the long ones are removed."""
+    sources = corpus(spark, sf_dir)
+    index = copying.indexed(spark.createDataFrame([], "corpus_doc_id long, band long, bucket long"), sources, CONFIG)
+    return copying.not_indexed(copying.indexed(index, sources, CONFIG), sources.filter(F.length("text") > 400).select(F.col("doc_id").alias("corpus_doc_id")))
+
+
 def _s_pct(name: str) -> str:
     return f"SELECT t.doc_id, total AS total_shingles, coalesce(n, 0)::BIGINT AS matched_shingles, {s_share('coalesce(n, 0)', 'total')} AS {name} FROM t LEFT JOIN (SELECT doc_id, count(DISTINCT hash) AS n FROM m GROUP BY doc_id) USING (doc_id)"
 
@@ -226,6 +239,37 @@ def rare_shingles_sample(spark, sf_dir):
     return copying.rare_shingles(documents(spark, sf_dir), corpus(spark, sf_dir), CONFIG)
 
 
+class EvenSearch:
+    """Stands in for a search service: fails for phrases that begin with t, knows none that begin with
+    a, and knows one page for each other phrase."""
+
+    name = "even"
+
+    def search(self, phrase: str) -> list[dict]:
+        if phrase.startswith("t"):
+            raise OSError("not now")
+        return [] if phrase.startswith("a") else [{"url": f"https://example.org/{phrase}", "title": phrase, "snippet": ""}]
+
+
+S_RARE = f"""{S_DOC_SHINGLES}, {S_CORPUS_SHINGLES}, r AS (SELECT doc_id, pos, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS nth, count(*) OVER (PARTITION BY doc_id) AS n
+FROM a WHERE hash NOT IN (SELECT hash FROM c)), k AS (SELECT unnest(range(0, 5)) AS i),
+rare AS (SELECT doc_id, phrase FROM r JOIN k ON (n > 5 AND nth = i * n // 5) OR (n <= 5 AND i = nth))"""
+
+
+@query(f"""WITH {S_RARE} SELECT d.doc_id, true AS enabled, 'even' AS provider, count(phrase)::BIGINT AS queried_phrases,
+count(*) FILTER (phrase IS NOT NULL AND NOT starts_with(phrase, 't'))::BIGINT AS answered, count(*) FILTER (phrase IS NOT NULL AND left(phrase, 1) NOT IN ('t', 'a'))::BIGINT AS matched
+FROM documents d LEFT JOIN rare USING (doc_id) GROUP BY d.doc_id""")
+def external_search(spark, sf_dir):
+    engine = report.Engine(replace(CONFIG, external_search=True), LATIN, provider=EvenSearch())
+    found = engine.external_search(documents(spark, sf_dir), corpus(spark, sf_dir))
+    return found.select("doc_id", "enabled", "provider", "queried_phrases", F.size("results").cast("long").alias("answered"), F.size(F.filter("results", lambda r: F.size(r["matches"]) > 0)).cast("long").alias("matched"))
+
+
+@query("SELECT doc_id, false AS enabled, 'none' AS provider, 0::BIGINT AS queried_phrases FROM documents")
+def external_search_disabled(spark, sf_dir):
+    return report.Engine(CONFIG, LATIN).external_search(documents(spark, sf_dir), corpus(spark, sf_dir)).select("doc_id", "enabled", "provider", "queried_phrases")
+
+
 # --- nearest vectors ------------------------------------------------------------------------------
 S_NEAR = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
@@ -405,6 +449,18 @@ def homoglyph_flags(spark, sf_dir):
     return tampering.homoglyphs(_planted(spark, sf_dir)).groupBy("doc_id", "char", "looks_like").agg(F.count("*").alias("flags"))
 
 
+@query(rf"""WITH d AS (SELECT doc_id, {_SWAP_SQL} AS text FROM documents),
+s AS (SELECT *, len(regexp_extract_all(text, '{_CYR}')) AS c, len(regexp_extract_all(text, '{_LAT}')) AS l FROM d),
+g AS (SELECT doc_id, c * 2 >= c + l AS cyr, regexp_extract_all(text, '\p{{L}}+') AS words, string_split_regex(text, '\p{{L}}+') AS gaps FROM s WHERE c + l > 0),
+w AS (SELECT doc_id, cyr, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word, unnest(gaps[1:len(words)]) AS gap FROM g),
+st AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start FROM w),
+ch AS (SELECT doc_id, cyr, word, start, unnest(range(0, length(word))) AS k, unnest(string_split(word, '')) AS ch FROM st WHERE regexp_matches(word, CASE WHEN cyr THEN '{_CYR}' ELSE '{_LAT}' END)),
+k AS (SELECT *, CASE WHEN cyr THEN {_PAIRS({v: k for k, v in CYRILLIC_TO_LATIN.items()})}[ch] ELSE {_PAIRS(CYRILLIC_TO_LATIN)}[ch] END AS looks_like FROM ch)
+SELECT doc_id, (start + k)::BIGINT AS position, ch AS char, looks_like, word FROM k WHERE looks_like IS NOT NULL""")
+def homoglyph_positions(spark, sf_dir):
+    return tampering.homoglyphs(_planted(spark, sf_dir))
+
+
 _ZW = ", ".join(str(ord(c)) for c in ZERO_WIDTH)
 
 
@@ -471,27 +527,54 @@ def dominant_language(spark, sf_dir):
     return language.dominant(_lines(spark, sf_dir), CONFIG).select("doc_id", "language")
 
 
-# Rules without look-behind or back-references only: repeated words are told by the neighbours.
-_GRAMMAR_RULES = tuple(r for r in grammar.RULES if r[0] != "REPEATED_WORD")
+# Documents with planted slips, so that every rule matches.
+_SLIPS_SQL = "CASE doc_id % 4 WHEN 0 THEN replace(text, ' the ', ' the  the ') WHEN 1 THEN replace(text, ', ', ',') WHEN 2 THEN replace(text, ',', ' ,') ELSE text END"
 
 
-def _checker(text):
-    return F.filter(grammar.local_matches(text), lambda r: r["rule_id"] != "REPEATED_WORD")
+def _slips(spark, sf_dir):
+    swap = lambda a, b: F.replace(F.col("text"), F.lit(a), F.lit(b))
+    kind = F.col("doc_id") % 4
+    text = F.when(kind == 0, swap(" the ", " the  the ")).when(kind == 1, swap(", ", ",")).when(kind == 2, swap(",", " ,")).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
-S_GRAMMAR = "g AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, len(regexp_extract_all(text, '{rx}')) AS n FROM documents" for _, c, _, rx in _GRAMMAR_RULES) + ")"
+def s_grammar(source: str) -> str:
+    """CTE g (doc_id, category, n). Repeated words are told from lists of words and of what is between
+    them: n equal words in a row hold n // 2 matches."""
+    plain = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, len(regexp_extract_all(text, '{rx}')) AS n FROM {source}" for name, c, _, rx in grammar.RULES if name != "REPEATED_WORD")
+    return rf"""rw AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS gap FROM {source}),
+rf AS (SELECT doc_id, array_to_string(list_transform(range(1, len(w)), lambda i: CASE WHEN lower(w[i]) = lower(w[i + 1]) AND regexp_full_match(gap[i + 1], '\s+') AND regexp_full_match(w[i], '\p{{L}}+') THEN '1' ELSE '0' END), '') AS same FROM rw),
+g AS ({plain} UNION ALL SELECT doc_id, 'GRAMMAR', coalesce(list_sum(list_transform(regexp_extract_all(same, '1+'), lambda x: (length(x) + 1) // 2)), 0) FROM rf)"""
 
 
-@query(f"WITH {S_GRAMMAR} SELECT doc_id, category, sum(n)::BIGINT AS errors FROM g WHERE n > 0 GROUP BY ALL")
+@query(f"WITH d AS (SELECT doc_id, {_SLIPS_SQL} AS text FROM documents), {s_grammar('d')} SELECT doc_id, category, sum(n)::BIGINT AS errors FROM g WHERE n > 0 GROUP BY ALL")
 def grammar_by_category(spark, sf_dir):
-    return grammar.by_category(grammar.errors(documents(spark, sf_dir), _checker))
+    return grammar.by_category(grammar.errors(_slips(spark, sf_dir)))
+
+
+_S_ROWS = " UNION ALL ".join(
+    f"""SELECT doc_id, '{name}' AS rule_id, '{c}' AS category, sum(length(hit) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit) AS position, length(hit) AS length
+FROM (SELECT doc_id, unnest(range(0, len(hits))) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '{rx}') AS hits, string_split_regex(text, '{rx}') AS gaps FROM d))"""
+    for name, c, _, rx in grammar.RULES if name != "REPEATED_WORD")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_SLIPS_SQL} AS text FROM documents),
+rw AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS gaps FROM d),
+rx AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word, unnest(gaps[1:len(w)]) AS gap FROM rw),
+ry AS (SELECT *, sum(length(word) + length(gap)) OVER own - length(word) AS start, lead(word) OVER own AS next, lead(gap) OVER own AS between_them FROM rx WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+rz AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM ry WHERE lower(word) = lower(next) AND regexp_full_match(between_them, '\s+') AND regexp_full_match(word, '\p{{L}}+')),
+ro AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY i) AS k FROM rz)
+SELECT doc_id, rule_id, category, position::BIGINT AS position, length::BIGINT AS length FROM ({_S_ROWS}
+UNION ALL SELECT doc_id, 'REPEATED_WORD', 'GRAMMAR', start, length(word) + length(between_them) + length(next) FROM ro WHERE k % 2 = 1)""")
+def grammar_errors(spark, sf_dir):
+    return grammar.errors(_slips(spark, sf_dir)).drop("message")
 
 
 # --- the report --------------------------------------------------------------------------------
 S_REPORT = f"""WITH {S_DOCS}, {S_CANDIDATES}, {S_TOTALS}, {S_GATED}, own AS (SELECT DISTINCT a.doc_id, a.hash, d.source FROM a JOIN documents d USING (doc_id)),
 p1 AS (SELECT doc_id, count(DISTINCT hash) AS n FROM m GROUP BY doc_id),
 p2 AS (SELECT own.doc_id, count(*) AS n FROM own JOIN (SELECT source, hash FROM own GROUP BY source, hash HAVING count(*) > 1) USING (source, hash) GROUP BY own.doc_id),
-{S_TOP}, {S_AI}, {S_GRAMMAR}, x AS (SELECT d.doc_id, {s_share('coalesce(p1.n, 0)', 'total')} AS plagiarism_pct, {s_share('coalesce(p2.n, 0)', 'total')} AS self_plagiarism_pct,
+{S_TOP}, {S_AI}, {s_grammar('documents')}, x AS (SELECT d.doc_id, {s_share('coalesce(p1.n, 0)', 'total')} AS plagiarism_pct, {s_share('coalesce(p2.n, 0)', 'total')} AS self_plagiarism_pct,
 {_S_CITED} AS cited_pct, {s_share('coalesce(tw.n, 0)', 'len(words)')} AS spam_pct, {s_share(_S_JUNK, 'len(words)')} AS junk_words_pct, coalesce(ge.n, 0)::BIGINT AS grammar_errors, {_S_READ} AS readability_score, {_S_PROB} AS ai_probability
 FROM d JOIN t USING (doc_id) JOIN f USING (doc_id) LEFT JOIN p1 USING (doc_id) LEFT JOIN p2 USING (doc_id) LEFT JOIN (SELECT doc_id, sum(cnt) AS n FROM top GROUP BY doc_id) tw USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n) AS n FROM g GROUP BY doc_id) ge USING (doc_id))
 SELECT doc_id, plagiarism_pct, 0::DOUBLE AS paraphrase_pct, self_plagiarism_pct, cited_pct,
@@ -500,17 +583,43 @@ least(100::DOUBLE, greatest(0::DOUBLE, {s_round('100::DOUBLE - plagiarism_pct -
 
 @query(S_REPORT)
 def originality_report(spark, sf_dir):
-    """The flagship: all stages. No embedder is configured, so paraphrase_pct is 0; grammar counts
-    the rules that the SQL can express."""
+    """The flagship: all stages. No embedder is configured, so paraphrase_pct is 0."""
+    return report.originality_report(documents(spark, sf_dir), corpus(spark, sf_dir), LATIN, CONFIG)
+
+
+@query(f"""WITH {S_DOCS}, {S_CANDIDATES}, {S_TOTALS}, {S_GATED}, own AS (SELECT DISTINCT a.doc_id, a.hash, d.source FROM a JOIN documents d USING (doc_id)),
+p1 AS (SELECT doc_id, count(DISTINCT hash) AS n FROM m GROUP BY doc_id), p3 AS (SELECT m.doc_id, count(DISTINCT m.corpus_doc_id) AS n FROM m GROUP BY m.doc_id),
+p2 AS (SELECT own.doc_id, count(*) AS n FROM own JOIN (SELECT source, hash FROM own GROUP BY source, hash HAVING count(*) > 1) USING (source, hash) GROUP BY own.doc_id),
+{S_TOP}, {S_AI}, {s_grammar('documents')} SELECT d.doc_id, total AS total_shingles, coalesce(p1.n, 0)::BIGINT AS matched_shingles, coalesce(p3.n, 0)::BIGINT AS sources, coalesce(p2.n, 0)::BIGINT AS own_matched,
+coalesce(ge.n, 0)::BIGINT AS grammar_errors, {_s_sent_share(f'len({s_words("s")}) > 25')} AS long_sentences_pct, tw.word AS top_word, {_S_PROB} AS ai_probability, false AS searched
+FROM d JOIN t USING (doc_id) JOIN f USING (doc_id) LEFT JOIN p1 USING (doc_id) LEFT JOIN p2 USING (doc_id) LEFT JOIN p3 USING (doc_id) LEFT JOIN (SELECT doc_id, word FROM top WHERE rank = 1) tw USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n) AS n FROM g GROUP BY doc_id) ge USING (doc_id)""")
+def result_sections(spark, sf_dir):
+    """The sections of all stages but paraphrase, a value or two of each."""
+    x = report.Engine(CONFIG, LATIN).details(documents(spark, sf_dir), corpus(spark, sf_dir), with_paraphrase=False)
+    at = lambda path: F.col(f"details.{path}")
+    return x.select(
+        "doc_id", at("plagiarism.total_shingles").alias("total_shingles"), at("plagiarism.matched_shingles").alias("matched_shingles"), F.coalesce(F.size(at("plagiarism.sources")), F.lit(0)).cast("long").alias("sources"),
+        at("plagiarism.self_plagiarism.matched_shingles").alias("own_matched"), at("grammar.total_errors").alias("grammar_errors"), at("style.long_sentences_pct").alias("long_sentences_pct"),
+        F.get(at("spam.top_words.word"), F.lit(0)).alias("top_word"), at("aiDetector.probability").alias("ai_probability"), at("externalSearch.enabled").alias("searched"))
+
+
+@query(f"""WITH {S_DOCS}, {s_grammar('documents')}, e AS (SELECT doc_id, sum(n)::BIGINT AS n FROM g GROUP BY doc_id), x AS (SELECT d.doc_id, length(text) > 4000 AS bad, len(words)::BIGINT AS total, n FROM d JOIN e USING (doc_id))
+SELECT doc_id, CASE WHEN bad THEN 'grammar' END AS failed_stage, CASE WHEN bad THEN 'text too long' END AS failure_reason, greatest(0, total - 4)::BIGINT AS total_shingles,
+CASE WHEN NOT bad THEN n END AS grammar_errors, CASE WHEN NOT bad THEN total END AS total_words FROM x""")
+def stage_isolation(spark, sf_dir):
+    """A grammar stage that refuses long texts: those documents keep what came before it."""
     docs = documents(spark, sf_dir)
-    full = report.originality_report(docs, corpus(spark, sf_dir), LATIN, CONFIG)
-    return full.drop("grammar_errors").join(grammar.grammar(docs, _checker).select("doc_id", "grammar_errors"), "doc_id").select(*report.RESULT)
+    checked = docs.select("doc_id", F.struct(grammar.local_count(F.col("text")).alias("n")).alias("section"), F.when(F.length("text") > 4000, "text too long").alias("error"))
+    counted = spam.spam(metrics.tokenized(docs), LATIN, CONFIG).select("doc_id", F.struct("total_words").alias("section"))
+    found = stages.merged(docs, {"plagiarism": copying.totals(docs, CONFIG).select("doc_id", F.struct("total_shingles").alias("section")), "grammar": checked, "spam": counted})
+    return found.select("doc_id", "failed_stage", "failure_reason", "plagiarism.total_shingles", F.col("grammar.n").alias("grammar_errors"), "spam.total_words")
 
 
 # --- jobs, dictionaries ----------------------------------------------------------------------------
 def _events(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").otherwise("other")
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("job_id"), "ts", F.col("event_id").cast("long").alias("event_id"), kind.alias("kind"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("job_id"), "ts", F.col("event_id").cast("long").alias("event_id"), kind.alias("kind"),
+                                                 F.element_at(F.array(*map(F.lit, jobs.STAGES)), (F.col("event_id") % len(jobs.STAGES) + 1).cast("int")).alias("stage"))
 
 
 _S_STAGES = _LIST(jobs.STAGES)

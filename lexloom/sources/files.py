@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
-from lexloom.operators.metadata import iso_date, xml_tag
+from lexloom.operators import copying
+from lexloom.operators.metadata import iso_date, pdf_date, suspicion, xml_tag
+from lexloom.operators.metrics import not_yet_stored
 
 PDF, DOCX, TXT = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain"
 #: Bytes in which a NUL speaks against plain text.
 SNIFFED = 8000
+#: First bytes, in hexadecimal, of files that aren't text: ZIP, PNG, GIF, JPEG, GZIP, RTF, PostScript, old Office.
+OTHER_TYPES = ("504B0304", "89504E47", "47494638", "FFD8FF", "1F8B", "7B5C727466", "25215053", "D0CF11E0")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -35,12 +41,17 @@ def within_limits(files: DataFrame, config: EngineConfig = EngineConfig(), corpu
     return files.filter(fits), files.filter(~fits).select("path", "length", F.lit("FILE_TOO_LARGE").alias("error"))
 
 
-def mime(path: Column, content: Column) -> Column:
-    """PDF and DOCX by what they hold, text by a missing NUL and the name; null: not accepted."""
+def mime(path: Column, content: Column, declared: Column | None = None) -> Column:
+    """PDF and DOCX by what they hold; text by a missing NUL and the name or the declared type, if no
+    other type is seen; null: not accepted."""
     head = F.hex(F.substring(content, 1, SNIFFED))
-    zip_file, word = head.startswith("504B0304"), F.contains(content, F.lit(b"word/document.xml"))
-    plain = F.lower(path).endswith(".txt") & ~head.rlike("^(?:..)*?00")
-    return F.when(head.startswith("25504446"), PDF).when(zip_file & word, DOCX).when(~zip_file & plain, TXT)
+    word = F.contains(content, F.lit(b"word/document.xml"))
+    other = F.lit(False)
+    for magic in OTHER_TYPES:
+        other = other | head.startswith(magic)
+    named = F.lower(path).endswith(".txt")
+    named = named if declared is None else named | F.coalesce(declared == TXT, F.lit(False))
+    return F.when(head.startswith("25504446"), PDF).when(head.startswith("504B0304") & word, DOCX).when(~other & named & ~head.rlike("^(?:..)*?00"), TXT)
 
 
 def docx_parts(content: Column) -> Column:
@@ -76,13 +87,66 @@ def joined_pages(pages: Column) -> Column:
     return F.array_join(pages, "\n\n")
 
 
+def pdf_info(content: Column) -> Column:
+    """author, producer, creator, created, modified, as written in a PDF's document information.
+
+    Reads plain objects only: null for encrypted files and for information in object streams.
+    """
+
+    @F.pandas_udf("author string, producer string, creator string, created string, modified string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([info_values(x) for x in p], columns=["author", "producer", "creator", "created", "modified"], dtype=object)
+
+    return run(content)
+
+
+def info_values(data: bytes | None) -> tuple[str | None, ...]:
+    keys = (b"Author", b"Producer", b"Creator", b"CreationDate", b"ModDate")
+    refs = re.findall(rb"/Info\s+(\d+)\s+(\d+)\s+R", data or b"")
+    if not refs or b"/Encrypt" in data:
+        return (None,) * len(keys)
+    at = [m.end() for m in re.finditer(rb"(?<!\d)%s\s+%s\s+obj\b" % refs[-1], data)]
+    return tuple(pdf_string(data[at[-1] :], k) if at else None for k in keys)
+
+
+def pdf_string(data: bytes, key: bytes) -> str | None:
+    """The string value of a key of the dictionary that `data` begins with."""
+    m = re.match(rb"(?s)(.{0,20000}?)/%s\s*([(<])" % key, data)
+    if not m or b"endobj" in m[1]:
+        return None
+    if m[2] == b"<":
+        digits = re.sub(rb"\s", b"", data[m.end() : data.index(b">", m.end())])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        out, depth, i = bytearray(), 1, m.end()
+        named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+        while i < len(data) and depth:
+            c = data[i : i + 1]
+            if c == b"\\":
+                octal = re.match(rb"[0-7]{1,3}", data[i + 1 : i + 4])
+                if octal:
+                    out.append(int(octal[0], 8) & 255)
+                    i += len(octal[0])
+                else:
+                    out += named.get(data[i + 1 : i + 2], data[i + 1 : i + 2])
+                    i += 1
+            else:
+                depth += (c == b"(") - (c == b")")
+                out += c if depth else b""
+            i += 1
+        raw = bytes(out)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
 def extract(files: DataFrame, config: EngineConfig = EngineConfig(), pdf=None, ocr=None) -> DataFrame:
-    """path, content_hash, mime, text, xml, core, app, error.
+    """path, content_hash, mime, text, xml, core, app, info, error. A column `declared` of `files`
+    is the type that the sender named.
 
     pdf: Column builder from content to (text, pages); ocr: from content to an array of pages' texts
     (null: failed, the text stays). Without them PDFs have no text. A byte order mark stays in text.
     """
-    found = files.select("path", "content", F.sha2("content", 256).alias("content_hash"), mime(F.col("path"), F.col("content")).alias("mime"))
+    found = files.select("path", "content", F.sha2("content", 256).alias("content_hash"), mime(F.col("path"), F.col("content"), F.col("declared") if "declared" in files.columns else None).alias("mime"))
     is_docx = F.col("mime") == DOCX
     found = found.withColumn("docx", docx_parts(F.when(is_docx, F.col("content"))))
     text = F.when(F.col("mime") == TXT, F.make_valid_utf8(F.col("content").cast("string"))).when(is_docx, F.col("docx.text"))
@@ -93,7 +157,7 @@ def extract(files: DataFrame, config: EngineConfig = EngineConfig(), pdf=None, o
             wanted = needs_ocr(F.col("mime"), F.col("pdf.text"), F.col("pdf.pages"), config)
             text = F.when(wanted, F.coalesce(joined_pages(ocr(F.col("content"))), text)).otherwise(text)
     error = F.when(F.col("mime").isNull(), "UNSUPPORTED_TYPE").when(text.isNull(), "NO_TEXT")
-    return found.select("path", "content_hash", "mime", text.alias("text"), F.col("docx.document").alias("xml"), F.col("docx.core").alias("core"), F.col("docx.app").alias("app"), error.alias("error"))
+    return found.select("path", "content_hash", "mime", text.alias("text"), F.col("docx.document").alias("xml"), F.col("docx.core").alias("core"), F.col("docx.app").alias("app"), pdf_info(F.when(F.col("mime") == PDF, F.col("content"))).alias("info"), error.alias("error"))
 
 
 def docx_metadata(extracted: DataFrame) -> DataFrame:
@@ -103,7 +167,71 @@ def docx_metadata(extracted: DataFrame) -> DataFrame:
                             iso_date(xml_tag(core, "dcterms:created")).alias("created"), iso_date(xml_tag(core, "dcterms:modified")).alias("modified"), xml_tag(app, "Application").alias("software"))
 
 
+def file_metadata(extracted: DataFrame, as_of: Column) -> DataFrame:
+    """path, created, modified, author, producer, suspicious, suspicion_note of PDF and DOCX files.
+
+    as_of: when the files were submitted. Files of other types have no row.
+    """
+    core, app, info = F.col("core"), F.col("app"), F.col("info")
+    is_pdf = F.col("mime") == PDF
+    rows = extracted.filter(F.col("mime").isin(PDF, DOCX)).select(
+        "path", F.when(is_pdf, pdf_date(info["created"])).otherwise(iso_date(xml_tag(core, "dcterms:created"))).alias("created"),
+        F.when(is_pdf, pdf_date(info["modified"])).otherwise(iso_date(xml_tag(core, "dcterms:modified"))).alias("modified"),
+        F.when(is_pdf, info["author"]).otherwise(xml_tag(core, "dc:creator")).alias("author"),
+        F.when(is_pdf, F.coalesce(info["producer"], info["creator"])).otherwise(xml_tag(app, "Application")).alias("producer"))
+    why = suspicion(F.col("created"), F.col("modified"), as_of)
+    return rows.withColumns({"suspicious": F.coalesce(F.size(why) > 0, F.lit(False)), "suspicion_note": F.get(why, F.lit(0))})
+
+
 def write_tables(frames: dict[str, DataFrame], folder: str, mode: str = "append") -> None:
     """A Parquet table for each frame."""
     for name, df in frames.items():
         df.write.mode(mode).parquet(f"{folder}/{name}")
+
+
+def replace_rows(rows: DataFrame, folder: str, key: str = "doc_id", keys: DataFrame | None = None, buckets: int = 64) -> None:
+    """Replaces what the table in `folder` has of each key with `rows`; a run again changes nothing.
+
+    The table lies in `buckets` parts by a hash of the key; only parts that `keys` (by default the
+    keys of `rows`) fall into are written anew. Keys without rows lose theirs.
+    """
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    keys = (rows if keys is None else keys).select(key).distinct()
+    new = rows.withColumn("bucket", part)
+    try:
+        old = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        old = None
+    if old is not None:
+        touched = {r.bucket for r in keys.select(part.alias("bucket")).distinct().collect()}  # `buckets` rows at most
+        kept = old.filter(F.col("bucket").isin(*touched) if touched else F.lit(False)).alias("o").join(keys.alias("k"), F.col(f"o.{key}").eqNullSafe(F.col(f"k.{key}")), "left_anti")
+        new = kept.select(*new.columns).unionByName(new)
+        left = {r.bucket for r in new.select("bucket").distinct().collect()}
+    if old is None or left:
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    for bucket in touched - left if old is not None else ():  # nothing is left of these
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket={bucket}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def add_corpus(sources: DataFrame, folder: str, config: EngineConfig = EngineConfig()) -> None:
+    """Adds sources (doc_id, title, source_url, text) to the corpus in `folder`, with their shingles
+    and LSH buckets; contents that it has already are passed over.
+
+    Documents are written last, so that a run that broke off is done again whole.
+    """
+    spark = sources.sparkSession
+    hashed = sources.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    try:
+        stored = spark.read.parquet(f"{folder}/documents").select("content_hash")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = hashed.select("content_hash").limit(0)
+    fresh = hashed.join(not_yet_stored(sources, stored), ["doc_id", "content_hash"], "left_semi")
+    replace_rows(copying.shingle_table(fresh, config), f"{folder}/shingles")
+    replace_rows(copying.buckets(fresh, config).withColumnRenamed("doc_id", "corpus_doc_id"), f"{folder}/lsh", "corpus_doc_id")
+    fresh.write.mode("append").parquet(f"{folder}/documents")

@@ -5,24 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 
+# The stages' names and order, and a job's states.
 STAGES = ("plagiarism", "paraphrase", "grammar", "style", "spam", "aiDetector", "externalSearch")
 PROCESSING, DONE, FAILED = "PROCESSING", "DONE", "FAILED"
 _SALTS = 32
 
 
-def stage_of(event_id):
-    """The stage a failed attempt stopped in, derived from the event."""
-    return F.element_at(F.array(*map(F.lit, STAGES)), (event_id % len(STAGES) + 1).cast("int"))
-
-
 def job_states(events: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """job_id, status, retry_count, failed_stage from events (job_id, ts, event_id, kind: error or done).
+    """job_id, status, retry_count, failed_stage from events (job_id, ts, event_id, kind: error or
+    done, stage: where an error happened).
 
     Each error counts; the last allowed one makes the job FAILED, a `done` before it DONE; what
     follows a terminal state changes nothing. Only the first errors of a job matter, and these are
@@ -30,15 +27,16 @@ def job_states(events: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     """
     most = config.max_retries
     at = F.struct("ts", "event_id")
-    errors = events.filter("kind = 'error'").select("job_id", at.alias("at"), F.pmod(F.xxhash64("event_id"), F.lit(_SALTS)).alias("salt"))
+    known = F.struct("ts", "event_id", "stage")
+    errors = events.filter("kind = 'error'").select("job_id", known.alias("at"), F.pmod(F.xxhash64("event_id"), F.lit(_SALTS)).alias("salt"))
     few = errors.withColumn("n", F.row_number().over(W.partitionBy("job_id", "salt").orderBy("at"))).filter(F.col("n") <= most)
     first = few.withColumn("n", F.row_number().over(W.partitionBy("job_id").orderBy("at"))).filter(F.col("n") <= most)
     ended = events.groupBy("job_id").agg(F.min(F.when(F.col("kind") == "done", at)).alias("done"))
-    before = F.col("at").isNotNull() & (F.col("done").isNull() | (F.col("at") < F.col("done")))
+    before = F.col("at").isNotNull() & (F.col("done").isNull() | (F.struct("at.ts", "at.event_id") < F.col("done")))
     counted = ended.join(first, "job_id", "left").groupBy("job_id").agg(
         F.first("done").alias("done"), F.count(F.when(before, 1)).alias("retry_count"), F.max(F.when(before, F.col("at"))).alias("last"))
     status = F.when(F.col("retry_count") >= most, FAILED).when(F.col("done").isNotNull(), DONE).otherwise(PROCESSING)
-    failed = F.when((status != DONE) & (F.col("retry_count") > 0), stage_of(F.col("last.event_id")))
+    failed = F.when((status != DONE) & (F.col("retry_count") > 0), F.col("last.stage"))
     return counted.select("job_id", status.alias("status"), "retry_count", failed.alias("failed_stage"))
 
 
@@ -46,6 +44,30 @@ def dead_letters(states: DataFrame) -> DataFrame:
     return states.filter(F.col("status") == FAILED).select("job_id", "retry_count", "failed_stage")
 
 
+def publish(ids: DataFrame, queue: str) -> None:
+    """Appends job ids to a queue, a folder of files that `queued` reads as a stream."""
+    ids.select(F.col("job_id").cast("long").alias("job_id"), F.current_timestamp().alias("published")).write.mode("append").parquet(queue)
+
+
+def queued(spark: SparkSession, queue: str) -> DataFrame:
+    """The queue as a stream. Its checkpoint says what was taken; a batch that broke off comes again."""
+    return spark.readStream.schema("job_id long, published timestamp").parquet(queue)
+
+
+def known_jobs(jobs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Jobs whose document exists; others are dropped."""
+    return jobs.join(documents.select(F.col("doc_id").alias("job_id")), "job_id", "left_semi")
+
+
+def dead_letter_sink(states: DataFrame, folder: str, checkpoint: str):
+    """Writes the jobs of a state stream that failed for good to `folder`, once each by batch."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        dead_letters(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return states.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+
+
 def status_until_terminal(events: DataFrame) -> DataFrame:
     """Each job's events up to and including its first terminal one. events: job_id, ts, event_id, kind."""
     end = events.filter("kind in ('done', 'failed')").groupBy("job_id").agg(F.min(F.struct("ts", "event_id")).alias("end"))
@@ -63,7 +85,7 @@ def stream_job_states(events: DataFrame, config: EngineConfig = EngineConfig())
             if status != PROCESSING:
                 break
             if e.kind == "error":
-                retries, failed = retries + 1, STAGES[e.event_id % len(STAGES)]
+                retries, failed = retries + 1, e.stage
                 status = FAILED if retries >= most else PROCESSING
             elif e.kind == "done":
                 status, failed = DONE, None

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import json
 import zipfile
 from dataclasses import replace
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.config import EngineConfig
 from lexloom.lexicon import RUSSIAN
 from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, semantic, spam, style, tampering
+from lexloom.plans import report, stages
 from lexloom.plans.report import Engine, originality_report
 from lexloom.sources import files, providers
 from lexloom.streaming import jobs
@@ -95,14 +97,51 @@ def test_language(spark):
 
 
 def test_grammar(spark):
-    got = {r.doc_id: r for r in grammar.grammar(docs(spark, "the the cat ,dog", "fine", None)).collect()}
+    got = {r.doc_id: r for r in grammar.grammar(docs(spark, "the the cat ,dog", "fine", None, "\U0001F600 so so so so,x")).collect()}
     assert got[0].grammar_errors == 2 and got[0].grammar_by_category == {"GRAMMAR": 1, "TYPOGRAPHY": 1} and got[1].grammar_errors == 0
+    assert [(e.rule_id, e.position, e.length) for e in got[0].errors] == [("REPEATED_WORD", 0, 7), ("SPACE_BEFORE", 10, 3)]
+    assert [(e.rule_id, e.position, e.length) for e in got[3].errors] == [("REPEATED_WORD", 3, 5), ("REPEATED_WORD", 9, 5), ("NO_SPACE", 13, 3)]
+
+
+def test_grammar_service(spark):
+    def post(url, form):
+        if "bad" in form["text"]:
+            return 500, {}
+        return 200, {"matches": [{"message": "m", "offset": 3, "length": 2, "rule": {"id": "R", "category": None}}] if form["text"] == "x" else []}
+
+    service = providers.GrammarService("http://g", post)
+    d = spark.createDataFrame([(2**60 + 1, "x"), (None, "y")], "doc_id long, text string")
+    assert [tuple(r) for r in grammar.errors(d, service).collect()] == [(2**60 + 1, "R", "Other", "m", 3, 2)]
+    assert {r.doc_id: r.grammar_errors for r in grammar.grammar(docs(spark, "x", "z"), service).collect()} == {0: 1, 1: 0}
+    with pytest.raises(Exception, match="status 500"):
+        grammar.errors(docs(spark, "bad"), service).collect()
+
+
+def test_language_service(spark):
+    def post(path, payload):
+        if path == "perplexity":
+            return (503, {}) if payload["text"] == "off" else (200, {"perplexity": 30.0})
+        if path == "lemmatize":
+            return 200, {"tokens": [{"lemma": w.rstrip("s"), "pos": "N"} for w in payload["text"].split()]}
+        raise OSError
+
+    service = providers.LanguageService(post)
+    got = docs(spark, "on", "off").select(service.perplexity(F.col("text")).alias("p")).collect()
+    assert [r.p for r in got] == [30.0, None]
+    assert [(x.text, x.lemma, x.pos) for x in metrics.lemmas(docs(spark, "Cats 12 dog"), service.lemmas).first().lemmas] == [("cats", "cat", "N"), ("dog", "dog", "N")]
+    assert metrics.lemmas(docs(spark, "x")).first().lemmas is None
+    with pytest.raises(Exception, match="unavailable"):
+        docs(spark, "on").select(service.embedding(F.col("text"))).collect()
 
 
 def test_metadata(spark):
     d = spark.createDataFrame([("D:20240102030405+03'00'",), ("D:20240102",), ("x",), (None,)], "raw string")
     got = [r.t for r in d.select(metadata.pdf_date(F.col("raw")).alias("t")).collect()]
     assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2), None, None]
+    more = spark.createDataFrame([("D:2024010203040",), ("D:20241340256199Z",), ("D:2024010",)], "raw string")
+    assert [r.t for r in more.select(metadata.pdf_date(F.col("raw")).alias("t")).collect()] == [dt.datetime(2024, 1, 2, 3, 4), dt.datetime(2025, 2, 10, 2, 2, 39), None]
+    x = spark.createDataFrame([("<a><dc:b x='1'> t &amp; u </dc:b></a>",), ("<dc:bc>no</dc:bc><dc:b></dc:b>",), ("<dc:b><i/></dc:b><dc:b>2</dc:b>",), ("",), (None,)], "x string")
+    assert [r.t for r in x.select(metadata.xml_tag(F.col("x"), "dc:b").alias("t")).collect()] == ["t &amp; u", "", "2", None, None]
 
 
 def docx(**parts):
@@ -130,7 +169,41 @@ def test_files(spark, tmp_path):
     assert got["a.docx"[-5:]].text == "Hidden words\n\nNext" and got["b.txt"].text.startswith("﻿") and got["c.pdf"].text == "one\n\ntwo" and got["d.bin"].error == "UNSUPPORTED_TYPE"
     flags = tampering.docx_findings(files.extract(read).select(F.col("path").alias("doc_id"), "xml")).collect()
     assert {(r.kind, r.least_points) for r in flags} == {("vanish", None), ("size", 4.0)}
-    assert [r.author for r in files.docx_metadata(files.extract(read)).collect() if r.author] == ["Someone"]
+    assert [r.author for r in files.file_metadata(files.extract(read), F.current_timestamp()).collect() if r.author] == ["Someone"]
+    declared = read.withColumn("declared", F.lit("text/plain"))
+    (tmp_path / "e").write_text("no name")
+    (tmp_path / "f").write_bytes(b"GIF89a no nul")
+    declared = files.read_files(spark, str(tmp_path)).withColumn("declared", F.lit("text/plain"))
+    assert {r.path[-2:]: r.mime for r in files.extract(declared).collect() if r.path[-2] == "/"} == {"/e": "text/plain", "/f": None}
+
+
+def test_pdf_information(spark):
+    body = b"%PDF-1.4\n3 0 obj << /Title (x) /Author (A \\(b\\) \\101) /Producer <FEFF0041> /CreationDate (D:20240101000000Z) /ModDate (D:20240301000000) >> endobj\ntrailer << /Info 3 0 R >>"
+    assert files.info_values(body) == ("A (b) A", "A", None, "D:20240101000000Z", "D:20240301000000")
+    assert files.info_values(b"%PDF-1.4 x") == files.info_values(None) == (None,) * 5
+    rows = spark.createDataFrame([("a.pdf", bytearray(body))], "path string, content binary")
+    got = files.file_metadata(files.extract(rows), F.lit("2024-03-01 00:01:00").cast("timestamp")).first()
+    assert (got.author, got.producer, got.suspicious, got.suspicion_note) == ("A (b) A", "A", True, "touched_now")
+
+
+def test_replace_rows(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(x, "doc_id long, v string")
+    files.replace_rows(rows((1, "a"), (1, "b"), (2, "c")), folder, buckets=2)
+    for _ in range(2):
+        files.replace_rows(rows((1, "d")), folder, keys=rows((1, ""), (3, "")), buckets=2)
+    assert sorted((r.doc_id, r.v) for r in spark.read.parquet(folder).collect()) == [(1, "d"), (2, "c")]
+    files.replace_rows(rows().limit(0), folder, keys=rows((2, "")), buckets=2)
+    assert [(r.doc_id, r.v) for r in spark.read.parquet(folder).collect()] == [(1, "d")]
+
+
+def test_add_corpus(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    sources = spark.createDataFrame([(1, "T", "u", BASE), (2, "T", "u", BASE), (3, "V", None, "one two three four five")], "doc_id long, title string, source_url string, text string")
+    for _ in range(2):
+        files.add_corpus(sources, folder)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{folder}/documents").collect()) == [1, 3]
+    assert spark.read.parquet(f"{folder}/shingles").count() == 9 and {r.corpus_doc_id for r in spark.read.parquet(f"{folder}/lsh").collect()} == {1, 3}
 
 
 def test_providers(spark):
@@ -145,8 +218,10 @@ def test_providers(spark):
 
     on = providers.external_search(sample, providers.JsonSearch("http://x", fetch), EngineConfig(external_search=True)).first()
     assert on.queried_phrases == 2 and [r.phrase for r in on.results] == ["a b"] and on.results[0].matches[0].url == "u"
-    found = providers.XmlSearch("http://x", lambda u, p: "<doc id='1'><url>u</url><title>a <b>t</b></title></doc>").search("q")
-    assert found == [{"url": "u", "title": "a t", "snippet": ""}]
+    none = providers.external_search(sample, providers.NoSearch(), EngineConfig(external_search=True), docs(spark, "x", "y")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.queried_phrases, len(r.results)) for r in none] == [(0, 0, 0), (1, 2, 2)]  # asked without matches
+    xml = "<doc><url> u </url><title>a <b>t</b> &amp; c</title></doc><doc><title>no url</title></doc><doc><url>v</url><passage><i>p</i></passage></doc>"
+    assert providers.XmlSearch("http://x", lambda u, p: xml).search("q") == [{"url": "u", "title": "a t &amp; c", "snippet": ""}, {"url": "v", "title": "v", "snippet": "p"}]
 
 
 def test_dictionaries(spark):
@@ -165,12 +240,60 @@ def test_report_and_engine(spark):
     assert frames.copy_sources.first().title == "T" and frames.details.count() == 3 and frames.documents.count() == 3
 
 
-EVENTS = [(1, 1, 10, "error"), (1, 2, 11, "error"), (1, 3, 12, "error"), (1, 4, 13, "done"), (2, 1, 14, "error"), (2, 2, 15, "done"), (2, 3, 16, "error"), (3, 1, 17, "other")]
+def test_stages(spark, tmp_path):
+    d, corpus = docs(spark, BASE, "short"), spark.createDataFrame([(9, BASE)], "doc_id long, text string")
+    engine = Engine(provider=providers.NoSearch())
+    done = engine.run(d, corpus, str(tmp_path / "ok")).collect()
+    assert {(r.doc_id, r.status, r.retry_count, r.failed_stage) for r in done} == {(0, "DONE", 0, None), (1, "DONE", 0, None)}
+    assert all(spark.read.parquet(f"{tmp_path}/ok/{s}").count() == 2 for s in jobs.STAGES)
+
+    def refuse(_):
+        raise providers.ServiceError("status 500")
+
+    broken, folder = Engine(checker=refuse), str(tmp_path / "bad")
+    parts = {name: (lambda _, name=name: engine.sections(d, corpus)[name]) for name in ("plagiarism", "paraphrase", "style")} | {"grammar": lambda _: broken.sections(d, corpus)["grammar"]}
+    for retries, status in ((0, "PROCESSING"), (2, "FAILED")):
+        got = stages.run(d, parts, folder, retries).first()
+        assert (got.status, got.retry_count, got.failed_stage, got.failure_reason) == (status, retries + 1, "grammar", "status 500")
+    assert (tmp_path / "bad/paraphrase").exists() and not (tmp_path / "bad/style").exists()
+
+
+def test_responses(spark):
+    d, corpus = docs(spark, BASE, "pаper text"), spark.createDataFrame([(9, BASE, "T")], "doc_id long, text string, title string")
+    frames = Engine().analyze(d, corpus, with_paraphrase=True)
+    first = json.loads(report.response(frames.documents, frames.results).orderBy("doc_id").first().response)
+    assert first["word_count"] == 12 and first["result"]["plagiarism_pct"] == 100.0
+    both = [json.loads(r.response) for r in report.details_response(frames.details, frames.tampering_flags).orderBy("doc_id").collect()]
+    assert set(both[0]["details"]) == set(jobs.STAGES) and both[0]["details"]["plagiarism"]["sources"][0]["title"] == "T" and both[0]["details"]["paraphrase"]["matched_sentences"] == 1
+    assert both[1]["tampering_flags"][0]["position"] == 1 and both[1]["metadata"] is None
+
+
+def test_queue(spark, tmp_path):
+    queue, out = str(tmp_path / "q"), str(tmp_path / "dead")
+    jobs.publish(spark.createDataFrame([(1,), (7,)], "job_id long"), queue)
+    q = jobs.queued(spark, queue).writeStream.format("memory").queryName("queue").start()
+    q.processAllAvailable()
+    q.stop()
+    taken = spark.table("queue")
+    assert taken.count() == 2 and [r.job_id for r in jobs.known_jobs(taken, docs(spark, "a", "b")).collect()] == [1]
+    EVENT_FRAME(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
+    states = jobs.stream_job_states(spark.readStream.schema(EVENT_FRAME(spark).schema).parquet(str(tmp_path / "in")))
+    q = jobs.dead_letter_sink(states, out, str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.job_id, r.failed_stage) for r in spark.read.parquet(out).collect()] == [(1, "style")]
+
+
+EVENTS = [(1, 1, 10, "error", "grammar"), (1, 2, 11, "error", "grammar"), (1, 3, 12, "error", "style"), (1, 4, 13, "done", None), (2, 1, 14, "error", "spam"), (2, 2, 15, "done", None), (2, 3, 16, "error", "spam"), (3, 1, 17, "other", None)]
+
+
+def EVENT_FRAME(spark):
+    return spark.createDataFrame(EVENTS, "job_id long, ts long, event_id long, kind string, stage string")
 
 
 def test_jobs_batch_and_stream(spark, tmp_path):
-    e = spark.createDataFrame(EVENTS, "job_id long, ts long, event_id long, kind string")
-    want = {1: ("FAILED", 3, jobs.STAGES[12 % 7]), 2: ("DONE", 1, None), 3: ("PROCESSING", 0, None)}
+    e = EVENT_FRAME(spark)
+    want = {1: ("FAILED", 3, "style"), 2: ("DONE", 1, None), 3: ("PROCESSING", 0, None)}
     assert {r.job_id: (r.status, r.retry_count, r.failed_stage) for r in jobs.job_states(e).collect()} == want
     assert [r.job_id for r in jobs.dead_letters(jobs.job_states(e)).collect()] == [1]
     assert jobs.status_until_terminal(e).filter("job_id = 2").count() == 2
