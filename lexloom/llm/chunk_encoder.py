@@ -23,7 +23,7 @@ _UNSURE = "[\\t\\x0B\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\
 #: Chunks that are encoded as one text, a special token between them.
 _TOGETHER = 1000
 #: Bytes of text of a batch, about; a longer text is a batch of its own. Chunks whose ids are put back at once.
-CHARS, SPREAD = 16_000_000, 500_000
+CHARS, SPREAD = 10_000_000, 300_000
 _loaded: dict[tuple, ChunkEncoder] = {}
 
 
@@ -76,7 +76,7 @@ class ChunkEncoder:
     stays bounded; what was dropped is encoded again when it is met again.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 1_500_000):
+    def __init__(self, path: str, kind: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -9,6 +9,8 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +98,20 @@ def one_thread() -> None:
         trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 3000) -> Iterator[None]:
+    """While it lasts, Arrow batches hold `rows` rows at most, since a row may be a long text; a
+    smaller setting stays. For jobs that run inside an operator."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def head_threshold(table: DataFrame, most: int) -> int:
     """The least power of two that at most `most` rows reach in `n`, from a histogram of `n`."""
     bins = table.groupBy(F.floor(F.log2("n")).cast("int").alias("bin")).agg(F.count("*").alias("rows")).collect()  # 64 rows at most

@@ -253,7 +253,7 @@ def classified(docs: DataFrame, folder: str, classes: Classes) -> DataFrame:
             size = np.diff(before)
 
             def summed(x: np.ndarray) -> np.ndarray:
-                return np.bincount(np.repeat(np.arange(len(size)), size), x[each], len(size))
+                return np.bincount(np.repeat(np.arange(len(size)), size), x[each], len(size)).astype(float)  # of nothing it counts whole numbers
 
             ids = np.full(len(each) + len(size), c.end, "<u2")
             ids[np.arange(len(each)) + np.repeat(np.arange(len(size)), size)] = kind[each]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import stored, with_fields
+from lexloom.llm.common import small_batches, stored, with_fields
 
 #: Tokens of a sequence at most.
 WINDOW = 2048
@@ -124,7 +124,8 @@ def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> Da
     that ends at a smaller power of two needs no padding, but the fullest multiset wastes less.
     An empty table gives no pieces.
     """
-    pieces = stored(cut(docs, path, end, window), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(cut(docs, path, end, window), "pieces")
     rest = pieces.filter(F.col("length") < window)
     sizes = {r.length: r.n for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # under WINDOW rows
     rows, first_full = plan(sizes, window)

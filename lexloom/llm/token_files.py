@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm.chunk_encoder import batches, encoder
-from lexloom.llm.common import files_at, new_path, stored
+from lexloom.llm.common import files_at, new_path, small_batches, stored
 from lexloom.llm.partition_words import binaries
 
 #: Id appended to each document.
@@ -122,7 +122,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END, kind: str = "
             yield pa.record_batch({"doc_id": pa.nulls(1, key), "ids": pa.nulls(1, pa.binary()), "width": pa.array([0], pa.int32()), "counts": pa.array([np.stack((at, n[at])).astype("<i8").tobytes()], pa.binary())})
 
     schema = docs.select("doc_id").schema.add("ids", "binary").add("width", "integer").add("counts", "binary")
-    encoded = stored(docs.select("doc_id", "text").mapInArrow(tokens, schema), "token-ids")
+    with small_batches(spark):
+        encoded = stored(docs.select("doc_id", "text").mapInArrow(tokens, schema), "token-ids")
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:

@@ -61,6 +61,52 @@ def test_op1(spark):
     assert {r.doc_id: r.text for r in back} == {i: t or "" for i, t in enumerate(ODD)}
 
 
+def test_ids_stay_exact(spark):
+    """Ids that a double can't hold, a null among them, through every operator that hands on doc_id."""
+    d = large(spark)
+    labels = spark.createDataFrame([(LARGE[0], 1), (LARGE[1], 0), (None, 1)], "doc_id long, toxic int")
+    for name, got in {
+        "op1": bpe.round_trip(d, BYTE), "op2": jaccard.join(d), "op3": lm.score(d), "op4": token_files.digest(d, WORD), "op5": langid.languages(d),
+        "op9": packing.pack(d, BYTE), "op10": toxicity.toxicity(d, labels)}.items():
+        assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, LARGE)), name
+    also = langid.identify(d.withColumn("n", F.col("doc_id")), langid.ByteCNN(["en"]), ["n"]).collect()
+    assert all(r.n == r.doc_id for r in also)
+
+
+def test_clashing_columns(spark):
+    """Columns of the table with the names that operators use themselves change nothing."""
+    texts = ["one two three four", "one two three four", None, "", "five six " * 50]
+    plain = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    more = plain
+    for c in ("ids", "n", "id", "word", "words", "part", "bucket", "train", "score", "n_tokens", "start", "length", "prefix", "bits", "h1", "h", "component", "predicted", "toxic", "lang_pred", "base"):
+        more = more.withColumn(c, F.lit("x"))
+    labels = spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, toxic int").withColumns({"text": F.lit("y"), "score": F.lit(1)})
+    for run in (lambda d: bpe.round_trip(d, BYTE), jaccard.join, lm.score, lambda d: token_files.digest(d, WORD), langid.languages, lambda d: packing.pack(d, BYTE), lambda d: toxicity.toxicity(d, labels)):
+        a, b = (sorted(map(str, run(d).collect())) for d in (plain, more))
+        assert a == b
+    urls = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    assert url_filter.filter_urls(urls.withColumns({c: F.lit("x") for c in ("gram", "n", "rule", "ruled", "copies", "score", "rest")})).collect() == url_filter.filter_urls(urls).collect()
+
+
+def test_op1_words_that_a_partition_lacks(spark, monkeypatch):
+    """Texts dealt otherwise on the second reading come out alike."""
+    folder = bpe.word_ids(frame(spark, ["other words only"]).coalesce(1), BYTE)
+    monkeypatch.setattr(bpe, "word_ids", lambda *_: folder)
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode_documents(frame(spark, ODD), BYTE).collect()}
+    assert {i: np.frombuffer(x, "<u4").tolist() for i, x in got.items()} == {i: tokens(BYTE, t) for i, t in enumerate(ODD)}
+
+
+def test_buckets_of_words():
+    import pyarrow as pa
+
+    from lexloom.llm import partition_words as parts
+
+    words = pa.array(["", "a", "b", "ab", "ba", "x" * 200, "ü", ""])
+    got = parts.bucket(words, 1000)
+    assert got[0] == got[7] and len(set(got.tolist())) >= 6 and all(parts.bucket(words[i : i + 1], 1000)[0] == got[i] for i in range(8))
+    assert parts.cut(parts.joined(words, np.array([3, 5]))).to_pylist() == words.to_pylist()
+
+
 def brute_jaccard(texts, size=3, percent=90):
     sets = []
     for t in texts:
@@ -169,6 +215,53 @@ def test_op3(spark):
     assert lm.score(empty(spark)).count() == 0
 
 
+def test_op3_edges(spark):
+    """A very long text, repeated rows, words met in one partition alone."""
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    texts = [long, long.upper(), " a  b ", "a b", "a b", "\x0b\x1c x\u00a0y"]
+    d = spark.createDataFrame([(i if i < 4 else 4, t) for i, t in enumerate([*texts, "a b"])], "doc_id long, text string").repartition(5)
+    got = sorted(lm.score(d).collect())
+    assert [r.n_tokens for r in got] == [60_001, 60_001, 3, 3, 3, 3, 3] and abs(got[0].score - got[1].score) < 1e-6 and len({round(r.score, 9) for r in got if r.doc_id == 4}) == 2
+    only = spark.createDataFrame([(i, "a b") for i in range(30) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
+    assert all(r.train_tokens == 0 and r.n_known == 0 for r in lm.score(only).collect())  # nothing to learn from
+
+
+def test_op3_counts_from_all(spark, monkeypatch):
+    """Partitions whose own table is missing look their words up in the table of all."""
+    from lexloom.llm import partition_words as parts
+
+    d = frame(spark, [f"a b c{i}" for i in range(20)])
+    want = sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in lm.score(d).collect())
+    original = parts.saved
+    monkeypatch.setattr(parts, "saved", lambda blocks, name: original(blocks.filter("part = -1"), name))
+    assert sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in lm.score(d).collect()) == want
+
+
+def test_baum_welch(spark):
+    """Expected counts against all paths; the sum across partitions against one pass in memory."""
+    r = np.random.default_rng(4)
+    share = np.array([0.4, 0.3, 0.2, 0.1])
+    m = lm.HMM.first(share, 2)
+    docs = [r.integers(0, 4, n).astype("<u2") for n in (1, 3, 5, 2, 4, 6, 1)]
+    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    for d in docs:
+        paths = list(np.ndindex(*[2] * len(d)))
+        p = np.array([m.start[q[0]] * m.emit[d[0], q[0]] * np.prod([m.move[q[k - 1], q[k]] * m.emit[d[k], q[k]] for k in range(1, len(d))]) for q in paths])
+        for q, w in zip(paths, p / p.sum(), strict=True):
+            start[q[0]] += w
+            for k, x in enumerate(d):
+                emit[x, q[k]] += w
+                if k:
+                    move[q[k - 1], q[k]] += w
+    for got, want in zip(m.expect([d.astype(np.int64) for d in docs]), (start, move, emit), strict=False):
+        assert np.allclose(got, want, atol=1e-4)
+    table = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary").repartition(3)
+    new, log = lm.baum_welch(table, m, share)
+    want = lm.HMM.update(start, move, emit, share)
+    assert np.allclose(new.start, want.start, atol=1e-4) and np.allclose(new.move, want.move, atol=1e-4) and np.allclose(new.emit, want.emit, atol=1e-4)
+    assert abs(log - m.log10([d.astype(np.int64) for d in docs]).sum()) < 1e-4
+
+
 def test_hmm_forward_is_exact():
     r = np.random.default_rng(3)
     m = lm.HMM.first(np.array([0.5, 0.3, 0.2]), 3)
@@ -214,6 +307,67 @@ def test_op5(spark):
     assert langid.languages(frame(spark, ["a b"]).withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
 
 
+def test_op5_network():
+    """The tables' forward pass against one filter at a time, byte by byte; windows of a text averaged."""
+    m = langid.ByteCNN(["a", "b"], seed=1)
+    for w in langid.WIDTHS:
+        m.p[f"b{w}"] = np.linspace(-1, 1, langid.FILTERS)
+    texts = ["Some text, über alles. " * 9, "x", "y" * 127 + "ü"]
+
+    def probability(window):
+        pooled = []
+        for w in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                best = max(sum(m.p["emb"][window[i + k]] @ m.p[f"w{w}"][k][:, f] for k in range(w)) for i in range(len(window) - w + 1))
+                pooled.append(max(0.0, best + m.p[f"b{w}"][f]))
+        z = np.exp(np.array(pooled) @ m.p["out"] + m.p["out_b"])
+        return z / z.sum()
+
+    langs, scores = m.predict(texts)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        data = t.encode()
+        data += b" " * (-len(data) % langid.WINDOW)
+        mean = np.mean([probability(data[i : i + langid.WINDOW]) for i in range(0, len(data), langid.WINDOW)], 0)
+        assert lang == "ab"[int(mean.argmax())] and abs(score - mean.max()) < 1e-5
+    even = langid.ByteCNN(["b", "c"])
+    even.p["out"][:] = 0
+    assert even.predict(["text"]) == (["b"], [0.5])  # equally likely: the first by name
+
+
+FIXTURES = "/root/testdata/sf0.01"
+with_fixtures = pytest.mark.skipif(not __import__("os").path.exists(FIXTURES), reason="no fixture tables")
+
+
+@with_fixtures
+def test_op5_held_out(spark):
+    docs = spark.read.parquet(f"{FIXTURES}/documents.parquet")
+    rows = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
+    assert len(rows) > 200 and sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.98
+
+
+@with_fixtures
+def test_op10_held_out(spark):
+    folder = FIXTURES.replace("0.01", "0.1")  # with enough toxic documents held out
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = toxicity.toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out and toxic is not null").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert toxic and sum(r.predicted for r in toxic) / len(toxic) > 0.9 and sum(r.predicted for r in clean) / len(clean) < 0.02
+
+
+@with_fixtures
+def test_op7_against_sql(spark, tmp_path):
+    """The whole result against SQL, with rows that repeat, a very long url and nulls."""
+    duckdb = pytest.importorskip("duckdb")
+    pages = spark.read.parquet(f"{FIXTURES}/pages.parquet").select("page_id", "url")
+    more = [(1, "http://x.net/" + "ab/" * 3000), (1, "http://x.net/other"), (1, "http://x.net/other"), (None, "http://A.Example.net/en/x?q#f"), (9001, None), (9002, "no scheme"), (9003, "http://é.org/fr/ü")]
+    pages.unionByName(spark.createDataFrame(more, "page_id long, url string")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, queries.op7_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "score").collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict, score FROM ({queries.OP7_SQL})").fetchall(), key=str)
+
+
 def vectors(seed=0, n=400, d=16):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, d)).astype(np.float32)
@@ -417,6 +571,36 @@ def test_op10(spark):
     assert toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")).count() == 402
 
 
+def test_op10_plain_sum(spark):
+    """Scores against a plain sum over the distinct words; repeated rows, a very long text, contradicting labels."""
+    rows = [(i, f"{'awful' if i % 3 == 0 else 'fine'} word{i % 11} text") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(1, 1), (1, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + [(5, rows[5][1]), (200, "Awful " + " ".join(f"w{i}x" for i in range(30_000))), (201, "")], "doc_id long, text string")
+    model = toxicity.train(docs, labels)
+    weights = {}
+
+    def plain(text):
+        total = model.bias
+        for w in sorted({x for x in __import__("re").findall(r"[^\W\d_]+", text.lower())}):
+            for key in [f"={w}", *(f"{n}{w[:n]}" for n in (3, 4, 5) if len(w) > n)]:
+                weights[key] = float(model.weights[zlib.crc32(key.encode()) % toxicity.SLOTS])
+                total += weights[key]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+    got = toxicity.score(docs, model, ["text"]).collect()
+    assert len(got) == 93 and all(abs(r.score - plain(r.text)) < 1e-5 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert model.logit({"women", "men"}) == model.logit({"men", "women"})
+
+
+def test_swapping_a_term_that_is_there(monkeypatch):
+    """Where the other term is there already, the change is that of losing one."""
+    rows = [("women and men here", i % 2) for i in range(40)]
+    seen = toxicity.example(rows[0][0])[1]
+    assert seen == [(0, 1), (0, 2)]
+    model = toxicity.fit([(toxicity.example(t)[0], y, toxicity.example(t)[1]) for t, y in rows], epochs=3)
+    assert np.isfinite(model.weights).all() and (model.weights >= 0).all()
+
+
 def test_identity_terms_count_alike():
     rows = []
     for i in range(300):
