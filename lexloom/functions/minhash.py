@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import FNV_PRIME, FNV_SEED, MASK, fnv1a
+from lexloom.functions.text import FNV_PRIME, FNV_SEED, MASK, fnv1a, lists
 
 PRIME = 2**31 - 1
 # Multiplier and increment of the 32-bit generator, seeds of both coefficient lists.
@@ -31,27 +32,25 @@ def signature(hashes: Column, n: int = 64) -> Column:
         F.array_min(F.transform(hashes, lambda h: (F.get(a, i) * h + F.get(b, i)) % PRIME)), F.lit(PRIME).cast("long")))
 
 
-def window_minima(hashes: list[np.ndarray], size: int, step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures of all windows of all documents, one row each; windows of each document)."""
-    a = np.array(coefficients(n, SEED_A), np.uint64)[:, None]
-    b = np.array(coefficients(n, SEED_B), np.uint64)[:, None]
-    length = np.array([len(h) for h in hashes], np.int64)
-    count = np.where(length == 0, 0, np.where(length <= size, 1, -(-(length - size) // step) + 1))
-    base, before = np.cumsum(length) - length, np.cumsum(count) - count
-    start = np.repeat(base, count) + step * (np.arange(count.sum()) - np.repeat(before, count))
-    end = np.minimum(start + size, np.repeat(base + length, count))
-    out = np.empty((len(start), n), np.int64)
-    flat = np.concatenate(hashes).astype(np.uint64) if hashes else np.zeros(0, np.uint64)
-    for s in range(0, len(start), 4096):
-        lo, hi = start[s : s + 4096], end[s : s + 4096]
-        v = (a * flat[None, lo[0] : hi[-1]] + b) % np.uint64(PRIME)
-        v = np.concatenate((v, v[:, :1]), 1)  # an end may be that of the array
-        out[s : s + 4096] = np.minimum.reduceat(v, np.stack((lo, hi), 1).ravel() - lo[0], axis=1)[:, ::2].T
-    return out, count
+class Windows:
+    """All windows of `size` hashes with stride `step` of an Arrow column of hash lists."""
 
+    def __init__(self, hashes: pa.Array, size: int, step: int, n: int):
+        length = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+        self.count = np.where(length == 0, 0, np.where(length <= size, 1, -(-(length - size) // step) + 1))
+        base, before = np.cumsum(length) - length, np.cumsum(self.count) - self.count
+        self.start = np.repeat(base, self.count) + step * (np.arange(self.count.sum()) - np.repeat(before, self.count))
+        self.end = np.minimum(self.start + size, np.repeat(base + length, self.count))
+        self.a, self.b = (np.array(coefficients(n, s), np.uint64)[:, None] for s in (SEED_A, SEED_B))
 
-def _each(series: pd.Series) -> list[np.ndarray]:
-    return [np.zeros(0, np.int64) if h is None else np.asarray(h, np.int64) for h in series]
+    def minima(self, at_once: int = 4096) -> Iterator[np.ndarray]:
+        """Signatures, a row for each window, some windows at a time."""
+        for s in range(0, len(self.start), at_once):
+            lo, hi = self.start[s : s + at_once], self.end[s : s + at_once]
+            v = (self.a * self.flat[None, lo[0] : hi[-1]] + self.b) % np.uint64(PRIME)
+            v = np.concatenate((v, v[:, :1]), 1)  # an end may be that of the array
+            yield np.minimum.reduceat(v, np.stack((lo, hi), 1).ravel() - lo[0], axis=1)[:, ::2].T.astype(np.int64)
 
 
 def window_signatures(hashes: Column, size: int = 20, step: int = 10, n: int = 64) -> Column:
@@ -60,11 +59,12 @@ def window_signatures(hashes: Column, size: int = 20, step: int = 10, n: int = 6
     Same values as `signature`.
     """
 
-    @F.pandas_udf("array<array<bigint>>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            all_of, count = window_minima(_each(p), size, step, n)
-            yield pd.Series([list(x) for x in np.split(all_of, np.cumsum(count)[:-1])], dtype=object)
+    @F.arrow_udf("array<array<bigint>>")
+    def run(column: pa.Array) -> pa.Array:
+        windows = Windows(column, size, step, n)
+        values = pa.array(np.concatenate([np.zeros((0, n), np.int64), *windows.minima()]).ravel())
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(windows.start) + 1) * n, pa.int32()), values)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(windows.count))), pa.int32()), each)
 
     return run(hashes)
 
@@ -97,11 +97,11 @@ def document_buckets(hashes: Column, size: int = 20, step: int = 10, n: int = 64
     """
     rows = n // bands
 
-    @F.pandas_udf("array<bigint>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            all_of, count = window_minima(_each(p), size, step, n)
-            bucket = fnv_numbers(all_of.reshape(-1, rows)).reshape(-1, bands) | (np.arange(bands, dtype=np.int64) << 32)
-            yield pd.Series([np.unique(x) for x in np.split(bucket, np.cumsum(count)[:-1])], dtype=object)
+    @F.arrow_udf("array<bigint>")
+    def run(column: pa.Array) -> pa.Array:
+        windows = Windows(column, size, step, n)
+        found = [fnv_numbers(m.reshape(-1, rows)).reshape(-1, bands) | (np.arange(bands, dtype=np.int64) << 32) for m in windows.minima()]
+        every = np.concatenate([np.zeros((0, bands), np.int64), *found])
+        return lists([np.unique(x) for x in np.split(every, np.cumsum(windows.count)[:-1])])
 
     return F.transform(run(hashes), lambda k: F.struct(F.shiftright(k, 32).alias("band"), k.bitwiseAND(MASK).alias("bucket")))

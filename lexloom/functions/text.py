@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,17 +124,22 @@ def fnv_phrases(texts: list[str], size: int) -> list[np.ndarray]:
 def shingle_hashes(found: Column, size: int = 5) -> Column:
     """FNV-1a of each phrase of `size` words, from the words, in numpy, many documents at once."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            texts, done = [t or "" for t in p], []
-            for some in batches(texts):
-                done += fnv_phrases(some, size)
-            yield pd.Series(done, dtype=object)
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        done: list[np.ndarray] = []
+        for some in batches([t or "" for t in texts.to_pylist()]):
+            done += fnv_phrases(some, size)
+        return lists(done)
 
     return run(F.array_join(found, " "))
 
 
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """An Arrow list of longs for each array."""
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+
+
 def batches(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about `most` characters; a longer text is a run of its own."""
     held, size = [], 0
