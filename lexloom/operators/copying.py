@@ -1,7 +1,8 @@
 """Copied passages: shingle tables, candidate gate, exact verification, self-copying, rare shingles.
 
 All joins are equi-joins on hashes that Spark can shuffle or broadcast as sizes turn out; repeated
-shingles are reduced to distinct ones with counts before any join.
+shingles are reduced to distinct ones with counts before any join. Hashes are unnested with
+explode_outer: before a plain explode Spark filters on the array's size, which would compute them twice.
 """
 
 from __future__ import annotations
@@ -27,18 +28,18 @@ def shingle_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> Dat
     """doc_id, pos, phrase, hash: a row for each position."""
     words = T.words(F.coalesce("text", F.lit("")))
     cut = docs.select("doc_id", T.shingles(words, config.shingle_size).alias("phrase"), T.shingle_hashes(words, config.shingle_size).alias("hash"))
-    both = cut.select("doc_id", F.posexplode(F.arrays_zip("phrase", "hash")).alias("pos", "s"))
+    both = cut.select("doc_id", F.posexplode_outer(F.arrays_zip("phrase", "hash")).alias("pos", "s")).filter("pos is not null")
     return both.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("s.phrase").alias("phrase"), F.col("s.hash").alias("hash"))
 
 
 def distinct_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), *also: str) -> DataFrame:
     """doc_id, hash: made within each document, without a shuffle."""
-    return hashed(docs, config, *also).select("doc_id", *also, F.explode(F.array_distinct("hashes")).alias("hash"))
+    return hashed(docs, config, *also).select("doc_id", *also, F.explode_outer(F.array_distinct("hashes")).alias("hash")).filter("hash is not null")
 
 
 def counted_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), *also: str) -> DataFrame:
     """doc_id, hash, rows: how many positions of the document hold the hash."""
-    each = hashed(docs, config, *also).select("doc_id", *also, F.explode("hashes").alias("hash"))
+    each = hashed(docs, config, *also).select("doc_id", *also, F.explode_outer("hashes").alias("hash")).filter("hash is not null")
     return each.groupBy("doc_id", *also, "hash").agg(F.count("*").alias("rows"))
 
 
@@ -52,13 +53,13 @@ def signatures(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFr
     """doc_id, chunk_no, signature of every window of shingles."""
     sig = minhash.window_signatures(F.col("hashes"), config.chunk_shingles, config.chunk_step, config.signature_size)
     each = hashed(docs, config).select("doc_id", sig.alias("all"))
-    return each.select("doc_id", F.posexplode("all").alias("chunk_no", "signature")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    return each.select("doc_id", F.posexplode_outer("all").alias("chunk_no", "signature")).filter("chunk_no is not null").withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 def buckets(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, band, bucket: the distinct buckets of each document's windows."""
     all_of = minhash.document_buckets(F.col("hashes"), config.chunk_shingles, config.chunk_step, config.signature_size, config.bands)
-    each = hashed(docs, config).select("doc_id", F.explode(all_of).alias("b"))
+    each = hashed(docs, config).select("doc_id", F.explode_outer(all_of).alias("b")).filter("b is not null")
     return each.select("doc_id", "b.band", "b.bucket")
 
 
@@ -145,7 +146,7 @@ def rare_shingles(docs: DataFrame, corpus: DataFrame, config: EngineConfig = Eng
 
     words = T.words(F.coalesce("text", F.lit("")))
     cut = docs.select("doc_id", words.alias("words")).join(held, "doc_id", "left")
-    picked = cut.select("doc_id", "words", F.posexplode(pick(T.shingle_hashes(F.col("words"), size), "held")).alias("sample_no", "position"))
+    picked = cut.select("doc_id", "words", F.posexplode_outer(pick(T.shingle_hashes(F.col("words"), size), "held")).alias("sample_no", "position")).filter("position is not null")
     phrase = F.array_join(F.slice("words", F.col("position").cast("int") + 1, size), " ")
     return picked.select("doc_id", F.col("sample_no").cast("long").alias("sample_no"), "position", phrase.alias("phrase"))
 

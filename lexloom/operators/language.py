@@ -7,6 +7,7 @@ gives a code can take its place.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
@@ -26,30 +27,32 @@ MARKERS = {
 }
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def detect(words: Column) -> Column:
     """The language with most marker words, the first of MARKERS on ties; `und` without any."""
     marked = F.filter(words, lambda w: among(w, sorted({m for of in MARKERS.values() for m in of})))  # one look-up a word
 
-    def count(markers: list[str]) -> Column:
-        return F.size(F.filter(marked, lambda w: among(w, markers)))
+    def count(markers: list[str], found: Column) -> Column:
+        return F.size(F.filter(found, lambda w: among(w, markers)))
 
-    scores = [count(m) for m in MARKERS.values()]
-    best = F.greatest(*scores)
-    out = F.lit(UNKNOWN)
-    for lang, s in reversed(list(zip(MARKERS, scores, strict=True))):
-        out = F.when((s == best) & (best > 0), F.lit(lang)).otherwise(out)
-    return out
+    counts = bound(marked, lambda found: F.array(*(count(m, found) for m in MARKERS.values())))
+    most = bound(counts, lambda c: F.when(F.array_max(c) > 0, F.array_position(c, F.array_max(c))).otherwise(0))
+    return F.get(F.array(F.lit(UNKNOWN), *map(F.lit, MARKERS)), most.cast("int"))
 
 
 def breakdown(docs: DataFrame, config: EngineConfig = EngineConfig(), detector=detect) -> DataFrame:
     """doc_id, lang, words, pct, first_pos; paragraphs without words are left out."""
     each = docs.select("doc_id", F.posexplode(T.paragraphs(F.coalesce("text", F.lit("")))).alias("pos", "part"))
-    found = each.select("doc_id", "pos", "part", T.words(F.col("part")).alias("w")).filter(F.size("w") > 0)
+    found = each.filter(F.col("part").rlike(T.WORD)).select("doc_id", "pos", "part", T.words(F.col("part")).alias("w"))
     long_enough = T.utf16_length(F.col("part")) >= config.language_least_chars
     found = found.select("doc_id", "pos", F.size("w").alias("n"), F.when(long_enough, detector(F.col("w"))).otherwise(UNKNOWN).alias("lang"))
     sums = found.groupBy("doc_id", "lang").agg(F.sum("n").alias("words"), F.min("pos").cast("long").alias("first_pos"))
-    whole = sums.groupBy("doc_id").agg(F.sum("words").alias("all_words"))
-    return sums.join(whole, "doc_id").select("doc_id", "lang", "words", T.share(F.col("words"), F.col("all_words")).alias("pct"), "first_pos")
+    whole = F.sum("words").over(W.partitionBy("doc_id"))  # a row for each language of a document
+    return sums.select("doc_id", "lang", "words", T.share(F.col("words"), whole).alias("pct"), "first_pos")
 
 
 def dominant(docs: DataFrame, config: EngineConfig = EngineConfig(), detector=detect) -> DataFrame:

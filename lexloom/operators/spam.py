@@ -14,7 +14,7 @@ from lexloom.operators.style import among
 
 def top_words(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, rank, word, cnt: by count, then by first occurrence."""
-    each = tokens.select("doc_id", F.posexplode("words").alias("pos", "word")).filter((T.utf16_length(F.col("word")) >= 3) & ~F.col("word").isin(*profile.stop_words))
+    each = tokens.select("doc_id", F.posexplode_outer("words").alias("pos", "word")).filter(F.col("word").isNotNull() & (T.utf16_length(F.col("word")) >= 3) & ~F.col("word").isin(*profile.stop_words))
     counts = each.groupBy("doc_id", "word").agg(F.count("*").alias("cnt"), F.min("pos").alias("first"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("cnt"), "first"))
     return counts.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= config.spam_top_words).select("doc_id", "rank", "word", "cnt")

@@ -23,13 +23,14 @@ def homoglyphs(docs: DataFrame) -> DataFrame:
     least one of the document's main script. Positions: UTF-16 units to the word, then letters."""
     text = F.coalesce("text", F.lit(""))
     n_cyr, n_lat = F.regexp_count(text, F.lit(_CYRILLIC)), F.regexp_count(text, F.lit(_LATIN))
-    base = docs.select("doc_id", text.alias("text"), n_cyr.alias("c"), n_lat.alias("l")).filter("c + l > 0")
+    # a letter of the other script needs both scripts: other texts go no further
+    base = docs.filter(text.rlike(_CYRILLIC) & text.rlike(_LATIN)).select("doc_id", text.alias("text"), n_cyr.alias("c"), n_lat.alias("l"))
     base = base.withColumn("cyrillic", F.col("c") * 2 >= F.col("c") + F.col("l"))
     # words and what stands between them, in turn: positions are sums of lengths
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
     gaps = F.split("text", r"\p{L}+")
     each = base.select("doc_id", "cyrillic", gaps.alias("gaps"), words.alias("words")).select(
-        "doc_id", "cyrillic", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("no", "w"))
+        "doc_id", "cyrillic", F.posexplode_outer(F.arrays_zip(F.slice("gaps", 1, F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("no", "w")).filter("no is not null")
     units = lambda s: utf16_length(s).cast("long")
     before = W.partitionBy("doc_id").orderBy("no")
     placed = each.withColumns({"word": F.col("w.word"), "own": units(F.col("w.gap")) + units(F.col("w.word"))})
