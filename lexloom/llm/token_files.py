@@ -30,7 +30,7 @@ from lexloom.llm.partition_words import binaries
 #: Id appended to each document.
 END = 2
 #: Tokens of a file, about.
-PER_FILE = 4_000_000
+PER_FILE = 16_000_000
 #: Files whose starts are summed together.
 GROUP = 4096
 #: Tokens of a block, about; a document is never cut.
