@@ -21,6 +21,14 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
+def of_category(table: DataFrame, category: str) -> DataFrame:
+    return table.filter(F.col("category") == category)
+
+
+def enabled(weights: DataFrame) -> DataFrame:
+    return weights.filter("enabled")
+
+
 def seeded(table: DataFrame, defaults: DataFrame, category: str | None = None) -> DataFrame:
     """The table, with the defaults of each category (or of all) that has no row in it yet."""
     if category is None:

@@ -134,6 +134,13 @@ def sentence_split(spark, sf_dir):
     return metrics.tokenized(documents(spark, sf_dir)).select("doc_id", F.posexplode("sentences").alias("position", "sentence")).withColumn("position", F.col("position").cast("long"))
 
 
+@query(rf"WITH {S_DOCS}, l AS (SELECT doc_id, list_filter(sentences, lambda s: regexp_matches(s, '\p{{L}}')) AS s FROM d) SELECT doc_id, unnest(range(0, len(s)))::BIGINT AS position, unnest(s) AS sentence FROM l")
+def letter_sentences(spark, sf_dir):
+    """The sentences that are embedded: those with a letter."""
+    docs = documents(spark, sf_dir).select("doc_id", T.sentences(F.col("text"), letters_only=True).alias("s"))
+    return docs.select("doc_id", F.posexplode("s").alias("position", "sentence")).withColumn("position", F.col("position").cast("long"))
+
+
 @query(f"WITH {_METRICS} SELECT paragraph_count, CASE WHEN char_count_no_spaces > 0 THEN greatest(1, ceil(char_count_no_spaces / 1800.0::DOUBLE)) ELSE 0 END::BIGINT AS page_count, count(*)::BIGINT AS docs FROM base GROUP BY ALL")
 def paragraph_pages(spark, sf_dir):
     return metrics.basic_metrics(documents(spark, sf_dir), CONFIG).groupBy("paragraph_count", "page_count").agg(F.count("*").alias("docs"))
@@ -212,6 +219,12 @@ def exact_copy_sources(spark, sf_dir):
     return copying.copy_sources(documents(spark, sf_dir), corpus(spark, sf_dir), CONFIG)
 
 
+@query(f"WITH {S_CANDIDATES}, {S_GATED} SELECT m.doc_id, m.corpus_doc_id, any_value(left(b.text, 20)) AS title, count(*)::BIGINT AS matched_shingles FROM m JOIN c ON c.doc_id = m.corpus_doc_id AND c.hash = m.hash JOIN benchmark b ON b.item_id = m.corpus_doc_id GROUP BY m.doc_id, m.corpus_doc_id")
+def copy_source_titles(spark, sf_dir):
+    sources = corpus(spark, sf_dir).withColumn("title", F.left(F.col("text"), F.lit(20)))
+    return report.Engine.titled(copying.copy_sources(documents(spark, sf_dir), sources, CONFIG), sources)
+
+
 @query(f"WITH {S_DOC_SHINGLES}, {S_CORPUS_SHINGLES}, {S_TOTALS}, m AS (SELECT DISTINCT a.doc_id, a.hash FROM a JOIN c USING (hash)) {_s_pct('plagiarism_pct')}")
 def exact_copy_nogate(spark, sf_dir):
     return copying.copy_pct(documents(spark, sf_dir), corpus(spark, sf_dir), replace(CONFIG, candidate_gate="none"))
@@ -502,6 +515,13 @@ def pdf_date_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(metadata.pdf_date(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
+def iso_date_parse(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("on "), F.date_format(ts, "yyyy-MM-dd"))).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(metadata.iso_date(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
 _S_SCORES = ", ".join(f"len(list_filter(w, lambda x: list_contains({_LIST(m)}, x))) AS s_{k}" for k, m in language.MARKERS.items())
 _S_BEST = "greatest(" + ", ".join(f"s_{k}" for k in language.MARKERS) + ")"
 _S_LANG = "CASE WHEN size < 20 THEN 'und' " + " ".join(f"WHEN s_{k} = {_S_BEST} AND {_S_BEST} > 0 THEN '{k}'" for k in language.MARKERS) + " ELSE 'und' END"
@@ -658,6 +678,15 @@ def weights_upsert(spark, sf_dir):
     return dictionaries.upsert(dictionaries.weights_table(spark, CONFIG), changes, "feature")
 
 
+@query(f"""SELECT feature, weight, 'weight' AS kind FROM (VALUES {_S_VALUES([(k, w) for k, w in DEFAULT_WEIGHTS])}) AS t(feature, weight) WHERE feature <> 'perplexity'
+UNION ALL SELECT unnest({_LIST(LATIN.ai_phrases)}), NULL::DOUBLE, 'AI_CLICHE'""")
+def dictionary_scan(spark, sf_dir):
+    """The enabled weights, and the phrases of one category."""
+    weights = dictionaries.enabled(dictionaries.weights_table(spark, replace(CONFIG, detector_off=("perplexity",)))).select("feature", "weight", F.lit("weight").alias("kind"))
+    phrases = dictionaries.of_category(dictionaries.phrases_table(spark, LATIN), "AI_CLICHE")
+    return weights.unionByName(phrases.select(F.col("phrase").alias("feature"), F.lit(None).cast("double").alias("weight"), F.col("category").alias("kind")))
+
+
 @query(f"SELECT unnest({_LIST(LATIN.junk_words)}) AS word EXCEPT SELECT unnest(['ha', 'absent'])")
 def dictionary_anti_delete(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in LATIN.junk_words], "word string")

@@ -1,6 +1,5 @@
 """Text functions against a plain Python model."""
 
-import re
 import unicodedata
 
 from pyspark.sql import functions as F
