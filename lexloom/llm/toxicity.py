@@ -20,11 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lexloom.llm.common import fold, one_thread
+from lexloom.llm.common import fold, one_thread, stored
 
 SLOTS = 1 << 19
 #: Labelled documents of each label that the fit uses, at most; rows of them (a doc_id may repeat),
@@ -148,9 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
     met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label rows
     met = met.mapInArrow(features, met.select("doc_id").schema.add("toxic", "integer").add("ids", "binary").add("terms", ArrayType(IntegerType())))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", F.crc32("ids"))
-    first = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS)
-    rows = first.withColumn("before", F.sum(F.length("ids")).over(order) - F.length("ids")).filter(F.col("before") < BYTES).drop("before", "rank").collect()
+    met = stored(met.distinct().withColumn("draw", F.xxhash64("doc_id", F.crc32("ids"), F.lit(5))), "toxicity-examples")
+    rows = []
+    for says in (0, 1):
+        part, last, size = met.filter(F.col("toxic") == says), None, 0
+        for r in part.select("draw", F.length("ids").alias("n")).orderBy("draw").limit(ROWS).collect():
+            if size >= BYTES:
+                break
+            last, size = r.draw, size + r.n
+        if last is not None:
+            rows += part.filter(F.col("draw") <= last).drop("draw").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
     return fit([(np.frombuffer(r.ids, "<i4").astype(np.int64), r.toxic, [(r.terms[i], r.terms[i + 1]) for i in range(0, len(r.terms), 2)]) for r in rows])
 
@@ -174,8 +180,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts get the score of a text without words (the bias alone); so does
     every text, not predicted toxic, if no toxic label was learned from. Very long texts are scored
-    whole, as the set of their words. Null doc_ids stay null. Repeated rows are scored each; labels
-    that contradict each other count as toxic. Other columns of either table are not looked at,
+    whole, as the set of their words. Null doc_ids stay null. Repeated rows are scored each, and
+    learned from once; labels that contradict each other count as toxic. Other columns of either table are not looked at,
     whatever their names. An empty table gives no rows.
     """
     model = train(docs, labels)
