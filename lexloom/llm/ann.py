@@ -15,8 +15,6 @@ keeps `k` rows of a query before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -61,7 +61,8 @@ def word_ids(docs: DataFrame, path: str, kind: str = "byte") -> str:
         for f in frames:
             words = parts.cut(f.column("words"))
             sizes = pc.add(pc.count_substring(f.column("words"), " "), 1).to_numpy().astype(np.int64)
-            numbers = enc.numbers(words)
+            coded = words.dictionary_encode()  # a word comes once from each partition that has it
+            numbers = enc.numbers(coded.dictionary)[coded.indices.to_numpy()]
             ids, ends = enc.table.spread(numbers)
             yield pa.record_batch({"part": f.column("part"), "words": f.column("words"), "ids": parts.binaries(ids.astype(_dtype(enc)), np.diff(ends[np.cumsum(sizes) - 1], prepend=0)),
                                    "lengths": parts.binaries(enc.table.length[numbers].astype("<u4"), sizes)})

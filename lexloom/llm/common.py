@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: shared storage, id folds, word splitting."""
+"""Helpers shared by the training-data operators: shared storage, batches, id folds."""
 
 from __future__ import annotations
 
@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: What `[^\x20\x09-\x0D]+` splits on, as a Java pattern.
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_dirs: dict[str, str] = {}
 
@@ -47,10 +45,10 @@ def files_at(uri: str) -> tuple:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    return re.sub("^file:/(?!/)", "file:///", files.makeQualified(path).toString())  # tasks that open it need the scheme
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -68,16 +66,6 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
-def words_of(text: Column) -> Column:
-    """Lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` as an array; null text has none."""
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP)
-    return F.filter(parts, lambda w: w != "")
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
