@@ -74,6 +74,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.exact_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.prefix_trie import shared_prefixes
+
+    return shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.ball_kmeans import digest
+
+    return digest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +99,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_bpe, op2_ngram_jaccard, op3_lm_score, op4_token_files, op5_langid, op6_ann, op7_url_filter, op8_embedding_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_bpe, op2_ngram_jaccard, op3_lm_score, op4_token_files, op5_langid, op6_ann, op7_url_filter, op8_embedding_dedup, op9_packing, op10_toxicity,
+                                   op11_exact_dedup, op12_prefix_trie, op13_ball_kmeans)}
 
 
 #: Links are found by joining on shingles; components by walking links from each document.
@@ -150,5 +169,60 @@ FROM said s JOIN scored USING (url)
 """
 
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+#: Prefixes as lists of the turns' digests; what lies below a node by unnesting the prefixes of each node.
+OP12_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, list(struct_pack(d := sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), w := len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) ORDER BY turn NULLS FIRST) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+    -- crc32 of the decimal digits, bit by bit
+    SELECT conv_id, t, (4294967295 - list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 4 AS h FROM turns),
+whole AS (
+    SELECT a.conv_id, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS t
+    FROM hashed a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 20),
+prefix AS (
+    SELECT conv_id, len(t) AS n, d AS depth, list_transform(t[1:d], lambda x: x.d) AS p, CASE WHEN d = 0 THEN 0 ELSE t[d].w END AS w
+    FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM whole)),
+node AS (
+    SELECT p, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(w) AS w,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM prefix GROUP BY p),
+child AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+under AS (
+    SELECT p[1:d] AS p, sum((n_convs - 1) * w) AS saved, count(*) FILTER (children = 0) AS leaves
+    FROM (SELECT node.*, coalesce(child.n, 0) AS children, unnest(range(0, depth + 1)) AS d FROM node LEFT JOIN child USING (p)) GROUP BY ALL)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN under ON under.p = node.p LEFT JOIN child ON child.p = node.p LEFT JOIN node up ON node.depth > 0 AND up.p = node.p[1:node.depth - 1]
+"""
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """Each round compares every vector with every centroid."""
+    parts = ["""vector AS MATERIALIZED (
+    SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", """c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256(concat('3:', vec_id)), x) - 1 AS cluster, x FROM vector QUALIFY cluster < 8)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+    SELECT no, any_value(v.x) AS x, min({{'distance': d, 'cluster': cluster}}) AS best
+    FROM (SELECT no, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM vector v, c{r} c) v GROUP BY no)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS MATERIALIZED (
+    SELECT cluster, list(CAST(floor(sums / n) - CASE WHEN floor(sums / n) * n > sums THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS x
+    FROM (SELECT best.cluster AS cluster, i, sum(x[i]) AS sums, count(*) AS n FROM (SELECT best, x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY ALL) GROUP BY cluster)""")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s USING (cluster))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, CAST(best.distance AS BIGINT) AS distance, CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN vector USING (no) JOIN c{rounds} c ON c.cluster = best.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op7_url_filter": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_ball_kmeans": _op13_sql()}
