@@ -7,6 +7,8 @@ group until its end is equal, byte by byte. Nothing is compared by a digest.
 
 A round counts its groups by an aggregation, which Spark combines before it shuffles, and joins the
 rows with the groups that hold more than one; hot groups are the join's long side, which Spark splits.
+The join is by sorting at every size, so each text moves once, in the first round, and again only in
+rounds in which it still has company.
 Rounds grow with the logarithm of the longest repeated text up to 1 MiB, and then with its MiB; only
 rows that still have company are read again.
 """
@@ -46,7 +48,7 @@ def exact_duplicates(docs: DataFrame, carried: dict[str, Column] | None = None)
         # numbers are given once, in a table, so that they stay whatever is read again
         groups = stored(counted.withColumn("class", F.monotonically_increasing_id()), "radix-groups")
         on = F.col("f.digit") == F.col("g.digit")
-        both = state.alias("f").join(groups.alias("g"), on & (F.col("f.grp") == F.col("g.grp")), "left")
+        both = state.alias("f").join(groups.alias("g").hint("merge"), on & (F.col("f.grp") == F.col("g.grp")), "left")
         goes_on = F.col("g.n").isNotNull() & (F.col("f.size") > start + width)
         state = stored(both.select(
             "f.doc_id", "f.also", "f.size", F.col("g.class").alias("grp"), F.coalesce("g.n", F.lit(1)).alias("group_size"), F.when(F.col("g.n").isNull(), F.col("f.doc_id")).otherwise(F.col("g.keep_id")).alias("keep_id"),
