@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
 from lexloom.lexicon import RUSSIAN, LexicalProfile
+from lexloom.operators import ngrams
 from lexloom.operators.style import among, holds_any
 
 Scorer = Callable[[LexicalProfile, EngineConfig], Column]
@@ -75,13 +76,25 @@ def synonym_chains(profile: LexicalProfile, config: EngineConfig) -> Column:
 def perplexity_scorer(model: Callable[[Column], Column]) -> Scorer:
     """A scorer from a model's perplexity Column of `text` (null: not available)."""
     def score(profile: LexicalProfile, config: EngineConfig) -> Column:
-        return clamped(1 - F.least(model(F.col("text")) / F.lit(config.perplexity_scale), F.lit(1.0)))
+        return _expected(model(F.col("text")), config)
     return score
 
 
+def _expected(perplexity: Column, config: EngineConfig) -> Column:
+    """1 for a text that the model expects wholly, 0 from perplexity_scale on; null stays null."""
+    return F.when(perplexity.isNotNull(), clamped(1 - F.least(perplexity / F.lit(config.perplexity_scale), F.lit(1.0))))
+
+
 @scorer("perplexity")
-def no_perplexity(profile: LexicalProfile, config: EngineConfig) -> Column:
-    return F.lit(None).cast("double")
+def perplexity_column(profile: LexicalProfile, config: EngineConfig) -> Column:
+    """From a column `ppl` of the tokenized documents, as `with_perplexity` gives it; null without one."""
+    return _expected(F.col("ppl"), config)
+
+
+def with_perplexity(tokens: DataFrame, docs: DataFrame, model: ngrams.NgramModel) -> DataFrame:
+    """`tokens` with ppl, the perplexity of each document."""
+    found = ngrams.perplexity(docs, model).select(F.col("doc_id").alias("ppl_id"), F.col("perplexity").alias("ppl"))
+    return tokens.join(found, F.col("doc_id").eqNullSafe(F.col("ppl_id")), "left").drop("ppl_id")
 
 
 def snake(key: str) -> str:
@@ -92,6 +105,8 @@ def with_probability(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, confi
     """`tokens` with a column for each scorer (three digits), ai_probability, ai_verdict."""
     weights = {k: w for k, w in config.weights if k not in config.detector_off}
     used = [(k, f) for k, f in (scorers or SCORERS).items() if k in weights]
+    if "ppl" not in tokens.columns:
+        tokens = tokens.withColumn("ppl", F.lit(None).cast("double"))
     scored = tokens.select("*", *(f(profile, config).alias(snake(k)) for k, f in used))
     total = weight = F.lit(0.0)
     for k, _ in used:
@@ -100,7 +115,7 @@ def with_probability(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, confi
         weight = weight + F.when(s.isNotNull(), F.lit(weights[k])).otherwise(0.0)
     probability = F.when(weight > 0, T.rounded(total / weight, 3)).otherwise(0.0)
     scored = scored.withColumn("ai_probability", probability)
-    return scored.withColumns({snake(k): T.rounded(F.col(snake(k)), 3) for k, _ in used} | {"ai_verdict": F.col("ai_probability") >= config.verdict_threshold})
+    return scored.drop("ppl").withColumns({snake(k): T.rounded(F.col(snake(k)), 3) for k, _ in used} | {"ai_verdict": F.col("ai_probability") >= config.verdict_threshold})
 
 
 def ai_probability(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(), scorers: dict[str, Scorer] | None = None) -> DataFrame:

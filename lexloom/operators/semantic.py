@@ -1,20 +1,22 @@
-"""Paraphrase by nearest sentence vectors, exact, block against block."""
+"""Paraphrase by nearest sentence vectors: an exact nearest-neighbour join by pivots."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
+from lexloom.storage import batches_of, stored
 
-#: Vectors of a block.
-BLOCK = 2048
+#: Vectors of a block, pivots at most, and what distances may be off by rounding.
+BLOCK, PIVOTS, SLACK = 2048, 1024, 1e-6
 
 
 def hashing_embedding(dim: int = 384):
@@ -36,42 +38,140 @@ def hashing_embedding(dim: int = 384):
     return embed
 
 
-def _blocks(vectors: DataFrame, key: str, name: str, count: int) -> DataFrame:
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, np.float64) for v in f["embedding"]])
-        f_ids = f[key].to_numpy(np.int64)
-        return pd.DataFrame({f"{name}_block": [f["block"].iloc[0]], f"{name}_ids": [f_ids.tobytes()], f"{name}_x": [x.tobytes()]})
+def usable(embedding: Column) -> Column:
+    """Not null, not empty, every component finite, not all of them zero."""
+    good = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return embedding.isNotNull() & F.coalesce(good & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
-    dealt = vectors.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("block"))
-    return dealt.groupBy("block").applyInPandas(pack, f"{name}_block int, {name}_ids binary, {name}_x binary")
 
+def _unit(column: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, np.float64) for v in column])
+    x /= np.abs(x).max(1, keepdims=True)  # squares of what is left neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-def nearest(asked: DataFrame, corpus: DataFrame, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
-    """key, nearest_id, similarity (cosine) of each asked vector's nearest of the corpus.
 
-    Every asked block meets every corpus block in an equi-join on the corpus block's number; each
-    pair is one matrix product. Zero and null vectors match nothing. Ties go to the smaller id.
-    """
-    good = F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0)
-    asked, corpus = asked.filter(good), corpus.filter(good)
-    n_asked, n_corpus = (max(1, -(-d.count() // block)) for d in (asked, corpus))
-    theirs = _blocks(corpus, key, "c", n_corpus)
-    ours = _blocks(asked, key, "q", n_asked).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1))))
+def _distance(dot: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))
+
+
+class Pivots:
+    """Unit vectors that cut space into cells, by number of components; cells are numbered through."""
+
+    def __init__(self, vectors: list[np.ndarray]):
+        self.of, self.first, n = {}, {}, 0
+        for size in sorted({len(v) for v in vectors}):
+            self.of[size] = _unit(pd.Series([v for v in vectors if len(v) == size]))
+            self.first[size] = n
+            n += len(self.of[size])
+        self.cells = n
+
+    def place(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """row, id, size, cell (of the nearest pivot), far (the distance to it) and the unit vector."""
+        for f in frames:
+            for size, part in f.groupby(f["embedding"].map(len), sort=False):
+                if size in self.of:
+                    x = _unit(part["embedding"])
+                    dot = x @ self.of[size].T
+                    best = dot.argmax(1)
+                    yield pd.DataFrame({"row": part["row"], "id": part["id"], "size": size, "cell": best + self.first[size], "far": _distance(dot[np.arange(len(x)), best]), "x": [v.tobytes() for v in x]})
+
+
+_PLACED = "row long, id long, size int, cell int, far double, x binary"
+_BLOCK = "cell int, size int, rows binary, ids binary, x binary"
+
+
+def _block(cell: int, size: int, part: pd.DataFrame) -> dict:
+    return {"cell": cell, "size": size, "rows": part["row"].to_numpy(np.int64).tobytes(), "ids": part["id"].to_numpy(np.int64).tobytes(), "x": b"".join(part["x"])}
 
+
+def _compared(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """row, id, nearest_id, similarity, compared: the best of each asked vector in the cells that its
+    blocks are for. A pair of blocks is one matrix product."""
     def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                q_ids, c_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.c_ids, np.int64)
-                q, c = np.frombuffer(r.q_x).reshape(len(q_ids), -1), np.frombuffer(r.c_x).reshape(len(c_ids), -1)
-                order = np.argsort(c_ids)
-                c_ids, c = c_ids[order], c[order]
-                s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+                q, c = np.frombuffer(r.x).reshape(-1, r.size), np.frombuffer(r.cx).reshape(-1, r.size)
+                theirs = np.frombuffer(r.cids, np.int64)
+                order = np.argsort(theirs)
+                s = q @ c[order].T
                 best = s.argmax(1)
-                yield pd.DataFrame({key: q_ids, "nearest_id": c_ids[best], "similarity": s[np.arange(len(q)), best]})
+                yield pd.DataFrame({"row": np.frombuffer(r.rows, np.int64), "id": np.frombuffer(r.ids, np.int64), "nearest_id": theirs[order][best], "similarity": s[np.arange(len(q)), best], "compared": len(c)})
+
+    pairs = asked.join(corpus.select("cell", F.col("ids").alias("cids"), F.col("x").alias("cx")), "cell").mapInPandas(product, "row long, id long, nearest_id long, similarity double, compared long")
+    return _best(pairs)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = found.groupBy("row", "id").agg(F.max(F.struct("similarity", (-F.col("nearest_id")).alias("minus"))).alias("best"), F.sum("compared").alias("compared"))
+    return best.select("row", "id", (-F.col("best.minus")).alias("nearest_id"), F.col("best.similarity").alias("similarity"), "compared")
+
 
-    pairs = ours.join(theirs, "c_block").mapInPandas(product, f"{key} long, nearest_id long, similarity double")
-    best = pairs.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("nearest_id")).alias("minus"))).alias("best"))
-    return best.select(key, (-F.col("best.minus")).alias("nearest_id"), F.col("best.similarity").alias("similarity"))
+def nearest(asked: DataFrame, corpus: DataFrame, key: str = "vec_id", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """key, nearest_id, similarity (cosine), compared of each asked vector's nearest of the corpus.
+
+    Exact. Vectors of the corpus lie in cells around pivots, which are some of them. An asked vector
+    first meets its own cell. The best found there rules out every cell whose ball or whose half space
+    is farther away, and only the others are met; `compared` is how many vectors it met, of as many as
+    the corpus has distinct ones. Pivots are as many as the root of the corpus, `pivots` at most.
+
+    Vectors that are null, empty, zero or hold null or non-finite components match nothing and have no
+    row; neither have rows with a null key, and vectors of a length that the corpus doesn't hold. Rows
+    that repeat a key have a row each. Ties go to the smaller id; equal vectors of the corpus count once.
+    """
+    spark = asked.sparkSession
+    good = usable(F.col("embedding")) & F.col(key).isNotNull()
+    wide = F.col("embedding").cast("array<double>").alias("embedding")
+    theirs = stored(corpus.filter(good).groupBy(wide).agg(F.min(key).cast("long").alias("id")).withColumn("row", F.col("id")), "nearest-corpus")
+    total = theirs.count()
+    share = 1 + 1_000_000 * min(pivots, math.isqrt(total) + 1) // max(1, total)
+    # a sample of bounded size, and for each length of vectors one
+    some = theirs.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share).select("embedding").unionByName(theirs.groupBy(F.size("embedding")).agg(F.min_by("embedding", "id").alias("embedding")).select("embedding"))
+    known = Pivots(list({r.embedding and tuple(r.embedding): None for r in some.collect()}))
+
+    def packed(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_block(f["cell"].iloc[0], f["size"].iloc[0], f)])
+
+    def own_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([_block(cell, part["size"].iloc[0], part[a : a + block]) for cell, part in f.groupby("cell") for a in range(0, len(part), block)])
+
+    with batches_of(spark, 4 * block):
+        cells = stored(theirs.mapInPandas(known.place, _PLACED), "nearest-cells")
+        ours = stored(asked.filter(good).select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), wide).mapInPandas(known.place, _PLACED), "nearest-asked")
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))  # a row for each pivot at most
+        radius = np.full(known.cells, -np.inf)
+        for r in sizes.collect():
+            radius[r.cell] = r.radius
+        split = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block)))
+        blocks = stored(cells.join(F.broadcast(sizes.select("cell", "n")), "cell").withColumn("split", split).groupBy("cell", "split").applyInPandas(packed, _BLOCK), "nearest-blocks")
+        first = stored(ours.sortWithinPartitions("cell").mapInPandas(own_cells, _BLOCK), "nearest-first")
+
+    def other_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for size, part in f.groupby("size", sort=False):
+                p, start = known.of[size], known.first[size]
+                x, own = np.frombuffer(b"".join(part["x"])).reshape(-1, size), part["cell"].to_numpy() - start
+                d, within = _distance(x @ p.T), _distance(part["similarity"].to_numpy())
+                between = _distance(p @ p.T)[own]
+                mine = d[np.arange(len(x)), own]
+                half = (d**2 - mine[:, None] ** 2) / (2 * np.maximum(between, 1e-12))
+                least = np.maximum(d - radius[start : start + len(p)], half)
+                visit = least <= within[:, None] + SLACK
+                visit[np.arange(len(x)), own] = False
+                visit[:, np.isinf(radius[start : start + len(p)])] = False
+                for j in np.flatnonzero(visit.any(0)):
+                    chosen = part[visit[:, j]]
+                    out += [_block(start + j, size, chosen[a : a + block]) for a in range(0, len(chosen), block)]
+            yield pd.DataFrame(out, columns=["cell", "size", "rows", "ids", "x"])
+
+    with batches_of(spark, 8):  # rows are pairs of blocks
+        near = stored(_compared(first, blocks), "nearest-own")
+    with batches_of(spark, 4 * block):
+        more = stored(ours.join(near.select("row", "similarity"), "row").sortWithinPartitions("cell").mapInPandas(other_cells, _BLOCK), "nearest-more")
+    with batches_of(spark, 8):
+        rest = stored(_compared(more, blocks), "nearest-rest")
+    return _best(near.unionByName(rest)).select(F.col("id").alias(key), "nearest_id", "similarity", "compared")
 
 
 def paraphrase_pct(found: DataFrame, group: str, config: EngineConfig = EngineConfig()) -> DataFrame:

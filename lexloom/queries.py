@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import DEFAULT_WEIGHTS, EngineConfig
 from lexloom.functions import minhash
 from lexloom.functions import text as T
 from lexloom.lexicon import CYRILLIC_TO_LATIN, LATIN, ZERO_WIDTH
-from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, semantic, spam, style, tampering
+from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import report, stages
+from lexloom.sources import files
+from lexloom.sources.pdf import to_pdf
 from lexloom.streaming import jobs
 
 CONFIG = EngineConfig()
@@ -436,6 +438,44 @@ def ai_probability(spark, sf_dir):
     return ai.ai_probability(_tokens(spark, sf_dir), LATIN, CONFIG).select("doc_id", "ai_probability", "ai_verdict")
 
 
+# The model is of the corpus: three words, counts below the highest order by different words before.
+S_NGRAMS = f"""bw AS (SELECT list_concat(['<s>', '<s>'], {s_words("coalesce(text, '')")}, ['</s>']) AS t FROM benchmark),
+b3 AS MATERIALIZED (SELECT a, b, c, count(*) AS n FROM (SELECT t[i] AS a, t[i + 1] AS b, t[i + 2] AS c FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM bw)) GROUP BY ALL),
+b2 AS MATERIALIZED (SELECT b, c, count(*) AS n FROM b3 GROUP BY ALL), b1 AS MATERIALIZED (SELECT c, count(*) AS n FROM b2 GROUP BY ALL),
+d3 AS (SELECT count(*) FILTER (n = 1) / (count(*) FILTER (n = 1) + 2 * count(*) FILTER (n = 2)) AS d FROM b3),
+d2 AS (SELECT count(*) FILTER (n = 1) / (count(*) FILTER (n = 1) + 2 * count(*) FILTER (n = 2)) AS d FROM b2),
+d1 AS (SELECT count(*) FILTER (n = 1) / (count(*) FILTER (n = 1) + 2 * count(*) FILTER (n = 2)) AS d, sum(n) AS total, count(*) AS types FROM b1),
+x3 AS (SELECT a, b, sum(n) AS total, count(*) AS types FROM b3 GROUP BY ALL), x2 AS (SELECT b, sum(n) AS total, count(*) AS types FROM b2 GROUP BY ALL),
+aw AS (SELECT doc_id, {s_words("coalesce(text, '')")} AS w FROM documents),
+an AS (SELECT doc_id, list_concat(['<s>', '<s>'], w, ['</s>']) AS t FROM aw),
+ag AS MATERIALIZED (SELECT doc_id, a, b, c, count(*) AS n FROM (SELECT doc_id, t[i] AS a, t[i + 1] AS b, t[i + 2] AS c FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM an)) GROUP BY ALL),
+q1 AS (SELECT g.*, greatest(coalesce(b1.n, 0) - d1.d, 0) / d1.total + d1.d * d1.types / d1.total / (d1.types + 1) AS p FROM (SELECT DISTINCT a, b, c FROM ag) g CROSS JOIN d1 LEFT JOIN b1 USING (c)),
+q2 AS (SELECT q1.a, q1.b, q1.c, CASE WHEN x2.total IS NULL THEN p ELSE (greatest(coalesce(b2.n, 0) - d2.d, 0) + d2.d * x2.types * p) / x2.total END AS p FROM q1 CROSS JOIN d2 LEFT JOIN b2 ON b2.b = q1.b AND b2.c = q1.c LEFT JOIN x2 ON x2.b = q1.b),
+q3 AS (SELECT q2.a, q2.b, q2.c, CASE WHEN x3.total IS NULL THEN p ELSE (greatest(coalesce(b3.n, 0) - d3.d, 0) + d3.d * x3.types * p) / x3.total END AS p FROM q2 CROSS JOIN d3 LEFT JOIN b3 ON b3.a = q2.a AND b3.b = q2.b AND b3.c = q2.c LEFT JOIN x3 ON x3.a = q2.a AND x3.b = q2.b),
+ppl AS (SELECT doc_id, CASE WHEN any_value(len(w)) < 2 THEN 0 ELSE exp(-sum(n * ln(p)) / sum(n)) END AS ppl FROM ag JOIN q3 USING (a, b, c) JOIN aw USING (doc_id) GROUP BY doc_id)"""
+
+
+def _model(spark, sf_dir):
+    return ngrams.train(corpus(spark, sf_dir))
+
+
+@query(f"WITH {S_NGRAMS} SELECT doc_id, round(ppl, 4) AS perplexity FROM ppl")
+def perplexity(spark, sf_dir):
+    """Perplexity of every document under a model of the corpus."""
+    return ngrams.perplexity(documents(spark, sf_dir), _model(spark, sf_dir)).select("doc_id", F.round("perplexity", 4).alias("perplexity"))
+
+
+_S_LM = "(1 - least(ppl / 150, 1))"
+_S_PROB6 = s_round(f"({_S_WEIGHTED} + {_W['perplexity']!r}::DOUBLE * {_S_LM}) / ({_S_WEIGHT} + {_W['perplexity']!r}::DOUBLE)", 3)
+
+
+@query(f"WITH {S_NGRAMS}, {S_DOCS}, {S_AI} SELECT doc_id, {s_round(_S_LM, 3)} AS perplexity, {_S_PROB6} AS ai_probability FROM f JOIN ppl USING (doc_id)")
+def ai_probability_all_features(spark, sf_dir):
+    """AI-likelihood with the weight of perplexity, which is off by default."""
+    docs = documents(spark, sf_dir)
+    return ai.ai_probability(ai.with_perplexity(metrics.tokenized(docs), docs, _model(spark, sf_dir)), LATIN, CONFIG).select("doc_id", "perplexity", "ai_probability")
+
+
 # --- tampering, metadata, language, grammar ---------------------------------------------------------
 # Texts with planted letters: Latin a and o become Cyrillic in every seventh document, and an
 # invisible character follows each comma.
@@ -515,6 +555,42 @@ def pdf_date_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(metadata.pdf_date(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+def pdf_files(docs: DataFrame) -> DataFrame:
+    """path, content: every document as a PDF file, odd ones with compressed objects; written by its
+    source on a day by its id, and changed up to two days before or four after that."""
+    day = lambda shift: F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000 + shift).cast("int")), "'D:'yyyyMMdd'120000Z'")
+    info = {"author": F.col("source"), "creator": F.lit("lexloom"), "created": day(F.lit(0)), "modified": day(F.col("doc_id") % 7 - 2)}
+    return docs.select(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".pdf")).alias("path"), to_pdf(F.col("text"), info, F.col("doc_id") % 2 == 1).alias("content"))
+
+
+def doc_id_of_path() -> Column:
+    return F.regexp_extract("path", r"doc-(\d+)\.pdf", 1).cast("long").alias("doc_id")
+
+
+@query(r"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+paged AS (
+    SELECT doc_id, list_transform(range(0, (len(l) + 49) // 50), lambda k: regexp_replace(regexp_replace(array_to_string(l[k * 50 + 1:k * 50 + 50], chr(10)), '^\n+|\n+$', '', 'g'), '\n{2,}', concat(chr(10), chr(10)), 'g')) AS p FROM cut)
+SELECT doc_id, len(p) AS pages, sha256(array_to_string(p, concat(chr(10), chr(10)))) AS text_sha256, length(trim(array_to_string(p, concat(chr(10), chr(10))))) / len(p) < 20 AS needs_ocr, CAST(NULL AS VARCHAR) AS error
+FROM paged
+""")
+def pdf_text(spark, sf_dir):
+    """Text and pages of every document's PDF file: 50 lines a page, runs of empty lines as one."""
+    found = files.extract(pdf_files(documents(spark, sf_dir)))
+    scanned = files.needs_ocr(F.col("mime"), F.col("text"), F.col("pages"), CONFIG)
+    return found.select(doc_id_of_path(), F.col("pages").cast("long").alias("pages"), F.sha2("text", 256).alias("text_sha256"), scanned.alias("needs_ocr"), "error")
+
+
+@query("""
+SELECT doc_id, source AS author, 'lexloom' AS producer, CAST(TIMESTAMP '2020-01-01 12:00:00' + to_days(CAST(doc_id % 1000 AS INTEGER)) AS TIMESTAMP) AS created,
+    CAST(TIMESTAMP '2020-01-01 12:00:00' + to_days(CAST(doc_id % 1000 + doc_id % 7 - 2 AS INTEGER)) AS TIMESTAMP) AS modified, doc_id % 7 < 2 AS suspicious FROM documents
+""")
+def pdf_metadata(spark, sf_dir):
+    """Document information of every document's PDF file, from plain and from compressed objects."""
+    found = files.file_metadata(files.extract(pdf_files(documents(spark, sf_dir))), F.lit("2026-01-01").cast("timestamp"))
+    return found.select(doc_id_of_path(), "author", "producer", F.col("created").cast("timestamp_ntz").alias("created"), F.col("modified").cast("timestamp_ntz").alias("modified"), "suspicious")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def iso_date_parse(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")
@@ -522,13 +598,20 @@ def iso_date_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(metadata.iso_date(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
-_S_SCORES = ", ".join(f"len(list_filter(w, lambda x: list_contains({_LIST(m)}, x))) AS s_{k}" for k, m in language.MARKERS.items())
-_S_BEST = "greatest(" + ", ".join(f"s_{k}" for k in language.MARKERS) + ")"
-_S_LANG = "CASE WHEN size < 20 THEN 'und' " + " ".join(f"WHEN s_{k} = {_S_BEST} AND {_S_BEST} > 0 THEN '{k}'" for k in language.MARKERS) + " ELSE 'und' END"
+# Trigrams within words, ranked: of languages (from all labelled documents) and of paragraphs.
+_S_GRAMS = lambda text: f"list_transform(list_filter(range(1, length({text}) - 1), lambda i: {text}[i + 1] <> ' '), lambda i: {text}[i:i + 2])"
+S_PROFILES = f"""pw AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest({s_words("coalesce(text, '')")}) AS w FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+pg AS (SELECT lang, g, sum(n) AS n FROM (SELECT lang, n, unnest({_S_GRAMS("concat(' ', w, ' ')")}) AS g FROM pw) GROUP BY ALL),
+profile AS MATERIALIZED (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS rank FROM pg QUALIFY rank < {language.RANKED})"""
 # Every line is a paragraph here, so that documents have more than one.
-S_LANGS = rf"""lp AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n{WS}*\n'), lambda p: {s_trim('p')}), lambda p: length(p) > 0) AS ps FROM documents),
+S_LANGS = rf"""{S_PROFILES}, lp AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n{WS}*\n'), lambda p: {s_trim('p')}), lambda p: length(p) > 0) AS ps FROM documents),
 lq AS (SELECT doc_id, unnest(range(0, len(ps))) AS pos, unnest(ps) AS part FROM lp), lr AS (SELECT doc_id, pos, length(part) AS size, {s_words('part')} AS w FROM lq),
-ls AS (SELECT doc_id, pos, len(w) AS n, size, {_S_SCORES} FROM lr WHERE len(w) > 0), lt AS (SELECT doc_id, pos, n, {_S_LANG} AS lang FROM ls),
+ls AS (SELECT doc_id, pos, len(w) AS n, size, concat(' ', array_to_string(w, ' '), ' ') AS t FROM lr WHERE len(w) > 0),
+lg AS (SELECT doc_id, pos, g, count(*) AS n FROM (SELECT doc_id, pos, unnest({_S_GRAMS('t')}) AS g FROM ls WHERE size >= 20 AND regexp_matches(t, '[\x{{0041}}-\x{{024F}}]') AND len(regexp_extract_all(t, '[\x{{0041}}-\x{{024F}}]')) * 2 >= len(regexp_extract_all(t, '\p{{L}}'))) GROUP BY ALL),
+lh AS (SELECT doc_id, pos, g, row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC, g) - 1 AS rank FROM lg QUALIFY rank < {language.RANKED}),
+li AS (SELECT doc_id, pos, lang, sum({language.RANKED} - abs(lh.rank - p.rank)) AS near FROM lh JOIN profile p USING (g) GROUP BY ALL),
+lj AS (SELECT doc_id, pos, lang FROM li QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY near DESC, lang) = 1 AND near > 0),
+lt AS (SELECT doc_id, pos, n, coalesce(lang, 'und') AS lang FROM ls LEFT JOIN lj USING (doc_id, pos)),
 lb AS (SELECT doc_id, lang, sum(n)::BIGINT AS words, min(pos)::BIGINT AS first_pos FROM lt GROUP BY ALL),
 lc AS (SELECT doc_id, lang, words, {s_share('words', 'sum(words) OVER (PARTITION BY doc_id)')} AS pct, first_pos FROM lb)"""
 
@@ -537,14 +620,23 @@ def _lines(spark, sf_dir):
     return documents(spark, sf_dir).withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
 
 
+def _detector(spark, sf_dir):
+    return language.trigram_detector(language.learn(table(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {S_PROFILES} SELECT lang, rank::BIGINT AS rank, g AS trigram FROM profile")
+def language_profiles(spark, sf_dir):
+    return language.learn(table(spark, sf_dir, "documents"))
+
+
 @query(f"WITH {S_LANGS} SELECT doc_id, lang, words, pct, first_pos FROM lc")
 def language_breakdown(spark, sf_dir):
-    return language.breakdown(_lines(spark, sf_dir), CONFIG)
+    return language.breakdown(_lines(spark, sf_dir), CONFIG, _detector(spark, sf_dir))
 
 
 @query(f"WITH {S_LANGS} SELECT d.doc_id, nullif(b.lang, 'und') AS language FROM documents d LEFT JOIN (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pct DESC, first_pos) = 1) b ON d.doc_id = b.doc_id")
 def dominant_language(spark, sf_dir):
-    return language.dominant(_lines(spark, sf_dir), CONFIG).select("doc_id", "language")
+    return language.dominant(_lines(spark, sf_dir), CONFIG, _detector(spark, sf_dir)).select("doc_id", "language")
 
 
 # Documents with planted slips, so that every rule matches.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -17,6 +16,7 @@ from lexloom.config import EngineConfig
 from lexloom.operators import copying
 from lexloom.operators.metadata import iso_date, pdf_date, suspicion, xml_tag
 from lexloom.operators.metrics import not_yet_stored
+from lexloom.sources.pdf import read_pdf
 
 PDF, DOCX, TXT = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain"
 #: Bytes in which a NUL speaks against plain text.
@@ -88,76 +88,30 @@ def joined_pages(pages: Column) -> Column:
 
 
 def pdf_info(content: Column) -> Column:
-    """author, producer, creator, created, modified, as written in a PDF's document information.
-
-    Reads plain objects only: null for encrypted files and for information in object streams.
-    """
-
-    @F.pandas_udf("author string, producer string, creator string, created string, modified string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame([info_values(x) for x in p], columns=["author", "producer", "creator", "created", "modified"], dtype=object)
-
-    return run(content)
-
-
-def info_values(data: bytes | None) -> tuple[str | None, ...]:
-    keys = (b"Author", b"Producer", b"Creator", b"CreationDate", b"ModDate")
-    refs = re.findall(rb"/Info\s+(\d+)\s+(\d+)\s+R", data or b"")
-    if not refs or b"/Encrypt" in data:
-        return (None,) * len(keys)
-    at = [m.end() for m in re.finditer(rb"(?<!\d)%s\s+%s\s+obj\b" % refs[-1], data)]
-    return tuple(pdf_string(data[at[-1] :], k) if at else None for k in keys)
-
-
-def pdf_string(data: bytes, key: bytes) -> str | None:
-    """The string value of a key of the dictionary that `data` begins with."""
-    m = re.match(rb"(?s)(.{0,20000}?)/%s\s*([(<])" % key, data)
-    if not m or b"endobj" in m[1]:
-        return None
-    if m[2] == b"<":
-        digits = re.sub(rb"\s", b"", data[m.end() : data.index(b">", m.end())])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        out, depth, i = bytearray(), 1, m.end()
-        named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-        while i < len(data) and depth:
-            c = data[i : i + 1]
-            if c == b"\\":
-                octal = re.match(rb"[0-7]{1,3}", data[i + 1 : i + 4])
-                if octal:
-                    out.append(int(octal[0], 8) & 255)
-                    i += len(octal[0])
-                else:
-                    out += named.get(data[i + 1 : i + 2], data[i + 1 : i + 2])
-                    i += 1
-            else:
-                depth += (c == b"(") - (c == b")")
-                out += c if depth else b""
-            i += 1
-        raw = bytes(out)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+    """author, producer, creator, created, modified, as written in a PDF's document information."""
+    return read_pdf(content)["info"]
 
 
 def extract(files: DataFrame, config: EngineConfig = EngineConfig(), pdf=None, ocr=None) -> DataFrame:
-    """path, content_hash, mime, text, xml, core, app, info, error. A column `declared` of `files`
-    is the type that the sender named.
+    """path, content_hash, mime, text, xml, core, app, info, error, pages. A column `declared` of
+    `files` is the type that the sender named.
 
-    pdf: Column builder from content to (text, pages); ocr: from content to an array of pages' texts
-    (null: failed, the text stays). Without them PDFs have no text. A byte order mark stays in text.
+    pdf: Column builder from content to (text, pages) in place of `sources.pdf`; ocr: from content to
+    an array of pages' texts, for PDFs with little text (null: failed, the text stays). A PDF that
+    can't be read has its reason as the error. A byte order mark stays in text.
     """
     found = files.select("path", "content", F.sha2("content", 256).alias("content_hash"), mime(F.col("path"), F.col("content"), F.col("declared") if "declared" in files.columns else None).alias("mime"))
     is_docx = F.col("mime") == DOCX
     found = found.withColumn("docx", docx_parts(F.when(is_docx, F.col("content"))))
     text = F.when(F.col("mime") == TXT, F.make_valid_utf8(F.col("content").cast("string"))).when(is_docx, F.col("docx.text"))
-    if pdf is not None:
-        found = found.withColumn("pdf", pdf(F.when(F.col("mime") == PDF, F.col("content"))))
-        text = F.coalesce(text, F.col("pdf.text"))
-        if ocr is not None:
-            wanted = needs_ocr(F.col("mime"), F.col("pdf.text"), F.col("pdf.pages"), config)
-            text = F.when(wanted, F.coalesce(joined_pages(ocr(F.col("content"))), text)).otherwise(text)
-    error = F.when(F.col("mime").isNull(), "UNSUPPORTED_TYPE").when(text.isNull(), "NO_TEXT")
-    return found.select("path", "content_hash", "mime", text.alias("text"), F.col("docx.document").alias("xml"), F.col("docx.core").alias("core"), F.col("docx.app").alias("app"), pdf_info(F.when(F.col("mime") == PDF, F.col("content"))).alias("info"), error.alias("error"))
+    found = found.withColumn("pdf", (pdf or read_pdf)(F.when(F.col("mime") == PDF, F.col("content"))))
+    text = F.coalesce(text, F.col("pdf.text"))
+    if ocr is not None:
+        wanted = needs_ocr(F.col("mime"), F.col("pdf.text"), F.col("pdf.pages"), config)
+        text = F.when(wanted, F.coalesce(joined_pages(ocr(F.col("content"))), text)).otherwise(text)
+    info, reason = (F.col("pdf.info"), F.col("pdf.error")) if pdf is None else (pdf_info(F.when(F.col("mime") == PDF, F.col("content"))), F.lit(None).cast("string"))
+    error = F.when(F.col("mime").isNull(), "UNSUPPORTED_TYPE").when(text.isNull(), F.coalesce(reason, F.lit("NO_TEXT")))
+    return found.select("path", "content_hash", "mime", text.alias("text"), F.col("docx.document").alias("xml"), F.col("docx.core").alias("core"), F.col("docx.app").alias("app"), info.alias("info"), error.alias("error"), F.col("pdf.pages").cast("int").alias("pages"))
 
 
 def docx_metadata(extracted: DataFrame) -> DataFrame:

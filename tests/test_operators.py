@@ -1,20 +1,24 @@
 """Operators on small hand-made rows."""
 
+import collections
 import datetime as dt
 import io
 import json
+import math
 import zipfile
+import zlib
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.lexicon import RUSSIAN
-from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, semantic, spam, style, tampering
+from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import report, stages
 from lexloom.plans.report import Engine, originality_report
-from lexloom.sources import files, providers
+from lexloom.sources import files, pdf, providers
 from lexloom.streaming import jobs
 
 BASE = "one two three four five six seven eight nine ten eleven twelve"
@@ -71,6 +75,108 @@ def test_scorer_registry(spark):
     assert r.ai_probability == 0.767 and r.ai_verdict
 
 
+def test_perplexity_null(spark):
+    """A model that has no value for a text leaves the other features' weights alone."""
+    weights = EngineConfig(weights=(("mine", 2.0), ("perplexity", 1.0)))
+    r = ai.ai_probability(metrics.tokenized(docs(spark, "a b c")), RUSSIAN, weights, {"mine": lambda p, c: F.lit(0.9), "perplexity": ai.perplexity_scorer(lambda x: F.lit(None).cast("double"))}).first()
+    assert r.perplexity is None and r.ai_probability == 0.9
+
+
+def brute_perplexity(trained, asked, order):
+    """Interpolated Kneser-Ney, one n-gram at a time."""
+    def padded(t):
+        return ["<s>"] * (order - 1) + (t or "").split() + ["</s>"]
+
+    counts = [collections.Counter() for _ in range(order)]
+    for t in trained:
+        w = padded(t)
+        counts[-1].update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    for k in range(order - 2, -1, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    of = [collections.Counter(c.values()) for c in counts]
+    d = [n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5 for n in of]
+
+    def p(g):
+        k = len(g) - 1
+        if k == 0:
+            total = sum(counts[0].values())
+            return max(counts[0][g] - d[0], 0) / max(1, total) + (d[0] * len(counts[0]) / total if total else 1) / (len(counts[0]) + 1)
+        after = [c for h, c in counts[k].items() if h[:-1] == g[:-1]]
+        return (max(counts[k][g] - d[k], 0) + d[k] * len(after) * p(g[1:])) / sum(after) if after else p(g[1:])
+
+    w = padded(asked)
+    if len((asked or "").split()) < 2:
+        return 0.0
+    logs = [math.log(p(tuple(w[i : i + order]))) for i in range(len(w) - order + 1)]
+    return math.exp(-sum(logs) / len(logs))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_perplexity(spark, order):
+    trained = ["a b c a b d", "a b c", "c c c c", None, "", "b"]
+    asked = ["a b c", "d a z z", "a", "", None, "c c c a b d x", "a b " * 300]
+    model = ngrams.train(docs(spark, *trained), order)
+    got = {r.doc_id: r.perplexity for r in ngrams.perplexity(docs(spark, *asked), model).collect()}
+    assert len(got) == len(asked)
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(brute_perplexity(trained, t, order), rel=1e-9), t
+    if order == 3:
+        same = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
+        assert {r.doc_id: round(r.perplexity, 9) for r in ngrams.perplexity(same, model).collect()} == dict.fromkeys((None, 1), round(got[0], 9))
+        none = ngrams.train(docs(spark, "x").limit(0), order)
+        assert ngrams.perplexity(docs(spark, "a b"), none).first().perplexity == pytest.approx(1.0)
+        t = ai.with_perplexity(metrics.tokenized(docs(spark, "a b c", "a")), docs(spark, "a b c", "a"), model)
+        r = {r.doc_id: r.perplexity for r in ai.ai_probability(t, RUSSIAN).collect()}
+        assert r[1] == 1.0 and 0 < r[0] < 1
+
+
+def brute_nearest(asked, corpus):
+    out = {}
+    for i, q in asked:
+        best = None
+        for j, c in corpus:
+            if q is None or c is None or len(q) != len(c) or not len(q):
+                continue
+            a, b = np.array([np.nan if v is None else v for v in q], float), np.array([np.nan if v is None else v for v in c], float)
+            if not (np.isfinite(a).all() and np.isfinite(b).all() and a.any() and b.any()):
+                continue
+            s = round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+            if best is None or (-s, j) < best:
+                best = (-s, j)
+        if best:
+            out[i] = (best[1], -best[0])
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_nearest_by_pivots(spark, block):
+    r = np.random.default_rng(block)
+    centers = r.normal(size=(9, 12))
+    rows = lambda n, at: [(at + i, (centers[r.integers(9)] + 0.1 * r.normal(size=12)).tolist()) for i in range(n)]
+    corpus = rows(400, 10_000) + [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [2.0, 4.0, 6.0]), (4, None), (5, []), (6, [float("nan"), 1.0, 1.0]), (7, [0.0] * 12), (8, [None] * 12), (9, [float("inf")] * 12)]
+    corpus += [(50_000 + i, corpus[0][1]) for i in range(50)]
+    asked = rows(100, 0) + [(900, [1.0, 2.0, 3.0]), (901, [1.0, 2.0]), (902, None), (903, [0.0] * 12), (904, [float("nan")] * 12), (905, [None, 1.0, 1.0]), (906, corpus[0][1]), (907, [-1.0] * 12)]
+    kind = "vec_id long, embedding array<double>"
+    got = semantic.nearest(spark.createDataFrame(asked, kind), spark.createDataFrame([*corpus, (None, [1.0] * 12)], kind), block=block).collect()
+    want = brute_nearest(asked, corpus)
+    assert {x.vec_id: (x.nearest_id, round(x.similarity, 9)) for x in got} == want and len(got) == len(want)
+    met = [x.compared for x in got if x.vec_id < 100]
+    assert max(met) <= 400 and sum(met) < 0.5 * 400 * len(met)  # cells that can't win aren't met
+    assert semantic.nearest(spark.createDataFrame(asked, kind), spark.createDataFrame([], kind)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1e200, 1e-200])], kind)
+    assert sorted((x.vec_id, x.nearest_id) for x in semantic.nearest(twice, spark.createDataFrame([(5, [1e-170, 0.0]), (6, [0.0, 3.0])], kind)).collect()) == [(1, 5), (1, 6), (2, 5)]
+
+
+def test_nearest_plain_vectors(spark):
+    """Vectors without any structure: nothing is ruled out, all the same rows."""
+    r = np.random.default_rng(3)
+    make = lambda n, at: [(at + i, r.normal(size=8).tolist()) for i in range(n)]
+    asked, corpus = make(60, 0), make(150, 1000)
+    kind = "vec_id long, embedding array<double>"
+    got = semantic.nearest(spark.createDataFrame(asked, kind), spark.createDataFrame(corpus, kind), block=16).collect()
+    assert {x.vec_id: (x.nearest_id, round(x.similarity, 9)) for x in got} == brute_nearest(asked, corpus)
+
+
 def test_quotes(spark):
     r = docs(spark, 'ab "cd" «e "f" g»', "").select(style.cited_pct(F.col("text")).alias("c")).collect()
     assert r[0].c == 80.0 or r[0].c > 50
@@ -91,9 +197,40 @@ def test_homoglyphs_and_zero_width(spark):
 
 
 def test_language(spark):
-    d = docs(spark, "the cat and the dog of it\n\nder Hund und die Katze ist", "xx", "", None)
-    got = {r.doc_id: r for r in language.dominant(d).collect()}
+    labelled = spark.createDataFrame([("en", "the cat and the dog of it was there with them"), ("en", None), ("de", "der Hund und die Katze ist nicht im Haus"), ("uk", "це дуже гарний день і він ще не пішов"), (None, "zzz zzz")], "lang string, text string")
+    profiles = language.learn(labelled)
+    assert {(r.lang, r.trigram) for r in profiles.filter("rank = 0").collect()} == {("en", "the"), ("de", " de"), ("uk", "ий ")} or profiles.filter("rank = 0").count() == 3
+    told = language.trigram_detector(profiles)
+    d = docs(spark, "the cat and the dog of it\n\nder Hund und die Katze ist", "xx", "", None, "він дуже гарний, цей день", "Καλημέρα σε όλους σας εδώ", "これは日本語の文章です、とても長い文章です", "qqqqqq qqqqqqq qqqqqqqqqqq", "12345 678910 11121314 1516")
+    got = {r.doc_id: r for r in language.dominant(d, detector=told).collect()}
     assert got[0].language == "en" and set(got[0].language_breakdown) == {"en", "de"} and got[1].language is None and got[2].language_breakdown is None
+    assert [got[i].language for i in range(4, 9)] == ["uk", "el", "ja", None, None]
+    alone = {r.doc_id: r.language for r in language.dominant(d).collect()}  # without profiles scripts tell
+    assert [alone[i] for i in (0, 4, 5, 6)] == [None, None, "el", "ja"]
+    assert language.learn(labelled.limit(0)).count() == 0
+    assert [tuple(r) for r in language.accuracy(labelled.filter("text is not null"), told).orderBy("lang").collect()] == [("de", 1, 1), ("en", 1, 1), ("uk", 1, 1)]
+
+
+def test_trigram_ranks():
+    """The array form against counting one by one."""
+    texts = ["the cat the", "a", "", "x" * 700 + " é ü", "b a b a " * 200]
+    rows = [("en", k, g) for k, g in enumerate([" th", "the", "he ", "cat"])] + [("de", k, g) for k, g in enumerate([" b ", " a ", " th"])]
+    known = language.Profiles(rows)
+    for t, told in zip(texts, known.detect(texts), strict=True):
+        padded = f" {t} "
+        counts = collections.Counter(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+        ranked = sorted(counts, key=lambda g: (-counts[g], g))[: language.RANKED]
+        far = {lang: sum(abs(k - dict((g, r) for la, r, g in rows if la == lang)[g]) if g in [x for la, _, x in rows if la == lang] else language.RANKED for k, g in enumerate(ranked)) for lang in ("de", "en")}
+        best = min(far, key=lambda x: (far[x], x))
+        assert told == (best if far[best] < language.RANKED * len(ranked) else "und")
+
+
+def test_language_held_out(spark):
+    """Profiles from three documents in four tell the language of the fourth."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).alias("part"))
+    told = language.trigram_detector(language.learn(d.filter("part <> 2")))
+    rows = language.accuracy(d.filter("part = 2 and length(text) >= 40"), told).collect()
+    assert sum(r.correct for r in rows) >= 0.95 * sum(r.documents for r in rows)
 
 
 def test_grammar(spark):
@@ -178,14 +315,79 @@ def test_files(spark, tmp_path):
 
 
 def test_pdf_information(spark):
-    body = b"%PDF-1.4\n3 0 obj << /Title (x) /Author (A \\(b\\) \\101) /Producer <FEFF0041> /CreationDate (D:20240101000000Z) /ModDate (D:20240301000000) >> endobj\ntrailer << /Info 3 0 R >>"
-    assert files.info_values(body) == ("A (b) A", "A", None, "D:20240101000000Z", "D:20240301000000")
-    assert files.info_values(b"%PDF-1.4 x") == files.info_values(None) == (None,) * 5
+    body = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 9 0 R >> endobj\n3 0 obj << /Title (x) /Author (A \\(b\\) \\101) /Producer <FEFF0041> /CreationDate (D:20240101000000Z) /ModDate (D:20240301000000) >> endobj\ntrailer << /Root 1 0 R /Info 3 0 R >>"
+    assert pdf.read(body) == ("", 0, None, ("A (b) A", "A", None, "D:20240101000000Z", "D:20240301000000"))
+    assert pdf.read(b"%PDF-1.4 x")[2:] == ("PDF_BROKEN", (None,) * 5) and pdf.read(None) == (None, None, None, (None,) * 5)
     rows = spark.createDataFrame([("a.pdf", bytearray(body))], "path string, content binary")
     got = files.file_metadata(files.extract(rows), F.lit("2024-03-01 00:01:00").cast("timestamp")).first()
     assert (got.author, got.producer, got.suspicious, got.suspicion_note) == ("A (b) A", "A", True, "touched_now")
 
 
+def stream(body, keys=b""):
+    return b"<< %s /Length %d >>\nstream\n%s\nendstream" % (keys, len(body), body)
+
+
+def made_pdf(content, fonts=b"/F << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", more=b"", keys=b""):
+    """A file of one page without a cross-reference table, so it has to be rebuilt."""
+    return b"%%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << %s >> /XObject << /X 5 0 R >> >> >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents [4 0 R] >> endobj\n4 0 obj %s endobj\n%s\ntrailer << /Root 1 0 R %s >>" % (fonts, stream(content), more, keys)
+
+
+def test_pdf_content():
+    text = lambda *a, **k: pdf.read(made_pdf(*a, **k))[0]
+    assert text(b"BT /F 10 Tf 1 0 0 1 10 700 Tm [(Hel) -20 (lo) -600 (there)] TJ 0 -12 Td (next) Tj 0 -30 Td (par) Tj ET") == "Hello there\nnext\n\npar"
+    assert text(b"BT /F 10 Tf 12 TL 0 700 Td (a) Tj (b) ' 1 2 (c) \" T* (d) Tj ET") == "a\nb\nc\nd"
+    assert text(b"q 2 0 0 2 0 0 cm BT /F 5 Tf (in) Tj ET Q % not (this)\nBI /W 1 ID \x00(x) Tj EI BT /F 10 Tf 0 -50 Td <6f7> Tj ET") == "in\n\nop"
+    form = b"5 0 obj " + stream(b"BT /F 10 Tf 0 600 Td (form) Tj ET /X Do", b"/Type /XObject /Subtype /Form") + b" endobj"
+    assert text(b"BT /F 10 Tf 0 700 Td (page) Tj ET /X Do", more=form).startswith("page\n\nform")
+    named = b"/F << /Type /Font /Subtype /Type1 /FirstChar 65 /Widths [500 500] /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [65 /eacute /uni0416 /fi] >> >>"
+    assert text(b"BT /F 10 Tf (ABC\\344) Tj ET", named) == "éЖfiä"
+    cmap = b"1 begincodespacerange <00> <7F> endcodespacerange 1 begincodespacerange <8000> <FFFF> endcodespacerange 2 beginbfrange <41> <43> <0061> <8001> <8002> [<00660066> <D83DDE00>] endbfrange"
+    wide = b"/F << /Type /Font /Subtype /Type0 /DescendantFonts [<< /W [65 [1000 400] 70 72 300] >>] /ToUnicode 6 0 R >>"
+    assert text(b"BT /F 10 Tf <4180018002 43> Tj ET", wide, b"6 0 obj " + stream(cmap) + b" endobj") == "aff😀c"
+    assert text(b"BT /F 10 Tf (a) Tj (broken) BT Tj Td /None Tf ET") == "a"  # operators without operands, an unknown font
+    assert pdf.read(made_pdf(b"", keys=b"/Encrypt << >>"))[2] == "PDF_ENCRYPTED"
+    looped = made_pdf(b"BT ET").replace(b"/Kids [3 0 R]", b"/Kids [2 0 R 3 0 R 3 0 R]")
+    assert pdf.read(looped)[:3] == ("", 1, None)
+    deep = made_pdf(b"[" * 5000)
+    assert pdf.read(deep)[2] == "PDF_BROKEN"
+
+
+def test_pdf_filters():
+    body = bytes(range(40)) * 3
+    rows = [body[i : i + 8] for i in range(0, len(body), 8)]
+    for kind in range(5):
+        out, above = bytearray(), bytes(8)
+        for r in rows:
+            left, corner = b"\0\0" + r[:-2], b"\0\0" + above[:-2]
+            def paeth(a, b, c):
+                return min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            guess = [(0, a, b, (a + b) // 2, paeth(a, b, c))[kind] for a, b, c in zip(left, above, corner, strict=True)]
+            out += bytes([kind]) + bytes((x - g) & 255 for x, g in zip(r, guess, strict=True))
+            above = r
+        assert pdf._undone("FlateDecode", zlib.compress(bytes(out)), {"Predictor": 15, "Colors": 2, "Columns": 4}) == body
+    tiff = b"".join(bytes((x - y) & 255 for x, y in zip(r, b"\0\0" + r[:-2], strict=True)) for r in rows)
+    assert pdf._undone("FlateDecode", zlib.compress(tiff), {"Predictor": 2, "Colors": 2, "Columns": 4}) == body
+    assert pdf._undone("ASCIIHexDecode", b"41 42 4>", {}) == b"AB@" and pdf._undone("ASCII85Decode", b"<~87cURDZ~>", {}) == b"Hello"
+    with pytest.raises(pdf.PdfError):
+        pdf._undone("JPXDecode", b"", {})
+
+
+def test_pdf_round_trip(spark):
+    texts = ["", None, "one", "a (b) \\ c\n\nnext\nlast", "π é 北京 😀\tx\n" + "z" * 50, "\n".join(f"line {i}" for i in range(120)), "x\r\ny"]
+    rows = [(f"{i}-{c}.pdf", t, c) for i, t in enumerate(texts) for c in (False, True)]
+    d = spark.createDataFrame(rows, "path string, text string, c boolean").select("path", pdf.to_pdf(F.col("text"), {"author": F.lit("Ä b"), "modified": F.lit(None).cast("string")}, F.col("c")).alias("content"))
+    broken = spark.createDataFrame([("x.pdf", bytearray(b"%PDF-1.4 nothing"))], "path string, content binary")
+    got = {r.path: r for r in files.extract(d.unionByName(broken)).collect()}
+    assert got["x.pdf"].text is None and got["x.pdf"].error == "PDF_BROKEN"
+    for path, t, _ in rows:
+        lines = (t or "").split("\n")
+        want = "\n\n".join("\n".join(lines[a : a + 50]) for a in range(0, len(lines), 50))
+        assert (got[path].text, got[path].error, got[path].pages) == (want, None, -(-len(lines) // 50)) and got[path].info.author == "Ä b"
+    whole = pdf.write(texts[3], {"author": "x"}, True)
+    for cut in (whole[:-40], whole[:-40] + b"xx" * 30 + whole[-40:]):  # no table, a table that is elsewhere
+        assert pdf.read(cut)[0] == texts[3]
+
+
 def test_replace_rows(spark, tmp_path):
     folder = str(tmp_path / "t")
     rows = lambda *x: spark.createDataFrame(x, "doc_id long, v string")
