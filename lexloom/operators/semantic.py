@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +18,6 @@ from lexloom.storage import batches_of, stored
 BLOCK, PIVOTS, SLACK = 2048, 1024, 1e-6
 
 
-def hashing_embedding(dim: int = 384):
-    """A deterministic embedder of sentences by letter trigrams; stands in where no model is given."""
-
-    @F.pandas_udf("array<float>")
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(s: str):
-            v = np.zeros(dim, np.float32)
-            s = f" {s.lower()} "
-            for i in range(len(s) - 2):
-                h = zlib.crc32(s[i : i + 3].encode())
-                v[h % dim] += 1 if h & 1 << 20 else -1
-            return v
-
-        for p in parts:
-            yield p.map(one)
-
-    return embed
-
-
 def usable(embedding: Column) -> Column:
     """Not null, not empty, every component finite, not all of them zero."""
     good = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -185,8 +165,13 @@ def paraphrase_sources(found: DataFrame, group: str, config: EngineConfig = Engi
     return found.filter(F.col("similarity") >= config.paraphrase_threshold).groupBy(group, "nearest_group").agg(F.count("*").alias("matched_sentences"))
 
 
-def sentence_vectors(docs: DataFrame, embedder=None) -> DataFrame:
-    """doc_id, vec_id, position, sentence, embedding. vec_id is derived from document and position."""
-    embed = embedder or hashing_embedding()
+def sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, vec_id, position, sentence, as embedders take them. vec_id is derived from document and
+    position; rows that repeat a doc_id have sentences of the same vec_ids."""
     each = docs.select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")), letters_only=True)).alias("position", "sentence"))
-    return each.select("doc_id", F.xxhash64("doc_id", "position").alias("vec_id"), "position", "sentence", embed("sentence").alias("embedding"))
+    return each.select("doc_id", F.xxhash64("doc_id", "position").alias("vec_id"), "position", "sentence")
+
+
+def sentence_vectors(docs: DataFrame, embedder) -> DataFrame:
+    """`sentences` with their embeddings. embedder: a Column builder, such as `latent.embedder`."""
+    return sentences(docs).withColumn("embedding", embedder(F.col("sentence")))

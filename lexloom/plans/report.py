@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lexloom.config import EngineConfig
 from lexloom.functions.text import rounded, share
 from lexloom.lexicon import RUSSIAN, LexicalProfile
-from lexloom.operators import ai, copying, grammar, language, metrics, semantic, spam, style, tampering
+from lexloom.operators import ai, copying, grammar, language, latent, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import stages
 from lexloom.sources import providers
+from lexloom.storage import stored
 from lexloom.streaming import jobs
 
 RESULT = ["doc_id", "plagiarism_pct", "paraphrase_pct", "self_plagiarism_pct", "cited_pct", "originality_pct", "spam_pct", "junk_words_pct",
@@ -67,23 +68,42 @@ class AnalysisFrames:
 class Engine:
     """analyze(documents, corpus): documents have doc_id, text and an author column; corpus doc_id,
     text and, if known, title. provider: a search provider; checker: a grammar checker; embedder: a
-    Column builder of sentence vectors; scorers: of AI features."""
+    Column builder of sentence vectors, by default learned from documents and corpus; scorers: of AI
+    features; languages: profiles as `language.learn` gives them, without which scripts alone tell
+    languages; perplexity: whether a model of the corpus adds that feature."""
 
-    def __init__(self, config: EngineConfig = EngineConfig(), profile: LexicalProfile = RUSSIAN, embedder=None, author: str = "source", provider=None, checker=None, scorers=None):
+    def __init__(self, config: EngineConfig = EngineConfig(), profile: LexicalProfile = RUSSIAN, embedder=None, author: str = "source", provider=None, checker=None, scorers=None,
+                 languages: DataFrame | None = None, perplexity: bool = False):
         self.config, self.profile, self.embedder, self.author = config, profile, embedder, author
         self.provider, self.checker, self.scorers = provider, checker, scorers
+        self.languages, self.perplexity = languages, perplexity
 
     def sentences(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, similarity and nearest_group (the source) of each sentence, by nearest corpus sentence."""
-        ours, theirs = semantic.sentence_vectors(docs, self.embedder), semantic.sentence_vectors(corpus, self.embedder)
+        embed = self.embedder or self.learned(docs, corpus)
+        # stored, so that each sentence is embedded once
+        ours, theirs = (stored(semantic.sentence_vectors(d, embed).withColumn("vec_id", F.monotonically_increasing_id()), "sentence-vectors") for d in (docs, corpus))
         best = semantic.nearest(ours, theirs)
         found = ours.select("doc_id", "vec_id").join(best, "vec_id", "left")
         return found.join(theirs.select(F.col("vec_id").alias("nearest_id"), F.col("doc_id").alias("nearest_group")), "nearest_id", "left")
 
+    @staticmethod
+    def learned(docs: DataFrame, corpus: DataFrame):
+        """An embedder learned from the sentences of both."""
+        both = semantic.sentences(docs.select("doc_id", "text")).unionByName(semantic.sentences(corpus.select("doc_id", "text")))
+        return latent.embedder(latent.learn(both), docs.sparkSession)
+
     def paraphrase(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, total_sentences, matched_sentences, paraphrase_pct."""
         return semantic.paraphrase_pct(self.sentences(docs, corpus), "doc_id", self.config)
 
+    def scored(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
+        """AI features and probability; see ai.ai_probability."""
+        tokens = metrics.tokenized(docs)
+        if self.perplexity:
+            tokens = ai.with_perplexity(tokens, docs, ngrams.train(corpus))
+        return ai.ai_probability(tokens, self.profile, self.config, self.scorers)
+
     def external_search(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         sample = copying.rare_shingles(docs, corpus, self.config).select("doc_id", "phrase")
         return providers.external_search(sample, self.provider, self.config, docs)
@@ -94,9 +114,9 @@ class Engine:
             tampering.zero_width(docs).select("doc_id", F.lit("ZERO_WIDTH").alias("type"), "position", F.col("label").alias("details")))
         para = self.paraphrase(docs, corpus) if with_paraphrase else None
         results = originality_report(docs, corpus, self.profile, c, para, self.author, self.checker)
-        described = metrics.basic_metrics(docs, c).join(language.dominant(docs, c), "doc_id", "left")
+        described = metrics.basic_metrics(docs, c).join(language.dominant(docs, c, language.trigram_detector(self.languages)), "doc_id", "left")
         return AnalysisFrames(described, results, self.titled(copying.copy_sources(docs, corpus, c), corpus), copying.self_copy_sources(docs, c, self.author), spam.top_words(tokens, self.profile, c),
-                              ai.ai_probability(tokens, self.profile, c, self.scorers), copying.rare_shingles(docs, corpus, c), flags, self.details(docs, corpus, with_paraphrase))
+                              self.scored(docs, corpus), copying.rare_shingles(docs, corpus, c), flags, self.details(docs, corpus, with_paraphrase))
 
     @staticmethod
     def titled(sources: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -128,7 +148,7 @@ class Engine:
         found["grammar"] = section(checked, F.col("grammar_errors").alias("total_errors"), F.col("grammar_by_category").alias("by_category"), "errors")
         found["style"] = section(style.style(tokens, self.profile, c), "long_sentences_pct", "passive_voice_pct", "bureaucracy_pct", "word_repetitions", "matched_cliches")
         found["spam"] = section(docs.select("doc_id").join(listed(spam.top_words(tokens, self.profile, c), "top_words", "rank", "word", "cnt"), "doc_id", "left"), "top_words")
-        scored = ai.ai_probability(tokens, self.profile, c, self.scorers)
+        scored = self.scored(docs, corpus)
         found["aiDetector"] = section(scored, F.struct(*(n for n in scored.columns if n not in ("doc_id", "ai_probability", "ai_verdict"))).alias("features"), F.col("ai_probability").alias("probability"), F.col("ai_verdict").alias("verdict"))
         found["externalSearch"] = section(self.external_search(docs, corpus), "enabled", "provider", "queried_phrases", "results")
         return found

@@ -699,6 +699,14 @@ def originality_report(spark, sf_dir):
     return report.originality_report(documents(spark, sf_dir), corpus(spark, sf_dir), LATIN, CONFIG)
 
 
+@query(None)
+def originality_full(spark, sf_dir):
+    """The report with paraphrase: sentence vectors learned from documents and corpus, the nearest
+    sentence of the corpus for each. Learned vectors can't be put in SQL; tests use a dense version."""
+    docs, other = documents(spark, sf_dir), corpus(spark, sf_dir)
+    return report.originality_report(docs, other, LATIN, CONFIG, report.Engine(CONFIG, LATIN).paraphrase(docs, other))
+
+
 @query(f"""WITH {S_DOCS}, {S_CANDIDATES}, {S_TOTALS}, {S_GATED}, own AS (SELECT DISTINCT a.doc_id, a.hash, d.source FROM a JOIN documents d USING (doc_id)),
 p1 AS (SELECT doc_id, count(DISTINCT hash) AS n FROM m GROUP BY doc_id), p3 AS (SELECT m.doc_id, count(DISTINCT m.corpus_doc_id) AS n FROM m GROUP BY m.doc_id),
 p2 AS (SELECT own.doc_id, count(*) AS n FROM own JOIN (SELECT source, hash FROM own GROUP BY source, hash HAVING count(*) > 1) USING (source, hash) GROUP BY own.doc_id),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
-from lexloom.operators import copying
+from lexloom.operators import copying, semantic
 from lexloom.operators.metadata import iso_date, pdf_date, suspicion, xml_tag
 from lexloom.operators.metrics import not_yet_stored
 from lexloom.sources.pdf import read_pdf
@@ -171,9 +171,9 @@ def replace_rows(rows: DataFrame, folder: str, key: str = "doc_id", keys: DataFr
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def add_corpus(sources: DataFrame, folder: str, config: EngineConfig = EngineConfig()) -> None:
-    """Adds sources (doc_id, title, source_url, text) to the corpus in `folder`, with their shingles
-    and LSH buckets; contents that it has already are passed over.
+def add_corpus(sources: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embedder=None) -> None:
+    """Adds sources (doc_id, title, source_url, text) to the corpus in `folder`, with their shingles,
+    LSH buckets and, if an embedder is given, sentence vectors; contents that it has are passed over.
 
     Documents are written last, so that a run that broke off is done again whole.
     """
@@ -188,4 +188,6 @@ def add_corpus(sources: DataFrame, folder: str, config: EngineConfig = EngineCon
     fresh = hashed.join(not_yet_stored(sources, stored), ["doc_id", "content_hash"], "left_semi")
     replace_rows(copying.shingle_table(fresh, config), f"{folder}/shingles")
     replace_rows(copying.buckets(fresh, config).withColumnRenamed("doc_id", "corpus_doc_id"), f"{folder}/lsh", "corpus_doc_id")
+    if embedder is not None:
+        replace_rows(semantic.sentence_vectors(fresh, embedder), f"{folder}/sentences")
     fresh.write.mode("append").parquet(f"{folder}/documents")

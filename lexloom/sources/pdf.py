@@ -12,7 +12,9 @@ import re
 import struct
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -337,13 +339,19 @@ def glyph(name: str) -> str:
         return ""
 
 
+@cache
+def _table(codec: str) -> dict[tuple[int, int], str]:
+    """What single bytes stand for; bytes that the codec doesn't know are Latin-1."""
+    return {(1, c): bytes([c]).decode(codec, "replace").replace("�", chr(c)) for c in range(256)}
+
+
 class Font:
     """Codes of strings to text and widths (of a unit of the font's size)."""
 
     def __init__(self, reader: Reader, keys: dict):
         get = reader.get
         self.wide = get(keys.get("Subtype")) == "Type0"
-        self.map, self.lengths, self.seen = {}, {2} if self.wide else {1}, {}
+        self.map, self.lengths = {}, {2} if self.wide else {1}
         below = get((get(keys.get("DescendantFonts")) or [{}])[0]) if self.wide else keys
         self.widths, self.default = {}, (get(below.get("DW", 1000)) if self.wide else 500) / 1000
         if self.wide:
@@ -363,11 +371,12 @@ class Font:
         known = get(keys.get("ToUnicode"))
         if isinstance(known, Stream):
             self._to_unicode(reader.decoded(known))
+        self.known = defaultdict(str, {code: t for (n, code), t in self.map.items() if {n} == self.lengths})
+        self.reach = defaultdict(lambda: self.default, self.widths)
 
     def _simple(self, get, encoding) -> None:
         base = encoding if isinstance(encoding, str) else get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else None
-        codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
-        self.map = {(1, c): bytes([c]).decode(codec, "replace").replace("�", chr(c)) for c in range(256)}
+        self.map = dict(_table("mac_roman" if base == "MacRomanEncoding" else "cp1252"))
         code = 0
         for x in get(encoding.get("Differences")) or [] if isinstance(encoding, dict) else []:
             if isinstance(x, int):
@@ -399,17 +408,21 @@ class Font:
                 held.append(v)
         self.lengths = lengths or self.lengths
 
-    def codes(self, raw: bytes) -> Iterator[tuple[str, float, bool]]:
-        """(text, width, whether word spacing goes here) of each code."""
-        at, lengths, seen = 0, sorted(self.lengths), self.seen
+    def shown(self, raw: bytes) -> tuple[str, float, int, int]:
+        """(text, width, codes, codes that word spacing goes with) of a string."""
+        if self.lengths == {1}:
+            return "".join(map(self.known.__getitem__, raw)), sum(map(self.reach.__getitem__, raw)), len(raw), raw.count(32)
+        if self.lengths == {2}:
+            codes = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+            return "".join(map(self.known.__getitem__, codes)), sum(map(self.reach.__getitem__, codes)), len(codes), 0
+        at, lengths, text, width, count, blanks = 0, sorted(self.lengths), [], 0.0, 0, 0
         while at < len(raw):
-            n = lengths[0] if len(lengths) == 1 else next((n for n in lengths if (n, int.from_bytes(raw[at : at + n], "big")) in self.map), lengths[-1])
-            key = raw[at : at + n]
-            if key not in seen:
-                code = int.from_bytes(key, "big")
-                seen[key] = self.map.get((n, code), ""), self.widths.get(code, self.default), n == 1 and code == 32
-            yield seen[key]
+            n = next((n for n in lengths if (n, int.from_bytes(raw[at : at + n], "big")) in self.map), lengths[-1])
+            code = int.from_bytes(raw[at : at + n], "big")
+            text.append(self.map.get((n, code), ""))
+            width, count, blanks = width + self.reach[code], count + 1, blanks + (n == 1 and code == 32)
             at += n
+        return "".join(text), width, count, blanks
 
 
 def _times(a: tuple, b: tuple) -> tuple:
@@ -468,14 +481,12 @@ class Interpreter:
             nonlocal at
             if text["font"] is None:
                 return
-            scale, out, far = text["Tz"] / 100, [], 0.0
-            for t, width, blank in text["font"].codes(raw):
-                out.append(t)
-                far += (width * text["size"] + text["Tc"] + (text["Tw"] if blank else 0)) * scale
+            t, width, count, blanks = text["font"].shown(raw)
+            far = (width * text["size"] + text["Tc"] * count + text["Tw"] * blanks) * text["Tz"] / 100
             here = _times(_times((1, 0, 0, 1, 0, text["Ts"]), at), ctm)
             at = _times((1, 0, 0, 1, far, 0), at)
             size = abs(text["size"]) * (here[2] ** 2 + here[3] ** 2) ** 0.5
-            self.lines.add("".join(out), here[4], here[5], _times(at, ctm)[4], size)
+            self.lines.add(t, here[4], here[5], _times(at, ctm)[4], size)
 
         while (v := s.value()) is not END:
             if not isinstance(v, Word):

@@ -13,9 +13,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import queries
 from lexloom.config import EngineConfig
 from lexloom.lexicon import RUSSIAN
-from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, ngrams, semantic, spam, style, tampering
+from lexloom.operators import ai, copying, dictionaries, grammar, language, latent, metadata, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import report, stages
 from lexloom.plans.report import Engine, originality_report
 from lexloom.sources import files, pdf, providers
@@ -177,6 +178,65 @@ def test_nearest_plain_vectors(spark):
     assert {x.vec_id: (x.nearest_id, round(x.similarity, 9)) for x in got} == brute_nearest(asked, corpus)
 
 
+def dense_latent(sentences, size, slots):
+    """Weighted counts, their exact singular vectors, and a function to vectors of sentences."""
+    def counts(texts):
+        x = np.zeros((len(texts), slots))
+        for i, t in enumerate(texts):
+            for w in (t or "").lower().split():
+                x[i, zlib.crc32(w.encode()) % slots] += 1
+        return x
+
+    x = counts(sentences)
+    x = x[x.sum(1) > 0]
+    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) ** 2
+    _, values, right = np.linalg.svd(x * weights, full_matrices=False)
+    k = min(size, int((values > 1e-4 * values[0]).sum()))
+    return lambda texts: counts(texts) * weights @ right[:k].T / values[:k] * np.sqrt(len(x))
+
+
+def cosines(x):
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.where(n > 0, n, 1)
+    return x @ x.T
+
+
+def test_latent_vectors(spark, tmp_path):
+    r = np.random.default_rng(2)
+    topics = [[f"w{t}x{k}" for k in range(12)] for t in range(5)]
+    texts = [" ".join(r.choice(topics[i % 5], 8)) for i in range(200)] + [None, "", "...", "unseen words only in here"]
+    s = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, sentence string").repartition(3)
+    for size, exact in ((70, True), (5, False)):
+        model = latent.learn(s, size, 256)
+        embed = latent.embedder(model, spark)
+        got = np.array([x.e for x in s.select("i", embed(F.col("sentence")).alias("e")).orderBy("i").collect()])
+        want = dense_latent(texts, size, 256)(texts)
+        assert np.abs(cosines(got) - cosines(want))[:200, :200].max() < (1e-3 if exact else 0.05)
+        assert not got[200:203].any()
+    latent.save(model, spark, str(tmp_path / "m"))
+    again = latent.load(spark, str(tmp_path / "m"))
+    assert (again.vectors == model.vectors).all() and (again.weights == model.weights).all()
+    none = latent.learn(s.limit(0), 4, 16)
+    assert not np.array(s.select(latent.embedder(none, spark)(F.col("sentence")).alias("e")).first().e).any()
+
+
+def test_paraphrase_of_the_report(spark):
+    """originality_full's paraphrase against comparing all sentences with all."""
+    d, c = queries.documents(spark, "/root/testdata/sf0.001"), queries.corpus(spark, "/root/testdata/sf0.001")
+    embed = Engine.learned(d, c)
+    own, other = ([(x.doc_id, x.embedding) for x in semantic.sentence_vectors(f, embed).collect()] for f in (d, c))
+    unit = lambda rows: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))(np.array([v for _, v in rows], float))
+    best = (unit(own) @ unit(other).T).max(1)
+    total, hit = collections.Counter(i for i, _ in own), collections.Counter(i for (i, _), s in zip(own, best, strict=True) if s >= 0.75)
+    got = {r.doc_id: r for r in queries.originality_full(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 200 and all(got[i].paraphrase_pct == 0 for i in got if i not in total)
+    same = [abs(got[i].paraphrase_pct - 100 * hit[i] / n) <= 0.0501 for i, n in total.items()]
+    assert np.mean(same) > 0.98  # sums in another order may move a cosine over the threshold
+    assert len({r.paraphrase_pct for r in got.values()}) > 3
+    plain = {r.doc_id: r for r in queries.originality_report(spark, "/root/testdata/sf0.001").collect()}
+    assert all(got[i].plagiarism_pct == plain[i].plagiarism_pct and got[i].originality_pct <= plain[i].originality_pct for i in got)
+
+
 def test_quotes(spark):
     r = docs(spark, 'ab "cd" «e "f" g»', "").select(style.cited_pct(F.col("text")).alias("c")).collect()
     assert r[0].c == 80.0 or r[0].c > 50
@@ -403,7 +463,8 @@ def test_add_corpus(spark, tmp_path):
     folder = str(tmp_path / "c")
     sources = spark.createDataFrame([(1, "T", "u", BASE), (2, "T", "u", BASE), (3, "V", None, "one two three four five")], "doc_id long, title string, source_url string, text string")
     for _ in range(2):
-        files.add_corpus(sources, folder)
+        files.add_corpus(sources, folder, embedder=lambda s: F.array(F.length(s).cast("float")))
+    assert [(r.doc_id, r.embedding) for r in spark.read.parquet(f"{folder}/sentences").orderBy("doc_id").collect()] == [(1, [float(len(BASE))]), (3, [23.0])]
     assert sorted(r.doc_id for r in spark.read.parquet(f"{folder}/documents").collect()) == [1, 3]
     assert spark.read.parquet(f"{folder}/shingles").count() == 9 and {r.corpus_doc_id for r in spark.read.parquet(f"{folder}/lsh").collect()} == {1, 3}
 
