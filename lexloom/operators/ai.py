@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
+from lexloom.functions.phrases import phrases_in
 from lexloom.lexicon import RUSSIAN, LexicalProfile
 from lexloom.operators import ngrams
-from lexloom.operators.style import among, holds_any
+from lexloom.operators.style import FEW, among, holds_any
 
 Scorer = Callable[[LexicalProfile, EngineConfig], Column]
 SCORERS: dict[str, Scorer] = {}
@@ -65,6 +66,9 @@ def personal_pronouns(profile: LexicalProfile, config: EngineConfig) -> Column:
 
 @scorer("aiCliches")
 def ai_cliches(profile: LexicalProfile, config: EngineConfig) -> Column:
+    if len(profile.ai_phrases) > FEW:
+        hits, n = phrases_in(F.transform("sentences", F.lower), [p.lower() for p in profile.ai_phrases]), F.size("sentences")
+        return F.when(n > 0, clamped(F.size(F.filter(hits, lambda k: F.size(k) > 0)).cast("double") / n)).otherwise(0.0)
     return _part(lambda s: holds_any(s, profile.ai_phrases))
 
 

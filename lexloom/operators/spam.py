@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
+from lexloom.functions.phrases import matches
 from lexloom.lexicon import RUSSIAN, LexicalProfile
 from lexloom.operators.style import among
 
@@ -20,6 +21,15 @@ def top_words(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: Engi
     return counts.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= config.spam_top_words).select("doc_id", "rank", "word", "cnt")
 
 
+def phrase_counts(tokens: DataFrame, phrases) -> DataFrame:
+    """doc_id, matches, distinct_phrases: junk entries of any number of words, as whole words, in one
+    pass over each text. Entries are cut into words as texts are; `columns` counts single words only."""
+    entries = [f" {' '.join(p.lower().split())} " for p in phrases]
+    found = matches(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), entries)
+    each = tokens.select("doc_id", found.alias("m"))
+    return each.select("doc_id", F.size("m").cast("long").alias("matches"), F.size(F.array_distinct(F.transform("m", lambda x: x["phrase"]))).cast("long").alias("distinct_phrases"))
+
+
 def columns(profile: LexicalProfile = RUSSIAN) -> dict[str, Column]:
     """What doesn't need counts by word, as columns over `metrics.tokenized`."""
     return {"total_words": F.size("words").cast("long"), "junk_words": F.size(F.filter("words", lambda w: among(w, profile.junk_words))).cast("long")}

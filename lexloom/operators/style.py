@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
 from lexloom.functions import text as T
+from lexloom.functions.phrases import phrases_in
 from lexloom.lexicon import RUSSIAN, LexicalProfile
 
+#: Phrases up to which each is looked for on its own.
+FEW = 32
 # What counts as a quotation.
 _QUOTES = (r"«([^«»]+)»", r'"([^"]+)"')
 
@@ -38,6 +41,18 @@ def holds_any(sentence: Column, phrases) -> Column:
     return out
 
 
+def _lowered() -> Column:
+    return F.transform("sentences", F.lower)
+
+
+def phrase_share(phrases) -> Column:
+    """Per cent of the sentences that hold one of the phrases: one look-up each for few phrases, one
+    pass of an automaton for many."""
+    if len(phrases) <= FEW:
+        return sentence_share(lambda s: holds_any(s, phrases))
+    return T.share(F.size(F.filter(phrases_in(_lowered(), [p.lower() for p in phrases]), lambda k: F.size(k) > 0)), F.size("sentences"))
+
+
 def readability(profile: LexicalProfile) -> Column:
     syllables = F.aggregate("words", F.lit(0), lambda n, w: n + F.greatest(F.lit(1), F.length(F.regexp_replace(w, f"[^{profile.vowels}]", ""))))
     n = F.size("words").cast("double")
@@ -58,6 +73,12 @@ def adjacent_repetitions(profile: LexicalProfile) -> Column:
 
 def matched_phrases(profile: LexicalProfile) -> Column:
     """The first phrase, in the profile's order, of each sentence that has one; each once."""
+    phrases = profile.bureaucratic_phrases
+    if len(phrases) > FEW:
+        hits = F.transform(phrases_in(_lowered(), [p.lower() for p in phrases]), lambda k: F.get(k, F.lit(0)))
+        named = F.transform(F.filter(hits, lambda k: k.isNotNull()), lambda k: F.get(strings(phrases), k))
+        return F.array_distinct(named)
+
     def first(s: Column) -> Column:
         return F.get(F.filter(strings(profile.bureaucratic_phrases), lambda p: F.contains(F.lower(s), F.lower(p))), F.lit(0))
     return F.array_distinct(F.filter(F.transform("sentences", first), lambda p: p.isNotNull()))
@@ -79,7 +100,7 @@ def columns(profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConf
         "long_sentences_pct": sentence_share(lambda s: F.size(T.words(s)) > config.long_sentence_words),
         "passive_voice_pct": sentence_share(lambda s: s.rlike(f"(?iu){profile.passive}")),
         "word_repetitions": adjacent_repetitions(profile).cast("long"),
-        "bureaucracy_pct": sentence_share(lambda s: holds_any(s, profile.bureaucratic_phrases)),
+        "bureaucracy_pct": phrase_share(profile.bureaucratic_phrases),
         "matched_cliches": matched_phrases(profile), "cited_pct": cited_pct(F.col("text"))}
 
 

@@ -438,6 +438,18 @@ def ai_probability(spark, sf_dir):
     return ai.ai_probability(_tokens(spark, sf_dir), LATIN, CONFIG).select("doc_id", "ai_probability", "ai_verdict")
 
 
+@query(rf"""WITH {S_DOCS}, cw AS (SELECT {s_words("coalesce(text, '')")} AS w FROM benchmark),
+entry AS MATERIALIZED (SELECT DISTINCT unnest(list_concat(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS p FROM cw),
+cut AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' ')), list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))) AS p FROM d),
+hit AS (SELECT doc_id, count(*) AS matches, count(DISTINCT p) AS distinct_phrases FROM cut JOIN entry USING (p) GROUP BY doc_id)
+SELECT doc_id, coalesce(matches, 0) AS matches, coalesce(distinct_phrases, 0) AS distinct_phrases FROM d LEFT JOIN hit USING (doc_id)""")
+def phrase_dictionary(spark, sf_dir):
+    """How often each document holds one of the corpus's phrases of two or three words."""
+    words = corpus(spark, sf_dir).select(T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    entries = words.select(F.explode(F.concat(T.shingles(F.col("w"), 2), T.shingles(F.col("w"), 3))).alias("p")).distinct()
+    return spam.phrase_counts(_tokens(spark, sf_dir), [r.p for r in entries.collect()])  # Automaton refuses too large a dictionary
+
+
 # The model is of the corpus: three words, counts below the highest order by different words before.
 S_NGRAMS = f"""bw AS (SELECT list_concat(['<s>', '<s>'], {s_words("coalesce(text, '')")}, ['</s>']) AS t FROM benchmark),
 b3 AS MATERIALIZED (SELECT a, b, c, count(*) AS n FROM (SELECT t[i] AS a, t[i + 1] AS b, t[i + 2] AS c FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM bw)) GROUP BY ALL),

@@ -1,11 +1,16 @@
 """Text functions against a plain Python model."""
 
+import random
 import unicodedata
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexloom.functions import minhash
+from lexloom.functions import minhash, phrases
 from lexloom.functions import text as T
+from lexloom.lexicon import LATIN
+from lexloom.operators import ai, metrics, spam, style
 
 TEXTS = ["", "One two", "a b c d e f", "Hello, World! It's a well-known fact.\nNew line. 12 34", "Привет мир. Как дела? «Да» — нет…  Ёж", "x😀y z w v u t", "A.\n\n B \n\nC", "no sentence end", "1. 2. 3!", "tab\tand nbsp  end "]
 
@@ -70,3 +75,38 @@ def test_minhash(spark):
 def test_chunks(spark):
     got = spark.createDataFrame([(n,) for n in (0, 1, 20, 21, 30, 31)], "n int").select(T.chunk_count(F.col("n")).alias("c")).collect()
     assert [r.c for r in got] == [0, 1, 1, 2, 2, 3]
+
+
+def test_phrase_automaton(monkeypatch):
+    """Every match against looking phrase by phrase, with stretches shorter than phrases too."""
+    r = random.Random(1)
+    for _ in range(150):
+        monkeypatch.setattr(phrases, "STRETCH", r.choice([3, 7, 4096]))
+        entries = ["".join(r.choice("abc é😀") for _ in range(r.randrange(5))) for _ in range(r.randrange(12))]
+        texts = ["".join(r.choice("abc é😀x") for _ in range(r.randrange(40))) for _ in range(r.randrange(8))]
+        first = {}
+        for k, p in enumerate(entries):
+            if p:
+                first.setdefault(p, k)
+        want = sorted((i, j, k) for i, t in enumerate(texts) for p, k in first.items() for j in range(len(t)) if t.startswith(p, j))
+        assert sorted(zip(*(x.tolist() for x in phrases.Automaton(entries).find(texts)), strict=True)) == want
+    with pytest.raises(ValueError, match="automaton"):
+        monkeypatch.setattr(phrases, "LARGEST", 8)
+        phrases.Automaton(["abc"])
+
+
+def test_many_phrases(spark):
+    """100,000 phrases in one pass; a large dictionary gives what single look-ups give."""
+    entries = [f"w{k} v{k % 977}" for k in range(100_000)]
+    rows = [(0, "x w5 v5 y w99999 v345 w5 v5"), (1, ""), (2, None), (3, "w5 v5"), (4, "nothing")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(x.phrase, x.position) for x in r.m] for r in d.select("doc_id", phrases.matches(F.col("text"), entries).alias("m")).collect()}
+    assert got == {0: [(5, 2), (99_999, 10), (5, 22)], 1: [], 2: [], 3: [(5, 0)], 4: []}
+    counted = {r.doc_id: (r.matches, r.distinct_phrases) for r in spam.phrase_counts(metrics.tokenized(d), ["W5 V5", "w5", "nothing ", "v5 y"]).collect()}
+    assert counted == {0: (5, 3), 1: (0, 0), 2: (0, 0), 3: (2, 2), 4: (1, 1)}
+    texts = spark.createDataFrame([(0, "For the cat. Mit der Zeit, de la mer. None here."), (1, None), (2, "To the end! A for the b, de la c")], "doc_id long, text string")
+    many = replace(LATIN, bureaucratic_phrases=LATIN.bureaucratic_phrases + tuple(f"zq{k}" for k in range(100)), ai_phrases=LATIN.ai_phrases + tuple(f"zq{k}" for k in range(100)))
+    keep = ["doc_id", "bureaucracy_pct", "matched_cliches"]
+    tokens = metrics.tokenized(texts)
+    assert style.style(tokens, many).select(*keep).collect() == style.style(tokens, LATIN).select(*keep).collect()
+    assert ai.ai_probability(tokens, many).select("ai_cliches").collect() == ai.ai_probability(tokens, LATIN).select("ai_cliches").collect()
