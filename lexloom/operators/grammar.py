@@ -2,7 +2,8 @@
 
 Errors come from a checker: a function from documents to rows (doc_id, rule_id, category, message,
 position, length), positions and lengths in UTF-16 units. The default one has four local rules; it
-doesn't equal a full grammar checker. `sources.providers.GrammarService` asks an outside one.
+doesn't equal a full grammar checker. `sources.providers.GrammarService` asks an outside one. A checker
+may have a column `error`: where it isn't null, the document couldn't be checked, and says why.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import utf16_length
+from lexloom.storage import stored
 
 OTHER = "Other"
 RULES = (
@@ -40,8 +42,18 @@ def local_errors(docs: DataFrame) -> DataFrame:
 
 
 def errors(docs: DataFrame, checker=local_errors) -> DataFrame:
-    """doc_id, rule_id, category, message, position, length; a missing category is OTHER."""
-    return checker(docs).withColumn("category", F.coalesce("category", F.lit(OTHER)))
+    """doc_id, rule_id, category, message, position, length; a missing category is OTHER. Documents that
+    couldn't be checked have no rows; see `failures`."""
+    found = checker(docs)
+    if "error" in found.columns:
+        found = found.filter("error is null").drop("error")
+    return found.withColumn("category", F.coalesce("category", F.lit(OTHER)))
+
+
+def failures(docs: DataFrame, checker) -> DataFrame | None:
+    """doc_id, error of the documents that couldn't be checked; null for checkers that can't fail so."""
+    found = checker(docs)
+    return found.filter("error is not null").groupBy("doc_id").agg(F.min("error").alias("error")) if "error" in found.columns else None
 
 
 def by_category(found: DataFrame) -> DataFrame:
@@ -57,11 +69,18 @@ def local_count(text: Column) -> Column:
 
 
 def grammar(docs: DataFrame, checker=local_errors) -> DataFrame:
-    """doc_id, grammar_errors, grammar_by_category (a map) and errors (in the text's order) for every document."""
-    found = errors(docs, checker)
+    """doc_id, grammar_errors, grammar_by_category (a map) and errors (in the text's order) for every
+    document; nulls and `error` for those that couldn't be checked, if the checker has that column."""
+    checked = checker(docs)
+    if "error" in checked.columns:
+        checked = stored(checked, "grammar")  # the service is asked once for each document
+    found, failed = errors(docs, lambda _: checked), failures(docs, lambda _: checked)
     entry = F.struct("position", "length", "rule_id", "category", "message")
     parts = by_category(found).groupBy("doc_id").agg(
         F.sum("errors").alias("grammar_errors"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "errors")))).alias("grammar_by_category"))
     rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("errors"))  # a document's own
     out = docs.select("doc_id").join(parts, "doc_id", "left").join(rows, "doc_id", "left")
-    return out.withColumn("grammar_errors", F.coalesce("grammar_errors", F.lit(0)))
+    out = out.withColumn("grammar_errors", F.coalesce("grammar_errors", F.lit(0)))
+    if failed is None:
+        return out
+    return out.join(failed, "doc_id", "left").withColumn("grammar_errors", F.when(F.col("error").isNull(), F.col("grammar_errors")))

@@ -146,6 +146,9 @@ class Engine:
             found["paraphrase"] = section(docs.select("doc_id").join(para, "doc_id", "left"), F.coalesce("total_sentences", F.lit(0)).alias("total_sentences"), F.coalesce("matched_sentences", F.lit(0)).alias("matched_sentences"), "sources")
         checked = grammar.grammar(docs, self.checker or grammar.local_errors)
         found["grammar"] = section(checked, F.col("grammar_errors").alias("total_errors"), F.col("grammar_by_category").alias("by_category"), "errors")
+        if "error" in checked.columns:
+            parts = found["grammar"].join(checked.select("doc_id", "error"), "doc_id", "left")
+            found["grammar"] = parts.withColumn("section", F.when(F.col("error").isNull(), F.col("section")))
         found["style"] = section(style.style(tokens, self.profile, c), "long_sentences_pct", "passive_voice_pct", "bureaucracy_pct", "word_repetitions", "matched_cliches")
         found["spam"] = section(docs.select("doc_id").join(listed(spam.top_words(tokens, self.profile, c), "top_words", "rank", "word", "cnt"), "doc_id", "left"), "top_words")
         scored = self.scored(docs, corpus)
@@ -160,7 +163,7 @@ class Engine:
 
     def run(self, docs: DataFrame, corpus: DataFrame, folder: str, retries: int = 0) -> DataFrame:
         """Every stage as a job of its own over `docs`, its sections stored in `folder`; see stages.run."""
-        each = {name: (lambda _, name=name: self.sections(docs, corpus)[name]) for name in jobs.STAGES}
+        each = {name: (lambda left, name=name: self.sections(left, corpus, name == "paraphrase")[name]) for name in jobs.STAGES}
         return stages.run(docs, each, folder, retries, self.config)
 
 

@@ -2,7 +2,8 @@
 
 Row by row: each stage gives a section for every document, and an error where it couldn't; a document
 fails in its first stage with an error, keeps the sections before it and has none after.
-As jobs: a stage that raises stops the run; tables of the stages before it stay written.
+As jobs: documents with an error leave the run, the others go on to the next stage; a stage that raises
+stops it for all that are left. Tables of the stages before stay written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
-from lexloom.sources.files import replace_rows
+from lexloom.sources.files import read_table, replace_rows
+from lexloom.storage import stored
 from lexloom.streaming.jobs import DONE, FAILED, PROCESSING, STAGES
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -41,20 +43,36 @@ def merged(docs: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
 def run(docs: DataFrame, stages: dict[str, Stage], folder: str, retries: int = 0, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Runs the stages over `docs` in STAGES' order and replaces each one's table in `folder`.
 
-    Returns doc_id, status, retry_count, failed_stage, failure_reason. `retries` are the attempts that
-    failed before; a failure counts one more, and the last allowed one makes the documents FAILED.
+    A stage gets the documents that haven't failed, and gives doc_id, section and, if it may fail for
+    some, error. Returns doc_id, status, retry_count, failed_stage, failure_reason. `retries` are the
+    attempts that failed before; a failure counts one more, and the last allowed one makes a document
+    FAILED. Rows that repeat a doc_id fail together.
     """
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages: {sorted(unknown)}")
-    status, failed, reason = DONE, None, None
+    text = lambda x: F.lit(x).cast("string")
+    gave_up = FAILED if retries + 1 >= config.max_retries else PROCESSING
+
+    def state(rows: DataFrame, status: str, count: int, failed, reason) -> DataFrame:
+        return rows.select("doc_id", text(status).alias("status"), F.lit(count).cast("long").alias("retry_count"), failed.alias("failed_stage"), reason.alias("failure_reason"))
+
+    left, out = docs, []
     for name in (s for s in STAGES if s in stages):
         try:
-            replace_rows(stages[name](docs), f"{folder}/{name}", keys=docs)
+            replace_rows(stages[name](left), f"{folder}/{name}", keys=left)
+            sections = read_table(docs.sparkSession, f"{folder}/{name}")
+            if "error" in sections.columns:
+                bad = sections.filter("error is not null").groupBy(F.col("doc_id").alias("bad_id")).agg(F.min("error").alias("error"))
+                both = stored(left.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left").drop("bad_id").withColumnRenamed("error", "_error"), "stage-left")
+                out.append(state(both.filter("_error is not null"), gave_up, retries + 1, text(name), F.col("_error")))
+                left = both.filter("_error is null").drop("_error")
         except Exception as e:  # noqa: BLE001 - a stage may fail in any way; the run says where and why
-            failed, reason = name, str(e).splitlines()[0][:500]
-            retries += 1
-            status = FAILED if retries >= config.max_retries else PROCESSING
+            out.append(state(left, gave_up, retries + 1, text(name), text(str(e).splitlines()[0][:500])))
             break
-    text = lambda x: F.lit(x).cast("string")
-    return docs.select("doc_id", text(status).alias("status"), F.lit(retries).cast("long").alias("retry_count"), text(failed).alias("failed_stage"), text(reason).alias("failure_reason"))
+    else:
+        out.append(state(left, DONE, retries, text(None), text(None)))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found

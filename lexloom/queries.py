@@ -7,6 +7,8 @@ events the job events (`error` a failed attempt, `purchase` a finished one).
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,8 +21,10 @@ from lexloom.functions import text as T
 from lexloom.lexicon import CYRILLIC_TO_LATIN, LATIN, ZERO_WIDTH
 from lexloom.operators import ai, copying, dictionaries, grammar, language, metadata, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import report, stages
-from lexloom.sources import files
+from lexloom.sources import files, providers
 from lexloom.sources.pdf import to_pdf
+from lexloom.sources.tables import KeyedTable
+from lexloom.storage import shared_folder
 from lexloom.streaming import jobs
 
 CONFIG = EngineConfig()
@@ -719,6 +723,21 @@ def originality_full(spark, sf_dir):
     return report.originality_report(docs, other, LATIN, CONFIG, report.Engine(CONFIG, LATIN).paraphrase(docs, other))
 
 
+@query(f"""WITH {S_DOCS}, w AS (SELECT doc_id, unnest(words) AS word FROM d)
+SELECT doc_id, word, CAST(CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END * n AS BIGINT) AS cnt FROM (SELECT doc_id, word, count(*) AS n FROM w WHERE doc_id % 5 <> 0 GROUP BY doc_id, word)""")
+def table_replace(spark, sf_dir):
+    """Words of each document in a keyed table: all written, every third document's replaced twice, every
+    fifth's taken away; small buckets, so that they split."""
+    each = _tokens(spark, sf_dir).select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("cnt"))
+    t = KeyedTable(spark, f"{shared_folder(spark)}/lexloom-words-{uuid.uuid4().hex}", rows=200_000)
+    t.replace(each)
+    for _ in range(2):
+        t.replace(each.filter("doc_id % 3 = 0").withColumn("cnt", -F.col("cnt")))
+    t.replace(each.limit(0), documents(spark, sf_dir).filter("doc_id % 5 = 0"))
+    t.vacuum()
+    return t.read()
+
+
 @query(f"""WITH {S_DOCS}, {S_CANDIDATES}, {S_TOTALS}, {S_GATED}, own AS (SELECT DISTINCT a.doc_id, a.hash, d.source FROM a JOIN documents d USING (doc_id)),
 p1 AS (SELECT doc_id, count(DISTINCT hash) AS n FROM m GROUP BY doc_id), p3 AS (SELECT m.doc_id, count(DISTINCT m.corpus_doc_id) AS n FROM m GROUP BY m.doc_id),
 p2 AS (SELECT own.doc_id, count(*) AS n FROM own JOIN (SELECT source, hash FROM own GROUP BY source, hash HAVING count(*) > 1) USING (source, hash) GROUP BY own.doc_id),
@@ -735,16 +754,30 @@ def result_sections(spark, sf_dir):
         F.get(at("spam.top_words.word"), F.lit(0)).alias("top_word"), at("aiDetector.probability").alias("ai_probability"), at("externalSearch.enabled").alias("searched"))
 
 
-@query(f"""WITH {S_DOCS}, {s_grammar('documents')}, e AS (SELECT doc_id, sum(n)::BIGINT AS n FROM g GROUP BY doc_id), x AS (SELECT d.doc_id, length(text) > 4000 AS bad, len(words)::BIGINT AS total, n FROM d JOIN e USING (doc_id))
-SELECT doc_id, CASE WHEN bad THEN 'grammar' END AS failed_stage, CASE WHEN bad THEN 'text too long' END AS failure_reason, greatest(0, total - 4)::BIGINT AS total_shingles,
-CASE WHEN NOT bad THEN n END AS grammar_errors, CASE WHEN NOT bad THEN total END AS total_words FROM x""")
+def _service(url: str, form: dict) -> tuple[int, dict]:
+    """Stands for an outside grammar service: it finds every `the`, and refuses long texts."""
+    if len(form["text"]) > 4000:
+        raise OSError("text too long")
+    return 200, {"matches": [{"message": "article", "offset": m.start(), "length": 3, "rule": {"id": "THE"}} for m in re.finditer("the", form["text"])]}
+
+
+@query(f"""WITH {S_DOCS}, x AS (SELECT doc_id, length(text) > 4000 AS bad, len(words)::BIGINT AS total, len(regexp_extract_all(text, 'the'))::BIGINT AS n FROM d)
+SELECT doc_id, CASE WHEN bad THEN 'PROCESSING' ELSE 'DONE' END AS status, CASE WHEN bad THEN 1 ELSE 0 END::BIGINT AS retry_count, CASE WHEN bad THEN 'grammar' END AS failed_stage, CASE WHEN bad THEN 'text too long' END AS failure_reason,
+greatest(0, total - 4)::BIGINT AS total_shingles, CASE WHEN NOT bad THEN n END AS grammar_errors, CASE WHEN NOT bad THEN total END AS total_words FROM x""")
 def stage_isolation(spark, sf_dir):
-    """A grammar stage that refuses long texts: those documents keep what came before it."""
-    docs = documents(spark, sf_dir)
-    checked = docs.select("doc_id", F.struct(grammar.local_count(F.col("text")).alias("n")).alias("section"), F.when(F.length("text") > 4000, "text too long").alias("error"))
-    counted = spam.spam(metrics.tokenized(docs), LATIN, CONFIG).select("doc_id", F.struct("total_words").alias("section"))
-    found = stages.merged(docs, {"plagiarism": copying.totals(docs, CONFIG).select("doc_id", F.struct("total_shingles").alias("section")), "grammar": checked, "spam": counted})
-    return found.select("doc_id", "failed_stage", "failure_reason", "plagiarism.total_shingles", F.col("grammar.n").alias("grammar_errors"), "spam.total_words")
+    """A run of stages whose grammar service raises for some texts: those documents fail alone, in that
+    stage, and keep what came before it."""
+    folder = f"{shared_folder(spark)}/lexloom-stages-{uuid.uuid4().hex}"
+    docs, checker = documents(spark, sf_dir), providers.GrammarService("http://grammar", _service)
+
+    def checked(d: DataFrame) -> DataFrame:
+        return grammar.grammar(d, checker).select("doc_id", F.struct(F.col("grammar_errors").alias("n")).alias("section"), "error")
+
+    states = stages.run(docs, {
+        "plagiarism": lambda d: copying.totals(d, CONFIG).select("doc_id", F.struct("total_shingles").alias("section")), "grammar": checked,
+        "spam": lambda d: spam.spam(metrics.tokenized(d), LATIN, CONFIG).select("doc_id", F.struct("total_words").alias("section"))}, folder, 0, CONFIG)
+    found = stages.merged(docs, {name: files.read_table(spark, f"{folder}/{name}") for name in ("plagiarism", "grammar", "spam")}).drop("failed_stage", "failure_reason")
+    return states.join(found, "doc_id").select("doc_id", "status", "retry_count", "failed_stage", "failure_reason", "plagiarism.total_shingles", F.col("grammar.n").alias("grammar_errors"), "spam.total_words")
 
 
 # --- jobs, dictionaries ----------------------------------------------------------------------------

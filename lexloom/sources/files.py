@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from lexloom.operators import copying, semantic
 from lexloom.operators.metadata import iso_date, pdf_date, suspicion, xml_tag
 from lexloom.operators.metrics import not_yet_stored
 from lexloom.sources.pdf import read_pdf
+from lexloom.sources.tables import KeyedTable
+from lexloom.storage import stored
 
 PDF, DOCX, TXT = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain"
 #: Bytes in which a NUL speaks against plain text.
@@ -137,38 +138,20 @@ def file_metadata(extracted: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumns({"suspicious": F.coalesce(F.size(why) > 0, F.lit(False)), "suspicion_note": F.get(why, F.lit(0))})
 
 
-def write_tables(frames: dict[str, DataFrame], folder: str, mode: str = "append") -> None:
-    """A Parquet table for each frame."""
+def write_tables(frames: dict[str, DataFrame], folder: str, key: str = "doc_id") -> None:
+    """Replaces the rows of each frame's keys in a keyed table of its name; a run again changes nothing."""
     for name, df in frames.items():
-        df.write.mode(mode).parquet(f"{folder}/{name}")
+        replace_rows(df, f"{folder}/{name}", key)
 
 
-def replace_rows(rows: DataFrame, folder: str, key: str = "doc_id", keys: DataFrame | None = None, buckets: int = 64) -> None:
-    """Replaces what the table in `folder` has of each key with `rows`; a run again changes nothing.
+def replace_rows(rows: DataFrame, folder: str, key: str = "doc_id", keys: DataFrame | None = None) -> None:
+    """Replaces what the keyed table in `folder` has of each key with `rows`, in one step; see KeyedTable."""
+    KeyedTable(rows.sparkSession, folder, key).replace(rows, keys)
 
-    The table lies in `buckets` parts by a hash of the key; only parts that `keys` (by default the
-    keys of `rows`) fall into are written anew. Keys without rows lose theirs.
-    """
-    spark = rows.sparkSession
-    part = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    keys = (rows if keys is None else keys).select(key).distinct()
-    new = rows.withColumn("bucket", part)
-    try:
-        old = spark.read.parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        old = None
-    if old is not None:
-        touched = {r.bucket for r in keys.select(part.alias("bucket")).distinct().collect()}  # `buckets` rows at most
-        kept = old.filter(F.col("bucket").isin(*touched) if touched else F.lit(False)).alias("o").join(keys.alias("k"), F.col(f"o.{key}").eqNullSafe(F.col(f"k.{key}")), "left_anti")
-        new = kept.select(*new.columns).unionByName(new)
-        left = {r.bucket for r in new.select("bucket").distinct().collect()}
-    if old is None or left:
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
-    for bucket in touched - left if old is not None else ():  # nothing is left of these
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket={bucket}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+def read_table(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame | None:
+    """The rows of a keyed table as they were last committed; null where there is none."""
+    return KeyedTable(spark, folder, key).read()
 
 
 def add_corpus(sources: DataFrame, folder: str, config: EngineConfig = EngineConfig(), embedder=None) -> None:
@@ -179,15 +162,11 @@ def add_corpus(sources: DataFrame, folder: str, config: EngineConfig = EngineCon
     """
     spark = sources.sparkSession
     hashed = sources.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    try:
-        stored = spark.read.parquet(f"{folder}/documents").select("content_hash")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = hashed.select("content_hash").limit(0)
-    fresh = hashed.join(not_yet_stored(sources, stored), ["doc_id", "content_hash"], "left_semi")
+    known = read_table(spark, f"{folder}/documents")
+    known = hashed.select("content_hash").limit(0) if known is None else known.select("content_hash")
+    fresh = stored(hashed.join(not_yet_stored(sources, known), ["doc_id", "content_hash"], "left_semi"), "corpus")
     replace_rows(copying.shingle_table(fresh, config), f"{folder}/shingles")
     replace_rows(copying.buckets(fresh, config).withColumnRenamed("doc_id", "corpus_doc_id"), f"{folder}/lsh", "corpus_doc_id")
     if embedder is not None:
         replace_rows(semantic.sentence_vectors(fresh, embedder), f"{folder}/sentences")
-    fresh.write.mode("append").parquet(f"{folder}/documents")
+    replace_rows(fresh, f"{folder}/documents")

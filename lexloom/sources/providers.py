@@ -122,7 +122,8 @@ def _match_type():
 class GrammarService:
     """An outside grammar service as a checker for `operators.grammar`.
 
-    post(url, form) -> (status, body as dict). A status other than 2xx fails the stage.
+    post(url, form) -> (status, body as dict). A text for which it raises, or that has a status other
+    than 2xx, has one row with the reason as its `error` and nothing else; other texts go on.
     """
 
     def __init__(self, url: str, post: Callable[[str, dict], tuple[int, dict]], language: str = "auto"):
@@ -134,17 +135,25 @@ class GrammarService:
             raise ServiceError(f"grammar service: status {status}")
         return [{"rule_id": m["rule"]["id"], "category": (m["rule"].get("category") or {}).get("name"), "message": m["message"], "position": m["offset"], "length": m["length"]} for m in body["matches"]]
 
+    def found(self, text: str) -> list[dict]:
+        try:
+            return self.check(text)
+        except Exception as e:  # noqa: BLE001 - a service may fail in any way
+            return [{"error": (str(e) or type(e).__name__).splitlines()[0][:500]}]
+
     def __call__(self, docs: DataFrame) -> DataFrame:
-        names = ["rule_id", "category", "message", "position", "length"]
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        names = ["rule_id", "category", "message", "position", "length", "error"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in frames:
-                found = [self.check(t or "") for t in f.column("text").to_pylist()]
+                found = [self.found(t or "") for t in f.column("text").to_pylist()]
                 rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-                yield pa.record_batch([f.column("doc_id").take(rows), *(pa.array([m[n] for x in found for m in x], t) for n, t in zip(names, types, strict=True))], names=["doc_id", *names])
+                yield pa.record_batch([f.column("doc_id").take(rows), *(pa.array([m.get(n) for x in found for m in x], t) for n, t in zip(names, types, strict=True))], names=["doc_id", *names])
 
-        schema = docs.select("doc_id").schema.add("rule_id", "string").add("category", "string").add("message", "string").add("position", "long").add("length", "long")
+        schema = docs.select("doc_id").schema
+        for n, kind in zip(names, ("string", "string", "string", "long", "long", "string"), strict=True):
+            schema = schema.add(n, kind)
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

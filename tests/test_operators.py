@@ -19,7 +19,7 @@ from lexloom.lexicon import RUSSIAN
 from lexloom.operators import ai, copying, dictionaries, grammar, language, latent, metadata, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import report, stages
 from lexloom.plans.report import Engine, originality_report
-from lexloom.sources import files, pdf, providers
+from lexloom.sources import files, pdf, providers, tables
 from lexloom.streaming import jobs
 
 BASE = "one two three four five six seven eight nine ten eleven twelve"
@@ -310,8 +310,10 @@ def test_grammar_service(spark):
     d = spark.createDataFrame([(2**60 + 1, "x"), (None, "y")], "doc_id long, text string")
     assert [tuple(r) for r in grammar.errors(d, service).collect()] == [(2**60 + 1, "R", "Other", "m", 3, 2)]
     assert {r.doc_id: r.grammar_errors for r in grammar.grammar(docs(spark, "x", "z"), service).collect()} == {0: 1, 1: 0}
-    with pytest.raises(Exception, match="status 500"):
-        grammar.errors(docs(spark, "bad"), service).collect()
+    both = docs(spark, "bad", "x")
+    assert [tuple(r) for r in grammar.failures(both, service).collect()] == [(0, "grammar service: status 500")] and grammar.errors(both, service).count() == 1
+    got = {r.doc_id: (r.grammar_errors, r.error) for r in grammar.grammar(both, service).collect()}
+    assert got == {0: (None, "grammar service: status 500"), 1: (1, None)}
 
 
 def test_language_service(spark):
@@ -451,12 +453,59 @@ def test_pdf_round_trip(spark):
 def test_replace_rows(spark, tmp_path):
     folder = str(tmp_path / "t")
     rows = lambda *x: spark.createDataFrame(x, "doc_id long, v string")
-    files.replace_rows(rows((1, "a"), (1, "b"), (2, "c")), folder, buckets=2)
+    assert files.read_table(spark, folder) is None
+    files.replace_rows(rows((1, "a"), (1, "b"), (2, "c"), (None, "n")), folder)
     for _ in range(2):
-        files.replace_rows(rows((1, "d")), folder, keys=rows((1, ""), (3, "")), buckets=2)
-    assert sorted((r.doc_id, r.v) for r in spark.read.parquet(folder).collect()) == [(1, "d"), (2, "c")]
-    files.replace_rows(rows().limit(0), folder, keys=rows((2, "")), buckets=2)
-    assert [(r.doc_id, r.v) for r in spark.read.parquet(folder).collect()] == [(1, "d")]
+        files.replace_rows(rows((1, "d")), folder, keys=rows((1, ""), (3, "")))
+    read = lambda: sorted((str(r.doc_id), r.v) for r in files.read_table(spark, folder).collect())
+    assert read() == [("1", "d"), ("2", "c"), ("None", "n")]
+    files.replace_rows(rows().limit(0), folder, keys=rows((2, "")))
+    files.replace_rows(rows((None, "m")), folder)
+    assert read() == [("1", "d"), ("None", "m")]
+    files.replace_rows(rows().limit(0), folder, keys=rows((1, ""), (None, "")))
+    assert read() == []
+    files.replace_rows(rows((7, "x")), folder)
+    assert read() == [("7", "x")]
+
+
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    """Buckets split as they grow; a run that breaks off changes nothing; writers don't undo each other."""
+    t = tables.KeyedTable(spark, str(tmp_path / "t"), rows=20)
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "doc_id long, v string")
+    have = {}
+    for ids, v in ((range(100), "a"), (range(50, 150), "b"), ([3], "c"), ([10**9] * 60, "hot"), (range(0, 150, 7), "d")):
+        t.replace(rows(ids, v))
+        have |= {i: [v] * list(ids).count(i) for i in ids}
+        now = t.snapshot()
+        assert sorted((r.doc_id, r.v) for r in t.read().collect()) == sorted((i, x) for i, vs in have.items() for x in vs)
+        assert sum(b.rows for b in now.buckets) == sum(map(len, have.values())) and len({(b.bits, b.value) for b in now.buckets}) == len(now.buckets)
+        assert sum(2.0**-b.bits for b in now.buckets) == 1.0  # every key has one bucket
+    assert len(now.buckets) > 4 and sorted(r.v for r in t.read(0).collect()) == ["a"] * 100
+    before = t.versions()
+    with monkeypatch.context() as m:
+        m.setattr(tables.KeyedTable, "_commit", lambda self, after: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            t.replace(rows(range(150), "lost"))
+    assert t.versions() == before and t.read().filter("v = 'lost'").isEmpty()
+    reader = t.read()  # of the snapshot of now
+    stale = t.snapshot()
+    t.replace(rows([5], "new"))
+    with monkeypatch.context() as m:
+        m.setattr(tables.KeyedTable, "snapshot", lambda self, version=None: stale)
+        with pytest.raises(tables.ConflictError):
+            t.replace(rows([5], "late"))
+    assert [r.v for r in t.read().filter("doc_id = 5").collect()] == ["new"] and reader.filter("doc_id = 5 and v = 'new'").isEmpty()
+    gone = t.vacuum()
+    assert len(gone) >= 3 and t.versions() == before[-1:] + [before[-1] + 1] or t.versions() == [before[-1] + 1]
+    assert t.read().count() == sum(map(len, have.values()))
+    calls = spark.sparkContext.accumulator(0)
+
+    def asked(i):
+        calls.add(1)
+        return str(i)
+
+    t.replace(rows(range(10), "x").withColumn("v", F.udf(asked)("doc_id")))
+    assert calls.value == 10  # rows are worked out once
 
 
 def test_add_corpus(spark, tmp_path):
@@ -464,9 +513,9 @@ def test_add_corpus(spark, tmp_path):
     sources = spark.createDataFrame([(1, "T", "u", BASE), (2, "T", "u", BASE), (3, "V", None, "one two three four five")], "doc_id long, title string, source_url string, text string")
     for _ in range(2):
         files.add_corpus(sources, folder, embedder=lambda s: F.array(F.length(s).cast("float")))
-    assert [(r.doc_id, r.embedding) for r in spark.read.parquet(f"{folder}/sentences").orderBy("doc_id").collect()] == [(1, [float(len(BASE))]), (3, [23.0])]
-    assert sorted(r.doc_id for r in spark.read.parquet(f"{folder}/documents").collect()) == [1, 3]
-    assert spark.read.parquet(f"{folder}/shingles").count() == 9 and {r.corpus_doc_id for r in spark.read.parquet(f"{folder}/lsh").collect()} == {1, 3}
+    assert [(r.doc_id, r.embedding) for r in files.read_table(spark, f"{folder}/sentences").orderBy("doc_id").collect()] == [(1, [float(len(BASE))]), (3, [23.0])]
+    assert sorted(r.doc_id for r in files.read_table(spark, f"{folder}/documents").collect()) == [1, 3]
+    assert files.read_table(spark, f"{folder}/shingles").count() == 9 and {r.corpus_doc_id for r in files.read_table(spark, f"{folder}/lsh", "corpus_doc_id").collect()} == {1, 3}
 
 
 def test_providers(spark):
@@ -508,7 +557,7 @@ def test_stages(spark, tmp_path):
     engine = Engine(provider=providers.NoSearch())
     done = engine.run(d, corpus, str(tmp_path / "ok")).collect()
     assert {(r.doc_id, r.status, r.retry_count, r.failed_stage) for r in done} == {(0, "DONE", 0, None), (1, "DONE", 0, None)}
-    assert all(spark.read.parquet(f"{tmp_path}/ok/{s}").count() == 2 for s in jobs.STAGES)
+    assert all(files.read_table(spark, f"{tmp_path}/ok/{s}").count() == 2 for s in jobs.STAGES)
 
     def refuse(_):
         raise providers.ServiceError("status 500")
@@ -518,7 +567,25 @@ def test_stages(spark, tmp_path):
     for retries, status in ((0, "PROCESSING"), (2, "FAILED")):
         got = stages.run(d, parts, folder, retries).first()
         assert (got.status, got.retry_count, got.failed_stage, got.failure_reason) == (status, retries + 1, "grammar", "status 500")
-    assert (tmp_path / "bad/paraphrase").exists() and not (tmp_path / "bad/style").exists()
+    assert files.read_table(spark, f"{folder}/paraphrase").count() == 2 and files.read_table(spark, f"{folder}/style") is None
+
+
+def test_one_document_fails(spark, tmp_path):
+    """A service that raises for some texts fails these alone, and is asked once for each."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def post(url, form):
+        calls.add(1)
+        if "bad" in form["text"]:
+            raise OSError("no answer")
+        return 200, {"matches": []}
+
+    d, corpus = docs(spark, BASE, "bad text", "fine"), spark.createDataFrame([(9, BASE)], "doc_id long, text string")
+    engine, folder = Engine(checker=providers.GrammarService("http://g", post)), str(tmp_path / "r")
+    done = {r.doc_id: (r.status, r.retry_count, r.failed_stage, r.failure_reason) for r in engine.run(d, corpus, folder, 1).collect()}
+    assert done == {0: ("DONE", 1, None, None), 1: ("PROCESSING", 2, "grammar", "no answer"), 2: ("DONE", 1, None, None)}
+    ids = lambda name: sorted(r.doc_id for r in files.read_table(spark, f"{folder}/{name}").filter("section is not null").collect())
+    assert ids("plagiarism") == ids("paraphrase") == [0, 1, 2] and ids("grammar") == ids("style") == ids("externalSearch") == [0, 2]
 
 
 def test_responses(spark):
