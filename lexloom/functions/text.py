@@ -153,6 +153,20 @@ def batches(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
         yield held
 
 
+def starts(gaps: Column, hits: Column) -> Column:
+    """Where each match begins, from the lengths of what stands before each and of the matches, in turn;
+    both arrays of a row are of one size. Nothing is shuffled."""
+    @F.arrow_udf("array<bigint>")
+    def run(gaps: pa.Array, hits: pa.Array) -> pa.Array:
+        own = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + own)
+        offsets = hits.offsets.to_numpy() - hits.offsets[0].as_py()
+        before = np.concatenate(([0], ends))[offsets[:-1]]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ends - own - np.repeat(before, np.diff(offsets)), pa.int64()))
+
+    return run(gaps, hits)
+
+
 def hex8(h: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 

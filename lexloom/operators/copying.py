@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig
@@ -43,10 +43,15 @@ def counted_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), *also
     return each.groupBy("doc_id", *also, "hash").agg(F.count("*").alias("rows"))
 
 
-def totals(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """doc_id, total_shingles: positions, from the number of words alone."""
+def total_shingles(config: EngineConfig) -> Column:
+    """How many positions a text has, from the number of its words alone."""
     n = F.size(T.words(F.coalesce("text", F.lit("")))) - config.shingle_size + 1
-    return docs.select("doc_id", F.greatest(F.lit(0), n).cast("long").alias("total_shingles"))
+    return F.greatest(F.lit(0), n).cast("long")
+
+
+def totals(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """doc_id, total_shingles of each row."""
+    return docs.select("doc_id", total_shingles(config).alias("total_shingles"))
 
 
 def signatures(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -102,16 +107,19 @@ def self_copy_pct(docs: DataFrame, config: EngineConfig = EngineConfig(), author
     """Shares of shingles that another document of the same author has.
 
     A hash counts as matched if at least two documents of the author hold it: one aggregation and
-    an equi-join, no pairs of documents.
+    an equi-join, no pairs of documents. A row for each row of `docs`: rows that repeat a doc_id are one
+    document, so they don't match each other, and have what the document matches in all; null ids match
+    nothing.
     """
     own = distinct_hashes(docs, config, author).filter(F.col(author).isNotNull())
     held = own.groupBy(author, "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     hit = own.join(held, [author, "hash"])
     if config.only_previous:
         hit = hit.filter("first < doc_id")
-    matched = hit.groupBy("doc_id").agg(F.count("*").alias("matched_shingles"))
-    both = docs.select("doc_id", F.col(author).isNotNull().alias("enabled")).join(totals(docs, config), "doc_id").join(matched, "doc_id", "left")
-    both = both.withColumn("total_shingles", F.when(F.col("enabled"), F.col("total_shingles")).otherwise(0)).withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))
+    matched = hit.groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
+    total = F.when(F.col(author).isNotNull(), total_shingles(config)).otherwise(0)
+    both = docs.select("doc_id", F.col(author).isNotNull().alias("enabled"), total.alias("total_shingles")).join(matched, "doc_id", "left")
+    both = both.withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))
     return both.withColumn("self_plagiarism_pct", T.share(F.col("matched_shingles"), F.col("total_shingles")))
 
 

@@ -9,10 +9,9 @@ may have a column `error`: where it isn't null, the document couldn't be checked
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import utf16_length
+from lexloom.functions.text import starts, utf16_length
 from lexloom.storage import stored
 
 OTHER = "Other"
@@ -26,7 +25,7 @@ RULES = (
 
 def local_errors(docs: DataFrame) -> DataFrame:
     """A row for each match of a rule: what stands between the matches and they themselves, in turn,
-    give the positions. Only lengths are shuffled, and only of rules that match."""
+    give the positions. Nothing is shuffled."""
     text = F.coalesce("text", F.lit(""))
 
     def entry(rule: tuple[str, str, str, str]) -> Column:
@@ -36,9 +35,9 @@ def local_errors(docs: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("rule_id"), F.lit(category).alias("category"), F.lit(message).alias("message"), units(hits).alias("hits"), units(F.split(text, rx)).alias("gaps"))
 
     each = docs.select("doc_id", F.explode(F.array(*map(entry, RULES))).alias("r")).select("doc_id", "r.*").filter(F.size("hits") > 0)
-    pieces = each.select("doc_id", "rule_id", "category", "message", F.posexplode(F.arrays_zip("hits", F.slice("gaps", 1, F.size("hits")).alias("gap"))).alias("no", "p"))
-    so_far = F.sum(F.col("p.gap") + F.col("p.hits")).over(W.partitionBy("doc_id", "rule_id").orderBy("no"))
-    return pieces.select("doc_id", "rule_id", "category", "message", (so_far - F.col("p.hits")).alias("position"), F.col("p.hits").alias("length"))
+    placed = each.withColumn("at", starts(F.slice("gaps", F.lit(1), F.size("hits")), F.col("hits")))
+    return placed.select("doc_id", "rule_id", "category", "message", F.explode(F.arrays_zip("at", "hits")).alias("p")).select(
+        "doc_id", "rule_id", "category", "message", F.col("p.at").alias("position"), F.col("p.hits").alias("length"))
 
 
 def errors(docs: DataFrame, checker=local_errors) -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import utf16_length, utf16_units
+from lexloom.functions.text import starts, utf16_length, utf16_units
 from lexloom.lexicon import CYRILLIC_TO_LATIN, LATIN_TO_CYRILLIC, ZERO_WIDTH
 
 # Fixed value: half points below which a font is tiny; the patterns of docx_flags are fixed too.
@@ -29,12 +28,10 @@ def homoglyphs(docs: DataFrame) -> DataFrame:
     # words and what stands between them, in turn: positions are sums of lengths
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
     gaps = F.split("text", r"\p{L}+")
-    each = base.select("doc_id", "cyrillic", gaps.alias("gaps"), words.alias("words")).select(
-        "doc_id", "cyrillic", F.posexplode_outer(F.arrays_zip(F.slice("gaps", 1, F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("no", "w")).filter("no is not null")
-    units = lambda s: utf16_length(s).cast("long")
-    before = W.partitionBy("doc_id").orderBy("no")
-    placed = each.withColumns({"word": F.col("w.word"), "own": units(F.col("w.gap")) + units(F.col("w.word"))})
-    placed = placed.withColumn("start", F.sum("own").over(before) - units(F.col("word")))
+    units = lambda parts: F.transform(parts, lambda x: utf16_length(x).cast("long"))
+    cut = base.select("doc_id", "cyrillic", gaps.alias("gaps"), words.alias("words")).filter(F.size("words") > 0)
+    cut = cut.withColumn("starts", starts(units(F.slice("gaps", F.lit(1), F.size("words"))), units(F.col("words"))))
+    placed = cut.select("doc_id", "cyrillic", F.explode(F.arrays_zip("starts", "words")).alias("w")).select("doc_id", "cyrillic", F.col("w.words").alias("word"), F.col("w.starts").alias("start"))
     main = F.when(F.col("cyrillic"), F.col("word").rlike(_CYRILLIC)).otherwise(F.col("word").rlike(_LATIN))
     chars = placed.filter(main).select("doc_id", "cyrillic", "word", "start", F.posexplode(F.split("word", "")).alias("i", "char"))
     like = F.when(F.col("cyrillic"), F.try_element_at(_table(LATIN_TO_CYRILLIC), F.col("char"))).otherwise(F.try_element_at(_table(CYRILLIC_TO_LATIN), F.col("char")))

@@ -172,9 +172,8 @@ def point_lookup(spark, sf_dir):
 # --- shingles, signatures, copies ---------------------------------------------------------------
 @query(f"WITH {S_DOC_SHINGLES}, {S_TOTALS} SELECT t.doc_id, total AS total_shingles, coalesce(count(DISTINCT a.hash), 0)::BIGINT AS distinct_shingles FROM t LEFT JOIN a USING (doc_id) GROUP BY ALL")
 def shingle_counts(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    each = copying.hashed(docs, CONFIG).select("doc_id", F.size(F.array_distinct("hashes")).cast("long").alias("distinct_shingles"))
-    return copying.totals(docs, CONFIG).join(each, "doc_id")
+    each = copying.hashed(documents(spark, sf_dir), CONFIG)
+    return each.select("doc_id", F.size("hashes").cast("long").alias("total_shingles"), F.size(F.array_distinct("hashes")).cast("long").alias("distinct_shingles"))
 
 
 @query(f"WITH {S_DOC_SHINGLES} SELECT lpad(printf('%x', hash), 8, '0') AS hash, count(*)::BIGINT AS positions, count(DISTINCT doc_id)::BIGINT AS docs FROM a GROUP BY a.hash ORDER BY positions DESC, hash LIMIT 100")
@@ -539,17 +538,26 @@ def zero_width_flags(spark, sf_dir):
     return tampering.zero_width(_planted(spark, sf_dir))
 
 
-_XML = ('<w:p><w:r><w:rPr><w:vanish/><w:color w:val="ffffff"/><w:sz w:val="8"/></w:rPr></w:r></w:p>', '<w:p><w:sz w:val="24"/><w:color w:val="FF0000"/></w:p>', '<w:p><w:vanish /><w:sz w:val="11"/><w:sz w:val="3"/><w:sz w:val="0"/></w:p>')
+def docx_xml(text: Column) -> Column:
+    """The XML of a document with a run for each line: hidden where its length is even, white where it
+    holds a digit, in half points of its length's remainder by 30."""
+    def run(line: Column) -> Column:
+        n = F.length(line)
+        escaped = F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        return F.concat(F.lit("<w:p><w:r><w:rPr>"), F.when(n % 2 == 0, "<w:vanish/>").otherwise(""), F.when(line.rlike("[0-9]"), '<w:color w:val="ffffff"/>').otherwise('<w:color w:val="FF0000"/>'),
+                        F.lit('<w:sz w:val="'), (n % 30).cast("string"), F.lit('"/></w:rPr><w:t>'), escaped, F.lit("</w:t></w:r></w:p>"))
+
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), run), "")
 
 
-@query(rf"""WITH x AS (SELECT doc_id, {_LIST(_XML)}[(doc_id % 3) + 1] AS xml FROM documents),
-s AS (SELECT *, list_filter(list_transform(regexp_extract_all(xml, '<w:sz\s+w:val="(\d+)"', 1), lambda n: n::BIGINT), lambda n: n > 0 AND n < 12) AS sizes FROM x),
-f AS (SELECT doc_id, 'HIDDEN_TEXT' AS type, 'vanish' AS kind, len(regexp_extract_all(xml, '<w:vanish\s*/>')) AS count, NULL::DOUBLE AS least_points FROM s
-UNION ALL SELECT doc_id, 'HIDDEN_TEXT', 'white', len(regexp_extract_all(xml, '(?i)<w:color[^>]*w:val="FFFFFF"')), NULL FROM s
-UNION ALL SELECT doc_id, 'TINY_FONT', 'size', len(sizes), list_min(sizes) / 2.0::DOUBLE FROM s) SELECT doc_id, type, kind, count::BIGINT AS count, least_points FROM f WHERE count > 0""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, length(line) % 2 = 0 AS hidden, regexp_matches(line, '[0-9]') AS white, length(line) % 30 AS size FROM l),
+f AS (SELECT doc_id, 'HIDDEN_TEXT' AS type, 'vanish' AS kind, count(*) FILTER (hidden) AS count, NULL::DOUBLE AS least_points FROM n GROUP BY doc_id
+UNION ALL SELECT doc_id, 'HIDDEN_TEXT', 'white', count(*) FILTER (white), NULL FROM n GROUP BY doc_id
+UNION ALL SELECT doc_id, 'TINY_FONT', 'size', count(*) FILTER (size > 0 AND size < 12), min(size) FILTER (size > 0 AND size < 12) / 2.0::DOUBLE FROM n GROUP BY doc_id)
+SELECT doc_id, type, kind, count::BIGINT AS count, least_points FROM f WHERE count > 0""")
 def docx_hidden_text(spark, sf_dir):
-    xml = F.element_at(F.array(*map(F.lit, _XML)), (F.col("doc_id") % 3 + 1).cast("int"))
-    return tampering.docx_findings(documents(spark, sf_dir).select("doc_id", xml.alias("xml")))
+    return tampering.docx_findings(documents(spark, sf_dir).select("doc_id", docx_xml(F.col("text")).alias("xml")))
 
 
 @query("""WITH e AS (SELECT event_id, ts AS created, ts + to_days((event_id % 90)::INT - 10) AS modified FROM events),
@@ -782,8 +790,12 @@ def stage_isolation(spark, sf_dir):
 
 # --- jobs, dictionaries ----------------------------------------------------------------------------
 def _events(spark, sf_dir):
+    return _as_events(table(spark, sf_dir, "events"))
+
+
+def _as_events(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").otherwise("other")
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("job_id"), "ts", F.col("event_id").cast("long").alias("event_id"), kind.alias("kind"),
+    return events.select(F.col("user_id").cast("long").alias("job_id"), "ts", F.col("event_id").cast("long").alias("event_id"), kind.alias("kind"),
                                                  F.element_at(F.array(*map(F.lit, jobs.STAGES)), (F.col("event_id") % len(jobs.STAGES) + 1).cast("int")).alias("stage"))
 
 
@@ -812,33 +824,58 @@ def status_stream_takewhile(spark, sf_dir):
     return jobs.status_until_terminal(_events(spark, sf_dir)).select("job_id", "event_id", "kind")
 
 
-_CHANGES = (("burstiness", 0.5, False), ("perplexity", 0.2, None), ("ownFeature", 0.05, True))
-_S_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() + ("::DOUBLE" if isinstance(v, float) else "") for v in r) + ")" for r in rows)
+@query(SQL["status_stream_takewhile"])
+def status_stream(spark, sf_dir):
+    """The same rows from a stream over the events, with a job's state kept by the stream."""
+    path, name = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/lexloom-status-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream's plain path has to be a folder
+    stream = jobs.status_stream(_as_events(raw).withColumn("ts", F.col("ts").cast("timestamp")))
+    stream.writeStream.format("parquet").option("path", f"{name}/rows").option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_id long, ts timestamp, event_id long, kind string").parquet(f"{name}/rows").select("job_id", "event_id", "kind")
+
+
+# Dictionaries out of the tables: a weight for each kind of event, words of the documents by length.
+S_WEIGHTS = """weights AS (SELECT event_type AS feature, max(value) AS weight, count(*) > 1000 AS enabled FROM events GROUP BY event_type),
+changes AS (SELECT event_type AS feature, min(value) AS weight, NULL::BOOLEAN AS enabled FROM events WHERE value > 10 AND event_type < 'm' GROUP BY event_type
+UNION ALL SELECT lang, count(*)::DOUBLE, count(*) > 100 FROM documents WHERE lang IS NOT NULL GROUP BY lang)"""
+_S_KIND = "CASE WHEN length(word) > 12 THEN 'LONG' WHEN length(word) > 6 THEN 'MIDDLE' ELSE 'SHORT' END"
+S_DICTIONARY = f"""dictionary AS (SELECT word, {_S_KIND} AS category, count(*)::BIGINT AS uses FROM (SELECT unnest({s_words("coalesce(text, '')")}) AS word FROM documents) GROUP BY word),
+theirs AS (SELECT word, {_S_KIND} AS category, count(*)::BIGINT AS uses FROM (SELECT unnest({s_words("coalesce(text, '')")}) AS word FROM benchmark) GROUP BY word)"""
+
+
+def _weights(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("feature")).agg(F.max("value").alias("weight"), (F.count("*") > 1000).alias("enabled"))
+
+
+def _dictionary(docs: DataFrame) -> DataFrame:
+    kind = F.when(F.length("word") > 12, "LONG").when(F.length("word") > 6, "MIDDLE").otherwise("SHORT")
+    return docs.select(F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("uses")).select("word", kind.alias("category"), "uses")
 
 
-@query(f"""WITH a(feature, weight, enabled) AS (VALUES {_S_VALUES([(k, w, True) for k, w in DEFAULT_WEIGHTS])}), b(feature, weight, enabled) AS (VALUES {_S_VALUES(_CHANGES)})
-SELECT coalesce(b.feature, a.feature) AS feature, coalesce(b.weight, a.weight) AS weight, coalesce(b.enabled, a.enabled) AS enabled FROM a FULL JOIN b ON a.feature = b.feature""")
+@query(f"""WITH {S_WEIGHTS} SELECT coalesce(b.feature, a.feature) AS feature, coalesce(b.weight, a.weight) AS weight, coalesce(b.enabled, a.enabled) AS enabled FROM weights a FULL JOIN changes b ON a.feature = b.feature""")
 def weights_upsert(spark, sf_dir):
-    changes = spark.createDataFrame(_CHANGES, "feature string, weight double, enabled boolean")
-    return dictionaries.upsert(dictionaries.weights_table(spark, CONFIG), changes, "feature")
+    """Weights of all kinds of events: some changed in their weight alone, new ones for languages."""
+    some = table(spark, sf_dir, "events").filter("value > 10 and event_type < 'm'").groupBy(F.col("event_type").alias("feature")).agg(F.min("value").alias("weight")).withColumn("enabled", F.lit(None).cast("boolean"))
+    langs = table(spark, sf_dir, "documents").filter("lang is not null").groupBy(F.col("lang").alias("feature")).agg(F.count("*").cast("double").alias("weight"), (F.count("*") > 100).alias("enabled"))
+    return dictionaries.upsert(_weights(spark, sf_dir), some.unionByName(langs), "feature")
 
 
-@query(f"""SELECT feature, weight, 'weight' AS kind FROM (VALUES {_S_VALUES([(k, w) for k, w in DEFAULT_WEIGHTS])}) AS t(feature, weight) WHERE feature <> 'perplexity'
-UNION ALL SELECT unnest({_LIST(LATIN.ai_phrases)}), NULL::DOUBLE, 'AI_CLICHE'""")
+@query(f"""WITH {S_WEIGHTS}, {S_DICTIONARY} SELECT feature AS entry, 'weight' AS kind, weight FROM weights WHERE enabled UNION ALL SELECT word, category, uses::DOUBLE FROM dictionary WHERE category = 'LONG'""")
 def dictionary_scan(spark, sf_dir):
-    """The enabled weights, and the phrases of one category."""
-    weights = dictionaries.enabled(dictionaries.weights_table(spark, replace(CONFIG, detector_off=("perplexity",)))).select("feature", "weight", F.lit("weight").alias("kind"))
-    phrases = dictionaries.of_category(dictionaries.phrases_table(spark, LATIN), "AI_CLICHE")
-    return weights.unionByName(phrases.select(F.col("phrase").alias("feature"), F.lit(None).cast("double").alias("weight"), F.col("category").alias("kind")))
+    """The enabled weights, and the words of one category."""
+    weights = dictionaries.enabled(_weights(spark, sf_dir)).select(F.col("feature").alias("entry"), F.lit("weight").alias("kind"), "weight")
+    words = dictionaries.of_category(_dictionary(documents(spark, sf_dir)), "LONG")
+    return weights.unionByName(words.select(F.col("word").alias("entry"), F.col("category").alias("kind"), F.col("uses").cast("double").alias("weight")))
 
 
-@query(f"SELECT unnest({_LIST(LATIN.junk_words)}) AS word EXCEPT SELECT unnest(['ha', 'absent'])")
+@query(f"WITH {S_DICTIONARY} SELECT word, category, uses FROM dictionary WHERE word NOT IN (SELECT word FROM theirs)")
 def dictionary_anti_delete(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in LATIN.junk_words], "word string")
-    return dictionaries.delete(words, spark.createDataFrame([("ha",), ("absent",)], "word string"), "word")
+    """The documents' words without those that the corpus has."""
+    return dictionaries.delete(_dictionary(documents(spark, sf_dir)), _dictionary(corpus(spark, sf_dir)), "word")
 
 
-@query(f"""SELECT * FROM (VALUES ('mine', 'AI_CLICHE')) AS t(phrase, category) UNION ALL SELECT unnest({_LIST(LATIN.bureaucratic_phrases)}), 'BUREAUCRATIC'""")
+@query(f"""WITH {S_DICTIONARY}, have AS (SELECT * FROM dictionary WHERE category <> 'LONG')
+SELECT * FROM have UNION ALL SELECT * FROM theirs WHERE category NOT IN (SELECT category FROM have)""")
 def dictionary_seed(spark, sf_dir):
-    have = spark.createDataFrame([("mine", "AI_CLICHE")], "phrase string, category string")
-    return dictionaries.seeded(have, dictionaries.phrases_table(spark, LATIN), "category").select("phrase", "category")
+    """The documents' shorter words; the category that is missing comes from the corpus."""
+    return dictionaries.seeded(_dictionary(documents(spark, sf_dir)).filter("category <> 'LONG'"), _dictionary(corpus(spark, sf_dir)), "category")

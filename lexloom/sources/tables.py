@@ -63,8 +63,12 @@ class KeyedTable:
         known = self.versions()
         if version is None and not known:
             return None
-        text = self.spark.read.option("wholetext", True).text(f"{self.folder}/manifests/v{known[-1] if version is None else version}.json").first()[0]
-        m = json.loads(text)
+        files, path = hadoop_path(self.spark, f"{self.folder}/manifests/v{known[-1] if version is None else version}.json")
+        stream = files.open(path)
+        try:
+            m = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         return Snapshot(m["version"], m["schema"], tuple(Bucket(*b) for b in m["buckets"]))
 
     def read(self, version: int | None = None) -> DataFrame | None:
@@ -97,8 +101,9 @@ class KeyedTable:
         keys = stored((rows if keys is None else keys).select(self.key).distinct(), "replaced-keys")
         now = self.snapshot()
         before = {(b.bits, b.value): b for b in now.buckets} if now else {(0, 0): None}
-        coming = self._placed(rows, list(before))
-        touched = [(r.bits, r.value) for r in self._placed(keys, list(before)).unionByName(coming.select("bits", "value", self.key)).select("bits", "value").distinct().collect()]
+        each = keys.withColumn("_new", F.lit(0)).unionByName(rows.select(self.key, F.lit(1).alias("_new")))
+        counts = {(r.bits, r.value): r.n for r in self._placed(each, list(before)).groupBy("bits", "value").agg(F.sum("_new").alias("n")).collect()}
+        touched = list(counts)
         left = [b for place in touched if (b := before[place])]
         new = rows
         if left:
@@ -106,10 +111,9 @@ class KeyedTable:
             kept = self._rows(now, left)
             new = kept.join(gone, F.col(self.key).eqNullSafe(F.col("gone")), "left_anti").select(*rows.columns).unionByName(rows)
         # as many binary digits more as the rows that a bucket may hold call for
-        counts = {(r.bits, r.value): r["count"] for r in coming.groupBy("bits", "value").count().collect()}
         places = []
         for bits, value in touched:
-            most, more = counts.get((bits, value), 0) + (before[bits, value].rows if before[bits, value] else 0), 0
+            most, more = counts[bits, value] + (before[bits, value].rows if before[bits, value] else 0), 0
             while most >> more > self.rows and bits + more < 40:
                 more += 1
             places += [(bits + more, value + (k << bits)) for k in range(1 << more)]

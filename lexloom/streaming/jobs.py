@@ -97,25 +97,100 @@ def stream_job_states(events: DataFrame, config: EngineConfig = EngineConfig())
     return events.groupBy("job_id").applyInPandasWithState(step, out, "status string, retries long, failed string", "update", "NoTimeout")
 
 
+def _at_least(when: int, state) -> int:
+    """A time that a timer may be set to."""
+    return max(when, state.getCurrentWatermarkMs() + 1)
+
+
+def status_stream(events: DataFrame, late: str = "1 hour", expiry: int = 86_400) -> DataFrame:
+    """job_id, ts, event_id, kind: each event of a stream as it comes, up to and including its job's
+    first terminal one; `status_until_terminal` gives the same rows, if no event comes after later ones.
+
+    events: job_id, ts (a timestamp), event_id, kind. What is later than `late` is left out. A job is
+    forgotten `expiry` seconds after its last event; until then nothing more of a closed one gets by.
+    """
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        closed = state.exists and state.get[0]
+        e = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        if not closed:
+            ends = e["kind"].isin(["done", "failed"]).to_numpy()
+            closed = bool(ends.any())
+            yield e.iloc[: ends.argmax() + 1 if closed else len(e)][["job_id", "ts", "event_id", "kind"]]
+        state.update((closed,))
+        state.setTimeoutTimestamp(_at_least(int(e["ms"].max()) + expiry * 1000, state))
+
+    each = events.select("job_id", "ts", "event_id", "kind", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    return each.groupBy("job_id").applyInPandasWithState(step, "job_id long, ts timestamp, event_id long, kind string", "closed boolean", "append", "EventTimeTimeout")
+
+
+def deliveries(events: DataFrame, config: EngineConfig = EngineConfig(), delay: int = 60, visibility: int = 600, late: str = "0 seconds", expiry: int = 86_400) -> DataFrame:
+    """job_id, ms, attempt, what: what a queue does with each job of a stream of events, in event time.
+
+    events: job_id, ts (a timestamp), event_id, kind. `published` delivers a job for the first time.
+    After an `error` it is delivered again `delay` seconds later, and so it is `visibility` seconds
+    after a delivery that nobody answered; only errors count as failures, and the last allowed one makes
+    it `dead`, a `done` before it `done`. Nothing happens to jobs that were never published. Closed jobs
+    are remembered for `expiry` seconds. The stream's checkpoint holds all of this over restarts.
+    """
+    out = ["job_id", "ms", "attempt", "what"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        attempt, failed, due, closed = state.get if state.exists else (0, 0, 0, False)
+        done: list[tuple] = []
+
+        def deliver_until(ms: int) -> None:
+            nonlocal attempt, due
+            while attempt and not closed and due <= ms:
+                attempt += 1
+                done.append((key[0], due, attempt, "delivered"))
+                due += visibility * 1000
+
+        if state.hasTimedOut:
+            if closed:
+                state.remove()
+                return
+            deliver_until(state.getCurrentWatermarkMs())
+        else:
+            for e in pd.concat(list(frames)).sort_values(["ms", "event_id"]).itertuples():
+                deliver_until(e.ms)  # whichever batches events come in
+                if closed or not attempt and e.kind != "published":
+                    continue
+                if e.kind == "published" and not attempt:
+                    attempt, due = 1, e.ms + visibility * 1000
+                    done.append((key[0], e.ms, 1, "delivered"))
+                elif e.kind == "error":
+                    failed, due = failed + 1, e.ms + delay * 1000
+                    closed = failed >= config.max_retries
+                elif e.kind == "done":
+                    closed = True
+                if closed:
+                    due = e.ms + expiry * 1000
+                    done.append((key[0], e.ms, attempt, "done" if e.kind == "done" else "dead"))
+        if attempt:
+            state.update((attempt, failed, int(due), closed))
+            state.setTimeoutTimestamp(_at_least(int(due), state))
+        if done:
+            yield pd.DataFrame(done, columns=out)
+
+    each = events.select("job_id", "ts", "event_id", "kind", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    return each.groupBy("job_id").applyInPandasWithState(step, "job_id long, ms long, attempt int, what string", "attempt int, failed int, due long, closed boolean", "append", "EventTimeTimeout")
+
+
 def analyze_stream(documents: DataFrame, analyze, folder: str, checkpoint: str):
     """Runs `analyze(batch) -> {table: DataFrame}` on each micro-batch of new documents.
 
-    Tables are overwritten batch by batch under batch=<id>, so a batch that runs again replaces its
-    own rows. Documents whose content came before are skipped.
+    Documents whose content came before are skipped: the stream's state keeps the digests seen, so a
+    batch's work doesn't grow with what came before it (on a cluster, with RocksDB as the state store).
+    Tables are overwritten batch by batch under batch=<id>, so a batch that runs again replaces its own
+    rows; the state, too, is that before the batch.
     """
+    fresh = documents.withColumn("content_hash", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).dropDuplicates(["content_hash"]).drop("content_hash")
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["content_hash"])
-        seen = f"{folder}/content_hashes"
-        try:
-            old = spark.read.parquet(seen).filter(F.col("batch") != number).select("content_hash")
-            fresh = fresh.join(old, "content_hash", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.select("content_hash").write.mode("overwrite").parquet(f"{seen}/batch={number}")
-        for name, df in analyze(fresh.drop("content_hash")).items():
+        for name, df in analyze(batch).items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
-    return documents.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return fresh.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

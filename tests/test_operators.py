@@ -237,6 +237,14 @@ def test_paraphrase_of_the_report(spark):
     assert all(got[i].plagiarism_pct == plain[i].plagiarism_pct and got[i].originality_pct <= plain[i].originality_pct for i in got)
 
 
+def test_self_copies_of_repeated_ids(spark):
+    """Rows in are rows out, whatever the ids; a document doesn't copy itself."""
+    rows = [(1, BASE, "a"), (1, BASE, "a"), (None, BASE, "a"), (2, "one two three four five", "a"), (3, BASE, None), (4, "x", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.enabled, r.total_shingles, r.matched_shingles) for r in copying.self_copy_pct(d).collect())
+    assert got == [("1", True, 8, 1), ("1", True, 8, 1), ("2", True, 1, 1), ("3", False, 0, 0), ("4", True, 0, 0), ("None", True, 8, 0)]
+
+
 def test_quotes(spark):
     r = docs(spark, 'ab "cd" «e "f" g»', "").select(style.cited_pct(F.col("text")).alias("c")).collect()
     assert r[0].c == 80.0 or r[0].c > 50
@@ -554,7 +562,8 @@ def test_report_and_engine(spark):
 
 def test_stages(spark, tmp_path):
     d, corpus = docs(spark, BASE, "short"), spark.createDataFrame([(9, BASE)], "doc_id long, text string")
-    engine = Engine(provider=providers.NoSearch())
+    length = lambda s: F.array(F.length(s).cast("float"), F.lit(1.0))
+    engine = Engine(provider=providers.NoSearch(), embedder=length)
     done = engine.run(d, corpus, str(tmp_path / "ok")).collect()
     assert {(r.doc_id, r.status, r.retry_count, r.failed_stage) for r in done} == {(0, "DONE", 0, None), (1, "DONE", 0, None)}
     assert all(files.read_table(spark, f"{tmp_path}/ok/{s}").count() == 2 for s in jobs.STAGES)
@@ -563,11 +572,11 @@ def test_stages(spark, tmp_path):
         raise providers.ServiceError("status 500")
 
     broken, folder = Engine(checker=refuse), str(tmp_path / "bad")
-    parts = {name: (lambda _, name=name: engine.sections(d, corpus)[name]) for name in ("plagiarism", "paraphrase", "style")} | {"grammar": lambda _: broken.sections(d, corpus)["grammar"]}
+    parts = {name: (lambda _, name=name: engine.sections(d, corpus)[name]) for name in ("plagiarism", "style")} | {"grammar": lambda _: broken.sections(d, corpus)["grammar"]}
     for retries, status in ((0, "PROCESSING"), (2, "FAILED")):
         got = stages.run(d, parts, folder, retries).first()
         assert (got.status, got.retry_count, got.failed_stage, got.failure_reason) == (status, retries + 1, "grammar", "status 500")
-    assert files.read_table(spark, f"{folder}/paraphrase").count() == 2 and files.read_table(spark, f"{folder}/style") is None
+    assert files.read_table(spark, f"{folder}/plagiarism").count() == 2 and files.read_table(spark, f"{folder}/style") is None
 
 
 def test_one_document_fails(spark, tmp_path):
@@ -581,7 +590,7 @@ def test_one_document_fails(spark, tmp_path):
         return 200, {"matches": []}
 
     d, corpus = docs(spark, BASE, "bad text", "fine"), spark.createDataFrame([(9, BASE)], "doc_id long, text string")
-    engine, folder = Engine(checker=providers.GrammarService("http://g", post)), str(tmp_path / "r")
+    engine, folder = Engine(checker=providers.GrammarService("http://g", post), embedder=lambda s: F.array(F.length(s).cast("float"))), str(tmp_path / "r")
     done = {r.doc_id: (r.status, r.retry_count, r.failed_stage, r.failure_reason) for r in engine.run(d, corpus, folder, 1).collect()}
     assert done == {0: ("DONE", 1, None, None), 1: ("PROCESSING", 2, "grammar", "no answer"), 2: ("DONE", 1, None, None)}
     ids = lambda name: sorted(r.doc_id for r in files.read_table(spark, f"{folder}/{name}").filter("section is not null").collect())
@@ -635,6 +644,40 @@ def test_jobs_batch_and_stream(spark, tmp_path):
     assert {r.job_id: (r.status, r.retry_count, r.failed_stage) for r in spark.table("states").collect()} == want
 
 
+def feed(spark, folder, rows):
+    """Appends events (job_id, second, event_id, kind) to a folder that a stream reads."""
+    at = F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts")
+    spark.createDataFrame(rows, "job_id long, s long, event_id long, kind string").select("job_id", at, "event_id", "kind").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_status_stream(spark, tmp_path):
+    """Batch by batch, restarted each time: events up to the first terminal one, whenever they come."""
+    folder, rows = str(tmp_path / "in"), []
+    batches = [[(1, 1, 1, "other"), (2, 1, 2, "error"), (2, 2, 3, "done"), (2, 3, 4, "other")], [(1, 5, 5, "done"), (1, 6, 6, "other"), (3, 7, 7, "other")], [(1, 8, 8, "other"), (2, 9, 9, "done"), (3, 10, 10, "failed")]]
+    for b in batches:
+        feed(spark, folder, b)
+        rows += b
+        stream = jobs.status_stream(spark.readStream.schema("job_id long, ts timestamp, event_id long, kind string").parquet(folder))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    e = spark.createDataFrame(rows, "job_id long, ts long, event_id long, kind string")
+    want = sorted(r.event_id for r in jobs.status_until_terminal(e).collect())
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want == [1, 2, 3, 5, 7, 10]
+
+
+def test_deliveries(spark, tmp_path):
+    """Redelivery after a delay and after silence, dead letters, jobs never published; with restarts."""
+    folder, base = str(tmp_path / "in"), 1_700_000_000
+    batches = [[(1, 0, 1, "published"), (2, 0, 2, "published"), (3, 0, 3, "published"), (9, 0, 4, "error")], [(1, 10, 5, "error"), (3, 12, 6, "done"), (3, 13, 7, "error")],
+               [(8, 200, 8, "published")], [(1, 210, 9, "error"), (8, 215, 10, "done")], [(7, 700, 11, "published"), (1, 710, 12, "error"), (1, 711, 13, "error")], [(6, 800, 14, "published")]]
+    for b in batches:
+        feed(spark, folder, b)
+        stream = jobs.deliveries(spark.readStream.schema("job_id long, ts timestamp, event_id long, kind string").parquet(folder))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.job_id, r.ms // 1000 - base, r.attempt, r.what) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 0, 1, "delivered"), (1, 70, 2, "delivered"), (1, 270, 3, "delivered"), (1, 710, 3, "dead"), (2, 0, 1, "delivered"), (2, 600, 2, "delivered"),
+                   (3, 0, 1, "delivered"), (3, 12, 1, "done"), (6, 800, 1, "delivered"), (7, 700, 1, "delivered"), (8, 200, 1, "delivered"), (8, 215, 1, "done")]
+
+
 def test_analyze_stream(spark, tmp_path):
     source = tmp_path / "docs"
     schema = "doc_id long, text string"
