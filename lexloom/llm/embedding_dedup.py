@@ -46,6 +46,8 @@ RESIDENTS = 8000
 GRAIN = 4096
 #: Vectors placed together, and visitors compared together.
 STEP, BLOCK = 250, 2000
+#: Distances from visitors to centroids that a task holds at once, 64 MB.
+DISTANCES = 8_000_000
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -209,23 +211,29 @@ def _linked(distinct: DataFrame, d: int, total: int, cosine: float, target: floa
         x = unit(np.frombuffer(b"".join(f["x"].to_pylist()), kind).reshape(-1, d).astype(np.float64))
         rep, copies, i, j, reach = (f[c].to_numpy() for c in ("rep", "copies", "i", "j", "reach"))
         here = np.flatnonzero(f["lives"].to_numpy())
-        a, b = shared.value.distances(x)
+        place = np.zeros(len(x), np.int64)
+        place[here] = np.arange(len(here))
+        own_a, own_b = shared.value.distances(x[here])  # residents are few; visitors go by in blocks
         cell = i[here].astype(np.int64) * len(shared.value.books[1]) + j[here]
         order = np.argsort(cell, kind="stable")
+        cells = np.split(here[order], np.flatnonzero(np.diff(cell[order])) + 1) if len(here) else []
         n, low = np.zeros(len(x), np.int64), np.arange(len(x))
-        for r in np.split(here[order], np.flatnonzero(np.diff(cell[order])) + 1) if len(here) else []:
-            visitors = np.flatnonzero(a[:, i[r[0]]] + b[:, j[r[0]]] <= reach)
-            for s in range(0, len(visitors), BLOCK):
-                v = visitors[s : s + BLOCK]
-                hit = x[v] @ x[r].T >= cosine
-                p, q = np.nonzero(hit)
-                p, q = v[p], r[q]
-                twice = a[q, i[p]] + b[q, j[p]] <= reach[q]  # the resident visits the visitor's cell too
-                keep = (rep[p] != rep[q]) & ~(twice & (rep[p] > rep[q]))
-                p, q = p[keep], q[keep]
-                n += np.bincount(p, copies[q], len(x)).astype(np.int64) + np.bincount(q, copies[p], len(x)).astype(np.int64)
-                if len(p):
-                    low = least(len(x), np.concatenate((p, np.arange(len(x)))), np.concatenate((q, low)))
+        many = max(1, DISTANCES // sum(len(c) for c in shared.value.books))
+        for start in range(0, len(x), many):
+            a, b = shared.value.distances(x[start : start + many])
+            for r in cells:
+                visitors = start + np.flatnonzero(a[:, i[r[0]]] + b[:, j[r[0]]] <= reach[start : start + many])
+                for s in range(0, len(visitors), BLOCK):
+                    v = visitors[s : s + BLOCK]
+                    hit = x[v] @ x[r].T >= cosine
+                    p, q = np.nonzero(hit)
+                    p, q = v[p], r[q]
+                    twice = own_a[place[q], i[p]] + own_b[place[q], j[p]] <= reach[q]  # the resident visits the visitor's cell too
+                    keep = (rep[p] != rep[q]) & ~(twice & (rep[p] > rep[q]))
+                    p, q = p[keep], q[keep]
+                    if len(p):
+                        n += np.bincount(p, copies[q], len(x)).astype(np.int64) + np.bincount(q, copies[p], len(x)).astype(np.int64)
+                        low = least(len(x), np.concatenate((p, np.arange(len(x)))), np.concatenate((q, low)))
         some = np.flatnonzero(n)
         # nodes are numbered by rows: the least rep of each joined set stands for it
         least_rep = np.full(len(x), np.iinfo(np.int64).max)

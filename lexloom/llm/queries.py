@@ -169,6 +169,20 @@ FROM said s JOIN scored USING (url)
 """
 
 
+#: All vectors against all; links are walked from each vector.
+OP8_SQL = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec_id, e, len(e) AS size, sqrt(list_dot_product(e, e)) AS norm FROM good),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.size = b.size AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+low AS (SELECT x, least(x, min(y)) AS component FROM reach GROUP BY x), number AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT v.vec_id, coalesce(number.n, 0) AS n_links, coalesce(low.component, v.vec_id) AS component_id, coalesce(low.component, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN low ON low.x = v.vec_id LEFT JOIN number ON number.x = v.vec_id
+"""
+
+
 OP11_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
@@ -225,4 +239,4 @@ FROM a{rounds} JOIN vector USING (no) JOIN c{rounds} c ON c.cluster = best.clust
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op7_url_filter": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_ball_kmeans": _op13_sql()}
+    return {"op2_ngram_jaccard": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_ball_kmeans": _op13_sql()}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import ball_kmeans, exact_dedup, prefix_trie, queries
+from lexloom.llm import ball_kmeans, embedding_dedup, exact_dedup, prefix_trie, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,6 +27,23 @@ def test_sql(spark, name):
     assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, rows))
 
 
+@pytest.mark.parametrize("held", [50, 8_000_000])
+def test_op8_sql(spark, tmp_path, monkeypatch, held):
+    """op8 on a table with planted near copies, against comparing all with all in SQL; with visitors
+    going by in small blocks too."""
+    monkeypatch.setattr(embedding_dedup, "DISTANCES", held)
+    r = np.random.default_rng(8)
+    base = r.normal(size=(150, 16))
+    x = np.concatenate((base, base[:60] + 0.1 * r.normal(size=(60, 16)), base[:20], 3 * base[:20] + 0.2 * r.normal(size=(20, 16)))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (904, [2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op8_embedding_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    want = duck.sql(queries.oracle_sql()["op8_embedding_dedup"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(x[1] for x in want) > 100
+
+
 # --- exact duplicates
 
 
