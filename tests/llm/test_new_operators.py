@@ -157,6 +157,14 @@ def test_trie_edges(spark):
     assert prefix_trie.shared_prefixes(conversations(spark, [(None, 1, "a", "b")])).count() == 0
 
 
+def test_trie_ties(spark):
+    """Rows that repeat a turn number, null ones too, are in the order of role and text."""
+    r = random.Random(12)
+    rows = [(c, r.choice([None, 0, 1]), r.choice([None, "a", "user"]), r.choice([None, "b", "a b", "é", "\U0001f600 x"])) for c in range(60) for _ in range(5)]
+    same_trie(spark, rows, 10_000)
+    same_trie(spark, rows, 20)
+
+
 def test_streamed_ends(spark):
     """The ends of very many equal conversations are digested piece by piece."""
     n = 10_000
