@@ -178,6 +178,25 @@ def test_nearest_plain_vectors(spark):
     assert {x.vec_id: (x.nearest_id, round(x.similarity, 9)) for x in got} == brute_nearest(asked, corpus)
 
 
+@pytest.mark.parametrize("held", [700, 9000])
+def test_nearest_in_chunks(spark, monkeypatch, held):
+    """A corpus that no task holds at once: whole cells, and parts of one cell, go to several chunks."""
+    monkeypatch.setattr(semantic, "STRIPE", 40)
+    r = np.random.default_rng(held)
+    centers = r.normal(size=(6, 8))
+    make = lambda n, at: [(at + i, (centers[r.integers(6)] + 0.2 * r.normal(size=8)).tolist()) for i in range(n)]
+    corpus = make(300, 1000) + [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [3.0, 2.0, 1.0]), (4, None), (5, [float("nan")] * 8), (6, [0.0] * 8)]
+    asked = make(150, 0) + [(900, [1.0, 2.0, 3.0]), (901, [1.0, 2.0]), (902, None), (903, [0.0] * 8), (904, corpus[7][1])]
+    kind = "vec_id long, embedding array<double>"
+    a, c = spark.createDataFrame(asked, kind), spark.createDataFrame(corpus, kind)
+    want = brute_nearest(asked, corpus)
+    for pivots in (3, 1024):
+        got = semantic.nearest(a, c, block=16, pivots=pivots, held=held).collect()
+        assert {x.vec_id: (x.nearest_id, round(x.similarity, 9)) for x in got} == want and len(got) == len(want)
+        whole = {x.vec_id: x.compared for x in semantic.nearest(a, c, block=16, pivots=pivots).collect()}
+        assert all(0 < x.compared <= 303 for x in got) and all(0 < n <= 303 for n in whole.values())
+
+
 def dense_latent(sentences, size, slots):
     """Weighted counts, their exact singular vectors, and a function to vectors of sentences."""
     def counts(texts):
