@@ -88,6 +88,7 @@ def _back(rows: DataFrame, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
             yield pa.record_batch([pa.array(k, pa.int32()), _lists(total[k])], names=["slot", "x"])
 
     out = np.zeros((slots, width))
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)  # a task's sums are of one size, whatever it reads
     for slot, x in _summed(rows.mapInArrow(products, "slot int, x array<double>"), "slot", width).items():
         out[slot] = x
     return out

@@ -81,9 +81,10 @@ class Engine:
     def sentences(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, similarity and nearest_group (the source) of each sentence, by nearest corpus sentence."""
         embed = self.embedder or self.learned(docs, corpus)
-        # stored, so that each sentence is embedded once
-        ours, theirs = (stored(semantic.sentence_vectors(d, embed).withColumn("vec_id", F.monotonically_increasing_id()), "sentence-vectors") for d in (docs, corpus))
-        best = semantic.nearest(ours, theirs)
+        # of the documents only the sentences are stored, which are far smaller than their vectors; `nearest` embeds each once
+        ours, theirs = (stored(semantic.sentences(d).withColumn("vec_id", F.monotonically_increasing_id()), "sentences") for d in (docs, corpus))
+        theirs = stored(theirs.withColumn("embedding", embed(F.col("sentence"))), "sentence-vectors")
+        best = semantic.nearest(ours.withColumn("embedding", embed(F.col("sentence"))), theirs)
         found = ours.select("doc_id", "vec_id").join(best, "vec_id", "left")
         return found.join(theirs.select(F.col("vec_id").alias("nearest_id"), F.col("doc_id").alias("nearest_group")), "nearest_id", "left")
 
