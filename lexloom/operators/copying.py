@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexloom.config import EngineConfig
 from lexloom.functions import minhash
 from lexloom.functions import text as T
+from lexloom.storage import stored
 
 
 def hashed(docs: DataFrame, config: EngineConfig = EngineConfig(), *also: str) -> DataFrame:
@@ -124,13 +125,40 @@ def self_copy_pct(docs: DataFrame, config: EngineConfig = EngineConfig(), author
 
 
 def self_copy_sources(docs: DataFrame, config: EngineConfig = EngineConfig(), author: str = "source") -> DataFrame:
-    """doc_id, other_doc_id, matched_shingles: positions of the other document of the author."""
-    own = counted_hashes(docs, config, author).filter(F.col(author).isNotNull())
-    other = own.select(author, "hash", F.col("doc_id").alias("other_doc_id"), F.col("rows").alias("other_rows"))
-    pairs = own.join(other, [author, "hash"]).filter("doc_id <> other_doc_id")
+    """doc_id, other_doc_id, matched_shingles: positions of the other document of the author.
+
+    Only hashes that two documents of an author hold count. Its documents that hold the same of these are
+    one class, and hashes that the same classes hold are one passage; classes are paired by passages,
+    and become documents at the end, where what is paired is the result itself. Sets of hashes and of
+    holders are told by their number and 128 bits.
+    """
+    def told(*columns: str) -> Column:
+        """The set of a group's rows, whatever their order."""
+        return F.struct(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(*columns, F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)))
+
+    each = hashed(docs, config, author).filter(F.col(author).isNotNull() & F.col("doc_id").isNotNull())
+    each = each.select("doc_id", author, F.explode_outer("hashes").alias("hash")).filter("hash is not null")
+    several = each.groupBy(author, "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(author, "hash")
+    own = stored(each.join(several, [author, "hash"]).groupBy(author, "doc_id", "hash").agg(F.count("*").alias("rows")), "self-copy-hashes")
+    sets = stored(own.groupBy(author, "doc_id").agg(told("hash", "rows").alias("set"), F.sum("rows").alias("all_rows")), "self-copy-sets")
+    first = sets.groupBy(author, "set").agg(F.min("doc_id").alias("class"), F.count("*").alias("members"))
+    shared_id = sets.groupBy("doc_id").agg((F.count("*") > 1).alias("authors"))  # an id with several authors
+    member = stored(sets.join(first, [author, "set"]).join(shared_id, "doc_id").select(author, "doc_id", "class", "members", "all_rows", "authors"), "self-copy-classes")
+    classes = member.filter("doc_id = class")
+    held = own.join(classes.select(author, "doc_id"), [author, "doc_id"])
+    holders = held.groupBy(author, "hash").agg(told("doc_id").alias("passage")).filter("passage.n > 1")
+    passages = stored(held.join(holders, [author, "hash"]).groupBy(author, "passage", "doc_id").agg(F.sum("rows").alias("rows")), "self-copy-passages")
+    one, other = passages.select(author, "passage", F.col("doc_id").alias("one")), passages.select(author, "passage", F.col("doc_id").alias("other"), "rows")
+    between = one.join(other, [author, "passage"]).filter("one <> other").groupBy(author, "one", "other").agg(F.sum("rows").alias("matched_shingles"))
+    within = classes.filter("members > 1").select(author, F.col("class").alias("one"), F.col("class").alias("other"), F.col("all_rows").alias("matched_shingles"))
+    ours = member.select(author, F.col("class").alias("one"), "doc_id", "authors")
+    theirs = member.select(author, F.col("class").alias("other"), F.col("doc_id").alias("other_doc_id"), F.col("authors").alias("other_authors"))
+    pairs = between.unionByName(within).join(ours, [author, "one"]).join(theirs, [author, "other"]).filter("doc_id <> other_doc_id")
     if config.only_previous:
         pairs = pairs.filter("other_doc_id < doc_id")
-    return pairs.groupBy("doc_id", "other_doc_id").agg(F.sum("other_rows").alias("matched_shingles"))
+    columns, both = ["doc_id", "other_doc_id", "matched_shingles"], F.col("authors") & F.col("other_authors")
+    again = pairs.filter(both).groupBy("doc_id", "other_doc_id").agg(F.sum("matched_shingles").alias("matched_shingles"))
+    return pairs.filter(~both).select(*columns).unionByName(again)
 
 
 def rare_shingles(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

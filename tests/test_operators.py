@@ -197,6 +197,17 @@ def test_nearest_in_chunks(spark, monkeypatch, held):
         assert all(0 < x.compared <= 303 for x in got) and all(0 < n <= 303 for n in whole.values())
 
 
+def test_sentences_without_stored_vectors(spark, monkeypatch):
+    """Vectors of the documents' sentences aren't written; sentences without a match are there."""
+    kept, stored = [], report.stored
+    monkeypatch.setattr(report, "stored", lambda df, name: kept.append(df.columns) or stored(df, name))
+    d, c = docs(spark, "Red apples fall. Blue birds sing.", "", "... !"), docs(spark, "Red apples fall. Green trees grow.")
+    embed = lambda s: F.when(s.contains("sing"), F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.length(s).cast("double"), F.lit(1.0)))
+    got = sorted((r.doc_id, r.similarity is not None and round(r.similarity, 9), r.nearest_group) for r in report.Engine(embedder=embed).sentences(d, c).collect())
+    assert got == [(0, False, None), (0, 1.0, 0)]
+    assert sum("embedding" in columns for columns in kept) == 1
+
+
 def dense_latent(sentences, size, slots):
     """Weighted counts, their exact singular vectors, and a function to vectors of sentences."""
     def counts(texts):
@@ -264,6 +275,33 @@ def test_self_copies_of_repeated_ids(spark):
     assert got == [("1", True, 8, 1), ("1", True, 8, 1), ("2", True, 1, 1), ("3", False, 0, 0), ("4", True, 0, 0), ("None", True, 8, 0)]
 
 
+@pytest.mark.parametrize("previous", [False, True])
+def test_self_copy_pairs(spark, monkeypatch, previous):
+    """Pairs against brute force; documents that share the same passages are paired as one class."""
+    r = np.random.default_rng(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(8 + k)) for k in range(4)]
+    rows = []
+    for i in range(70):
+        parts = [passages[k] for k in range(4) if r.random() < 0.3] + [" ".join(f"u{i}x{j}" for j in range(6))]
+        rows.append((i, " ".join(parts + parts[:1] * int(r.integers(2))), [None, "a", "b"][r.integers(3)]))
+    rows += [(100 + i, passages[0] + f" y{i}", "hot") for i in range(40)] + [(3, passages[0], "a"), (3, passages[1], "b"), (4, passages[0], "a"), (4, passages[1], "b"), (None, passages[0], "a"), (200, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    config = EngineConfig(only_previous=previous)
+    holds, want = collections.defaultdict(collections.Counter), collections.Counter()
+    for x in copying.hashed(d, config, "source").collect():
+        if x.doc_id is not None and x.source is not None:
+            holds[x.source, x.doc_id].update(x.hashes)
+    for (s, i), h in holds.items():
+        for (t, j), g in holds.items():
+            if s == t and i != j and h.keys() & g.keys() and (j < i or not previous):
+                want[i, j] += sum(g[x] for x in h.keys() & g.keys())
+    kept, stored = {}, copying.stored
+    monkeypatch.setattr(copying, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    got = [((x.doc_id, x.other_doc_id), x.matched_shingles) for x in copying.self_copy_sources(d, config).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert kept["self-copy-passages"].filter("source = 'hot'").count() == 0  # one class
+
+
 def test_quotes(spark):
     r = docs(spark, 'ab "cd" «e "f" g»', "").select(style.cited_pct(F.col("text")).alias("c")).collect()
     assert r[0].c == 80.0 or r[0].c > 50
