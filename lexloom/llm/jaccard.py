@@ -21,13 +21,14 @@ many documents are candidates that the bitmap would let most texts through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import head_threshold, one_thread, stored
@@ -77,6 +78,11 @@ class Measure:
     def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
 
+    def bucket(self, n: Column) -> Column:
+        """Sizes that can link are in the same bucket or in neighbouring ones."""
+        width = max(math.log(100 / self.percent) * 1.001, 1e-6)
+        return F.floor(F.ln(n) / F.lit(width))
+
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
 
@@ -273,21 +279,30 @@ def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a long, b long, distance double, linked boolean")
 
 
+def fitting_blocks(entries: DataFrame, measure: Measure) -> DataFrame:
+    """Entries (token, id, n, ...) of long lists with their block, once for each pair of blocks (lo, hi)
+    in which they may meet a set that they link with."""
+    entries = entries.withColumn("bucket", measure.bucket(F.col("n")))
+    sizes = entries.groupBy("token", "bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
+    ranked = entries.join(sizes, ["token", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")) + F.shiftleft(F.col("bucket"), 32)).drop("blocks")
+    # sets that link are of the same bucket of sizes or of neighbouring ones
+    near = ranked.withColumn("near", F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))))
+    sent = near.join(sizes.withColumnRenamed("bucket", "near"), ["token", "near"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.withColumn("other", F.col("other") + F.shiftleft(F.col("near"), 32))
+    return sent.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("bucket", "near", "blocks", "other")
+
+
 def long_list_pairs(entries: DataFrame, facts: DataFrame, state: DataFrame, measure: Measure) -> DataFrame:
     """Pairs of long lists that are still open, found block against block.
 
     state: (id, component, leader, distance). Lists whose sets are all connected are left out; of
-    the others, each entry goes once to every block of its list.
+    the others, each entry goes once to every block of its list that has sets of fitting sizes.
     """
     known = entries.join(state, "id", "left").select(
         "token", "id", "n", "pos", F.coalesce("component", "id").alias("component"), F.coalesce("leader", "id").alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
     known = stored(known, "jaccard-entries")
     entries = known.join(known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token"), "token", "left_semi")
-    sizes = entries.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
-    ranked = entries.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    full = ranked.join(facts.select("id", "bits"), "id")
-    sent = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sent = sent.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    sent = fitting_blocks(entries, measure).join(facts.select("id", "bits"), "id")
     slack = 1 - measure.percent / 100 + 1e-9
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

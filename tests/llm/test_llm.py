@@ -145,6 +145,22 @@ def test_op2(spark, monkeypatch, limits):
     assert [r.n_shingles for r in got] == sizes and [r.component_id for r in got] == low
 
 
+@pytest.mark.parametrize("percent", [90, 80, 100])
+def test_blocks_of_fitting_sizes(spark, monkeypatch, percent):
+    """An entry of a long list goes to blocks of sizes that it may link with, and not to all of them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    measure, sizes = jaccard.Measure(percent), [1 + int(1.13**k) for k in range(80)] + [300] * 20
+    entries = spark.createDataFrame([(7, i, n) for i, n in enumerate(sizes)], "token long, id long, n long")
+    met, sent = set(), jaccard.fitting_blocks(entries, measure).collect()
+    groups = {}
+    for r in sent:
+        groups.setdefault((r.token, r.lo, r.hi), []).append(r)
+    for (_, lo, hi), rows in groups.items():
+        met |= {(x.id, y.id) for x in rows for y in rows if x.id < y.id and (lo == hi or x.block != y.block)}
+    want = {(i, j) for j in range(100) for i in range(j) if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])}
+    assert want <= met and len(sent) < 100 * 20 / 2  # 20 blocks, if every entry went to each
+
+
 @pytest.mark.parametrize("cut", [3, 7, 50])
 def test_index_lists_over_batches(monkeypatch, cut):
     """Lists that go over from batch to batch stay whole, long ones come out entry by entry."""
