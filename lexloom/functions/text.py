@@ -38,6 +38,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
+def spaced(text: Column) -> Column:
+    """The words of a text with a blank between, without making an array of them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def compound_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(COMPOUND), 0)
 
@@ -123,15 +128,20 @@ def fnv_phrases(texts: list[str], size: int) -> list[np.ndarray]:
 
 def shingle_hashes(found: Column, size: int = 5) -> Column:
     """FNV-1a of each phrase of `size` words, from the words, in numpy, many documents at once."""
+    return phrase_hashes(F.array_join(found, " "), size)
+
+
+def phrase_hashes(texts: Column, size: int = 5) -> Column:
+    """The same from words with a blank between."""
 
     @F.arrow_udf("array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
         done: list[np.ndarray] = []
-        for some in batches([t or "" for t in texts.to_pylist()]):
+        for some in batches([t or "" for t in texts.to_pylist()], 100_000):
             done += fnv_phrases(some, size)
         return lists(done)
 
-    return run(F.array_join(found, " "))
+    return run(texts)
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:

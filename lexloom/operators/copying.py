@@ -11,8 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from lexloom.config import EngineConfig
 from lexloom.functions import minhash
@@ -20,9 +24,64 @@ from lexloom.functions import text as T
 from lexloom.storage import stored
 
 
+#: Distinct hashes up to which all tasks get them, 4 bytes each; bits of the filter that goes in their place beyond.
+SENT, FILTER_BITS = 1 << 23, 1 << 26
+
+
 def hashed(docs: DataFrame, config: EngineConfig = EngineConfig(), *also: str) -> DataFrame:
-    """doc_id, hashes: those of all shingles, as an array by position."""
-    return docs.select("doc_id", *also, T.shingle_hashes(T.words(F.coalesce("text", F.lit(""))), config.shingle_size).alias("hashes"))
+    """doc_id, hashes: those of all shingles, as an array by position. Documents may come with them."""
+    if "hashes" in docs.columns:
+        return docs.select("doc_id", *also, "hashes")
+    return docs.select("doc_id", *also, T.phrase_hashes(T.spaced(F.coalesce("text", F.lit(""))), config.shingle_size).alias("hashes"))
+
+
+class Known:
+    """Hashes that tasks look for in documents. Up to SENT of them are sent whole; of more, a filter of
+    FILTER_BITS bits goes, which lets all of them pass and others too: `exact` says which."""
+
+    def __init__(self, hashes: DataFrame):
+        each = hashes.select("hash").distinct()
+        n = each.count()
+        self.exact = n <= SENT
+        self.bits = min(FILTER_BITS, 1 << max(13, (64 * n).bit_length()))
+        self.held, self.words = None, np.zeros(self.bits // 64, np.uint64)
+        if self.exact:
+            self.held = np.sort(each.toPandas()["hash"].to_numpy(np.uint32))
+            slots = self.held.astype(np.uint64) & np.uint64(self.bits - 1)
+            np.bitwise_or.at(self.words, slots >> np.uint64(6), np.uint64(1) << (slots & np.uint64(63)))
+        else:
+            slot = F.col("hash").bitwiseAND(self.bits - 1)
+            some = each.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
+            rows = some.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # of fixed size, whatever the corpus
+            self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash is known, or may be."""
+        slots = hashes.astype(np.uint64) & np.uint64(self.bits - 1)
+        out = (self.words[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+        if self.exact and len(self.held):
+            at = np.flatnonzero(out)
+            mine = hashes[at].astype(np.uint32)
+            out[at] = self.held[np.minimum(np.searchsorted(self.held, mine), len(self.held) - 1)] == mine
+        return out
+
+    def of(self, hashes: Column) -> Column:
+        """The distinct ones of a document's hashes that are known, or may be."""
+
+        @F.arrow_udf("array<bigint>")
+        def run(column: pa.Array) -> pa.Array:
+            length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(self.has(flat))
+            owner, mine = np.repeat(np.arange(len(length)), length)[at], flat[at]
+            order = np.lexsort((mine, owner))
+            owner, mine = owner[order], mine[order]
+            new = np.ones(len(mine), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (mine[1:] != mine[:-1])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(length)))))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(mine[new], pa.int64()))
+
+        return run(hashes)
 
 
 def shingle_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -50,16 +109,32 @@ def total_shingles(config: EngineConfig) -> Column:
     return F.greatest(F.lit(0), n).cast("long")
 
 
+def positions(docs: DataFrame, config: EngineConfig) -> Column:
+    """total_shingles, from the hashes if the documents come with them."""
+    return F.size("hashes").cast("long") if "hashes" in docs.columns else total_shingles(config)
+
+
 def totals(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, total_shingles of each row."""
-    return docs.select("doc_id", total_shingles(config).alias("total_shingles"))
+    return docs.select("doc_id", positions(docs, config).alias("total_shingles"))
 
 
 def signatures(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, chunk_no, signature of every window of shingles."""
-    sig = minhash.window_signatures(F.col("hashes"), config.chunk_shingles, config.chunk_step, config.signature_size)
-    each = hashed(docs, config).select("doc_id", sig.alias("all"))
-    return each.select("doc_id", F.posexplode_outer("all").alias("chunk_no", "signature")).filter("chunk_no is not null").withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    each = hashed(docs, config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a document's windows are far larger than its hashes: some go on at a time
+            windows, done = minhash.Windows(b.column("hashes"), config.chunk_shingles, config.chunk_step, config.signature_size), 0
+            owner = np.repeat(np.arange(b.num_rows), windows.count)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(windows.count) - windows.count, windows.count)
+            for m in windows.minima():
+                at = slice(done, done + len(m))
+                done += len(m)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel(), pa.int64()))
+                yield pa.record_batch([b.column("doc_id").take(pa.array(owner[at])), pa.array(number[at], pa.int64()), values], names=["doc_id", "chunk_no", "signature"])
+
+    return each.mapInArrow(run, each.select("doc_id").schema.add("chunk_no", "long").add("signature", ArrayType(LongType())))
 
 
 def buckets(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -75,18 +150,43 @@ def candidates(docs: DataFrame, corpus: DataFrame, config: EngineConfig = Engine
     return buckets(docs, config).join(theirs, ["band", "bucket"]).select("doc_id", "corpus_doc_id").distinct()
 
 
+def scanned(docs: DataFrame, theirs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """doc_id, total_shingles, held, buckets of every row: its hashes that `theirs` (hash) may have, and the
+    LSH buckets of rows that have some. Texts are read and hashed once, and nothing is shuffled."""
+    each = hashed(docs, config).withColumn("held", Known(theirs).of(F.col("hashes")))
+    some = F.when(F.size("held") > 0, F.col("hashes"))
+    if config.candidate_gate == "none":
+        buckets = F.array().cast("array<struct<band:bigint,bucket:bigint>>")
+    else:
+        buckets = minhash.document_buckets(some, config.chunk_shingles, config.chunk_step, config.signature_size, config.bands)
+    return stored(each.select("doc_id", F.size("hashes").cast("long").alias("total_shingles"), "held", buckets.alias("buckets")), "copy-scan")
+
+
+def corpus_hashes(corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """corpus_doc_id, hash, rows."""
+    return stored(counted_hashes(corpus, config).withColumnRenamed("doc_id", "corpus_doc_id"), "copy-corpus")
+
+
+def gated(each: DataFrame, theirs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """doc_id, corpus_doc_id, hash, rows (in the source) that pass the gate; each as `scanned` gives it."""
+    found = each.select("doc_id", F.explode("held").alias("hash")).join(theirs, "hash")
+    if config.candidate_gate == "none":
+        return found
+    sources = corpus.select("doc_id", "text").join(found.select(F.col("corpus_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = buckets(sources, config).withColumnRenamed("doc_id", "corpus_doc_id")
+    ours = each.select("doc_id", F.explode("buckets").alias("b")).select("doc_id", "b.band", "b.bucket")
+    pairs = ours.join(known, ["band", "bucket"]).select("doc_id", "corpus_doc_id").distinct()
+    return found.join(pairs, ["doc_id", "corpus_doc_id"], "left_semi")
+
+
 def shared(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, corpus_doc_id, hash, rows (in the source) that pass the gate.
 
-    Hashes are joined first; signatures are made only of documents and sources that share one.
+    Only hashes that the corpus has leave their documents; signatures are made only of documents and
+    sources that share one.
     """
-    theirs = counted_hashes(corpus, config).withColumnRenamed("doc_id", "corpus_doc_id")
-    found = distinct_hashes(docs, config).join(theirs, "hash")
-    if config.candidate_gate == "none":
-        return found
-    ours = docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = corpus.select("doc_id", "text").join(found.select(F.col("corpus_doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return found.join(candidates(ours, known, config), ["doc_id", "corpus_doc_id"], "left_semi")
+    theirs = corpus_hashes(corpus, config)
+    return gated(scanned(docs, theirs, config), theirs, corpus, config)
 
 
 def copy_pct(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -94,8 +194,10 @@ def copy_pct(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineCo
 
     The share is of positions, so a text that repeats itself stays under 100.
     """
-    matched = shared(docs, corpus, config).groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
-    both = totals(docs, config).join(matched, "doc_id", "left").withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))
+    theirs = corpus_hashes(corpus, config)
+    each = scanned(docs, theirs, config)
+    matched = gated(each, theirs, corpus, config).groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
+    both = each.select("doc_id", "total_shingles").join(matched, "doc_id", "left").withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))
     return both.withColumn("plagiarism_pct", T.share(F.col("matched_shingles"), F.col("total_shingles")))
 
 
@@ -104,21 +206,30 @@ def copy_sources(docs: DataFrame, corpus: DataFrame, config: EngineConfig = Engi
     return shared(docs, corpus, config).groupBy("doc_id", "corpus_doc_id").agg(F.sum("rows").alias("matched_shingles"))
 
 
+def top_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), most: int = 100) -> DataFrame:
+    """hash, positions, docs of the hashes with most positions, ties by hash: these are counted without
+    their documents, which are looked up again for the hashes that are left."""
+    each = hashed(docs, config).select(F.explode_outer("hashes").alias("hash")).filter("hash is not null")
+    top = stored(each.groupBy("hash").agg(F.count("*").alias("positions")).orderBy(F.desc("positions"), "hash").limit(most), "top-hashes")
+    held = hashed(docs, config).select("doc_id", F.explode_outer(Known(top).of(F.col("hashes"))).alias("hash")).filter("hash is not null")
+    return top.join(held.groupBy("hash").agg(F.countDistinct("doc_id").alias("docs")), "hash").select("hash", "positions", "docs")
+
+
 def self_copy_pct(docs: DataFrame, config: EngineConfig = EngineConfig(), author: str = "source") -> DataFrame:
     """Shares of shingles that another document of the same author has.
 
-    A hash counts as matched if at least two documents of the author hold it: one aggregation and
-    an equi-join, no pairs of documents. A row for each row of `docs`: rows that repeat a doc_id are one
+    A hash counts as matched if at least two documents of the author hold it, which a window over the
+    hash tells: texts are hashed once, hashes are shuffled once, no pairs of documents. A row for each row of `docs`: rows that repeat a doc_id are one
     document, so they don't match each other, and have what the document matches in all; null ids match
     nothing.
     """
     own = distinct_hashes(docs, config, author).filter(F.col(author).isNotNull())
-    held = own.groupBy(author, "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    hit = own.join(held, [author, "hash"])
+    same = W.partitionBy(author, "hash")
+    hit = own.withColumns({"first": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).filter("first < last")
     if config.only_previous:
         hit = hit.filter("first < doc_id")
     matched = hit.groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
-    total = F.when(F.col(author).isNotNull(), total_shingles(config)).otherwise(0)
+    total = F.when(F.col(author).isNotNull(), positions(docs, config)).otherwise(0)
     both = docs.select("doc_id", F.col(author).isNotNull().alias("enabled"), total.alias("total_shingles")).join(matched, "doc_id", "left")
     both = both.withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))
     return both.withColumn("self_plagiarism_pct", T.share(F.col("matched_shingles"), F.col("total_shingles")))
@@ -164,24 +275,29 @@ def self_copy_sources(docs: DataFrame, config: EngineConfig = EngineConfig(), au
 def rare_shingles(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, sample_no, position, phrase: an even sample of the shingles that no source has.
 
-    Only hashes that sources do have are joined back to their documents; positions are picked row by
-    row, and only their phrases are made. No phrase is shuffled.
+    Positions are picked row by row, and only their phrases are made. The corpus's hashes go to all tasks,
+    and nothing is shuffled; where they are too many (Known), those that documents have are joined back.
     """
     size, k = config.shingle_size, config.external_sample
-    known = distinct_hashes(corpus, config).select("hash").distinct()
-    held = distinct_hashes(docs, config).join(known, "hash", "left_semi").groupBy("doc_id").agg(F.collect_list("hash").alias("held"))  # a document's own at most
+    theirs = stored(distinct_hashes(corpus, config).select("hash").distinct(), "copy-corpus")
+    known = Known(theirs)
 
     @F.pandas_udf("array<bigint>")
     def pick(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def one(hashes, held) -> np.ndarray:
-            rare = np.arange(len(hashes)) if held is None else np.flatnonzero(~np.isin(hashes, held))
+            common = known.has(np.asarray(hashes, np.int64)) if known.exact else np.zeros(len(hashes), bool) if held is None else np.isin(hashes, held)
+            rare = np.flatnonzero(~common)
             return rare if len(rare) <= k else rare[np.arange(k) * len(rare) // k]
 
         for hashes, helds in parts:
             yield pd.Series([one(*x) for x in zip(hashes, helds, strict=True)], dtype=object)
 
-    words = T.words(F.coalesce("text", F.lit("")))
-    cut = docs.select("doc_id", words.alias("words")).join(held, "doc_id", "left")
+    cut = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("words"))
+    if known.exact:
+        cut = cut.withColumn("held", F.lit(None).cast("array<bigint>"))
+    else:
+        held = hashed(docs, config).select("doc_id", F.explode_outer(known.of(F.col("hashes"))).alias("hash")).join(theirs, "hash", "left_semi")
+        cut = cut.join(held.groupBy("doc_id").agg(F.collect_set("hash").alias("held")), "doc_id", "left")  # a document's own at most
     picked = cut.select("doc_id", "words", F.posexplode_outer(pick(T.shingle_hashes(F.col("words"), size), "held")).alias("sample_no", "position")).filter("position is not null")
     phrase = F.array_join(F.slice("words", F.col("position").cast("int") + 1, size), " ")
     return picked.select("doc_id", F.col("sample_no").cast("long").alias("sample_no"), "position", phrase.alias("phrase"))

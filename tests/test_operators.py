@@ -10,12 +10,14 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom import queries
 from lexloom.config import EngineConfig
-from lexloom.lexicon import RUSSIAN
+from lexloom.functions import minhash
+from lexloom.lexicon import LATIN, RUSSIAN
 from lexloom.operators import ai, copying, dictionaries, grammar, language, latent, metadata, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import report, stages
 from lexloom.plans.report import Engine, originality_report
@@ -756,3 +758,54 @@ def test_analyze_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "out/metrics")).count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_leave_documents_once(spark, monkeypatch):
+    line = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, f"{line} eight nine", "a"), (2, f"zero {line}", "a"), (3, "nothing of all that is in here", "b"), (3, line, "b"), (None, line, "a"), (4, None, "a")], "doc_id long, text string, source string")
+    corpus = spark.createDataFrame([(7, line), (8, "some more words that nobody has")], "doc_id long, text string")
+    same = lambda df: sorted(map(repr, df.collect()))
+    config = replace(EngineConfig(), candidate_gate="none")
+    assert plan_of(copying.self_copy_pct(docs, config)).count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan_of(copying.rare_shingles(docs, corpus, config))
+    assert {(r.doc_id, r.matched_shingles) for r in copying.copy_pct(docs, corpus, config).collect()} == {(1, 3), (2, 3), (3, 3), (None, 0), (4, 0)}
+    top = copying.top_hashes(docs, config, 3).collect()
+    assert sorted((r.positions, r.docs) for r in top) == [(4, 3)] * 3
+    want = [same(f(docs, corpus, config)) for f in (copying.rare_shingles, copying.copy_pct, copying.copy_sources)]
+    monkeypatch.setattr(copying, "SENT", 0)  # a filter in place of the hashes, so full that others pass
+    monkeypatch.setattr(copying, "FILTER_BITS", 64)
+    for f, rows in zip((copying.copy_pct, copying.copy_sources), want[1:], strict=True):
+        assert same(f(docs, corpus, config)) == rows
+    single = docs.filter("doc_id in (1, 2)")
+    rare = same(copying.rare_shingles(single, corpus, config))
+    monkeypatch.undo()
+    assert rare == same(copying.rare_shingles(single, corpus, config))
+
+
+def test_signatures_go_on_in_parts(spark):
+    docs = spark.createDataFrame([("x", " ".join(map(str, range(60)))), ("y", None), ("z", "a b c d e f")], "doc_id string, text string")
+    found = copying.signatures(docs)
+    assert "MapInArrow" in plan_of(found)
+    each = copying.hashed(docs).select("doc_id", F.posexplode(minhash.window_signatures(F.col("hashes"))))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))
+
+
+def test_top_words_without_shuffle(spark):
+    stop = sorted(LATIN.stop_words)[0]
+    docs = spark.createDataFrame([(1, f"bb red 𐐨𐐨 blue red {stop} {stop} 𐐨 {stop}"), (2, ""), (3, None)], "doc_id long, text string")
+    tokens = metrics.tokenized(docs)
+    assert "Exchange" not in plan_of(spam.top_words(tokens, LATIN)) and "Exchange" not in plan_of(spam.spam(tokens, LATIN))
+    assert [tuple(r) for r in spam.top_words(tokens, LATIN).orderBy("rank").collect()] == [(1, 1, "red", 2), (1, 2, "𐐨𐐨", 1), (1, 3, "blue", 1)]
+    again = metrics.tokenized(docs.unionByName(spark.createDataFrame([(1, "blue blue"), (None, "green green"), (None, "green")], docs.schema)))
+    assert sorted(((r.doc_id or 0, r["rank"], r.word, r.cnt) for r in spam.top_words(again, LATIN).collect())) == [(0, 1, "green", 3), (1, 1, "blue", 3), (1, 2, "red", 2), (1, 3, "𐐨𐐨", 1)]
+    assert sorted((r.doc_id or 0, r.spam_pct) for r in spam.spam(again.filter("doc_id > 1"), LATIN).collect()) == [(2, 0.0), (3, 0.0)]
+
+
+def test_files_in_small_batches(spark):
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    found = queries.in_batches(spark.range(2000, numPartitions=1).select(size("id").alias("n")))
+    assert found.agg(F.max("n"), F.count("*")).first() == (queries.FILES_AT_ONCE, 2000)
