@@ -16,6 +16,7 @@ from lexloom.functions import text as T
 from lexloom.functions.phrases import phrases_in
 from lexloom.lexicon import RUSSIAN, LexicalProfile
 from lexloom.operators import ngrams
+from lexloom.operators.spam import repeated
 from lexloom.operators.style import FEW, among, holds_any
 
 Scorer = Callable[[LexicalProfile, EngineConfig], Column]
@@ -96,7 +97,11 @@ def perplexity_column(profile: LexicalProfile, config: EngineConfig) -> Column:
 
 
 def with_perplexity(tokens: DataFrame, docs: DataFrame, model: ngrams.NgramModel) -> DataFrame:
-    """`tokens` with ppl, the perplexity of each document."""
+    """`tokens` with ppl, the perplexity of each document; row by row, if the model goes to all tasks and no
+    rows share an id."""
+    small = ngrams.sent(model)
+    if small is not None and repeated(docs) is None:
+        return tokens.withColumn("ppl", ngrams.of_row(F.col("words"), small))
     found = ngrams.perplexity(docs, model).select(F.col("doc_id").alias("ppl_id"), F.col("perplexity").alias("ppl"))
     return tokens.join(found, F.col("doc_id").eqNullSafe(F.col("ppl_id")), "left").drop("ppl_id")
 

@@ -809,3 +809,19 @@ def test_files_in_small_batches(spark):
     size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
     found = queries.in_batches(spark.range(2000, numPartitions=1).select(size("id").alias("n")))
     assert found.agg(F.max("n"), F.count("*")).first() == (queries.FILES_AT_ONCE, 2000)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_perplexity_by_rows(spark, monkeypatch, order):
+    texts = spark.createDataFrame([("a b c a b d",), ("b c",), (None,), ("a b c",)], "text string")
+    asked = spark.createDataFrame([(1, "a b c x y a b"), (2, "a"), (3, None), (4, "x y z"), (None, "b c"), (None, "a")], "doc_id long, text string")
+    model = ngrams.train(texts, order)
+    found = ngrams.perplexity(asked, model)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    rows = {r.doc_id: r.perplexity for r in found.collect()}
+    single = asked.filter("doc_id is not null")
+    tokens = ai.with_perplexity(metrics.tokenized(single), single, model)
+    assert "Exchange" not in plan_of(tokens)
+    assert {r.doc_id: r.ppl for r in tokens.collect()} == pytest.approx({k: v for k, v in rows.items() if k is not None})
+    monkeypatch.setattr(ngrams, "SENT", 0)
+    assert {r.doc_id: r.perplexity for r in ngrams.perplexity(asked, model).collect()} == pytest.approx(rows)
