@@ -47,7 +47,7 @@ def lexical_diversity(profile: LexicalProfile, config: EngineConfig) -> Column:
 
 @scorer("burstiness")
 def burstiness(profile: LexicalProfile, config: EngineConfig) -> Column:
-    lengths = F.filter(F.transform("sentences", lambda s: F.size(T.words(s))), lambda n: n > 0)
+    lengths = F.filter(F.transform("sentence_words", lambda w: F.size(w)), lambda n: n > 0)
 
     def value(x: Column) -> Column:
         n = F.size(x).cast("double")
@@ -75,7 +75,7 @@ def ai_cliches(profile: LexicalProfile, config: EngineConfig) -> Column:
 
 @scorer("synonymChains")
 def synonym_chains(profile: LexicalProfile, config: EngineConfig) -> Column:
-    return _part(lambda s: s.rlike(rf"(?iu)(?:{profile.chain_letters}+,{T.WS}*){{2,}}{profile.chain_letters}+"))
+    return _part(lambda s: F.contains(s, F.lit(",")) & s.rlike(rf"(?iu)(?:{profile.chain_letters}+,{T.WS}*){{2,}}{profile.chain_letters}+"))
 
 
 def perplexity_scorer(model: Callable[[Column], Column]) -> Scorer:

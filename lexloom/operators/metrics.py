@@ -25,9 +25,11 @@ def basic_metrics(docs: DataFrame, config: EngineConfig = EngineConfig()) -> Dat
 
 
 def tokenized(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, text, words, sentences: what the signals share, so that each text is cut once."""
+    """doc_id, text, words, sentences, sentence_words: what the signals share, so that each text and each
+    sentence is cut once."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", *also, text.alias("text"), T.words(text).alias("words"), T.sentences(text).alias("sentences"))
+    cut = docs.select("doc_id", *also, text.alias("text"), T.words(text).alias("words"), T.sentences(text).alias("sentences"))
+    return cut.withColumn("sentence_words", F.transform("sentences", T.words))
 
 
 def content_hashes(docs: DataFrame) -> DataFrame:

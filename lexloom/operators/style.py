@@ -60,13 +60,13 @@ def readability(profile: LexicalProfile) -> Column:
     return F.when((F.size("words") > 0) & (F.size("sentences") > 0), F.floor(score * 10 + 0.5).cast("double") / 10).otherwise(0.0)
 
 
-def significant(sentence: Column, profile: LexicalProfile) -> Column:
+def significant(words: Column, profile: LexicalProfile) -> Column:
     """Words of three letters or more that aren't stop words."""
-    return F.array_distinct(F.filter(T.words(sentence), lambda w: (T.utf16_length(w) >= 3) & ~among(w, profile.stop_words)))
+    return F.array_distinct(F.filter(words, lambda w: ((F.length(w) >= 3) | (F.length(w) == 2) & (T.utf16_length(w) >= 3)) & ~among(w, profile.stop_words)))
 
 
 def adjacent_repetitions(profile: LexicalProfile) -> Column:
-    kept = F.transform("sentences", lambda s: significant(s, profile))
+    kept = F.transform("sentence_words", lambda w: significant(w, profile))
     hits = lambda k: F.size(F.filter(F.arrays_zip(F.slice(k, 1, F.size(k) - 1).alias("a"), F.slice(k, 2, F.size(k) - 1).alias("b")), lambda p: F.arrays_overlap(p["a"], p["b"])))
     return F.when(F.size("sentences") > 1, F.get(F.transform(F.array(kept), hits), F.lit(0))).otherwise(0)
 
@@ -97,7 +97,7 @@ def columns(profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConf
     """What `style` says of a document, as columns over `metrics.tokenized`."""
     return {
         "readability_score": readability(profile),
-        "long_sentences_pct": sentence_share(lambda s: F.size(T.words(s)) > config.long_sentence_words),
+        "long_sentences_pct": T.share(F.size(F.filter("sentence_words", lambda w: F.size(w) > config.long_sentence_words)), F.size("sentences")),
         "passive_voice_pct": sentence_share(lambda s: s.rlike(f"(?iu){profile.passive}")),
         "word_repetitions": adjacent_repetitions(profile).cast("long"),
         "bureaucracy_pct": phrase_share(profile.bureaucratic_phrases),

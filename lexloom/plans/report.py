@@ -27,8 +27,8 @@ def originality(plagiarism, paraphrase, own):
 
 def signals(docs: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id and all signals of a row alone: texts are read and cut once, nothing is shuffled."""
-    tokens = metrics.tokenized(docs).withColumns(style.columns(profile, config) | spam.columns(profile) | {"grammar_errors": grammar.local_count(F.col("text"))})
-    return ai.with_probability(tokens, profile, config).drop("text", "words", "sentences")
+    tokens = metrics.tokenized(docs).withColumns(style.columns(profile, config) | spam.columns(profile) | {"top": spam.top_sum(profile, config), "grammar_errors": grammar.local_count(F.col("text"))})
+    return ai.with_probability(tokens, profile, config).drop("text", "words", "sentences", "sentence_words")
 
 
 def originality_report(docs: DataFrame, corpus: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(),
@@ -38,11 +38,15 @@ def originality_report(docs: DataFrame, corpus: DataFrame, profile: LexicalProfi
     out = signals(docs, profile, config)
     if checker is not None:
         out = out.drop("grammar_errors").join(grammar.grammar(docs, checker).select("doc_id", "grammar_errors"), "doc_id", "left")
-    top = spam.top_words(metrics.tokenized(docs), profile, config).groupBy("doc_id").agg(F.sum("cnt").alias("top"))
-    out = out.join(top, "doc_id", "left").withColumns({
+    ids = spam.repeated(docs)
+    if ids is not None:  # rows that share an id are one document
+        top = spam.top_words(metrics.tokenized(docs), profile, config, ids).groupBy("doc_id").agg(F.sum("cnt").alias("top"))
+        out = out.drop("top").join(top, "doc_id", "left")
+    out = out.withColumns({
         "spam_pct": share(F.coalesce("top", F.lit(0)), F.col("total_words")), "junk_words_pct": share(F.col("junk_words"), F.col("total_words"))})
-    out = out.join(copying.copy_pct(docs, corpus, config).select("doc_id", "plagiarism_pct"), "doc_id", "left")
-    out = out.join(copying.self_copy_pct(docs, config, author).select("doc_id", "self_plagiarism_pct"), "doc_id", "left")
+    cut = stored(copying.hashed(docs, config, author), "report-hashes")
+    out = out.join(copying.copy_pct(cut, corpus, config).select("doc_id", "plagiarism_pct"), "doc_id", "left")
+    out = out.join(copying.self_copy_pct(cut, config, author).select("doc_id", "self_plagiarism_pct"), "doc_id", "left")
     if paraphrase is None:
         out = out.withColumn("paraphrase_pct", F.lit(0.0))
     else:

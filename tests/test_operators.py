@@ -825,3 +825,14 @@ def test_perplexity_by_rows(spark, monkeypatch, order):
     assert {r.doc_id: r.ppl for r in tokens.collect()} == pytest.approx({k: v for k, v in rows.items() if k is not None})
     monkeypatch.setattr(ngrams, "SENT", 0)
     assert {r.doc_id: r.perplexity for r in ngrams.perplexity(asked, model).collect()} == pytest.approx(rows)
+
+
+def test_report_hashes_once(spark):
+    texts = spark.createDataFrame([(1, BASE, "a"), (2, f"{BASE} more", "a"), (3, None, "a"), (4, "𐐨𐐨 here. A, b, c. 𐐨𐐨 there", None)], "doc_id long, text string, source string")
+    cut = copying.hashed(texts, EngineConfig(), "source")
+    assert cut.columns == ["doc_id", "source", "hashes"]
+    assert sorted(map(repr, copying.self_copy_pct(cut).collect())) == sorted(map(repr, copying.self_copy_pct(texts).collect()))
+    assert sorted(map(repr, copying.copy_pct(cut, texts).collect())) == sorted(map(repr, copying.copy_pct(texts, texts).collect()))
+    tokens = metrics.tokenized(texts).filter("doc_id = 4")
+    assert [list(w) for w in tokens.first().sentence_words] == [["𐐨𐐨", "here"], ["a", "b", "c"], ["𐐨𐐨", "there"]] or len(tokens.first().sentences) == 2
+    assert ai.ai_probability(tokens, LATIN).first().synonym_chains > 0
