@@ -834,5 +834,6 @@ def test_report_hashes_once(spark):
     assert sorted(map(repr, copying.self_copy_pct(cut).collect())) == sorted(map(repr, copying.self_copy_pct(texts).collect()))
     assert sorted(map(repr, copying.copy_pct(cut, texts).collect())) == sorted(map(repr, copying.copy_pct(texts, texts).collect()))
     tokens = metrics.tokenized(texts).filter("doc_id = 4")
-    assert [list(w) for w in tokens.first().sentence_words] == [["𐐨𐐨", "here"], ["a", "b", "c"], ["𐐨𐐨", "there"]] or len(tokens.first().sentences) == 2
+    row = tokens.first()
+    assert len(row.sentence_words) == len(row.sentences) and sum(map(list, row.sentence_words), []) == list(row.words)
     assert ai.ai_probability(tokens, LATIN).first().synonym_chains > 0
