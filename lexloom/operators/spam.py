@@ -52,6 +52,31 @@ def repeated(docs: DataFrame) -> DataFrame | None:
     return None if ids.isEmpty() else ids
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, word, cnt: all words of each document. They are counted row by row, many rows at once;
+    only rows that share an id are counted together by shuffling."""
+    @F.arrow_udf("array<struct<word:string,cnt:bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        column = pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), " ")
+        length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = column.flatten().dictionary_encode()
+        names, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key, count = np.unique(np.repeat(np.arange(len(length)), length) * max(1, len(names)) + code, return_counts=True)
+        owner, code = np.divmod(key, max(1, len(names)))
+        found = pa.StructArray.from_arrays([names.take(pa.array(code)).cast(pa.string()), pa.array(count, pa.int64())], ["word", "cnt"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(length))))), pa.int32()), found)
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.select("doc_id", T.spaced(F.col("text")).alias("words")).select("doc_id", F.inline(run("words")))
+
+    ids = repeated(docs)
+    if ids is None:
+        return counted(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    again = counted(docs.join(ids, same, "left_semi")).groupBy("doc_id", "word").agg(F.sum("cnt").alias("cnt"))
+    return counted(docs.join(ids, same, "left_anti")).unionByName(again)
+
+
 def top_words(tokens: DataFrame, profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConfig(), ids: DataFrame | None = None) -> DataFrame:
     """doc_id, rank, word, cnt: by count, then by first occurrence.
 

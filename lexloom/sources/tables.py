@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexloom.storage import hadoop_path, stored
+from lexloom.storage import hadoop_path, setting, stored
 
 #: Rows of a bucket beyond which it is split.
 ROWS = 1_000_000
+#: Files that a task writes at once; of more buckets it sorts its rows.
+WRITERS = 64
 _MANIFEST = re.compile(r"v(\d+)\.json")
 
 
@@ -82,14 +84,17 @@ class KeyedTable:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _placed(self, rows: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
-        """`rows` with the bits and value of the bucket that each key falls into."""
-        hashed = F.xxhash64(self.key)
-        depths = sorted({bits for bits, _ in buckets})
-        known = self.spark.createDataFrame(buckets, "bits int, value long")
-        tried = F.array(*(F.struct(F.lit(bits).alias("bits"), F.pmod(hashed, F.lit(1 << bits)).alias("value")) for bits in depths))
-        each = rows.withColumn("place", F.explode(tried))
-        known = known.select(F.struct("bits", "value").alias("place"))
-        return each.join(known, "place", "left_semi").select("place.*", *rows.columns)
+        """`rows` with the bits and value of the bucket that each key falls into, which has to be among
+        `buckets`. Nothing is shuffled: rows joined to their buckets would meet in one task a bucket."""
+        hashed, values = F.xxhash64(self.key), {}
+        for bits, value in buckets:
+            values.setdefault(bits, []).append(value)
+        *others, last = sorted(values, key=lambda bits: len(values[bits]))  # the depth of most buckets needs no list
+        place = lambda bits: F.struct(F.lit(bits).alias("bits"), F.pmod(hashed, F.lit(1 << bits)).alias("value"))
+        found = place(last)
+        for bits in others:
+            found = F.when(F.pmod(hashed, F.lit(1 << bits)).isin(values[bits]), place(bits)).otherwise(found)
+        return rows.select(found.alias("place"), *rows.columns).select("place.*", *rows.columns)
 
     def replace(self, rows: DataFrame, keys: DataFrame | None = None) -> int:
         """Replaces what the table has of each key with `rows`; returns the version committed.
@@ -122,7 +127,8 @@ class KeyedTable:
         if touched:
             placed = self._placed(new, places).withColumnsRenamed({"bits": "_bits", "value": "_value"})
             # Spark sizes the files: it splits what is too large for one task and joins what is small
-            placed.hint("rebalance", "_bits", "_value").write.partitionBy("_bits", "_value").parquet(f"{self.folder}/data/{name}")
+            with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+                placed.hint("rebalance", "_bits", "_value").write.partitionBy("_bits", "_value").parquet(f"{self.folder}/data/{name}")
             found = self.spark.read.schema(StructType([*new.schema.fields]).add("_bits", "integer").add("_value", "long")).parquet(f"{self.folder}/data/{name}").groupBy("_bits", "_value").count().collect()
             filled = {(r["_bits"], r["_value"]): r["count"] for r in found}
             written = [Bucket(b, v, f"{name}/_bits={b}/_value={v}" if (b, v) in filled else "", filled.get((b, v), 0)) for b, v in places]

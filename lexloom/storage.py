@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it lasts, Arrow batches hold `rows` rows at most; for jobs whose rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """While it lasts, the session has `key` set to `value`."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """While it lasts, Arrow batches hold `rows` rows at most; for jobs whose rows are large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)

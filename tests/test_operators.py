@@ -5,6 +5,7 @@ import datetime as dt
 import io
 import json
 import math
+import re
 import zipfile
 import zlib
 from dataclasses import replace
@@ -586,6 +587,29 @@ def test_keyed_table(spark, tmp_path, monkeypatch):
     assert calls.value == 10  # rows are worked out once
 
 
+def test_keyed_table_places(spark, tmp_path):
+    """Rows find their buckets, of several depths, where they are: joined to them, all would meet in one task."""
+    t = tables.KeyedTable(spark, str(tmp_path / "t"))
+    buckets = [(1, 0), (2, 1), (3, 3), (3, 7)]
+    placed = t._placed(spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id")), buckets)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    hashed = {r.doc_id: r.h for r in spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id")).select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = {i: next((b, v) for b, v in buckets if h % (1 << b) == v) for i, h in hashed.items()}
+    assert {r.doc_id: (r.bits, r.value) for r in placed.collect()} == want and len(set(want.values())) == 4
+
+
+def test_word_counts(spark):
+    """Rows are counted where they are, rows that share an id (null too) together; texts without words give none."""
+    rows = [(1, "a b a É"), (2, ""), (3, None), (4, "x y"), (4, "Y z"), (None, "q"), (None, "q r"), (5, " .,! "), (6, "_a1-b_")]
+    got = [(r.doc_id, r.word, r.cnt) for r in spam.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = collections.Counter((i, w) for i, t in rows for w in re.findall("[^\\W_]+", (t or "").lower()))
+    assert sorted(got, key=str) == sorted(((*k, n) for k, n in want.items()), key=str)
+    plan = spam.word_counts(spark.createDataFrame(rows[:4], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert spam.word_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_add_corpus(spark, tmp_path):
     folder = str(tmp_path / "c")
     sources = spark.createDataFrame([(1, "T", "u", BASE), (2, "T", "u", BASE), (3, "V", None, "one two three four five")], "doc_id long, title string, source_url string, text string")
