@@ -29,7 +29,7 @@ SCRIPTS = (
 _NAMES = list(dict.fromkeys(name for name, *_ in SCRIPTS))
 _STARTS = np.array(sorted(low for _, low, _, _ in SCRIPTS))
 _BLOCKS = sorted((low, high, _NAMES.index(name)) for name, low, high, _ in SCRIPTS)
-_BITS = np.uint64(21)
+_BITS = 21
 
 Detector = Callable[[Column], Column]
 
@@ -61,7 +61,7 @@ class Profiles:
     def __init__(self, rows: list[tuple[str, int, str]]):
         self.langs = sorted({lang for lang, _, _ in rows})
         number = {lang: k for k, lang in enumerate(self.langs)}
-        codes = np.array([_code(g) for _, _, g in rows], np.uint64)
+        codes = np.array([_code(g) for _, _, g in rows], np.int64)
         self.codes, at = np.unique(codes, return_inverse=True)
         self.ranks = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int32)  # the last row: a trigram of no profile
         scripts = np.zeros((len(self.langs), len(_NAMES)), np.int64)
@@ -74,32 +74,36 @@ class Profiles:
 
     def detect(self, texts: list[str]) -> list[str]:
         """The language of each text, of words in lower case with blanks between."""
-        points = [np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
-        size = np.array([len(p) for p in points])
-        c, owner = np.concatenate(points), np.repeat(np.arange(len(texts)), size)
-        script = np.zeros((len(texts), len(_NAMES)), np.int64)
-        known = script_of(c)
-        np.add.at(script, (owner[known >= 0], known[known >= 0]), 1)
+        size = np.array([len(t) + 2 for t in texts])
+        c, owner = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64), np.repeat(np.arange(len(texts)), size)
+        # code points by their number among those that occur, in the same order
+        chars = np.flatnonzero(np.bincount(c))
+        number = np.zeros(chars[-1] + 1, np.int64)
+        number[chars] = np.arange(len(chars))
+        c = number[c]
+        known = script_of(chars)[c]
+        script = np.bincount((owner * len(_NAMES) + known)[known >= 0], minlength=len(texts) * len(_NAMES)).reshape(len(texts), -1)
         kana, han = _NAMES.index("Kana"), _NAMES.index("Han")
         script[:, kana] += np.where(script[:, kana] > 0, script[:, han], 0)  # Chinese characters beside kana are Japanese
         most = np.where(script.max(1) > 0, script.argmax(1), -1)
-        gram_owner, rank, code = _ranked(c, owner)
+        gram_owner, rank, code = _ranked(c, owner, chars)
         at = np.searchsorted(self.codes, code)
         at = np.where((at < len(self.codes)) & (self.codes[np.minimum(at, max(0, len(self.codes) - 1))] == code), at, len(self.codes)) if len(self.codes) else np.zeros(len(code), np.int64)
         theirs = self.ranks[at]
         far = np.where(theirs < 0, RANKED, np.abs(theirs - rank[:, None]))
         total, worst = np.zeros((len(texts), len(self.langs)), np.int64), np.bincount(gram_owner, minlength=len(texts)) * RANKED
-        np.add.at(total, gram_owner, far)
-        out = []
-        for k, s in enumerate(most):
-            among = np.flatnonzero(self.scripts == s) if s >= 0 else []
+        if len(gram_owner):
+            first = np.flatnonzero(np.diff(gram_owner, prepend=-1))  # owners are in order
+            total[gram_owner[first]] = np.add.reduceat(far, first, axis=0)
+        out = np.full(len(texts), UNKNOWN, object)
+        for s in np.unique(most[most >= 0]):
+            of, among = np.flatnonzero(most == s), np.flatnonzero(self.scripts == s)
             if len(among):
-                best = among[total[k, among].argmin()]
-                out.append(self.langs[best] if total[k, best] < worst[k] else UNKNOWN)
+                best = among[total[np.ix_(of, among)].argmin(1)]
+                out[of] = np.where(total[of, best] < worst[of], np.array(self.langs, object)[best], UNKNOWN)
             else:
-                alone = next((lang for name, _, _, lang in SCRIPTS if s >= 0 and name == _NAMES[s]), None)
-                out.append(alone or UNKNOWN)
-        return out
+                out[of] = next((lang for name, _, _, lang in SCRIPTS if name == _NAMES[s]), None) or UNKNOWN
+        return out.tolist()
 
 
 def _code(gram: str) -> int:
@@ -114,23 +118,30 @@ def script_of(points: np.ndarray) -> np.ndarray:
     return np.where((at >= 0) & (points <= high[at]), name[at], -1)
 
 
-def _ranked(c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, rank, trigram) of the RANKED most frequent trigrams of each text; none goes over a blank."""
-    u = c.astype(np.uint64)
-    code = u[:-2] << (_BITS + _BITS) | u[1:-1] << _BITS | u[2:]
-    good = (owner[:-2] == owner[2:]) & (c[1:-1] != 32)
-    code, text = code[good], owner[:-2][good]
-    order = np.lexsort((code, text))
-    code, text = code[order], text[order]
-    new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])))) if len(code) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(code)))
-    code, text = code[new], text[new]
-    order = np.lexsort((code, -count, text))
-    code, text = code[order], text[order]
-    first = np.searchsorted(text, text)
-    rank = np.arange(len(text)) - first
+def _ranked(c: np.ndarray, owner: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, rank, trigram) of the RANKED most frequent trigrams of each text; none goes over a blank.
+    c: each character's number among `chars`, code points in ascending order."""
+    k, blank = len(chars), np.searchsorted(chars, 32)
+    good = np.flatnonzero((owner[:-2] == owner[2:]) & (c[1:-1] != blank))
+    gram, text = (c[good] * k + c[good + 1]) * k + c[good + 2], owner[good]
+    if (int(owner[-1]) + 1) * k**3 < 1 << 63:  # one number says both
+        key, count = np.unique(text * k**3 + gram, return_counts=True)
+        text, gram = np.divmod(key, k**3)
+    else:
+        order = np.lexsort((gram, text))
+        gram, text = gram[order], text[order]
+        new = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+        count = np.diff(np.append(new, len(gram)))
+        gram, text = gram[new], text[new]
+    # by text, then count, then trigram, in whose order they are: a batch's size cubed fits a long
+    n, most = max(1, len(text)), int(count.max(initial=0))
+    order = np.sort((text * (most + 1) + most - count) * n + np.arange(len(text))) % n
+    text, gram = text[order], gram[order]
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
     keep = rank < RANKED
-    return text[keep], rank[keep], code[keep]
+    text, rank, gram = text[keep], rank[keep], gram[keep]
+    pair, last = np.divmod(gram, k)
+    return text, rank, chars[pair // k] << 2 * _BITS | chars[pair % k] << _BITS | chars[last]
 
 
 def trigram_detector(profiles: DataFrame | None) -> Detector:
@@ -153,7 +164,7 @@ def breakdown(docs: DataFrame, config: EngineConfig = EngineConfig(), detector:
     """doc_id, lang, words, pct, first_pos; paragraphs without words are left out, short ones are `und`.
     detector: from a paragraph's words to its language; by script alone if there is none."""
     each = docs.select("doc_id", F.posexplode(T.paragraphs(F.coalesce("text", F.lit("")))).alias("pos", "part"))
-    found = each.filter(F.col("part").rlike(T.WORD)).select("doc_id", "pos", (T.utf16_length(F.col("part")) >= config.language_least_chars).alias("long"), T.words(F.col("part")).alias("w"))
+    found = each.filter(F.col("part").rlike(T.WORD)).select("doc_id", "pos", ((F.length("part") >= config.language_least_chars) | (T.utf16_length(F.col("part")) >= config.language_least_chars)).alias("long"), T.words(F.col("part")).alias("w"))
     told = (detector or trigram_detector(None))(F.when(F.col("long"), F.col("w")).otherwise(F.array().cast("array<string>")))
     found = found.select("doc_id", "pos", F.size("w").alias("n"), told.alias("lang"))
     sums = found.groupBy("doc_id", "lang").agg(F.sum("n").alias("words"), F.min("pos").cast("long").alias("first_pos"))

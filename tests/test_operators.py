@@ -364,6 +364,22 @@ def test_trigram_ranks():
         assert told == (best if far[best] < language.RANKED * len(ranked) else "und")
 
 
+def test_trigrams_of_many_texts(monkeypatch):
+    """Texts together are told as each alone, of few characters and of very many; scripts are looked up
+    once for each character that occurs, not for each place."""
+    rows = [("en", k, g) for k, g in enumerate([" th", "the", "he ", "cat"])] + [("uk", k, g) for k, g in enumerate([" ві", "він", "ін "])]
+    known, asked, plain = language.Profiles(rows), [], language.script_of
+    few = ["the cat the", "він", "", "a", "ab він", "中文 カナ", "漢字", "12", "qq xx"] * 40
+    many = [*few, "".join(map(chr, range(0x4E00, 0x9FFF))) + " " + "".join(map(chr, range(0x10000, 0x1FFFF)))]
+    monkeypatch.setattr(language, "script_of", lambda points: asked.append(len(points)) or plain(points))
+    for texts in (few, many):
+        asked.clear()
+        told = known.detect(texts)
+        assert sum(asked) <= len(set(" ".join(texts)))
+        assert told == [known.detect([t])[0] for t in texts]
+    assert told[:9] == ["en", "uk", "und", "und", "uk", "ja", "zh", "und", "und"]
+
+
 def test_language_held_out(spark):
     """Profiles from three documents in four tell the language of the fourth."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).alias("part"))
