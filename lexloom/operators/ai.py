@@ -51,9 +51,13 @@ def burstiness(profile: LexicalProfile, config: EngineConfig) -> Column:
 
     def value(x: Column) -> Column:
         n = F.size(x).cast("double")
+
+        def around(mean: Column) -> Column:  # bound once, or it would be summed up anew for each sentence
+            spread = F.aggregate(x, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / n
+            return clamped(1 - F.least(F.sqrt(spread) / mean, F.lit(1.0)))
+
         mean = F.aggregate(x, F.lit(0), lambda a, b: a + b).cast("double") / n
-        spread = F.aggregate(x, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / n
-        return F.when(F.size(x) >= 2, clamped(1 - F.least(F.sqrt(spread) / mean, F.lit(1.0)))).otherwise(0.0)
+        return F.when(F.size(x) >= 2, F.get(F.transform(F.array(mean), around), F.lit(0))).otherwise(0.0)
 
     return F.get(F.transform(F.array(lengths), value), F.lit(0))
 
@@ -75,7 +79,8 @@ def ai_cliches(profile: LexicalProfile, config: EngineConfig) -> Column:
 
 @scorer("synonymChains")
 def synonym_chains(profile: LexicalProfile, config: EngineConfig) -> Column:
-    return _part(lambda s: F.contains(s, F.lit(",")) & s.rlike(rf"(?iu)(?:{profile.chain_letters}+,{T.WS}*){{2,}}{profile.chain_letters}+"))
+    # three or more words with commas between are there if the middle one and a letter on either side are
+    return _part(lambda s: F.contains(s, F.lit(",")) & s.rlike(rf"(?iu){profile.chain_letters},{T.WS}*{profile.chain_letters}+,{T.WS}*{profile.chain_letters}"))
 
 
 def perplexity_scorer(model: Callable[[Column], Column]) -> Scorer:

@@ -224,7 +224,7 @@ def self_copy_pct(docs: DataFrame, config: EngineConfig = EngineConfig(), author
     nothing.
     """
     own = distinct_hashes(docs, config, author).filter(F.col(author).isNotNull())
-    same = W.partitionBy(author, "hash")
+    same = W.partitionBy("hash", author)  # in this order a sort compares numbers, and authors of the same hash only
     hit = own.withColumns({"first": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).filter("first < last")
     if config.only_previous:
         hit = hit.filter("first < doc_id")

@@ -10,6 +10,7 @@ vectors follow. They map terms to vectors, and a sentence to the weighted sum of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from lexloom.storage import stored
 
 #: Hashed terms, components of a vector, random columns beyond these, passes that sharpen the range.
 SLOTS, SIZE, MORE, PASSES = 1 << 15, 128, 16, 2
-#: Terms of a batch that are multiplied at once.
-_AT_ONCE = 100_000
+#: Terms of a batch that are multiplied at once, few enough to stay in a core's cache; slots whose sums are one row.
+_AT_ONCE, _BLOCK = 2_000, 1024
 
 
 def slots_of(words: Column, slots: int = SLOTS) -> Column:
@@ -36,8 +37,12 @@ class LatentModel:
     def __init__(self, weights: np.ndarray, vectors: np.ndarray):
         self.weights, self.vectors = weights, vectors
 
+    @cached_property
+    def weighted(self) -> np.ndarray:
+        return self.weights[:, None] * self.vectors
+
     def embed(self, lists: pa.Array) -> np.ndarray:
-        return _multiplied(lists, self.weights, self.vectors)
+        return _multiplied(lists, self.weighted)
 
 
 def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +52,8 @@ def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), size
 
 
-def _multiplied(lists: pa.Array, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The rows' weighted terms times `m`."""
+def _multiplied(lists: pa.Array, m: np.ndarray) -> np.ndarray:
+    """The rows' terms times `m`, which has the terms' weights in it."""
     slots, size = _rows(lists)
     out, ends = np.zeros((len(size), m.shape[1])), np.concatenate(([0], np.cumsum(size)))
     row = 0
@@ -56,57 +61,65 @@ def _multiplied(lists: pa.Array, weights: np.ndarray, m: np.ndarray) -> np.ndarr
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + _AT_ONCE, "right")) - 1)
         part, full = slots[ends[row] : ends[last]], row + np.flatnonzero(size[row:last])
         if len(full):
-            out[full] = np.add.reduceat(m[part] * weights[part, None], ends[full] - ends[row])
+            out[full] = np.add.reduceat(m[part], ends[full] - ends[row])
         row = last
     return out
 
 
-def _summed(df: DataFrame, key: str, width: int) -> dict[int, np.ndarray]:
-    """The sums of the arrays `x` by key."""
-    sums = df.groupBy(key).agg(F.array(*(F.sum(F.col("x")[i]) for i in range(width))).alias("x"))
-    return {r[key]: np.array(r.x) for r in sums.collect()}
+def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sums of the tasks' matrices, which come as rows of _BLOCK (block, x)."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = 0, 0.0
+        for b in batches:
+            for block, x in zip(b.column("block").to_pylist(), b.column("x"), strict=True):
+                total = total + np.frombuffer(x.as_buffer())
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "x"])
+
+    out = np.zeros(shape)
+    for r in parts.groupBy("block").applyInArrow(add, "block int, x binary").collect():
+        part = np.frombuffer(r.x).reshape(-1, shape[1])
+        out[r.block * _BLOCK : r.block * _BLOCK + len(part)] = part
+    return out
+
+
+def _parts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(total), _BLOCK):
+        if total[a : a + _BLOCK].any():
+            yield pa.record_batch([pa.array([a // _BLOCK], pa.int32()), pa.array([total[a : a + _BLOCK].tobytes()], pa.binary())], names=["block", "x"])
 
 
 def _back(rows: DataFrame, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The matrix, transposed, times itself times `m`."""
-    slots, width = m.shape
+    """The matrix, transposed, times itself times `m`; a row counts n times."""
+    weighted = weights[:, None] * m
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, touched = np.zeros((slots, width)), np.zeros(slots, bool)
+        total = np.zeros(weighted.shape)
         for b in batches:
-            y = _multiplied(b.column("slots"), weights, m)
+            y = _multiplied(b.column("slots"), weighted) * b.column("n").to_numpy()[:, None]
             at, size = _rows(b.column("slots"))
-            owner = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(at, kind="stable")
+            at, owner = at[order], np.repeat(np.arange(len(size)), size)[order]
             for a in range(0, len(at), _AT_ONCE):
-                order = a + np.argsort(at[a : a + _AT_ONCE], kind="stable")
-                slot, first = np.unique(at[order], return_index=True)
-                total[slot] += np.add.reduceat(y[owner[order]], first) * weights[slot, None]
-            touched[at] = True
-        found = np.flatnonzero(touched)
-        for a in range(0, len(found), 4096):
-            k = found[a : a + 4096]
-            yield pa.record_batch([pa.array(k, pa.int32()), _lists(total[k])], names=["slot", "x"])
-
-    out = np.zeros((slots, width))
+                slot, first = np.unique(at[a : a + _AT_ONCE], return_index=True)
+                total[slot] += np.add.reduceat(y[owner[a : a + _AT_ONCE]], first)
+        yield from _parts(total * weights[:, None])
+
     rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)  # a task's sums are of one size, whatever it reads
-    for slot, x in _summed(rows.mapInArrow(products, "slot int, x array<double>"), "slot", width).items():
-        out[slot] = x
-    return out
+    return _summed(rows.mapInArrow(products, "block int, x binary"), m.shape)
 
 
 def _gram(rows: DataFrame, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The products of the columns of the matrix times `m`, one with another."""
-    width = m.shape[1]
+    """The products of the columns of the matrix times `m`, one with another; a row counts n times."""
+    weighted = weights[:, None] * m
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = np.zeros((weighted.shape[1],) * 2)
         for b in batches:
-            y = _multiplied(b.column("slots"), weights, m)
-            total += y.T @ y
-        yield pa.record_batch([pa.array(range(width), pa.int32()), _lists(total)], names=["i", "x"])
+            y = _multiplied(b.column("slots"), weighted)
+            total += y.T @ (y * b.column("n").to_numpy()[:, None])
+        yield from _parts(total)
 
-    found = _summed(rows.mapInArrow(products, "i int, x array<double>"), "i", width)
-    return np.array([found.get(i, np.zeros(width)) for i in range(width)])
+    return _summed(rows.mapInArrow(products, "block int, x binary"), (m.shape[1],) * 2)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -121,10 +134,10 @@ def learn(sentences: DataFrame, size: int = SIZE, slots: int = SLOTS, passes: in
     sentence all vectors are zero, and match nothing.
     """
     cut = sentences.select(slots_of(T.words(F.coalesce("sentence", F.lit(""))), slots).alias("slots"))
-    rows = stored(cut.filter(F.size("slots") > 0), "latent-sentences")
-    number = rows.count()
+    rows = stored(cut.filter(F.size("slots") > 0).groupBy("slots").agg(F.count("*").alias("n")), "latent-sentences")  # repeated ones are multiplied once
+    number = rows.agg(F.sum("n")).first()[0] or 0
     counts = np.zeros(slots)
-    for r in rows.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).collect():  # `slots` rows at most
+    for r in rows.select(F.explode(F.array_distinct("slots")).alias("slot"), "n").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # `slots` rows at most
         counts[r.slot] = r.n
     weights = np.log((1 + number) / (1 + counts)) ** 2
     width = min(size + MORE, slots)

@@ -5,6 +5,8 @@ All are projections of one row; documents come as `metrics.tokenized` gives them
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,14 @@ def phrase_share(phrases) -> Column:
     return T.share(F.size(F.filter(phrases_in(_lowered(), [p.lower() for p in phrases]), lambda k: F.size(k) > 0)), F.size("sentences"))
 
 
+def found_alike(pattern: str) -> str:
+    """A pattern that is found in the same texts: a class that repeats at the start need be there once only."""
+    return re.sub(r"^(\[[^\[\]\\]+\])\+(?=\()", r"\1", pattern)
+
+
 def readability(profile: LexicalProfile) -> Column:
-    syllables = F.aggregate("words", F.lit(0), lambda n, w: n + F.greatest(F.lit(1), F.length(F.regexp_replace(w, f"[^{profile.vowels}]", ""))))
+    vowels = F.split(F.regexp_replace(F.array_join("words", " "), f"[^{profile.vowels} ]+", ""), " ")  # of each word, all replaced at once
+    syllables = F.aggregate(vowels, F.lit(0), lambda n, v: n + F.greatest(F.lit(1), F.length(v)))
     n = F.size("words").cast("double")
     score = F.lit(206.835) - F.lit(1.3) * (n / F.size("sentences").cast("double")) - F.lit(60.1) * (syllables.cast("double") / n)
     return F.when((F.size("words") > 0) & (F.size("sentences") > 0), F.floor(score * 10 + 0.5).cast("double") / 10).otherwise(0.0)
@@ -98,7 +106,7 @@ def columns(profile: LexicalProfile = RUSSIAN, config: EngineConfig = EngineConf
     return {
         "readability_score": readability(profile),
         "long_sentences_pct": T.share(F.size(F.filter("sentence_words", lambda w: F.size(w) > config.long_sentence_words)), F.size("sentences")),
-        "passive_voice_pct": sentence_share(lambda s: s.rlike(f"(?iu){profile.passive}")),
+        "passive_voice_pct": sentence_share(lambda s: s.rlike(f"(?iu){found_alike(profile.passive)}")),
         "word_repetitions": adjacent_repetitions(profile).cast("long"),
         "bureaucracy_pct": phrase_share(profile.bureaucratic_phrases),
         "matched_cliches": matched_phrases(profile), "cited_pct": cited_pct(F.col("text"))}

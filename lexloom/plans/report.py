@@ -84,9 +84,9 @@ class Engine:
 
     def sentences(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, similarity and nearest_group (the source) of each sentence, by nearest corpus sentence."""
-        embed = self.embedder or self.learned(docs, corpus)
         # of the documents only the sentences are stored, which are far smaller than their vectors; `nearest` embeds each once
         ours, theirs = (stored(semantic.sentences(d).withColumn("vec_id", F.monotonically_increasing_id()), "sentences") for d in (docs, corpus))
+        embed = self.embedder or self.learned_of(ours.select("sentence").unionByName(theirs.select("sentence")))
         theirs = stored(theirs.withColumn("embedding", embed(F.col("sentence"))), "sentence-vectors")
         best = semantic.nearest(ours.withColumn("embedding", embed(F.col("sentence"))), theirs)
         found = ours.select("doc_id", "vec_id").join(best, "vec_id", "left")
@@ -96,7 +96,12 @@ class Engine:
     def learned(docs: DataFrame, corpus: DataFrame):
         """An embedder learned from the sentences of both."""
         both = semantic.sentences(docs.select("doc_id", "text")).unionByName(semantic.sentences(corpus.select("doc_id", "text")))
-        return latent.embedder(latent.learn(both), docs.sparkSession)
+        return Engine.learned_of(both.select("sentence"))
+
+    @staticmethod
+    def learned_of(sentences: DataFrame):
+        """An embedder learned from sentences that are cut already."""
+        return latent.embedder(latent.learn(sentences), sentences.sparkSession)
 
     def paraphrase(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, total_sentences, matched_sentences, paraphrase_pct."""

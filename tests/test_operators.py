@@ -877,3 +877,33 @@ def test_report_hashes_once(spark):
     row = tokens.first()
     assert len(row.sentence_words) == len(row.sentences) and sum(map(list, row.sentence_words), []) == list(row.words)
     assert ai.ai_probability(tokens, LATIN).first().synonym_chains > 0
+
+
+def test_latent_repeats_once(spark, monkeypatch):
+    """Repeated sentences are multiplied once and count as often as they come."""
+    texts = ["red green blue", "red green", "dog cat bird", "dog cat", "red dog"] * 7 + ["red green blue"] * 20
+    kept, stored = {}, latent.stored
+    monkeypatch.setattr(latent, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    model = latent.learn(spark.createDataFrame([(t,) for t in texts], "sentence string").repartition(3), 4, 64)
+    assert kept["latent-sentences"].count() == 5
+    got = np.array([x.e for x in spark.createDataFrame(enumerate(texts[:5]), "i long, s string").select("i", latent.embedder(model, spark)(F.col("s")).alias("e")).orderBy("i").collect()])
+    assert np.abs(cosines(got) - cosines(dense_latent(texts, 4, 64)(texts[:5]))).max() < 1e-3
+
+
+def test_sentences_are_cut_once(spark, monkeypatch):
+    """The paraphrase of the report cuts documents and corpus once, and learns from what it stored."""
+    calls, cut = [], semantic.sentences
+    monkeypatch.setattr(semantic, "sentences", lambda d: calls.append(1) or cut(d))
+    d = docs(spark, "One two three. Four five six.", "Seven eight.")
+    assert Engine().paraphrase(d, d).count() == 2 and len(calls) == 2
+
+
+def test_signals_of_a_row_in_proportion(spark):
+    """The mean is worked out once a text, not once a sentence; patterns say what their longer forms did."""
+    plan = spark.range(1).select(F.array(F.array(F.lit("a"))).alias("sentence_words")).select(ai.burstiness(LATIN, EngineConfig()).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 2
+    texts = ["The created word", "ated", "xated", "a,b,c", "a, b,c d", "one,two three, four", ",b,c", "aa,,b,c", "été, à,ß", "A,B , C", "x wird y", "Übered", ""]
+    for rx, short in ((f"(?iu){LATIN.passive}", f"(?iu){style.found_alike(LATIN.passive)}"), (r"(?iu)(?:[a-zà-ÿ]+,[\t\n\x0B\f\r\p{Z}\x{FEFF}]*){2,}[a-zà-ÿ]+", None)):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(rx).alias("a"), (F.col("t").rlike(short) if short else F.lit(None)).alias("b"),
+                                                                             F.array("t").alias("sentences")).select("*", ai.synonym_chains(LATIN, EngineConfig()).alias("c")).collect()
+        assert short != rx and all((r.b if short else r.c == 1.0) == r.a for r in rows) and {r.a for r in rows} == {True, False}
