@@ -84,6 +84,21 @@ class Known:
         return run(hashes)
 
 
+def hash_counts(hashes: Column) -> Column:
+    """An array of (hash, rows) of a row's distinct hashes and how many positions hold each; many rows at once."""
+
+    @F.arrow_udf("array<struct<hash:bigint,rows:bigint>>")
+    def run(column: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        key = np.repeat(np.arange(len(length), dtype=np.int64) << 32, length) | column.flatten().to_numpy(zero_copy_only=False)
+        key, count = np.unique(key, return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(length) + 1, dtype=np.int64) << 32)
+        found = pa.StructArray.from_arrays([pa.array(key & T.MASK), pa.array(count, pa.int64())], ["hash", "rows"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+    return run(hashes)
+
+
 def shingle_table(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, pos, phrase, hash: a row for each position."""
     words = T.words(F.coalesce("text", F.lit("")))
@@ -239,35 +254,46 @@ def self_copy_sources(docs: DataFrame, config: EngineConfig = EngineConfig(), au
     """doc_id, other_doc_id, matched_shingles: positions of the other document of the author.
 
     Only hashes that two documents of an author hold count. Its documents that hold the same of these are
-    one class, and hashes that the same classes hold are one passage; classes are paired by passages,
-    and become documents at the end, where what is paired is the result itself. Sets of hashes and of
-    holders are told by their number and 128 bits.
+    one class, and hashes that the same classes hold are one passage; classes, which have numbers, are
+    paired by passages, each two once, and become documents at the end, where what is paired is the result
+    itself. Texts are hashed once, and their hashes shuffled once. Sets of hashes and of holders are told
+    by their number and 128 bits.
     """
     def told(*columns: str) -> Column:
         """The set of a group's rows, whatever their order."""
         return F.struct(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(*columns, F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)))
 
     each = hashed(docs, config, author).filter(F.col(author).isNotNull() & F.col("doc_id").isNotNull())
-    each = each.select("doc_id", author, F.explode_outer("hashes").alias("hash")).filter("hash is not null")
-    several = each.groupBy(author, "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(author, "hash")
-    own = stored(each.join(several, [author, "hash"]).groupBy(author, "doc_id", "hash").agg(F.count("*").alias("rows")), "self-copy-hashes")
+    each = each.select("doc_id", author, F.explode_outer(hash_counts(F.col("hashes"))).alias("h")).filter("h is not null").select("doc_id", author, "h.hash", "h.rows")
+    same = W.partitionBy("hash", author)
+    several = each.withColumns({"first": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).filter("first < last")
+    own = stored(several.groupBy(author, "doc_id", "hash").agg(F.sum("rows").alias("rows")), "self-copy-hashes")
     sets = stored(own.groupBy(author, "doc_id").agg(told("hash", "rows").alias("set"), F.sum("rows").alias("all_rows")), "self-copy-sets")
     first = sets.groupBy(author, "set").agg(F.min("doc_id").alias("class"), F.count("*").alias("members"))
+    numbered = stored(first.withColumn("number", F.monotonically_increasing_id()), "self-copy-numbers")
     shared_id = sets.groupBy("doc_id").agg((F.count("*") > 1).alias("authors"))  # an id with several authors
-    member = stored(sets.join(first, [author, "set"]).join(shared_id, "doc_id").select(author, "doc_id", "class", "members", "all_rows", "authors"), "self-copy-classes")
+    member = stored(sets.join(numbered, [author, "set"]).join(shared_id, "doc_id").select(author, "doc_id", "class", "number", "members", "all_rows", "authors"), "self-copy-classes")
     classes = member.filter("doc_id = class")
-    held = own.join(classes.select(author, "doc_id"), [author, "doc_id"])
-    holders = held.groupBy(author, "hash").agg(told("doc_id").alias("passage")).filter("passage.n > 1")
-    passages = stored(held.join(holders, [author, "hash"]).groupBy(author, "passage", "doc_id").agg(F.sum("rows").alias("rows")), "self-copy-passages")
-    one, other = passages.select(author, "passage", F.col("doc_id").alias("one")), passages.select(author, "passage", F.col("doc_id").alias("other"), "rows")
-    between = one.join(other, [author, "passage"]).filter("one <> other").groupBy(author, "one", "other").agg(F.sum("rows").alias("matched_shingles"))
-    within = classes.filter("members > 1").select(author, F.col("class").alias("one"), F.col("class").alias("other"), F.col("all_rows").alias("matched_shingles"))
-    ours = member.select(author, F.col("class").alias("one"), "doc_id", "authors")
-    theirs = member.select(author, F.col("class").alias("other"), F.col("doc_id").alias("other_doc_id"), F.col("authors").alias("other_authors"))
-    pairs = between.unionByName(within).join(ours, [author, "one"]).join(theirs, [author, "other"]).filter("doc_id <> other_doc_id")
+    held = own.join(classes.select(author, "doc_id", "number"), [author, "doc_id"]).select("hash", author, "number", "rows")
+    holders = held.groupBy("hash", author).agg(told("number").alias("passage")).filter("passage.n > 1")
+    passages = held.join(holders, ["hash", author]).groupBy(author, "passage", "number").agg(F.sum("rows").alias("rows"))
+    passages = stored(passages.select(author, "passage.*", "number", "rows"), "self-copy-passages")
+    one, other = (passages.select("n", "x1", "x2", F.col("number").alias(name), F.col("rows").alias(f"{name}_rows")) for name in ("one", "other"))
+    between = one.join(other, ["x1", "x2", "n"]).filter("one < other").groupBy("one", "other").agg(F.sum("one_rows").alias("one_rows"), F.sum("other_rows").alias("other_rows"))
+    within = classes.filter("members > 1").select(F.col("number").alias("one"), F.col("number").alias("other"), F.lit(None).cast("long").alias("one_rows"), F.col("all_rows").alias("other_rows"))
+    numbers, once = between.unionByName(within), member.filter("authors").isEmpty()
+    if not once:
+        numbers = stored(numbers, "self-copy-pairs")
+    ways = F.array(F.struct("one", "other", F.col("other_rows").alias("matched_shingles")), F.struct(F.col("other").alias("one"), F.col("one").alias("other"), F.col("one_rows").alias("matched_shingles")))
+    ways = numbers.select(F.explode(ways).alias("w")).select("w.*").filter("matched_shingles is not null")
+    ours = member.select(F.col("number").alias("one"), "doc_id", "authors")
+    theirs = member.select(F.col("number").alias("other"), F.col("doc_id").alias("other_doc_id"), F.col("authors").alias("other_authors"))
+    pairs = ways.join(ours, "one").join(theirs, "other").filter("doc_id <> other_doc_id")
     if config.only_previous:
         pairs = pairs.filter("other_doc_id < doc_id")
     columns, both = ["doc_id", "other_doc_id", "matched_shingles"], F.col("authors") & F.col("other_authors")
+    if once:
+        return pairs.select(*columns)
     again = pairs.filter(both).groupBy("doc_id", "other_doc_id").agg(F.sum("matched_shingles").alias("matched_shingles"))
     return pairs.filter(~both).select(*columns).unionByName(again)
 

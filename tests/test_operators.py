@@ -907,3 +907,15 @@ def test_signals_of_a_row_in_proportion(spark):
         rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(rx).alias("a"), (F.col("t").rlike(short) if short else F.lit(None)).alias("b"),
                                                                              F.array("t").alias("sentences")).select("*", ai.synonym_chains(LATIN, EngineConfig()).alias("c")).collect()
         assert short != rx and all((r.b if short else r.c == 1.0) == r.a for r in rows) and {r.a for r in rows} == {True, False}
+
+
+def test_self_copies_hash_once(spark, monkeypatch):
+    """Texts are hashed once, hashes counted in their documents, and two classes meet once for both ways."""
+    calls, hashed, kept, stored = [], copying.hashed, {}, copying.stored
+    monkeypatch.setattr(copying, "stored", lambda df, name: kept.setdefault(name, (stored(df, name), df))[0])
+    monkeypatch.setattr(copying, "hashed", lambda *a: calls.append(1) or hashed(*a))
+    d = spark.createDataFrame([(1, f"{BASE} {BASE}", "a"), (2, BASE, "a"), (3, f"x {BASE}", "a"), (3, None, "a"), (4, BASE, "b")], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.other_doc_id): r.matched_shingles for r in copying.self_copy_sources(d).collect()}
+    assert got == {(1, 2): 8, (1, 3): 8, (2, 1): 16, (2, 3): 8, (3, 1): 16, (3, 2): 8}
+    assert len(calls) == 1 and kept["self-copy-passages"][0].count() == 2  # documents 2 and 3 are one class, beside that of 1
+    assert len(re.findall("LogicalRDD|LocalRelation", kept["self-copy-hashes"][1]._jdf.queryExecution().optimizedPlan().toString())) == 1
