@@ -230,20 +230,20 @@ def top_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), most: int
     return top.join(held.groupBy("hash").agg(F.countDistinct("doc_id").alias("docs")), "hash").select("hash", "positions", "docs")
 
 
-def self_copy_pct(docs: DataFrame, config: EngineConfig = EngineConfig(), author: str = "source") -> DataFrame:
+def self_copy_pct(docs: DataFrame, config: EngineConfig = EngineConfig(), author: str = "source", unique: bool = False) -> DataFrame:
     """Shares of shingles that another document of the same author has.
 
     A hash counts as matched if at least two documents of the author hold it, which a window over the
     hash tells: texts are hashed once, hashes are shuffled once, no pairs of documents. A row for each row of `docs`: rows that repeat a doc_id are one
     document, so they don't match each other, and have what the document matches in all; null ids match
-    nothing.
+    nothing. unique: whether no rows are known to share an id, so that hits needn't be told apart again.
     """
     own = distinct_hashes(docs, config, author).filter(F.col(author).isNotNull())
     same = W.partitionBy("hash", author)  # in this order a sort compares numbers, and authors of the same hash only
     hit = own.withColumns({"first": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).filter("first < last")
     if config.only_previous:
         hit = hit.filter("first < doc_id")
-    matched = hit.groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
+    matched = hit.groupBy("doc_id").agg((F.count("hash") if unique else F.countDistinct("hash")).alias("matched_shingles"))
     total = F.when(F.col(author).isNotNull(), positions(docs, config)).otherwise(0)
     both = docs.select("doc_id", F.col(author).isNotNull().alias("enabled"), total.alias("total_shingles")).join(matched, "doc_id", "left")
     both = both.withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))

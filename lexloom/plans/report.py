@@ -13,11 +13,13 @@ from lexloom.lexicon import RUSSIAN, LexicalProfile
 from lexloom.operators import ai, copying, grammar, language, latent, metrics, ngrams, semantic, spam, style, tampering
 from lexloom.plans import stages
 from lexloom.sources import providers
-from lexloom.storage import stored
+from lexloom.storage import batches_of, stored
 from lexloom.streaming import jobs
 
 RESULT = ["doc_id", "plagiarism_pct", "paraphrase_pct", "self_plagiarism_pct", "cited_pct", "originality_pct", "spam_pct", "junk_words_pct",
           "grammar_errors", "readability_score", "ai_probability", "ai_verdict"]
+#: Rows of a batch that goes to Python, where several steps of a task hold one each; texts may be long.
+AT_ONCE = 1000
 
 
 def originality(plagiarism, paraphrase, own):
@@ -35,22 +37,26 @@ def originality_report(docs: DataFrame, corpus: DataFrame, profile: LexicalProfi
                        paraphrase: DataFrame | None = None, author: str = "source", checker=None) -> DataFrame:
     """RESULT for every document. paraphrase: doc_id, paraphrase_pct; 0 without it. checker: a grammar
     checker in place of the local rules."""
-    out = signals(docs, profile, config)
+    ids = spam.repeated(docs)
+    with batches_of(docs.sparkSession, AT_ONCE):  # each part is a job of its own; what is joined in the end is small and waits for nothing
+        out = stored(signals(docs, profile, config), "report-signals")
+        cut = stored(copying.hashed(docs, config, author), "report-hashes")
+        copied = stored(copying.copy_pct(cut, corpus, config).select("doc_id", "plagiarism_pct"), "report-copied")
+        own = stored(copying.self_copy_pct(cut, config, author, ids is None).select("doc_id", "self_plagiarism_pct"), "report-own")
+        if paraphrase is not None:
+            paraphrase = stored(paraphrase.select("doc_id", "paraphrase_pct"), "report-paraphrase")
+        if ids is not None:  # rows that share an id are one document
+            top = stored(spam.top_words(metrics.tokenized(docs), profile, config, ids).groupBy("doc_id").agg(F.sum("cnt").alias("top")), "report-top")
+            out = out.drop("top").join(top, "doc_id", "left")
     if checker is not None:
         out = out.drop("grammar_errors").join(grammar.grammar(docs, checker).select("doc_id", "grammar_errors"), "doc_id", "left")
-    ids = spam.repeated(docs)
-    if ids is not None:  # rows that share an id are one document
-        top = spam.top_words(metrics.tokenized(docs), profile, config, ids).groupBy("doc_id").agg(F.sum("cnt").alias("top"))
-        out = out.drop("top").join(top, "doc_id", "left")
     out = out.withColumns({
         "spam_pct": share(F.coalesce("top", F.lit(0)), F.col("total_words")), "junk_words_pct": share(F.col("junk_words"), F.col("total_words"))})
-    cut = stored(copying.hashed(docs, config, author), "report-hashes")
-    out = out.join(copying.copy_pct(cut, corpus, config).select("doc_id", "plagiarism_pct"), "doc_id", "left")
-    out = out.join(copying.self_copy_pct(cut, config, author).select("doc_id", "self_plagiarism_pct"), "doc_id", "left")
+    out = out.join(copied, "doc_id", "left").join(own, "doc_id", "left")
     if paraphrase is None:
         out = out.withColumn("paraphrase_pct", F.lit(0.0))
     else:
-        out = out.join(paraphrase.select("doc_id", "paraphrase_pct"), "doc_id", "left").withColumn("paraphrase_pct", F.coalesce("paraphrase_pct", F.lit(0.0)))
+        out = out.join(paraphrase, "doc_id", "left").withColumn("paraphrase_pct", F.coalesce("paraphrase_pct", F.lit(0.0)))
     return out.withColumn("originality_pct", originality(F.col("plagiarism_pct"), F.col("paraphrase_pct"), F.col("self_plagiarism_pct"))).select(*RESULT)
 
 

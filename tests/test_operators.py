@@ -919,3 +919,18 @@ def test_self_copies_hash_once(spark, monkeypatch):
     assert got == {(1, 2): 8, (1, 3): 8, (2, 1): 16, (2, 3): 8, (3, 1): 16, (3, 2): 8}
     assert len(calls) == 1 and kept["self-copy-passages"][0].count() == 2  # documents 2 and 3 are one class, beside that of 1
     assert len(re.findall("LogicalRDD|LocalRelation", kept["self-copy-hashes"][1]._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_report_joins_stored_parts(spark, monkeypatch):
+    """No text is read, and no Python run, by the query that joins the parts; batches for Python are small."""
+    sizes, stored = {}, report.stored
+    monkeypatch.setattr(report, "stored", lambda df, name: sizes.setdefault(name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) and stored(df, name))
+    d = docs(spark, BASE, f"{BASE} more", None)
+    plan = originality_report(d, docs(spark, BASE), LATIN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "LogicalRDD" not in plan
+    assert sizes["report-signals"] == sizes["report-hashes"] == str(report.AT_ONCE)
+    one = [(1, BASE, "a"), (1, f"{BASE} x", "a"), (2, BASE, "a")]
+    for rows, unique in ((one, False), (one[1:], True)):
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = [sorted(map(repr, copying.self_copy_pct(d, unique=u).collect())) for u in (False, unique)]
+        assert got[0] == got[1]
