@@ -211,14 +211,30 @@ def copy_pct(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineCo
     """
     theirs = corpus_hashes(corpus, config)
     each = scanned(docs, theirs, config)
-    matched = gated(each, theirs, corpus, config).groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
+    return _pct(each, gated(each, theirs, corpus, config))
+
+
+def copied(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
+    """copy_pct and copy_sources, from one scan of the documents."""
+    theirs = corpus_hashes(corpus, config)
+    each = scanned(docs, theirs, config)
+    found = stored(gated(each, theirs, corpus, config), "copy-found")
+    return _pct(each, found), _sources(found)
+
+
+def _pct(each: DataFrame, found: DataFrame) -> DataFrame:
+    matched = found.groupBy("doc_id").agg(F.countDistinct("hash").alias("matched_shingles"))
     both = each.select("doc_id", "total_shingles").join(matched, "doc_id", "left").withColumn("matched_shingles", F.coalesce("matched_shingles", F.lit(0)))
     return both.withColumn("plagiarism_pct", T.share(F.col("matched_shingles"), F.col("total_shingles")))
 
 
+def _sources(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "corpus_doc_id").agg(F.sum("rows").alias("matched_shingles"))
+
+
 def copy_sources(docs: DataFrame, corpus: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """doc_id, corpus_doc_id, matched_shingles: positions of the source, repeats counted."""
-    return shared(docs, corpus, config).groupBy("doc_id", "corpus_doc_id").agg(F.sum("rows").alias("matched_shingles"))
+    return _sources(shared(docs, corpus, config))
 
 
 def top_hashes(docs: DataFrame, config: EngineConfig = EngineConfig(), most: int = 100) -> DataFrame:

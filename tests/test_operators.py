@@ -934,3 +934,17 @@ def test_report_joins_stored_parts(spark, monkeypatch):
         d = spark.createDataFrame(rows, "doc_id long, text string, source string")
         got = [sorted(map(repr, copying.self_copy_pct(d, unique=u).collect())) for u in (False, unique)]
         assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3, 4, 5), (1, 1, 3, 4, None)])
+def test_sections_together(spark, ids):
+    """Sections from what is stored once are those that each work out their own; texts are in no plan of a signal."""
+    texts = [BASE + " the end. A created thing, of the, b.", f"{BASE}  more , x", None, "", "one one. Two the the words words words."]
+    d = spark.createDataFrame([(i, t, "a") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, source string")
+    engine = Engine(profile=LATIN)
+    apart, together = (engine.sections(d, docs(spark, BASE), False, True, t) for t in (False, True))
+    assert list(apart) == list(together)
+    for name in apart:
+        assert sorted(map(repr, apart[name].collect())) == sorted(map(repr, together[name].collect())), name
+        if name in ("style", "aiDetector"):
+            assert "sentences" not in together[name]._jdf.queryExecution().optimizedPlan().toString().replace("long_sentences", "")
